@@ -33,7 +33,7 @@ WINDOW = 32
 #: Tokens at each end of a window that have to agree.
 AGREE = 8
 #: Bounds of the cache of encoded words in a worker: entries, and code points of a word that is kept.
-CACHE_WORDS, CACHE_CHARS = 600_000, 40
+CACHE_WORDS, CACHE_CHARS = 300_000, 40
 #: A blank that begins a pre-token; what tells that a text has other blanks.
 UNIT, IRREGULAR = re.compile(r" (?=\S)"), re.compile(r" (?:\s|$)")
 
@@ -132,9 +132,16 @@ def _columns(batch: pa.RecordBatch, *names: str) -> list[list]:
     return [batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names]
 
 
-def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
-    """(doc_id, ids): the ids of each whole text, as binary of little-endian unsigned 32-bit numbers. Tasks hold the two
-    parts of one join at most, besides their batch of texts."""
+Made = Callable[[Vocabulary, list[bytes]], dict]
+
+
+def _as_ids(vocab: Vocabulary, found: list[bytes]) -> dict:
+    return {"ids": pa.array(found, pa.binary())}
+
+
+def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS, made: Made = _as_ids, schema: str = "ids binary") -> DataFrame:
+    """(doc_id, ids): the ids of each whole text, as binary of little-endian unsigned 32-bit numbers, or the columns that
+    ``made`` makes of them in the same task. Tasks hold the two parts of one join at most, besides their batch of texts."""
     whole = texts(docs, id_col, text_col)
 
     def leaves() -> Callable:
@@ -142,11 +149,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
         def each(batch: pa.RecordBatch) -> dict:
             ids, found = _columns(batch, "doc_id", "text")
-            return {"doc_id": pa.array(ids, pa.int64()), "ids": pa.array([vocab.encode(t) for t in found], pa.binary())}
+            return {"doc_id": pa.array(ids, pa.int64())} | made(vocab, [vocab.encode(t) for t in found])
 
         return each
 
-    short = map_arrow(whole.where(F.length("text") <= leaf_chars), leaves, "doc_id long, ids binary")
+    short = map_arrow(whole.where(F.length("text") <= leaf_chars), leaves, f"doc_id long, {schema}")
     long = whole.where(F.length("text") > leaf_chars)
     if (longest := long.agg(F.max(F.length("text"))).first()[0]) is None:
         return short
@@ -164,21 +171,27 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         return each
 
     level = map_arrow(cut.repartition("row", "at"), parts, "doc_id long, row string, at int, ids binary")
+    levels = ((longest - 1) // leaf_chars).bit_length()
 
-    def joins() -> Callable:
-        vocab = vocabulary(path)
+    def joins(last: bool) -> Callable:
+        def make() -> Callable:
+            vocab = vocabulary(path)
 
-        def each(batch: pa.RecordBatch) -> dict:
-            ids, rows, at, sides = _columns(batch, "doc_id", "row", "at", "sides")
-            joined = [s[0]["ids"] if len(s) == 1 else vocab.join(*(x["ids"] for x in sorted(s, key=lambda x: x["at"]))) for s in sides]
-            return {"doc_id": pa.array(ids, pa.int64()), "row": pa.array(rows), "at": pa.array(at, pa.int32()), "ids": pa.array(joined, pa.binary())}
+            def each(batch: pa.RecordBatch) -> dict:
+                ids, rows, at, sides = _columns(batch, "doc_id", "row", "at2", "sides")
+                joined = [s[0]["ids"] if len(s) == 1 else vocab.join(*(x["ids"] for x in sorted(s, key=lambda x: x["at"]))) for s in sides]
+                if last:
+                    return {"doc_id": pa.array(ids, pa.int64())} | made(vocab, joined)
+                return {"doc_id": pa.array(ids, pa.int64()), "row": pa.array(rows), "at": pa.array(at, pa.int32()), "ids": pa.array(joined, pa.binary())}
 
-        return each
+            return each
+
+        return make
 
-    for _ in range(((longest - 1) // leaf_chars).bit_length()):
+    for i in range(1, levels + 1):
         pairs = level.groupBy("doc_id", "row", F.expr("at div 2").cast("int").alias("at2")).agg(F.collect_list(F.struct("at", "ids")).alias("sides"))
-        level = map_arrow(pairs.withColumnRenamed("at2", "at"), joins, "doc_id long, row string, at int, ids binary")
-    return short.unionByName(level.select("doc_id", "ids"))
+        level = map_arrow(pairs, joins(i == levels), f"doc_id long, {schema}" if i == levels else "doc_id long, row string, at int, ids binary", rows=32)
+    return short.unionByName(level)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -196,23 +209,15 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return map_arrow(encoded.select("doc_id", "ids"), make, "doc_id long, text string")
 
 
-def digests(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of (doc_id, ids): one pass that decodes and keeps the hashes only."""
+def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): ids are encoded and decoded again, and only hashes are kept."""
 
-    def make() -> Callable:
-        vocab = vocabulary(path)
-        decimal = [b"%d," % i for i in range(len(vocab.bytes_of))]
-
-        def each(batch: pa.RecordBatch) -> dict:
-            ids, found = _columns(batch, "doc_id", "ids")
-            lists = [np.frombuffer(x, "<u4").tolist() for x in found]
-            return {
-                "doc_id": pa.array(ids, pa.int64()),
-                "n_tokens": pa.array([len(x) for x in lists], pa.int64()),
-                "ids_sha256": [hashlib.sha256(b"".join([decimal[i] for i in x])[:-1]).hexdigest() for x in lists],
-                "decoded_sha256": [hashlib.sha256(vocab.decode(x).decode(errors="replace").encode()).hexdigest() for x in found],
-            }
-
-        return each
+    def made(vocab: Vocabulary, found: list[bytes]) -> dict:
+        lists = [np.frombuffer(x, "<u4").tolist() for x in found]
+        return {
+            "n_tokens": pa.array([len(x) for x in lists], pa.int64()),
+            "ids_sha256": pa.array([hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in lists]),
+            "decoded_sha256": pa.array([hashlib.sha256(vocab.decode(x).decode(errors="replace").encode()).hexdigest() for x in found]),
+        }
 
-    return map_arrow(encoded.select("doc_id", "ids"), make, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encode(docs, path, id_col, text_col, leaf_chars, made, "n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -17,14 +17,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
-    """``mapInArrow`` with one table of columns per batch; ``make`` runs once in a task, before its first batch."""
+def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, rows: int = 512) -> DataFrame:
+    """``mapInArrow`` with one table of columns for each ``rows`` rows; ``make`` runs once in a task, before its first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(each(batch))
+            for at in range(0, batch.num_rows, rows):
+                yield pa.RecordBatch.from_pydict(each(batch.slice(at, rows)))
 
     return df.mapInArrow(run, schema)
 
