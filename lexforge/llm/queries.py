@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import bpe, packing, quality, rules, sharding, simhash, topk, toxicity
+from lexforge.llm import bpe, packing, quality, rules, sharding, simhash, suffix, topk, toxicity
 from lexforge.plans.tables import load
 
 #: File of the tokenizer that the packed and encoded ids belong to.
@@ -36,6 +36,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(load(spark, sf_dir, "documents"), shards=16)
 
 
+def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix.remove_repeats(load(spark, sf_dir, "documents"), span=200)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
+    "op5_suffix": op5_suffix,
     "op7_toxicity": op7_toxicity,
     "op8_topk": op8_topk,
     "op9_quality": op9_quality,
