@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import bpe, packing, quality, rules, sharding, simhash, suffix, topk, toxicity
+from lexforge.llm import bpe, mixing, packing, quality, rules, sharding, simhash, suffix, topk, toxicity
 from lexforge.plans.tables import load
 
 #: File of the tokenizer that the packed and encoded ids belong to.
@@ -41,6 +41,10 @@ def op5_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.held_out_scores(load(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
     "op5_suffix": op5_suffix,
+    "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_topk": op8_topk,
     "op9_quality": op9_quality,
