@@ -210,22 +210,24 @@ def _joined(answers: pa.Scalar) -> np.ndarray:
     return np.frombuffer(b"".join(x["answer"] for x in answers.as_py() or []), np.uint8)
 
 
-def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK) -> DataFrame:
-    """(batch, ids, sizes, data, n_bytes): whole texts in blocks, compressed; written once."""
+def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
+    """(batch, ids, sizes, data, n_bytes) of (id, text): whole texts in blocks, compressed; written once."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
         ids: list = []
         held: list[bytes] = []
         room = 0
+        kind = pa.int64()
 
         def out() -> pa.RecordBatch:
             data = b"".join(held)
             sizes = np.array([len(x) for x in held], np.int64)
-            columns = {"batch": pa.array([number], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())), "sizes": pa.array([sizes.tobytes()], pa.binary())}
+            columns = {"batch": pa.array([number], pa.int64()), "ids": pa.array([ids], pa.list_(kind)), "sizes": pa.array([sizes.tobytes()], pa.binary())}
             return pa.RecordBatch.from_pydict(columns | {"data": pa.array([zstandard.compress(data, 3)], pa.binary()), "n_bytes": pa.array([len(data)], pa.int64())})
 
         for batch in batches:
+            kind = batch.schema.field(0).type
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids.append(doc)
                 held.append(text.as_py().encode())
@@ -236,7 +238,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
         if ids:
             yield out()
 
-    return materialize(texts(docs, id_col, text_col).mapInArrow(pack, "batch long, ids array<long>, sizes binary, data binary, n_bytes long"))
+    return materialize(docs.mapInArrow(pack, f"batch long, ids array<{docs.schema[0].dataType.simpleString()}>, sizes binary, data binary, n_bytes long"))
 
 
 def _block(row: dict, span: int) -> Block:
@@ -248,12 +250,15 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {n: batch.column(j)[i] for j, n in enumerate(batch.schema.names)}
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): every byte goes that is covered by a string of ``span`` bytes that also
-    starts elsewhere, in this or another text; ``kept`` is the rest as binary."""
+    starts elsewhere, in this or another text; ``kept`` is the rest as binary. With ``carry``, doc_id is a struct of those
+    columns."""
     if span % 2:
         raise ValueError("the span must be even")
-    whole = blocks(docs, id_col, text_col)
+    found = docs.select(F.struct(*carry).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")) if carry else texts(docs, id_col, text_col).withColumnRenamed("doc_id", "id")
+    whole = blocks(found)
+    id_type = found.schema["id"].dataType.simpleString()
     ranges = max(1, -(-(whole.agg(F.sum("n_bytes")).first()[0] or 0) // SORTED))
     kind = [("range", pa.int32()), ("batch", pa.int64()), ("payload", pa.binary())]
 
@@ -285,6 +290,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", te
     def last() -> Callable:
         def each(batch: pa.RecordBatch) -> dict:
             out: dict[str, list] = {n: [] for n in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept")}
+            kind = batch.schema.field("ids").type.value_type
             for row in _rows(batch):
                 block = _block(row, span)
                 a = Anchors(block)
@@ -310,7 +316,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", te
                 rest = block.bytes[~gone].tobytes()
                 cuts = (bounds - removed).tolist()
                 out["kept"] += [rest[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-            return {n: pa.array(x, pa.binary() if n == "kept" else pa.int64()) for n, x in out.items()}
+            return {n: pa.array(x, kind if n == "doc_id" else pa.binary() if n == "kept" else pa.int64()) for n, x in out.items()}
 
         return each
 
@@ -319,4 +325,4 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", te
     further = map_arrow(data.join(pairs, "batch", "left"), second, "range int, batch long, payload binary", rows=8)
     strings = _asked(further, 1, "strings")
     both = whole.select("batch", "ids", "sizes", "data").join(pairs, "batch", "left").join(strings, "batch", "left")
-    return map_arrow(both, last, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", rows=8)
+    return map_arrow(both, last, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept binary", rows=8)
