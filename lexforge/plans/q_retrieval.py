@@ -1 +1,192 @@
-"""Queries."""
+"""Queries of retrieval, its metrics and the corpus map."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lexforge.operators import corpus_map as P
+from lexforge.operators import retrieval as N
+from lexforge.plans.tables import load
+from lexforge.registry import query
+
+c = F.col
+STOP = ("the", "and", "for", "with", "that", "this", "are", "was", "from")
+
+
+def docs(spark, sf):
+    return load(spark, sf, "documents")
+
+
+def asked(spark, sf):
+    """The benchmark's passages as queries."""
+    return load(spark, sf, "benchmark").select(c("item_id").alias("qid"), c("text").alias("query"))
+
+
+def vectors(spark, sf):
+    return load(spark, sf, "embeddings").select(c("vec_id").alias("doc_id"), c("embedding").alias("v"))
+
+
+def vector_queries(spark, sf):
+    return vectors(spark, sf).where("doc_id % 50 = 0").select(c("doc_id").alias("qid"), "v")
+
+
+TERMS = "list_filter(string_split_regex(lower({x}), '\\s+'), lambda w: w <> '')"
+BM25 = f"""po AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TERMS.format(x="text")}) AS term FROM documents) GROUP BY ALL),
+sz AS (SELECT doc_id, len({TERMS.format(x="text")}) AS n FROM documents), st AS (SELECT count(*) AS docs, avg(n) AS avgdl FROM sz),
+df AS (SELECT term, count(*) AS df FROM po GROUP BY 1), idf0 AS (SELECT term, ln(docs - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS i FROM df, st), idf AS (SELECT term, CASE WHEN i < 0 THEN 0.25 * (SELECT avg(i) FROM idf0) ELSE i END AS idf FROM idf0),
+q AS (SELECT qid, term, count(*) AS times FROM (SELECT item_id AS qid, unnest({TERMS.format(x="text")}) AS term FROM benchmark) GROUP BY ALL),
+sc AS (SELECT qid, doc_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / avgdl))), 9) AS score FROM q JOIN po USING (term) JOIN idf USING (term) JOIN sz USING (doc_id), st GROUP BY ALL),
+bm AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) - 1 AS rank FROM sc WHERE score > 0)"""
+
+
+@query("n05_bm25", f"WITH {BM25} SELECT qid, doc_id, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM bm WHERE rank < 10")
+def n05(spark, sf):
+    return N.bm25(docs(spark, sf), asked(spark, sf), 10).withColumn("score", F.round("score", 6))
+
+
+NORM = "list_transform(list_transform({x}, lambda x: x::DOUBLE), lambda x: x / CASE WHEN n = 0 THEN 1 ELSE n END)"
+COSINE = """v AS (SELECT vec_id, list_transform(e, lambda x: x / CASE WHEN sqrt(list_dot_product(e, e)) = 0 THEN 1 ELSE sqrt(list_dot_product(e, e)) END) AS v FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)),
+cs AS (SELECT q.vec_id AS qid, v.vec_id AS doc_id, round(list_dot_product(q.v, v.v), 6) AS score FROM v q, v WHERE q.vec_id % 50 = 0),
+cr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) - 1 AS rank FROM cs)"""
+
+
+@query("n02_cosine", f"WITH {COSINE} SELECT qid, score FROM cr WHERE rank < 10")
+def n02(spark, sf):
+    return N.cosine(vectors(spark, sf), vector_queries(spark, sf), 10).select("qid", F.round("score", 6).alias("score"))
+
+
+@query("n04_adaptive", f"WITH {COSINE} SELECT qid, score FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS top FROM cr WHERE rank < 10 AND rank > 0) WHERE score >= CASE WHEN top >= 0.5 THEN 0.5 ELSE 0.375 END")
+def n04(spark, sf):
+    """Top k first, then the threshold, relaxed for queries that have none (each query's own vector left out)."""
+    best = N.cosine(vectors(spark, sf), vector_queries(spark, sf), 10).where("rank > 0")
+    top = F.max(F.round("score", 6)).over(N.Window.partitionBy("qid"))
+    return best.withColumn("score", F.round("score", 6)).withColumn("f", F.when(top >= 0.5, 0.5).otherwise(0.375)).where("score >= f").select("qid", "score")
+
+
+@query("n07_hybrid")
+def n07(spark, sf):
+    """BM25 lists of whole and of shortened queries, fused by reciprocal ranks."""
+    whole = N.bm25(docs(spark, sf), asked(spark, sf), 100)
+    short = N.bm25(docs(spark, sf), asked(spark, sf).withColumn("query", F.substring("query", 1, 60)), 100)
+    lists = whole.withColumn("source", F.lit("bm25")).unionByName(short.withColumn("source", F.lit("dense")))
+    return N.fused(lists.select("qid", c("doc_id").alias("key"), "source", "rank", "score"))
+
+
+FUSE = "l AS (SELECT qid, doc_id, rank, score, 'bm25' AS source FROM bm WHERE rank < 20 UNION ALL SELECT qid, doc_id, rank, score, 'dense' FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY doc_id) - 1 AS rank FROM (SELECT qid, doc_id, score FROM bm WHERE rank < 20)))"
+
+
+@query("n06_rrf", f"WITH {BM25}, {FUSE} SELECT qid, doc_id AS key, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS rrf FROM l GROUP BY ALL")
+def n06(spark, sf):
+    """Fusion of two orders of one list: by score and by id."""
+    by_score = N.bm25(docs(spark, sf), asked(spark, sf), 20)
+    by_id = by_score.withColumn("rank", F.row_number().over(N.Window.partitionBy("qid").orderBy("doc_id")) - 1)
+    lists = by_score.withColumn("source", F.lit("bm25")).unionByName(by_id.withColumn("source", F.lit("dense")))
+    return N.fused(lists.select("qid", c("doc_id").alias("key"), "source", "rank", "score")).select("qid", "key", F.round("rrf", 9).alias("rrf"))
+
+
+@query("f03_best_chunk", "SELECT qid, content_id, chunk, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos) AS INT) AS rank FROM (SELECT l_suppkey AS qid, l_orderkey AS content_id, l_linenumber AS chunk, l_quantity AS score, l_orderkey * 10 + l_linenumber AS pos, row_number() OVER (PARTITION BY l_suppkey, l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS r FROM lineitem) WHERE r = 1")
+def f03(spark, sf):
+    line = load(spark, sf, "lineitem")
+    hits = line.select(c("l_suppkey").alias("qid"), c("l_orderkey").alias("content_id"), c("l_linenumber").alias("chunk"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("pos"), c("l_quantity").alias("score"))
+    return N.best_chunks(hits)
+
+
+@query("n09_keywords", "SELECT qid, name, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, name) AS r FROM (SELECT q.qid, d.name, len(list_filter(ws, lambda w: contains(d.hay, w))) + CASE WHEN list_contains(ws, lower(d.name)) THEN 1000 ELSE 0 END AS score FROM (SELECT item_id AS qid, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda w: length(w) > 2 AND w NOT IN ('the','and','for','with','that','this','are','was','from'))) AS ws FROM benchmark) q, (SELECT concat('d', CAST(doc_id AS STRING)) AS name, lower(concat_ws(' ', concat('d', CAST(doc_id AS STRING)), text)) AS hay FROM documents) d) WHERE score > 0) WHERE r <= 3")
+def n09(spark, sf):
+    named = docs(spark, sf).select(F.concat(F.lit("d"), c("doc_id").cast("string")).alias("name"), c("text").alias("content"))
+    return N.keyword_overlap(named, asked(spark, sf), STOP, 3).select("qid", "name", c("score").cast("long").alias("score"))
+
+
+RELEVANT = "rel AS (SELECT b.item_id AS qid, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+
+
+@query("v01_metrics", f"WITH {BM25}, {RELEVANT}, n AS (SELECT qid, count(*) AS n FROM rel GROUP BY 1), k AS (SELECT unnest([1, 3, 5, 10]) AS k), h AS (SELECT n.qid, k.k, n.n, count(bm.doc_id) AS h, min(bm.rank) AS f FROM n CROSS JOIN k LEFT JOIN (SELECT bm.* FROM bm JOIN rel USING (qid, doc_id)) bm ON bm.qid = n.qid AND bm.rank < k.k GROUP BY ALL) SELECT k, count(*) AS queries, round(avg(h / n), 9) AS recall, round(avg(h / k), 9) AS precision, round(avg(coalesce(1 / (f + 1), 0)), 9) AS mrr FROM h GROUP BY 1")
+def v01(spark, sf):
+    """Recall, precision and reciprocal rank of BM25; relevant are the documents that hold a passage word for word. They are
+    found in one pass: a few passages, all in one array."""
+    passages = asked(spark, sf).agg(F.collect_list(F.struct("qid", "query")).alias("ps"))
+    held = docs(spark, sf).join(F.broadcast(passages), how="cross").select("doc_id", F.explode(F.filter("ps", lambda p: F.contains(F.col("text"), p["query"]))).alias("p"))
+    return N.metrics(N.bm25(docs(spark, sf), asked(spark, sf), 10), held.select("p.qid", "doc_id"), (1, 3, 5, 10))
+
+
+@query("v05_entropy", f"SELECT round(-sum(p * ln(p)) / ln(2), 6) AS bits FROM (SELECT n / sum(n) OVER () AS p FROM (SELECT term, count(*) AS n FROM (SELECT unnest({TERMS.format(x='text')}) AS term FROM documents) GROUP BY 1))")
+def v05(spark, sf):
+    words = docs(spark, sf).select(F.explode(N.terms(c("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return N.entropy(words, "n")
+
+
+@query("v09_boundaries", "SELECT round(avg(CASE WHEN regexp_matches(text, '^[A-ZÀ-ÖØ-Þ]') THEN 1.0::DOUBLE ELSE 0 END), 9) AS starts, round(avg(CASE WHEN regexp_matches(text, '[.?!]$') THEN 1.0::DOUBLE ELSE 0 END), 9) AS ends FROM documents")
+def v09(spark, sf):
+    starts, ends = c("text").rlike("^[A-ZÀ-ÖØ-Þ]"), c("text").rlike("[.?!]\\z")
+    return docs(spark, sf).agg(F.round(F.avg(starts.cast("int").cast("double")), 9).alias("starts"), F.round(F.avg(ends.cast("int").cast("double")), 9).alias("ends"))
+
+
+@query("n14_index_stats", "SELECT count(*) AS vectors, max(len(embedding)) AS dim, count(DISTINCT label) AS labels FROM embeddings")
+def n14(spark, sf):
+    return load(spark, sf, "embeddings").agg(F.count(F.lit(1)).alias("vectors"), F.max(F.size("embedding")).cast("long").alias("dim"), F.countDistinct("label").alias("labels"))
+
+
+def by_label(spark, sf):
+    return load(spark, sf, "embeddings").select(c("label").cast("long").alias("id"), c("embedding").alias("v"))
+
+
+@query("p01_pooled", "WITH m AS (SELECT label, i, avg(x::DOUBLE) AS x FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL) SELECT CAST(label AS BIGINT) AS id, CAST(i - 1 AS INT) AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) AS x FROM m")
+def p01(spark, sf):
+    """Mean vector of each label, of length one."""
+    return P.pooled(by_label(spark, sf), "id").select("id", F.posexplode("v").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
+def neighbours(spark, sf):
+    return P.nearest(vectors(spark, sf).select(c("doc_id").alias("id"), N.normalised(c("v")).alias("v")))
+
+
+NN = """v AS (SELECT vec_id, list_transform(e, lambda x: x / CASE WHEN sqrt(list_dot_product(e, e)) = 0 THEN 1 ELSE sqrt(list_dot_product(e, e)) END) AS v FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)),
+nn AS (SELECT a.vec_id AS id, max(round(list_dot_product(a.v, b.v), 9)) AS similarity FROM v a JOIN v b ON a.vec_id <> b.vec_id GROUP BY 1)"""
+
+
+@query("f09_nearest", f"WITH {NN} SELECT id, round(similarity, 6) AS similarity FROM nn")
+def f09(spark, sf):
+    return neighbours(spark, sf).select("id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("k13_embedding_near_dup", f"WITH {NN} SELECT id, similarity >= (SELECT quantile_cont(similarity, 0.95) FROM nn) AS is_near_dup FROM nn")
+def k13(spark, sf):
+    return P.near_duplicates(neighbours(spark, sf)).select("id", "is_near_dup")
+
+
+@query("g07_top_pairs")
+def g07(spark, sf):
+    return P.top_pairs(neighbours(spark, sf)).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("e39_cluster_near_dups", f"WITH {NN}, cut AS (SELECT quantile_cont(similarity, 0.95) AS c FROM nn) SELECT label, count(*) AS n, round(count_if(similarity >= c) / count(*) * 100, 1) AS percent FROM nn JOIN embeddings e ON e.vec_id = nn.id, cut GROUP BY 1")
+def e39(spark, sf):
+    """Near-duplicates by cluster; here the label is the cluster."""
+    flagged = P.near_duplicates(neighbours(spark, sf)).join(load(spark, sf, "embeddings").select(c("vec_id").alias("id"), "label"), "id")
+    return flagged.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.count_if("is_near_dup") / F.count(F.lit(1)) * 100, 1).alias("percent"))
+
+
+@query("p02_clusters")
+def p02(spark, sf):
+    return P.clustered(vectors(spark, sf).select(c("doc_id").alias("id"), N.normalised(c("v")).alias("v")), (6, 8, 10))
+
+
+@query("p03_labels", "SELECT source AS cluster, string_agg(upper(substring(w, 1, 1)) || substring(w, 2), ' / ' ORDER BY n DESC, w) AS label FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, w) AS r FROM (SELECT source, w, count(*) AS n FROM (SELECT source, unnest(string_split_regex(lower(substring(text, 1, 60)), '[^\\p{L}]+')) AS w FROM documents) WHERE length(w) > 3 AND w NOT IN ('the','and','for','with','that','this','are','was','from') GROUP BY ALL)) WHERE r <= 2 GROUP BY 1")
+def p03(spark, sf):
+    return P.labels(docs(spark, sf).select(c("source").alias("cluster"), F.substring("text", 1, 60).alias("title")), STOP)
+
+
+@query("p05_projection")
+def p05(spark, sf):
+    return P.projected(vectors(spark, sf).select(c("doc_id").alias("id"), N.normalised(c("v")).alias("v")))
+
+
+@query("i11_recency", "SELECT o_orderkey AS id, round(o_totalprice * exp(-0.01 * greatest(date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-01-01'), 0)), 6) AS score FROM orders")
+def i11(spark, sf):
+    return load(spark, sf, "orders").select(c("o_orderkey").alias("id"), F.round(N.recency(c("o_totalprice"), F.to_date("o_orderdate"), F.lit("1998-01-01").cast("date"), 0.01), 6).alias("score"))
+
+
+@query("i12_normalised", "SELECT vec_id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS norm FROM (SELECT vec_id, list_transform(e, lambda x: x / CASE WHEN sqrt(list_dot_product(e, e)) = 0 THEN 1 ELSE sqrt(list_dot_product(e, e)) END) AS v FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings))")
+def i12(spark, sf):
+    v = N.normalised(c("embedding"))
+    return load(spark, sf, "embeddings").select("vec_id", F.round(F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)), 6).alias("norm"))
