@@ -1 +1,112 @@
-"""Queries."""
+"""Queries of merges, cursors and incremental jobs."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from lexforge.operators import merging as B
+from lexforge.plans.tables import checkpoint_dir, load
+from lexforge.registry import query
+from lexforge.sources.views import view, with_views
+from lexforge.streaming import incremental
+
+c = F.col
+TABLES = """WITH stored AS (SELECT o_orderkey AS id, md5(CAST(o_custkey AS STRING)) AS h, 1 AS stamp, o_orderstatus AS status, 'completed' AS vectors FROM orders WHERE o_orderkey % 3 <> 0),
+incoming AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 0 THEN 'changed' ELSE md5(CAST(o_custkey AS STRING)) END AS h, CASE WHEN o_orderkey % 7 = 0 THEN 2 ELSE 1 END AS stamp, 'N' AS status, 'new' AS vectors FROM orders WHERE o_orderkey % 2 = 0),
+m AS (SELECT coalesce(i.id, s.id) AS id, s.id IS NULL AS ins, i.id IS NULL AS kept, i.h IS NOT DISTINCT FROM s.h AS same, s.h AS oh, i.h AS nh, s.stamp AS os, i.stamp AS ns, s.status AS ost, i.status AS nst, s.vectors AS ov, i.vectors AS nv FROM incoming i FULL OUTER JOIN stored s ON i.id = s.id),
+a AS (SELECT *, CASE WHEN ins THEN 'inserted' WHEN kept THEN 'kept' WHEN same AND os >= ns THEN 'skipped' ELSE 'updated' END AS action FROM m)"""
+
+
+def merged(spark, sf):
+    orders = load(spark, sf, "orders")
+    h = F.md5(c("o_custkey").cast("string").cast("binary"))
+    stored = orders.where("o_orderkey % 3 <> 0").select(c("o_orderkey").alias("id"), h.alias("h"), F.lit(1).alias("stamp"), c("o_orderstatus").alias("status"), F.lit("completed").alias("vectors"))
+    incoming = orders.where("o_orderkey % 2 = 0").select(c("o_orderkey").alias("id"), F.when(c("o_orderkey") % 5 == 0, "changed").otherwise(h).alias("h"), F.when(c("o_orderkey") % 7 == 0, 2).otherwise(1).alias("stamp"), F.lit("N").alias("status"), F.lit("new").alias("vectors"))
+    return B.upsert(stored, incoming, "id", "h", "stamp", on_change={"vectors": F.lit("pending")})
+
+
+@query("b02_upsert", TABLES + " SELECT id, action, CASE WHEN action IN ('kept', 'skipped') THEN oh ELSE nh END AS h, CASE WHEN action IN ('kept', 'skipped') THEN ost ELSE nst END AS status, CASE WHEN ins THEN nv WHEN kept OR same THEN ov ELSE 'pending' END AS vectors FROM a")
+def b02(spark, sf):
+    return merged(spark, sf).select("id", "action", "h", "status", "vectors")
+
+
+@query("b02_counts", TABLES + " SELECT action, count(*) AS n FROM a GROUP BY 1")
+def b02_counts(spark, sf):
+    return merged(spark, sf).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("b01_new_ids", "SELECT c_custkey, 1000 + c_custkey - min(c_custkey) OVER () + 1 AS id FROM customer WHERE c_custkey < 0 UNION ALL SELECT count(*), max(c_custkey) - max(c_custkey) + count(*) + 1000 FROM customer")
+def b01(spark, sf):
+    """Ids of new rows are gapless after the largest stored one: their number and their last."""
+    new = B.numbered(load(spark, sf, "customer").select("c_custkey"), 1000, "c_custkey")
+    return new.agg(F.countDistinct("id").alias("c_custkey"), F.max("id").alias("id"))
+
+
+@query("b05_aliases", "SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN event_type END, CASE WHEN event_id % 2 = 0 THEN props END, '') AS url FROM events")
+def b05(spark, sf):
+    """A value under either of two names, else empty."""
+    e = load(spark, sf, "events")
+    return e.select("event_id", F.coalesce(F.when(c("event_id") % 3 == 0, c("event_type")), F.when(c("event_id") % 2 == 0, c("props")), F.lit("")).alias("url"))
+
+
+@query("b08_cache_put", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
+def b08(spark, sf):
+    rows = load(spark, sf, "events").select("user_id", "event_type", "event_id", "ts")
+    return B.last_writer(rows, ["user_id", "event_type"], F.struct("ts", "event_id")).select("user_id", "event_type", "event_id")
+
+
+@query("b09_delete_rejected", with_views("signals", "content", then="SELECT id FROM signals WHERE source_content_id NOT IN (SELECT id FROM content WHERE screening_status IN ('rejected', 'dq_rejected'))"))
+def b09(spark, sf):
+    """Signals without those of rejected documents."""
+    gone = view(spark, sf, "content").where(c("screening_status").isin("rejected", "dq_rejected")).select(c("id").alias("source_content_id"))
+    return B.without(view(spark, sf, "signals").select("id", "source_content_id"), gone, "source_content_id").select("id")
+
+
+@query("b14_migrate", "SELECT c_custkey AS id, c_name AS title, CAST(NULL AS STRING) AS verified_by, false AS do_not_vectorize FROM customer")
+def b14(spark, sf):
+    from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
+
+    schema = StructType([StructField("id", LongType()), StructField("title", StringType()), StructField("verified_by", StringType()), StructField("do_not_vectorize", BooleanType())])
+    return B.migrate(load(spark, sf, "customer"), schema, {"c_custkey": "id", "c_name": "title"}, {"do_not_vectorize": False})
+
+
+@query("d07_unvectorized", "SELECT doc_id FROM documents WHERE CAST(doc_id AS STRING) NOT IN (SELECT CAST(vec_id AS STRING) FROM embeddings WHERE vec_id % 2 = 0)")
+def d07(spark, sf):
+    """Documents whose id, as text, has no vector yet."""
+    have = load(spark, sf, "embeddings").where("vec_id % 2 = 0").select(c("vec_id").cast("string").alias("k"))
+    return load(spark, sf, "documents").select("doc_id", c("doc_id").cast("string").alias("k")).join(have, "k", "left_anti").select("doc_id")
+
+
+@query("g03_pair_cursor", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-10 00:00:00' ORDER BY ts, event_id LIMIT 200")
+def g03_pair(spark, sf):
+    rows = load(spark, sf, "events").select("event_id", c("ts").cast("timestamp_ntz").alias("ts"))
+    return B.page_after(rows, "ts", F.expr("TIMESTAMP_NTZ '2024-01-10 00:00:00'"), 200, "event_id", F.lit(1 << 62)).select("event_id")
+
+
+@query("o01_streamed_sync", "SELECT count(*) AS n, count(DISTINCT doc_id) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents")
+def o01(spark, sf):
+    """The documents, pulled file by file into a merged table by a stream that has run to its end."""
+    base = f"{checkpoint_dir(spark)}/lexforge/{uuid.uuid4().hex}"
+    source = load(spark, sf, "documents").select("doc_id", F.md5(c("text").cast("binary")).alias("h"), F.lit(1).alias("stamp"), "n_chars")
+    source.repartition(3, "doc_id").write.parquet(f"{base}/in")
+    incremental.sync(spark, f"{base}/in", source.schema, f"{base}/table", f"{base}/offsets", "doc_id", "h", "stamp", files=1)
+    return incremental.table(spark, f"{base}/table").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("documents"), F.sum("n_chars").alias("chars"))
+
+
+@query("o08_streamed_windows")
+def o08_stream(spark, sf):
+    """Hourly windows of the events by a stream with a watermark: those that have closed."""
+    base = f"{checkpoint_dir(spark)}/lexforge/{uuid.uuid4().hex}"
+    events = load(spark, sf, "events").select(c("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    events.repartition(2).write.parquet(f"{base}/in")
+    return incremental.run_windows(spark, f"{base}/in", events.schema, f"{base}/out", f"{base}/offsets")
+
+
+@query("o06_resume", "SELECT event_id, value * 2 AS doubled FROM events WHERE event_id % 4 <> 0")
+def o06(spark, sf):
+    """A batch that resumes: jobs that a checkpoint table has done are left out."""
+    jobs = load(spark, sf, "events").select("event_id", "value")
+    done = jobs.where("event_id % 4 = 0").select("event_id")
+    return B.without(jobs, done, "event_id").select("event_id", (c("value") * 2).alias("doubled"))

@@ -1 +1,164 @@
-"""Queries."""
+"""Queries of the scalar functions, over strings that the given tables hold or make up."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from lexforge.functions import parsing as S
+from lexforge.functions import web as W
+from lexforge.plans.tables import load
+from lexforge.registry import query
+from lexforge.sources.views import view, with_views
+
+c = F.col
+
+
+def pages(spark, sf):
+    return load(spark, sf, "pages")
+
+
+@query("i01_normalize_url", "SELECT page_id, rtrim(regexp_replace(regexp_replace(lower(string_split(string_split(url, '#')[1], '?')[1]), '://www[.]', '://'), '/+$', ''), '/') AS url FROM pages WHERE url NOT LIKE '%?%' OR url LIKE '%?utm_source=feed%'")
+def i01(spark, sf):
+    return pages(spark, sf).where(~c("url").like("%?%") | c("url").like("%?utm_source=feed%")).select("page_id", W.normalize_url("url").alias("url"))
+
+
+@query("d06_known_urls", "SELECT page_id FROM pages WHERE page_id % 2 = 1 AND rtrim(replace(lower(string_split(string_split(url, '#')[1], '?')[1]), '://www.', '://'), '/') NOT IN (SELECT rtrim(replace(lower(string_split(string_split(url, '#')[1], '?')[1]), '://www.', '://'), '/') FROM pages WHERE page_id % 2 = 0)")
+def d06(spark, sf):
+    """New pages whose normalised URL is not known."""
+    keyed = pages(spark, sf).select("page_id", W.normalize_url("url").alias("u"))
+    return keyed.where("page_id % 2 = 1").join(keyed.where("page_id % 2 = 0").select("u"), "u", "left_anti").select("page_id")
+
+
+@query("i03_titles", with_views("candidates", then="SELECT ord, trim(regexp_replace(lower(title), '[^\\p{L}\\p{N}_\\s]', '', 'g')) AS title FROM candidates"))
+def i03(spark, sf):
+    return view(spark, sf, "candidates").select("ord", S.normalized_title(c("title")).alias("title"))
+
+
+@query("i04_file_names", with_views("candidates", then="SELECT ord, trim(regexp_replace(regexp_replace(title, '[^\\p{L}\\p{N}_\\s-]', '', 'g'), '\\s+', '_', 'g'), '_') AS name FROM candidates"))
+def i04(spark, sf):
+    return view(spark, sf, "candidates").select("ord", S.file_name(c("title")).alias("name"))
+
+
+@query("i05_strip_tags", "SELECT page_id, md5(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g'))) AS digest FROM pages")
+def i05(spark, sf):
+    return pages(spark, sf).select("page_id", F.md5(W.strip_tags(c("html")).cast("binary")).alias("digest"))
+
+
+@query("i07_domain", "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS domain FROM pages")
+def i07(spark, sf):
+    return pages(spark, sf).select("page_id", W.domain(c("url")).alias("domain"))
+
+
+@query("i09_cache_key", "SELECT item_id, substring(sha256('web:' || trim(text)), 1, 32) AS key FROM benchmark")
+def i09(spark, sf):
+    return load(spark, sf, "benchmark").select("item_id", S.cache_key(F.lit(" Web"), c("text")).alias("key"))
+
+
+@query("i10_durations", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(user_id % 3 * 3600 + user_id % 60 * 60 + 5 AS DOUBLE) WHEN 1 THEN CAST(user_id % 60 * 60 + 7 AS DOUBLE) WHEN 2 THEN CAST(user_id AS DOUBLE) END AS seconds FROM events")
+def i10(spark, sf):
+    u = c("user_id")
+    text = F.when(c("event_id") % 4 == 0, F.concat_ws(":", u % 3, u % 60, F.lit("05"))).when(c("event_id") % 4 == 1, F.concat_ws(":", u % 60, F.lit("7"))).when(c("event_id") % 4 == 2, u.cast("string")).otherwise("unknown")
+    return load(spark, sf, "events").select("event_id", S.seconds(text).alias("seconds"))
+
+
+@query("i13_nul", "SELECT count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents")
+def i13(spark, sf):
+    dirty = F.concat(F.substring("text", 1, 5), F.lit("\u0000"), F.expr("substring(text, 6)"))
+    return load(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(S.without_nul(dirty))).alias("chars"))
+
+
+@query("i14_json", "SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS BIGINT), -1) AS k FROM events WHERE event_id % 5 <> 0 UNION ALL SELECT event_id, -1 FROM events WHERE event_id % 5 = 0")
+def i14(spark, sf):
+    """What is no JSON reads as no value."""
+    props = F.when(c("event_id") % 5 == 0, F.concat(F.lit("{"), c("props"))).otherwise(c("props"))
+    return load(spark, sf, "events").select("event_id", F.coalesce(F.from_json(props, "k bigint")["k"], F.lit(-1)).alias("k"))
+
+
+@query("i17_router", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'analytics_agent' WHEN 1 THEN 'technical_document_agent,plc_expert' WHEN 2 THEN 'direct_reply' WHEN 3 THEN 'plc_expert' ELSE 'technical_document_agent' END AS experts FROM events")
+def i17(spark, sf):
+    said = F.element_at(F.array(*map(F.lit, ("QUERY: x\nROUTE: analytics_agent", "route: PLC_expert and technical_document_agent", "Route: direct_reply", "plc_expert or direct_reply, no line", "QUERY: y"))), (c("event_id") % 5 + 1).cast("int"))
+    return load(spark, sf, "events").select("event_id", F.array_join(S.routed(said), ",").alias("experts"))
+
+
+@query("i18_used_context", "SELECT event_id, CASE event_id % 3 WHEN 2 THEN 'no marker ' || CAST(event_id AS STRING) ELSE 'answer ' || CAST(event_id AS STRING) END AS answer, event_id % 3 <> 1 AS used FROM events")
+def i18(spark, sf):
+    n = c("event_id").cast("string")
+    raw = F.when(c("event_id") % 3 == 0, F.concat(F.lit("answer "), n, F.lit("\nUSED_CONTEXT: true \n"))).when(c("event_id") % 3 == 1, F.concat(F.lit("answer "), n, F.lit("\nused_context: FALSE"))).otherwise(F.concat(F.lit("no marker "), n))
+    answer, used = S.used_context(raw)
+    return load(spark, sf, "events").select("event_id", answer.alias("answer"), used.alias("used"))
+
+
+@query("i19_chart", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'bar' WHEN 1 THEN 'line' END AS chart FROM events")
+def i19(spark, sf):
+    raw = F.element_at(F.array(*map(F.lit, ("a\nCHART: yes | bar\nb", "chart: YES|line", "CHART: none", "CHART: yes | pie"))), (c("event_id") % 4 + 1).cast("int"))
+    return load(spark, sf, "events").select("event_id", S.chart_type(raw).alias("chart"))
+
+
+@query("i20_errors", with_views("attempts", then="SELECT id, CASE WHEN error_type = '403' THEN 'safety_filter' WHEN error_type = 'timeout' THEN 'timeout' ELSE 'other' END AS class FROM attempts"))
+def i20(spark, sf):
+    message = F.when(c("error_type") == "403", "403 Blocked by host").when(c("error_type") == "timeout", "Read Timeout").otherwise("fine")
+    return view(spark, sf, "attempts").select("id", S.error_class(message).alias("class"))
+
+
+@query("i25_collapse", "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '\\n\\s*\\n', chr(10) || chr(10), 'g'), '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'))) AS digest FROM documents")
+def i25(spark, sf):
+    return load(spark, sf, "documents").select("doc_id", F.md5(W.collapse(c("text")).cast("binary")).alias("digest"))
+
+
+@query("i27_ratios", "SELECT l_orderkey, l_linenumber, CAST(round(l_discount * 100) AS DOUBLE) AS ratio FROM lineitem")
+def i27(spark, sf):
+    message = F.format_string("saved %.1f%% of size: %d", F.round(c("l_discount") * 100), c("l_linenumber"))
+    return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.regexp_extract(message, "([\\d.]+)%", 1).try_cast("double").alias("ratio"))
+
+
+@query("a04_file_types", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'text' WHEN 2 THEN 'audio' ELSE 'unknown' END AS type FROM events")
+def a04(spark, sf):
+    ext = F.element_at(F.array(*map(F.lit, (".PDF", ".md", ".mp4", ".zip"))), (c("event_id") % 4 + 1).cast("int"))
+    return load(spark, sf, "events").select("event_id", W.file_type(F.concat(F.lit("/x/y.z/"), c("event_id").cast("string"), ext)).alias("type"))
+
+
+@query("a06_content_types", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'html' ELSE 'unknown' END AS type FROM pages")
+def a06(spark, sf):
+    url = F.when(c("page_id") % 3 == 0, "http://h/a%2Eb.pdf?x=1.html").otherwise(F.lit("http://h/a"))
+    header = F.when(c("page_id") % 3 == 1, "text/HTML; charset=utf-8")
+    return pages(spark, sf).select("page_id", W.content_type(url, header).alias("type"))
+
+
+@query("a11_pdf_dates", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+def a11(spark, sf):
+    return load(spark, sf, "orders").select("o_orderkey", S.pdf_date(F.concat(F.lit("D:"), F.date_format("o_orderdate", "yyyyMMddHHmmss"), F.lit("Z"))).alias("day"))
+
+
+@query("a17_keyword_scan", "SELECT page_id FROM pages WHERE contains(lower(html), 'license') OR contains(lower(html), 'apache') ORDER BY page_id LIMIT 20")
+def a17(spark, sf):
+    low = F.lower("html")
+    return pages(spark, sf).where(low.contains("license") | low.contains("apache")).select("page_id").orderBy("page_id").limit(20)
+
+
+@query("a20_inverted_text", "SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS text FROM (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, list_filter(string_split_regex(substring(text, 1, 200), '\\s+'), lambda w: w <> '') AS w FROM documents)) GROUP BY 1")
+def a20(spark, sf):
+    """From (token, places) back to a text: an index of the heads of documents is built and undone; of several tokens at a
+    place the first wins."""
+    words = F.filter(F.split(F.substring("text", 1, 200), "\\s+"), lambda w: w != "")
+    index = load(spark, sf, "documents").select("doc_id", F.posexplode(words).alias("i", "w")).groupBy("doc_id", "w").agg(F.collect_list("i").alias("places"))
+    placed = index.select("doc_id", F.explode("places").alias("i"), "w").groupBy("doc_id", "i").agg(F.min("w").alias("w"))
+    return placed.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]), " ").alias("text"))
+
+
+@query("a23_first_keyword", "SELECT doc_id, CASE WHEN contains(lower(text), 'license') THEN substring(text, instr(lower(text), 'license'), 7) WHEN contains(lower(text), 'the') THEN substring(text, instr(lower(text), 'the'), 3) ELSE substring(text, 1, 10) END AS word FROM documents")
+def a23(spark, sf):
+    text = c("text")
+    found = S.first_keyword(text, ("license", "the"))
+    return load(spark, sf, "documents").select("doc_id", F.when(F.lower(text).contains("license") | F.lower(text).contains("the"), found).otherwise(F.substring(text, 1, 10)).alias("word"))
+
+
+@query("a13_html_extract")
+def a13(spark, sf):
+    """Title and text of every page."""
+    return pages(spark, sf).select("page_id", W.extract_article("html").alias("a")).select("page_id", "a.title", "a.text")
+
+
+@query("a33_list_items", with_views("content", then="SELECT id, title, content_type FROM content WHERE content_type = 'html' ORDER BY id LIMIT 20"))
+def a33(spark, sf):
+    """Raw SQL with parameters over a view."""
+    return spark.sql("SELECT id, title, content_type FROM {content} WHERE content_type = :kind ORDER BY id LIMIT 20", args={"kind": "html"}, content=view(spark, sf, "content"))
