@@ -4,9 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = Path(__file__).resolve().parent.parent
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for a Spark context: what ``--py-files`` would do."""
+    context = spark.sparkContext
+    if getattr(context, "_has_lexforge", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="lexforge-")) / "lexforge.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(PACKAGE.rglob("*.py")):
+            z.write(path, path.relative_to(PACKAGE.parent))
+    context.addPyFile(str(archive))
+    context._has_lexforge = True
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a fresh local one only where the session names none (local runs)."""
@@ -22,6 +39,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back, so that later jobs neither
     recompute it nor depend on blocks that only one executor holds."""
+    ship(df.sparkSession)
     path = f"{checkpoint_dir(df.sparkSession)}/lexforge/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -29,4 +47,5 @@ def materialize(df: DataFrame) -> DataFrame:
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
