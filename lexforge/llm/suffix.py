@@ -41,7 +41,7 @@ from lexforge.plans.tables import materialize
 #: Length from which a repeated string is removed.
 SPAN = 200
 #: Bytes of text in a block, bytes of text for each task that sorts ranks, and positions that are hashed at a time.
-BLOCK, SORTED, STEP = 1 << 20, 16 << 20, 1 << 17
+BLOCK, SORTED, STEP = 1 << 20, 8 << 20, 1 << 17
 #: Multiplier of the polynomial, and the seed of the byte values.
 BASE, SEED = 0x9E3779B97F4A7C15, 5
 
@@ -114,7 +114,7 @@ class Block:
             left = np.maximum(at - (width - 1), begin[at] - lo)
             right = np.minimum(at + span, end[at] - lo)
             around = mix((sums[right] - sums[left]) * inverses[left]) + ((right - left) * 1024 + at - left).astype(np.uint64)
-            found.append((at + lo, left + lo, right + lo, rank[at], around))
+            found.append((at + lo, left + lo, right + lo, mix(rank[at] * np.uint64(BASE)), around))  # anchors' ranks are small: spread again
         empty = np.zeros(0, np.int64)
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64))
 
