@@ -143,3 +143,16 @@ def test_pages_lose_rows_on_equal_stamps_unless_the_cursor_is_a_pair(spark):
     plain = merging.page_after(df, "ts", F.lit(0), 3).collect()
     assert [r["id"] for r in plain] == [4, 5, 6] or len(plain) == 3
     assert [r["id"] for r in merging.page_after(df, "ts", F.lit(1), 3, "id", F.lit(5)).collect()] == [6, 7, 8]
+
+
+def test_text_files_and_sidecars(spark, tmp_path):
+    from lexforge.sources import files
+
+    (tmp_path / "a.txt").write_bytes("é".encode())
+    (tmp_path / "b.txt").write_bytes("é".encode("latin-1"))
+    (tmp_path / "a_metadata.json").write_text('{"title": "A"}')
+    texts = files.text_files(spark, str(tmp_path), "*.txt")
+    assert {(r["stem"], r["text"]) for r in texts.collect()} == {("a", "é"), ("b", "é")}
+    sidecars = spark.createDataFrame([(f"{tmp_path}/a_metadata.json", "A")], "path string, title string")
+    assert {(r["stem"], r["title"]) for r in files.with_sidecars(texts, sidecars).collect()} == {("a", "A"), ("b", None)}
+    assert {(r["catalog"], r["title"]) for r in files.json_catalog(spark, f"{tmp_path}/*.json", "title string").collect()} == {("a_metadata", "A")}
