@@ -6,8 +6,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that a classifier is fitted on, at most: those with the smallest hashes of their ids.
+#: Labelled rows that a classifier is fitted on: all, or if there are more, about so many, those with the smallest hashes
+#: of their ids.
 SAMPLE_ROWS = 16_000
+#: Parts of the hashes' range.
+PARTS = 1 << 40
 
 
 def fold(id_col: Column, folds: int) -> Column:
@@ -15,12 +18,18 @@ def fold(id_col: Column, folds: int) -> Column:
     return F.crc32(id_col.cast("long").cast("string").cast("binary")) % folds
 
 
+def by_hash(value: Column, wanted: int, there: int) -> Column:
+    """Whether a hash is among the smallest, so that about ``wanted`` of ``there`` rows are: no sort, no single task."""
+    return F.lit(True) if there <= wanted else F.pmod(value, F.lit(PARTS)) < int(PARTS * (wanted / there))
+
+
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, learns: Column, rows: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, label) of ``rows`` labelled rows at most for which ``learns`` (over doc_id) holds. Their ids are so
-    few that they are broadcast to the texts, which are not shuffled. Of several labels of an id the largest counts, of
+    """(doc_id, text, label) of about ``rows`` labelled rows at most for which ``learns`` (over doc_id) holds. Their ids are
+    so few that they are broadcast to the texts, which are not shuffled. Of several labels of an id the largest counts, of
     several texts each."""
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
-    bound = marks.where(learns).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    usable = marks.where(learns)
+    bound = usable.where(by_hash(F.xxhash64("doc_id"), rows, usable.count()))
     found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return found.join(F.broadcast(bound), "doc_id").select("doc_id", "text", "label")
 
