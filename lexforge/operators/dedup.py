@@ -20,12 +20,12 @@ def tokens(text: Column) -> Column:
 
 def md5_simhash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, fp): 64-bit SimHash over tokens with their multiplicity and the low half of their md5; a bit is set if its sum is
-    over 0; 0 without tokens. Tokens are hashed once for each distinct one of a document, and the 64 sums are partial
-    aggregates; no Python runs."""
-    counted = docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("w")).groupBy("id", "w").agg(F.count(F.lit(1)).alias("n"))
-    digest = F.md5(F.col("w").cast("binary"))
-    halves = counted.select("id", "n", F.conv(F.substring(digest, 17, 8), 16, 10).cast("long").alias("hi"), F.conv(F.substring(digest, 25, 8), 16, 10).cast("long").alias("lo"))
-    sums = [F.sum(F.when(F.expr(f"({'hi' if b >= 32 else 'lo'} & {1 << (b % 32)}L) != 0"), F.col("n")).otherwise(-F.col("n"))).alias(f"b{b}") for b in range(64)]
+    over 0; 0 without tokens. A document's tokens are exploded and summed up in the same task, so the shuffle moves a row of
+    64 sums for each document, not its tokens; no Python runs."""
+    exploded = docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("w"))
+    digest = exploded.select("id", F.md5(F.col("w").cast("binary")).alias("d"))
+    halves = digest.select("id", F.conv(F.substring("d", 17, 8), 16, 10).cast("long").alias("hi"), F.conv(F.substring("d", 25, 8), 16, 10).cast("long").alias("lo"))
+    sums = [F.sum(F.when(F.expr(f"({'hi' if b >= 32 else 'lo'} & {1 << (b % 32)}L) != 0"), F.lit(1)).otherwise(F.lit(-1))).alias(f"b{b}") for b in range(64)]
     bits = halves.groupBy("id").agg(*sums)
     fp = F.expr(" | ".join(f"if(b{b} > 0, {f'{1 << b}L' if b < 63 else '-9223372036854775808L'}, 0L)".replace("-9223372036854775808L", "shiftleft(1L, 63)") for b in range(64)))
     return docs.select(F.col(id_col).alias("id")).join(bits.select("id", fp.alias("fp")), "id", "left").select("id", F.coalesce("fp", F.lit(0)).cast("long").alias("fp"))
