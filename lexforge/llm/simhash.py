@@ -97,7 +97,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
 #: by all lanes. An edit breaks two word pairs, but five shingles of five words: texts whose five-word shingles have a
 #: Jaccard similarity of 0.8 have pairs with a cosine of about 0.956, so a bit differs with a chance of 0.095 (18 of 192).
 LANES, SEGMENTS, LANE_DISTANCE, DISTANCE = 3, (21, 21, 22), 14, 27
-PAIR = 2
+#: Words in a feature; fingerprints that share a key before it is crowded; rounds for crowded keys. Segments should have
+#: about as many bits as the number of texts has: for billions of texts, take two of 32 bits a lane and more lanes.
+PAIR, CROWD, ROUNDS = 2, 16, 12
 
 
 def wide_fingerprint(words: list[bytes], shingle: int = PAIR) -> list[int]:
@@ -128,12 +130,13 @@ def _segments() -> list[tuple[int, int, int, int]]:
     return out
 
 
-def similar_links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
+def similar_links(distinct: DataFrame, hot: int = CROWD) -> DataFrame:
     """(src, dst) of (fid, f0, f1, f2): pairs that are near in some segment, in another lane, and in all.
 
     Probes carry their key, their number and one other lane only. Keys that more than ``hot`` fingerprints share go another
     way, in rounds: all that hit the key are compared with its first fingerprint; those that are near it are linked to it
-    and leave, until a key is no longer crowded. So a group of near copies of any size costs its size."""
+    and leave, until a key is no longer crowded. So a group of near copies of any size costs its size. What is crowded after
+    the last round is compared in pairs."""
     segs = _segments()
     key = lambda v, s, bits: f"{s[0]}L << 32 | (shiftrightunsigned({v}, {s[2]}) & {(1 << bits) - 1}L)"
     other = lambda s: f"f{(s[1] + 1) % LANES}"
@@ -149,10 +152,11 @@ def similar_links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     found = [materialize(pairs(probes.join(crowded, "key", "left_anti") if not crowded.isEmpty() else probes, table.join(crowded, "key", "left_anti")))]
     if not crowded.isEmpty():
         hot_table, hot_probes = materialize(table.join(crowded, "key", "left_semi")), materialize(probes.join(crowded, "key", "left_semi"))
-        while True:
+        for turn in range(ROUNDS + 1):
+            most = hot if turn < ROUNDS else 1 << 62
             sizes = materialize(hot_table.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("fid", "lane")).alias("m")))
-            some = sizes.where(F.col("n") > hot).select("key", F.col("m.fid").alias("fid2"), F.col("m.lane").alias("lane2"))
-            calm = sizes.where(F.col("n") <= hot).select("key")
+            some = sizes.where(F.col("n") > most).select("key", F.col("m.fid").alias("fid2"), F.col("m.lane").alias("lane2"))
+            calm = sizes.where(F.col("n") <= most).select("key")
             found.append(materialize(pairs(hot_probes.join(calm, "key", "left_semi"), hot_table.join(calm, "key", "left_semi"))))
             if some.isEmpty():
                 break
@@ -171,7 +175,7 @@ def similar_links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     return both.distinct().join(left, "src").join(right, "dst").where(total <= DISTANCE).select("src", "dst")
 
 
-def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = CROWD) -> DataFrame:
     """(doc_id, component_id): the smallest id that links of similar texts reach. Rows are treated as above."""
 
     def make() -> Callable:
