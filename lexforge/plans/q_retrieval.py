@@ -103,9 +103,9 @@ RELEVANT = "rel AS (SELECT b.item_id AS qid, d.doc_id FROM benchmark b JOIN docu
 @query("v01_metrics", f"WITH {BM25}, {RELEVANT}, n AS (SELECT qid, count(*) AS n FROM rel GROUP BY 1), k AS (SELECT unnest([1, 3, 5, 10]) AS k), h AS (SELECT n.qid, k.k, n.n, count(bm.doc_id) AS h, min(bm.rank) AS f FROM n CROSS JOIN k LEFT JOIN (SELECT bm.* FROM bm JOIN rel USING (qid, doc_id)) bm ON bm.qid = n.qid AND bm.rank < k.k GROUP BY ALL) SELECT k, count(*) AS queries, round(avg(h / n), 9) AS recall, round(avg(h / k), 9) AS precision, round(avg(coalesce(1 / (f + 1), 0)), 9) AS mrr FROM h GROUP BY 1")
 def v01(spark, sf):
     """Recall, precision and reciprocal rank of BM25; relevant are the documents that hold a passage word for word. They are
-    found in one pass: a few passages, all in one array."""
-    passages = asked(spark, sf).agg(F.collect_list(F.struct("qid", "query")).alias("ps"))
-    held = docs(spark, sf).join(F.broadcast(passages), how="cross").select("doc_id", F.explode(F.filter("ps", lambda p: F.contains(F.col("text"), p["query"]))).alias("p"))
+    found in one pass: blocks of passages meet each document."""
+    met = N.meet(docs(spark, sf).select("doc_id", "text"), asked(spark, sf), ["query"])
+    held = met.select("doc_id", F.explode(F.filter("qs", lambda p: F.contains(F.col("text"), p["query"]))).alias("p"))
     return N.metrics(N.bm25(docs(spark, sf), asked(spark, sf), 10), held.select("p.qid", "doc_id"), (1, 3, 5, 10))
 
 

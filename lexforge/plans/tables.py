@@ -29,7 +29,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a fresh local one only where the session names none (local runs)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="lexforge-")
         spark.conf.set("spark.checkpoint.dir", found)
