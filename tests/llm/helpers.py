@@ -9,7 +9,7 @@ ODD = [None, "", "  \n\t", "word", "word", "a b", "The the THE", "é日本 🙂"
 
 
 def odd_docs(spark, repeat_row=True):
-    """With columns whose names clash with those that operators make; ids repeat with equal rows, one id is null."""
+    """With columns whose names clash with those that operators make; the last row is there twice."""
     rows = [(i, t, "en", "s", 1, 2.0, 3) for i, t in enumerate(ODD)]
     if repeat_row:
         rows.append(rows[-1])
