@@ -17,6 +17,7 @@ Rows: null and empty texts are texts without words; repeated rows are linked; an
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -91,88 +92,94 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
     return prints.join(member, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
 
 
-# Similar texts: the same method with a wide fingerprint, for similarities that a distance of 2 in 64 bits cannot reach.
+# Similar texts: sets of hashed shingles, compared in full. MinHash keys only say which to compare.
 
-#: 64-bit lanes of a wide fingerprint, bits of a lane's segments, and distances that are let through by one other lane and
-#: by all lanes. An edit breaks two word pairs, but five shingles of five words: texts whose five-word shingles have a
-#: Jaccard similarity of 0.8 have pairs with a cosine of about 0.956, so a bit differs with a chance of 0.095 (18 of 192).
-LANES, SEGMENTS, LANE_DISTANCE, DISTANCE = 3, (21, 21, 22), 14, 27
-#: Words in a feature; fingerprints that share a key before it is crowded; rounds for crowded keys. Segments should have
-#: about as many bits as the number of texts has: for billions of texts, take two of 32 bits a lane and more lanes.
-PAIR, CROWD, ROUNDS = 2, 16, 12
+#: Words in a shingle, and the Jaccard similarity of two texts' sets of shingles from which they are linked.
+SHINGLE, SIMILARITY = 5, 0.8
+#: Keys of a text and MinHash values in a key. Two texts meet if they share a key: at a similarity of 0.8 all but 1 in 65,000
+#: pairs do (1 - 0.8 ** 5) ** 28, at 0.85 all but 2 in 10 million.
+KEYS, VALUES = 28, 5
+#: Texts that share a key before it is crowded; rounds for crowded keys.
+CROWD, ROUNDS = 16, 12
+_MULTIPLY, _ADD = np.random.default_rng(SEED).integers(0, 1 << 64, (2, KEYS * VALUES), np.uint64, endpoint=False)
+_MULTIPLY |= np.uint64(1)
 
 
-def wide_fingerprint(words: list[bytes], shingle: int = PAIR) -> list[int]:
-    """Of one text's words, a number for each lane."""
+def shingle_set(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
+    """Of one text's words: the distinct hashes, sorted. Fewer words than a shingle has are one; no words are none."""
+    if not words:
+        return np.zeros(0, np.uint64)
     grams = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
     n = 1 if len(words) < shingle else len(words) - shingle + 1
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, n)
-    out = []
-    for lane in range(LANES):
-        x = hashes * np.uint64((0x9E3779B97F4A7C15 * (2 * lane + 1)) & (1 << 64) - 1)
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        ones = np.zeros(64, np.int64)
-        for at in range(0, n, 8192):
-            ones += np.unpackbits(x[at : at + 8192].byteswap().view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out.append(int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big"))
-    return out
-
-
-def _segments() -> list[tuple[int, int, int, int]]:
-    """(number, lane, shift, bits) of all segments."""
-    out = []
-    for lane in range(LANES):
-        shift = 0
-        for bits in SEGMENTS:
-            out.append((len(out), lane, shift, bits))
-            shift += bits
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, n))
+
+
+def minhash_keys(hashes: np.ndarray) -> np.ndarray:
+    """Of a set of hashes: its keys, each of other MinHash values."""
+    least = np.full(KEYS * VALUES, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(least, (hashes[at : at + 1024, None] * _MULTIPLY + _ADD).min(axis=0), out=least)
+    out = np.arange(1, KEYS + 1, dtype=np.uint64)
+    for values in least.reshape(KEYS, VALUES).T:
+        out = (out ^ values) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(32)
     return out
 
 
-def similar_links(distinct: DataFrame, hot: int = CROWD) -> DataFrame:
-    """(src, dst) of (fid, f0, f1, f2): pairs that are near in some segment, in another lane, and in all.
-
-    Probes carry their key, their number and one other lane only. Keys that more than ``hot`` fingerprints share go another
-    way, in rounds: all that hit the key are compared with its first fingerprint; those that are near it are linked to it
-    and leave, until a key is no longer crowded. So a group of near copies of any size costs its size. What is crowded after
-    the last round is compared in pairs."""
-    segs = _segments()
-    key = lambda v, s, bits: f"{s[0]}L << 32 | (shiftrightunsigned({v}, {s[2]}) & {(1 << bits) - 1}L)"
-    other = lambda s: f"f{(s[1] + 1) % LANES}"
-    table = distinct.select("fid", F.expr("inline(array(" + ", ".join(f"struct({key(f'f{s[1]}', s, s[3])} as key, {other(s)} as lane)" for s in segs) + "))"))
-    balls = ", ".join(f"transform({_ball(f'({key(f"f{s[1]}", s, s[3])})', s[3])}, v -> struct(v as key, {other(s)} as lane))" for s in segs)
-    probes = distinct.select("fid", F.expr(f"inline(flatten(array({balls})))"))
-    crowded = materialize(table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key"))
-    near = F.bit_count(F.col("lane").bitwiseXOR(F.col("lane2"))) <= LANE_DISTANCE
-
-    def pairs(p: DataFrame, t: DataFrame) -> DataFrame:
-        return p.join(t.select("key", F.col("fid").alias("fid2"), F.col("lane").alias("lane2")), "key").where((F.col("fid") < F.col("fid2")) & near).select(F.col("fid").alias("src"), F.col("fid2").alias("dst"))
-
-    found = [materialize(pairs(probes.join(crowded, "key", "left_anti") if not crowded.isEmpty() else probes, table.join(crowded, "key", "left_anti")))]
-    if not crowded.isEmpty():
-        hot_table, hot_probes = materialize(table.join(crowded, "key", "left_semi")), materialize(probes.join(crowded, "key", "left_semi"))
-        for turn in range(ROUNDS + 1):
-            most = hot if turn < ROUNDS else 1 << 62
-            sizes = materialize(hot_table.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("fid", "lane")).alias("m")))
-            some = sizes.where(F.col("n") > most).select("key", F.col("m.fid").alias("fid2"), F.col("m.lane").alias("lane2"))
-            calm = sizes.where(F.col("n") <= most).select("key")
-            found.append(materialize(pairs(hot_probes.join(calm, "key", "left_semi"), hot_table.join(calm, "key", "left_semi"))))
-            if some.isEmpty():
-                break
-            judged = materialize(hot_probes.join(some, "key").withColumn("near", near))
-            found.append(materialize(judged.where("near and fid <> fid2").select(F.col("fid").alias("src"), F.col("fid2").alias("dst")).distinct()))
-            gone = judged.where("near").select("key", "fid").distinct()
-            hot_table = materialize(hot_table.join(some.select("key"), "key", "left_semi").join(gone, ["key", "fid"], "left_anti"))
-            hot_probes = materialize(judged.where("not near").select("key", "fid", "lane"))
-    both = found[0]
-    for more in found[1:]:
-        both = both.unionByName(more)
-    lanes = [f"f{i}" for i in range(LANES)]
-    left = distinct.select(F.col("fid").alias("src"), *[F.col(x).alias(f"{x}a") for x in lanes])
-    right = distinct.select(F.col("fid").alias("dst"), *[F.col(x).alias(f"{x}b") for x in lanes])
-    total = sum((F.bit_count(F.col(f"{x}a").bitwiseXOR(F.col(f"{x}b"))) for x in lanes), F.lit(0))
-    return both.distinct().join(left, "src").join(right, "dst").where(total <= DISTANCE).select("src", "dst")
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    """Arrow lists of longs."""
+    offsets = np.zeros(len(arrays) + 1, np.int32)
+    np.cumsum([len(a) for a in arrays], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
+
+
+def similar_links(prints: DataFrame, hot: int = CROWD) -> DataFrame:
+    """(src, dst) edges, all at ``SIMILARITY`` or more, of (fid, keys, shingles): their components are those of all such pairs
+    that share a key.
+
+    The texts of a key are compared in pairs. Where more than ``hot`` share it, rounds do without most pairs: all are compared
+    with the key's first; those linked to it are one component with it and leave, the rest goes on to the next round. What
+    left may still be linked to what went on, but only to texts that are no further from the first than two links (1 - J is a
+    metric). Those are compared at the end, unless other links have joined them to the first by then."""
+    table = materialize(prints.groupBy("fid").agg(F.first("keys").alias("keys"))).select("fid", F.explode("keys").alias("key"))
+    sizes = materialize(table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = materialize(table.join(sizes, "key"))
+    sets = materialize(prints.join(shared.select("fid").distinct(), "fid", "left_semi").groupBy("fid").agg(F.first("shingles").alias("s")))
+
+    def pairs(t: DataFrame) -> DataFrame:
+        return t.select("key", F.col("fid").alias("src")).join(t.select("key", F.col("fid").alias("dst")), "key").where("src < dst").select("src", "dst").distinct()
+
+    def compared(p: DataFrame, least: float) -> DataFrame:
+        both = p.join(sets.select(F.col("fid").alias("src"), F.col("s").alias("a")), "src").join(sets.select(F.col("fid").alias("dst"), F.col("s").alias("b")), "dst")
+        common = both.withColumn("common", F.size(F.array_intersect("a", "b")))
+        return materialize(common.withColumn("j", F.col("common") / (F.size("a") + F.size("b") - F.col("common"))).where(F.col("j") >= least).drop("a", "b", "common"))
+
+    links = [compared(pairs(shared.where(F.col("n") <= hot)), SIMILARITY)]
+    crowd = materialize(shared.where(F.col("n") > hot).select("key", "fid"))
+    rounds = []
+    for turn in range(ROUNDS + 1):
+        if crowd.isEmpty():
+            break
+        firsts = materialize(crowd.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fid").alias("src")))
+        calm = (F.col("n") <= hot) if turn < ROUNDS else F.lit(True)
+        links.append(compared(pairs(crowd.join(firsts.where(calm).select("key"), "key", "left_semi")), SIMILARITY))
+        some = crowd.join(firsts.where(~calm).select("key", "src"), "key").where("fid <> src")
+        judged = compared(some.groupBy("src", F.col("fid").alias("dst")).agg(F.collect_list("key").alias("keys")), 0.0)
+        rounds.append(judged.where(F.col("j") >= 2 * SIMILARITY - 1 - 1e-9).withColumn("turn", F.lit(turn)))
+        links.append(judged.where(F.col("j") >= SIMILARITY))
+        crowd = materialize(judged.where(F.col("j") < SIMILARITY).select(F.explode("keys").alias("key"), F.col("dst").alias("fid")))
+    found = reduce(DataFrame.unionByName, [x.select("src", "dst") for x in links])
+    if rounds:
+        judged = reduce(DataFrame.unionByName, rounds)
+        groups = materialize(connected_components(found))
+        near = judged.where(F.col("j") < SIMILARITY)
+        own, firsts = groups.select(F.col("node").alias("dst"), F.col("component").alias("c")), groups.select(F.col("node").alias("src"), F.col("component").alias("d"))
+        apart = materialize(near.join(own, "dst", "left").join(firsts, "src").where(F.coalesce("c", "dst") != F.col("d")).select("turn", F.explode("keys").alias("key"), F.col("dst").alias("other")))
+        if not apart.isEmpty():
+            left = judged.where(F.col("j") >= SIMILARITY).select("turn", F.explode("keys").alias("key"), F.col("dst").alias("fid"))
+            met = left.join(apart, ["turn", "key"]).select(F.least("fid", "other").alias("src"), F.greatest("fid", "other").alias("dst")).distinct()
+            found = found.unionByName(compared(met, SIMILARITY).select("src", "dst"))
+    return found
 
 
 def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = CROWD) -> DataFrame:
@@ -180,15 +187,15 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def make() -> Callable:
         def each(batch: pa.RecordBatch) -> dict:
-            prints = np.array([wide_fingerprint(w) if (w := words_of(t)) else [0] * LANES for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            return {"doc_id": batch.column(0)} | {f"f{i}": pa.array(prints[:, i]) for i in range(LANES)}
+            sets = [shingle_set(words_of(t)) for t in batch.column(1).to_pylist()]
+            fids = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets)).view(np.int64)
+            return {"doc_id": batch.column(0), "fid": pa.array(fids), "keys": _lists([minhash_keys(s) for s in sets]), "shingles": _lists(sets)}
 
         return each
 
-    lanes = [f"f{i}" for i in range(LANES)]
-    prints = materialize(map_arrow(texts(docs, id_col, text_col), make, "doc_id long, " + ", ".join(f"{x} long" for x in lanes)).withColumn("fid", F.xxhash64(*lanes)))
-    distinct = materialize(prints.groupBy("fid", *lanes).agg(F.min("doc_id").alias("first")))
-    groups = connected_components(similar_links(distinct, hot))
+    prints = materialize(map_arrow(texts(docs, id_col, text_col), make, "doc_id long, fid long, keys array<long>, shingles array<long>"))
+    distinct = materialize(prints.groupBy("fid").agg(F.min("doc_id").alias("first")))
+    groups = connected_components(similar_links(prints.select("fid", "keys", "shingles"), hot))
     rooted = distinct.join(groups, distinct.fid == groups.node, "left").select("fid", "first", F.coalesce("component", "fid").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(rooted.join(roots, "root").select("fid", "component_id"), "fid").select("doc_id", "component_id")
+    return prints.select("doc_id", "fid").join(rooted.join(roots, "root").select("fid", "component_id"), "fid").select("doc_id", "component_id")

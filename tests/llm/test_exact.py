@@ -137,6 +137,42 @@ def test_similar_texts(spark):
     assert simhash.similar_texts(empty_docs(spark)).count() == 0
 
 
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def components(texts):
+    """By brute force: the smallest index that links of 0.8 reach."""
+    own = list(range(len(texts)))
+    for i in range(len(texts)):
+        for k in range(i):
+            if own[i] != own[k] and jaccard(texts[i], texts[k]) >= 0.8:
+                low, high = sorted((own[i], own[k]))
+                own = [low if x == high else x for x in own]
+    return own
+
+
+def test_similar_texts_are_verified(spark):
+    """Paragraphs appended, cut and replaced at 0.8 or more are found; scattered edits at 0.6 to 0.75 stay apart."""
+    r = random.Random(6)
+    words = ["".join(r.choices("abcdefghij", k=5)) for _ in range(3000)]
+    texts, kinds = [], []
+    for i in range(60):
+        b = r.choices(words, k=200)
+        if i % 2:
+            near = list(b)
+            for at in range(3, 200, r.choice([28, 33])):  # far from one another: each breaks five shingles
+                near[at] = "edited"
+        else:
+            near = [b + r.choices(words, k=44), b[:165], b[:90] + r.choices(words, k=16) + b[106:]][i // 2 % 3]
+        texts += [" ".join(b), " ".join(near)]
+        kinds.append(jaccard(*texts[-2:]))
+    assert all(0.6 < j < 0.76 for j in kinds[1::2]) and all(0.8 <= j < 0.86 for j in kinds[::2])
+    by = {x["doc_id"]: x["component_id"] for x in simhash.similar_texts(texts_df(spark, texts)).collect()}
+    assert [by[i] for i in range(len(texts))] == components(texts)
+
+
 def check_packed(got, ids, window):
     pieces, sequences = {}, {}
     for r in got:
