@@ -173,6 +173,26 @@ def test_similar_texts_are_verified(spark):
     assert [by[i] for i in range(len(texts))] == components(texts)
 
 
+@pytest.mark.parametrize("hot", [16, 2])
+def test_similar_texts_of_a_crowded_family(spark, hot):
+    """Texts about 0.7 alike, some with a near copy: no copy is lost and no other text goes."""
+    r = random.Random(7)
+    words = ["".join(r.choices("abcdefghij", k=5)) for _ in range(3000)]
+    base, texts = r.choices(words, k=300), []
+    for i in range(120):
+        t = list(base)
+        for at in r.sample(range(5, 295, 10), 5):
+            t[at] = r.choice(words)
+        texts.append(" ".join(t))
+        if i % 3 == 0:
+            t[r.randrange(300)] = "copied"
+            texts.append(" ".join(t))
+    wanted = components(texts)
+    assert 20 < len(texts) - len(set(wanted)) < len(texts) - 20
+    by = {x["doc_id"]: x["component_id"] for x in simhash.similar_texts(texts_df(spark, texts), hot=hot).collect()}
+    assert [by[i] for i in range(len(texts))] == wanted
+
+
 def check_packed(got, ids, window):
     pieces, sequences = {}, {}
     for r in got:
