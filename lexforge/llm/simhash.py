@@ -182,20 +182,26 @@ def similar_links(prints: DataFrame, hot: int = CROWD) -> DataFrame:
     return found
 
 
-def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = CROWD) -> DataFrame:
-    """(doc_id, component_id): the smallest id that links of similar texts reach. Rows are treated as above."""
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = CROWD, carry: list[str] | None = None) -> DataFrame:
+    """(doc_id, component_id): the smallest id that links of similar texts reach. Rows are treated as above. With ``carry``,
+    those columns and ``root``, which tells components apart also where an id is null or holds several texts."""
+    more = carry or []
+    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
+    kinds = "".join(f", `{n}` {found.schema[n].dataType.simpleString()}" for n in more)
 
     def make() -> Callable:
         def each(batch: pa.RecordBatch) -> dict:
             sets = [shingle_set(words_of(t)) for t in batch.column(1).to_pylist()]
             fids = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets)).view(np.int64)
-            return {"doc_id": batch.column(0), "fid": pa.array(fids), "keys": _lists([minhash_keys(s) for s in sets]), "shingles": _lists(sets)}
+            own = {"doc_id": batch.column(0), "fid": pa.array(fids), "keys": _lists([minhash_keys(s) for s in sets]), "shingles": _lists(sets)}
+            return own | {n: batch.column(2 + i) for i, n in enumerate(more)}
 
         return each
 
-    prints = materialize(map_arrow(texts(docs, id_col, text_col), make, "doc_id long, fid long, keys array<long>, shingles array<long>"))
+    prints = materialize(map_arrow(found, make, "doc_id long, fid long, keys array<long>, shingles array<long>" + kinds))
     distinct = materialize(prints.groupBy("fid").agg(F.min("doc_id").alias("first")))
     groups = connected_components(similar_links(prints.select("fid", "keys", "shingles"), hot))
     rooted = distinct.join(groups, distinct.fid == groups.node, "left").select("fid", "first", F.coalesce("component", "fid").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.select("doc_id", "fid").join(rooted.join(roots, "root").select("fid", "component_id"), "fid").select("doc_id", "component_id")
+    member = rooted.join(roots, "root").select("fid", "component_id", "root")
+    return prints.select("doc_id", "fid", *more).join(member, "fid").select("doc_id", "component_id", *more, *(["root"] if more else []))

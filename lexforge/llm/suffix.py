@@ -250,10 +250,10 @@ def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
         yield {n: batch.column(j)[i] for j, n in enumerate(batch.schema.names)}
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, points: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): every byte goes that is covered by a string of ``span`` bytes that also
     starts elsewhere, in this or another text; ``kept`` is the rest as binary. With ``carry``, doc_id is a struct of those
-    columns."""
+    columns. With ``points``, a code point that loses a byte is not in ``kept`` either; the numbers stay the same."""
     if span % 2:
         raise ValueError("the span must be even")
     found = docs.select(F.struct(*carry).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")) if carry else texts(docs, id_col, text_col).withColumnRenamed("doc_id", "id")
@@ -313,6 +313,12 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", te
                 out["n_bytes"] += np.diff(bounds).tolist()
                 out["n_removed"] += np.diff(removed).tolist()
                 out["n_spans"] += np.diff(spans).tolist()
+                if points and len(gone):
+                    lead = (block.bytes & 0xC0) != 0x80
+                    lead[inner] = True
+                    at = np.flatnonzero(lead)
+                    gone = np.repeat(np.logical_or.reduceat(gone, at), np.diff(np.append(at, len(gone))))
+                    removed = np.concatenate([[0], np.cumsum(gone)])[bounds]
                 rest = block.bytes[~gone].tobytes()
                 cuts = (bounds - removed).tolist()
                 out["kept"] += [rest[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
