@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexforge.operators import dedup as D
@@ -121,10 +122,12 @@ def k11(spark, sf):
 
 @query("k12_signal_fuzzy_dedup")
 def k12(spark, sf):
-    """Greedy by confidence within a document and a type; ids carry the order of (confidence desc, id)."""
-    rows = view(spark, sf, "signals").where("source_content_id % 4 = 0")
-    ordered = rows.select(((F.lit(1000) - F.round(c("confidence") * 1000)).cast("long") * 10_000_000_000 + c("id")).alias("ord"), "source_content_id", "signal_type", D.tokens(c("entity")).alias("tokens"))
-    return D.leaders(ordered, 0.8, ("source_content_id", "signal_type")).where("keep").select((c("ord") % 10_000_000_000).alias("id"))
+    """Greedy by confidence within a document and a type; ord carries the order of (confidence desc, id) and tells rows of one
+    id apart."""
+    rows = view(spark, sf, "signals").withColumn("at", (F.lit(1000) - F.round(c("confidence") * 1000)).cast("long") * 10_000_000_000 + c("id"))
+    tie = F.row_number().over(Window.partitionBy("at").orderBy("source_content_id", "signal_type", "entity"))
+    ordered = rows.select((c("at") * 100_000 + tie).alias("ord"), "source_content_id", "signal_type", D.tokens(c("entity")).alias("tokens"))
+    return D.leaders(ordered, 0.8, ("source_content_id", "signal_type")).where("keep").select((F.expr("ord div 100000 % 10000000000")).alias("id"))
 
 
 @query("i02_title_similarity", "SELECT ord, round(s, 9) AS similarity FROM (SELECT page_id AS ord, len(list_intersect(t, u)) / nullif(len(list_distinct(list_concat(t, u))), 0) AS s FROM (SELECT page_id, regexp_extract_all(lower(coalesce(regexp_extract(html, '<title>(.*?)</title>', 1), '')), '[\\p{L}\\p{N}_]+') AS t, regexp_extract_all(lower(html), '[\\p{L}\\p{N}_]+') AS u FROM pages)) WHERE s IS NOT NULL")

@@ -2,13 +2,16 @@
 
 import random
 import re
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lexforge import registry
 from lexforge.functions import gates, web
 from lexforge.operators import aggregates, chunking, dedup, graph, merging, ranking, retrieval
+from lexforge.sources import views
 
 
 def components(nodes, edges):
@@ -156,3 +159,16 @@ def test_text_files_and_sidecars(spark, tmp_path):
     sidecars = spark.createDataFrame([(f"{tmp_path}/a_metadata.json", "A")], "path string, title string")
     assert {(r["stem"], r["title"]) for r in files.with_sidecars(texts, sidecars).collect()} == {("a", "A"), ("b", None)}
     assert {(r["catalog"], r["title"]) for r in files.json_catalog(spark, f"{tmp_path}/*.json", "title string").collect()} == {("a_metadata", "A")}
+
+
+def test_signals_of_all_documents_are_deduplicated(spark, data):
+    """K12 against the greedy loop, over every row of the table."""
+    rows = views.view(spark, data, "signals").select("id", "source_content_id", "signal_type", "confidence", "entity", dedup.tokens(F.col("entity")).alias("t")).collect()
+    kept, wanted = {}, Counter()
+    for r in sorted(rows, key=lambda r: (-round(r["confidence"] * 1000), r["id"], r["source_content_id"], r["signal_type"], r["entity"])):
+        before, own = kept.setdefault((r["source_content_id"], r["signal_type"]), []), set(r["t"])
+        if not any(own and x and len(own & x) / len(own | x) >= 0.8 for x in before):
+            before.append(own)
+            wanted[r["id"]] += 1
+    assert Counter(r["id"] for r in registry.QUERIES["k12_signal_fuzzy_dedup"](spark, data).collect()) == wanted
+    assert {r["source_content_id"] % 4 for r in rows if r["id"] in wanted} == {0, 1, 2, 3}
