@@ -17,7 +17,6 @@ Rows: null and empty texts are texts without words; repeated rows are linked; an
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -90,118 +89,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
     roots = rooted.groupBy("root").agg(F.min("first").alias("component_id"), (F.count(F.lit(1)) - 1).alias("n_links"))
     member = rooted.join(roots, "root").select("fp", "component_id", "n_links")
     return prints.join(member, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")
-
-
-# Similar texts: sets of hashed shingles, compared in full. MinHash keys only say which to compare.
-
-#: Words in a shingle, and the Jaccard similarity of two texts' sets of shingles from which they are linked.
-SHINGLE, SIMILARITY = 5, 0.8
-#: Keys of a text and MinHash values in a key. Two texts meet if they share a key: at a similarity of 0.8 all but 1 in 65,000
-#: pairs do (1 - 0.8 ** 5) ** 28, at 0.85 all but 2 in 10 million.
-KEYS, VALUES = 28, 5
-#: Texts that share a key before it is crowded; rounds for crowded keys.
-CROWD, ROUNDS = 16, 12
-_MULTIPLY, _ADD = np.random.default_rng(SEED).integers(0, 1 << 64, (2, KEYS * VALUES), np.uint64, endpoint=False)
-_MULTIPLY |= np.uint64(1)
-
-
-def shingle_set(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
-    """Of one text's words: the distinct hashes, sorted. Fewer words than a shingle has are one; no words are none."""
-    if not words:
-        return np.zeros(0, np.uint64)
-    grams = [b" ".join(words)] if len(words) < shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle)), strict=False))
-    n = 1 if len(words) < shingle else len(words) - shingle + 1
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64, n))
-
-
-def minhash_keys(hashes: np.ndarray) -> np.ndarray:
-    """Of a set of hashes: its keys, each of other MinHash values."""
-    least = np.full(KEYS * VALUES, (1 << 64) - 1, np.uint64)
-    for at in range(0, len(hashes), 1024):
-        np.minimum(least, (hashes[at : at + 1024, None] * _MULTIPLY + _ADD).min(axis=0), out=least)
-    out = np.arange(1, KEYS + 1, dtype=np.uint64)
-    for values in least.reshape(KEYS, VALUES).T:
-        out = (out ^ values) * np.uint64(0x9E3779B97F4A7C15)
-        out ^= out >> np.uint64(32)
-    return out
-
-
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    """Arrow lists of longs."""
-    offsets = np.zeros(len(arrays) + 1, np.int32)
-    np.cumsum([len(a) for a in arrays], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)))
-
-
-def similar_links(prints: DataFrame, hot: int = CROWD) -> DataFrame:
-    """(src, dst) edges, all at ``SIMILARITY`` or more, of (fid, keys, shingles): their components are those of all such pairs
-    that share a key.
-
-    The texts of a key are compared in pairs. Where more than ``hot`` share it, rounds do without most pairs: all are compared
-    with the key's first; those linked to it are one component with it and leave, the rest goes on to the next round. What
-    left may still be linked to what went on, but only to texts that are no further from the first than two links (1 - J is a
-    metric). Those are compared at the end, unless other links have joined them to the first by then."""
-    table = materialize(prints.groupBy("fid").agg(F.first("keys").alias("keys"))).select("fid", F.explode("keys").alias("key"))
-    sizes = materialize(table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
-    shared = materialize(table.join(sizes, "key"))
-    sets = materialize(prints.join(shared.select("fid").distinct(), "fid", "left_semi").groupBy("fid").agg(F.first("shingles").alias("s")))
-
-    def pairs(t: DataFrame) -> DataFrame:
-        return t.select("key", F.col("fid").alias("src")).join(t.select("key", F.col("fid").alias("dst")), "key").where("src < dst").select("src", "dst").distinct()
-
-    def compared(p: DataFrame, least: float) -> DataFrame:
-        both = p.join(sets.select(F.col("fid").alias("src"), F.col("s").alias("a")), "src").join(sets.select(F.col("fid").alias("dst"), F.col("s").alias("b")), "dst")
-        common = both.withColumn("common", F.size(F.array_intersect("a", "b")))
-        return materialize(common.withColumn("j", F.col("common") / (F.size("a") + F.size("b") - F.col("common"))).where(F.col("j") >= least).drop("a", "b", "common"))
-
-    links = [compared(pairs(shared.where(F.col("n") <= hot)), SIMILARITY)]
-    crowd = materialize(shared.where(F.col("n") > hot).select("key", "fid"))
-    rounds = []
-    for turn in range(ROUNDS + 1):
-        if crowd.isEmpty():
-            break
-        firsts = materialize(crowd.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fid").alias("src")))
-        calm = (F.col("n") <= hot) if turn < ROUNDS else F.lit(True)
-        links.append(compared(pairs(crowd.join(firsts.where(calm).select("key"), "key", "left_semi")), SIMILARITY))
-        some = crowd.join(firsts.where(~calm).select("key", "src"), "key").where("fid <> src")
-        judged = compared(some.groupBy("src", F.col("fid").alias("dst")).agg(F.collect_list("key").alias("keys")), 0.0)
-        rounds.append(judged.where(F.col("j") >= 2 * SIMILARITY - 1 - 1e-9).withColumn("turn", F.lit(turn)))
-        links.append(judged.where(F.col("j") >= SIMILARITY))
-        crowd = materialize(judged.where(F.col("j") < SIMILARITY).select(F.explode("keys").alias("key"), F.col("dst").alias("fid")))
-    found = reduce(DataFrame.unionByName, [x.select("src", "dst") for x in links])
-    if rounds:
-        judged = reduce(DataFrame.unionByName, rounds)
-        groups = materialize(connected_components(found))
-        near = judged.where(F.col("j") < SIMILARITY)
-        own, firsts = groups.select(F.col("node").alias("dst"), F.col("component").alias("c")), groups.select(F.col("node").alias("src"), F.col("component").alias("d"))
-        apart = materialize(near.join(own, "dst", "left").join(firsts, "src").where(F.coalesce("c", "dst") != F.col("d")).select("turn", F.explode("keys").alias("key"), F.col("dst").alias("other")))
-        if not apart.isEmpty():
-            left = judged.where(F.col("j") >= SIMILARITY).select("turn", F.explode("keys").alias("key"), F.col("dst").alias("fid"))
-            met = left.join(apart, ["turn", "key"]).select(F.least("fid", "other").alias("src"), F.greatest("fid", "other").alias("dst")).distinct()
-            found = found.unionByName(compared(met, SIMILARITY).select("src", "dst"))
-    return found
-
-
-def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = CROWD, carry: list[str] | None = None) -> DataFrame:
-    """(doc_id, component_id): the smallest id that links of similar texts reach. Rows are treated as above. With ``carry``,
-    those columns and ``root``, which tells components apart also where an id is null or holds several texts."""
-    more = carry or []
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
-    kinds = "".join(f", `{n}` {found.schema[n].dataType.simpleString()}" for n in more)
-
-    def make() -> Callable:
-        def each(batch: pa.RecordBatch) -> dict:
-            sets = [shingle_set(words_of(t)) for t in batch.column(1).to_pylist()]
-            fids = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets), np.uint64, len(sets)).view(np.int64)
-            own = {"doc_id": batch.column(0), "fid": pa.array(fids), "keys": _lists([minhash_keys(s) for s in sets]), "shingles": _lists(sets)}
-            return own | {n: batch.column(2 + i) for i, n in enumerate(more)}
-
-        return each
-
-    prints = materialize(map_arrow(found, make, "doc_id long, fid long, keys array<long>, shingles array<long>" + kinds))
-    distinct = materialize(prints.groupBy("fid").agg(F.min("doc_id").alias("first")))
-    groups = connected_components(similar_links(prints.select("fid", "keys", "shingles"), hot))
-    rooted = distinct.join(groups, distinct.fid == groups.node, "left").select("fid", "first", F.coalesce("component", "fid").alias("root"))
-    roots = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    member = rooted.join(roots, "root").select("fid", "component_id", "root")
-    return prints.select("doc_id", "fid", *more).join(member, "fid").select("doc_id", "component_id", *more, *(["root"] if more else []))

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tests.llm.helpers import ODD, empty_docs, odd_docs, random_texts, texts_df
 
-from lexforge.llm import bpe, packing, queries, rules, sharding, simhash, suffix, topk
+from lexforge.llm import bpe, packing, queries, rules, sharding, similar, simhash, suffix, topk
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 tokenizers = pytest.importorskip("tokenizers")
@@ -131,10 +131,10 @@ def test_similar_texts(spark):
         near[r.randrange(200)] = "edited"
         texts += [" ".join(b), " ".join(b), " ".join(near)]
     for hot in (200, 2):
-        by = {x["doc_id"]: x["component_id"] for x in simhash.similar_texts(texts_df(spark, texts), hot=hot).collect()}
+        by = {x["doc_id"]: x["component_id"] for x in similar.similar_texts(texts_df(spark, texts), hot=hot).collect()}
         assert all(by[i] == i - i % 3 for i in by)
-    assert simhash.similar_texts(odd_docs(spark)).count() == len(ODD) + 1
-    assert simhash.similar_texts(empty_docs(spark)).count() == 0
+    assert similar.similar_texts(odd_docs(spark)).count() == len(ODD) + 1
+    assert similar.similar_texts(empty_docs(spark)).count() == 0
 
 
 def jaccard(a, b):
@@ -169,7 +169,7 @@ def test_similar_texts_are_verified(spark):
         texts += [" ".join(b), " ".join(near)]
         kinds.append(jaccard(*texts[-2:]))
     assert all(0.6 < j < 0.76 for j in kinds[1::2]) and all(0.8 <= j < 0.86 for j in kinds[::2])
-    by = {x["doc_id"]: x["component_id"] for x in simhash.similar_texts(texts_df(spark, texts)).collect()}
+    by = {x["doc_id"]: x["component_id"] for x in similar.similar_texts(texts_df(spark, texts)).collect()}
     assert [by[i] for i in range(len(texts))] == components(texts)
 
 
@@ -189,7 +189,7 @@ def test_similar_texts_of_a_crowded_family(spark, hot):
             texts.append(" ".join(t))
     wanted = components(texts)
     assert 20 < len(texts) - len(set(wanted)) < len(texts) - 20
-    by = {x["doc_id"]: x["component_id"] for x in simhash.similar_texts(texts_df(spark, texts), hot=hot).collect()}
+    by = {x["doc_id"]: x["component_id"] for x in similar.similar_texts(texts_df(spark, texts), hot=hot).collect()}
     assert [by[i] for i in range(len(texts))] == wanted
 
 

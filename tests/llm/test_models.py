@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tests.llm.helpers import ODD, empty_docs, odd_docs
 
 import corpus_pipeline
-from lexforge.llm import labelled, mixing, quality, suffix, toxicity
+from lexforge.llm import labelled, mixing, quality, stages, suffix, toxicity
 
 
 def test_fold(spark):
@@ -146,10 +146,10 @@ def test_pipeline(spark, data):
 
 def test_pipeline_keeps_one_of_each_group(spark, data):
     docs = odd_docs(spark).select("doc_id", "text", "lang", "source", "n_chars")
-    kept = corpus_pipeline.drop_near_duplicates(spark, docs, data).collect()
+    kept = stages.drop_near_duplicates(spark, docs, data).collect()
     ids = sorted(r["doc_id"] for r in kept)
     assert len(ids) == len(set(ids)) and 12 in ids and 13 not in ids and 3 in ids and 4 not in ids
-    cut = corpus_pipeline.cut_repeats(spark, docs, data)
+    cut = stages.cut_repeats(spark, docs, data)
     assert cut.columns == docs.columns and cut.count() == docs.count()
 
 
@@ -159,9 +159,9 @@ def test_pipeline_loses_no_text_beside_the_copies(spark, data):
     a, b, c, d = (" ".join("".join(r.choices("abcdefghij", k=5)) for _ in range(60)) for _ in range(4))
     rows = [(None, a), (None, b), (None, b), (1, c), (1, d), (2, d), (None, c)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = corpus_pipeline.drop_near_duplicates(spark, docs, data).collect()
+    kept = stages.drop_near_duplicates(spark, docs, data).collect()
     assert sorted((x["doc_id"] or 0, x["text"]) for x in kept) == sorted([(0, a), (0, b), (1, c), (1, d)])
     passage = "".join(r.choices("abcdefghij ", k=2 * suffix.SPAN))
     rows = [(1, "\ufffd one \u00e9" + passage + "\u00e9 1 \ufffd"), (2, "two \u0169" + passage + "\u00e3 2")]  # a byte of each is in common
-    cut = {x["doc_id"]: x["text"] for x in corpus_pipeline.cut_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string"), data).collect()}
+    cut = {x["doc_id"]: x["text"] for x in stages.cut_repeats(spark, spark.createDataFrame(rows, "doc_id long, text string"), data).collect()}
     assert cut == {1: "\ufffd one  1 \ufffd", 2: "two  2"}
