@@ -13,13 +13,41 @@ MIN_DIVERSITY, MAX_BOILERPLATE, MIN_DOMAIN = 0.05, 0.40, 0.02
 # Fixed values of the rule-based gates.
 MIN_STRIPPED, MAX_GARBAGE, MIN_WORD_DIVERSITY, MIN_WORDS, MAX_PHRASES, PHRASE_CHARS, HEAD = 500, 0.15, 0.10, 20, 0.40, 30, 500
 TYPOGRAPHIC = "’‘“”–—…"
-# Words that tell the domain, by default; pass your own.
-DOMAIN_WORDS = ("automation", "robot", "scada", "ics", "ot", "industrial", "sensor", "control", "edge", "energy")
-# Phrases of navigation and legal boilerplate, by default.
-PHRASES = ("all rights reserved", "terms of service", "privacy policy", "licensed under", "cookie", "subscribe", "sign up", "click here")
-# Heads of error and consent pages, by default.
-NOISE = ("(?i)page not found", "(?i)access denied", "(?i)enable javascript", "(?i)404 error", "(?i)are you a robot")
-
+# Words that tell the domain, by default.
+DOMAIN_WORDS = (
+    "plc", "scada", "hmi", "dcs", "opc", "modbus", "profibus", "ethernet/ip",
+    "iec 61131", "iec 62443", "iiot", "ot", "ics", "automation", "controller",
+    "inverter", "servo", "fieldbus", "historian", "edge computing", "digital twin",
+    "predictive maintenance", "condition monitoring", "robotics", "cnc", "fanuc",
+    "siemens", "rockwell", "allen-bradley", "beckhoff", "schneider", "abb",
+    "manufacturing", "industrial", "factory", "production", "machine learning",
+)
+# Heads of error and consent pages, by default.
+NOISE = (
+    r"(?i)404\s*(not found|page not found|error)",
+    r"(?i)403\s*forbidden",
+    r"(?i)access denied",
+    r"(?i)page\s*(not|no longer)\s*(found|available|exists)",
+    r"(?i)sign\s*in\s*to\s*(continue|view|access)",
+    r"(?i)login\s*required",
+    r"(?i)subscription\s*required",
+    r"(?i)this\s*video\s*is\s*(un)?available",
+    r"(?i)enable\s*javascript",
+    r"(?i)browser\s*(is\s*)?(not\s*)?supported",
+)
+# Phrases of navigation and legal boilerplate, by default.
+PHRASES = (
+    "cookie policy", "privacy policy", "terms of service",
+    "terms of use", "terms and conditions", "accept cookies",
+    "subscribe to our newsletter", "sign up for free",
+    "all rights reserved", "copyright ©", "powered by",
+    "share on facebook", "share on twitter", "share on linkedin",
+    "click here to", "read more", "load more", "show more",
+    "related articles", "you may also like", "recommended for you",
+    "leave a comment", "leave a reply", "post a comment",
+)
+
+BLANKS_AROUND = "(?U)^\\s+|\\s+$"
 LINES = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029]"
 
 
@@ -28,6 +56,10 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "(?U)\\s+"), lambda w: w != "")
 
 
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, BLANKS_AROUND, "")
+
+
 def too_short(text: Column) -> Column:
     return F.length(text) < MIN_CHARS
 
@@ -45,12 +77,12 @@ def diversity(text: Column) -> Column:
 
 def boilerplate(text: Column) -> Column:
     """Share of the non-blank lines that are page furniture; null without such lines."""
-    lines = F.filter(F.split(text, LINES), lambda x: F.regexp_replace(x, "(?U)\\s+", "") != "")
+    lines = F.filter(F.transform(F.split(text, LINES), stripped), lambda x: x != "")
 
     def furniture(line: Column) -> Column:
         numbers = line.rlike("(?U)^[\\d\\s.\\-–—/\\\\]+$")
         shout = (F.length(line) < 40) & (F.upper(line) == line) & line.rlike("\\p{Lu}") & ~line.rlike("\\p{Ll}")
-        page = F.lower(F.trim(line)).rlike("^(page\\s+\\d+|\\d+\\s+of\\s+\\d+)$")
+        page = F.lower(line).rlike("^(page\\s*\\d+|\\d+\\s*of\\s*\\d+)$")
         return numbers | shout | page
 
     return F.size(F.filter(lines, furniture)) / F.nullif(F.size(lines), F.lit(0))
@@ -88,17 +120,17 @@ def phrase_share(text: Column, phrases: Sequence[str] = PHRASES) -> Column:
 
 
 def rule_based(text: Column, noise: Sequence[str] = NOISE, phrases: Sequence[str] = PHRASES) -> Column:
-    """The first rule that fails, with its tag, null if none does."""
-    t = F.coalesce(text, F.lit(""))
-    bare = F.regexp_replace(t, "(?U)^\\s+|\\s+$", "")
+    """The first rule that fails, with its tag, null if none does. All rules see the text without the blanks around it."""
+    t = stripped(F.coalesce(text, F.lit("")))
     latin = F.regexp_extract_all(F.lower(t), F.lit("[a-z]{2,}"), F.lit(0))
     head = F.substring(t, 1, HEAD)
+    varied = F.size(F.array_distinct(latin)) / F.size(latin)
     return F.coalesce(
-        F.when(bare == "", F.lit("empty")),
-        F.when(F.length(bare) < MIN_STRIPPED, F.lit("too_short")),
+        F.when(t == "", F.lit("empty")),
+        F.when(F.length(t) < MIN_STRIPPED, F.lit("too_short")),
         *[F.when(head.rlike(p), F.lit(f"noise {i}")) for i, p in enumerate(noise)],
         F.when(garbage(t) > MAX_GARBAGE, F.lit("garbage")),
-        F.when((F.size(latin) >= MIN_WORDS) & (F.size(F.array_distinct(latin)) / F.size(latin) < MIN_WORD_DIVERSITY), F.lit("low_diversity")),
+        F.when((F.size(latin) >= MIN_WORDS) & (varied < MIN_WORD_DIVERSITY), F.lit("low_diversity")),
         F.when(phrase_share(t, phrases) > MAX_PHRASES, F.lit("boilerplate")),
     )
 

@@ -10,6 +10,25 @@ from pyspark.sql import functions as F
 # The experts that a router may name, in order, and what stands for none.
 EXPERTS, SMALL_TALK = ("technical_document_agent", "analytics_agent", "plc_expert"), "direct_reply"
 
+# Words that ask for a chart, words of each metric, words of each grouping in the order of precedence.
+CHART_WORDS = (
+    "compare", "comparison", "trend", "over time", "chart", "graph", "plot",
+    "breakdown", "by site", "each site", "daily", "hourly",
+)
+METRIC_WORDS = {
+    "production_power_w": ("production",),
+    "consumption_power_w": ("consumption", "usage", "demand"),
+    "grid_power_w": ("grid",),
+    "battery_power_w": ("battery power",),
+    "battery_soc_pct": ("battery", "soc", "state of charge"),
+}
+GROUP_WORDS = {
+    "hour": ("hourly", "by hour", "hour of day", "time of day"),
+    "day": ("daily", "by day", "over time", "trend", "per day"),
+    "anomaly_type": ("anomaly type", "by anomaly", "anomaly breakdown"),
+    "site": ("site", "each site", "by site", "sites", "location"),
+}
+
 
 def without_nul(text: Column) -> Column:
     return F.replace(text, F.lit("\u0000"), F.lit(""))
@@ -78,3 +97,57 @@ def first_keyword(text: Column, priority: Sequence[str]) -> Column:
     for k in reversed(priority):
         out = F.when(low.contains(k), F.substr(text, F.locate(k, low), F.lit(len(k)))).otherwise(out)
     return out
+
+
+def _any(text: Column, words: Sequence[str]) -> Column:
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+
+
+def chart_intent(question: Column) -> tuple[Column, Column]:
+    """(metrics, group) that a question asks to chart, both null if it does not ask. Without a metric: production and
+    consumption; without a grouping: by site."""
+    low = F.lower(question)
+    asks = _any(low, CHART_WORDS)
+    named = F.filter(F.array(*[F.when(_any(low, ws), F.lit(m)) for m, ws in METRIC_WORDS.items()]), lambda m: m.isNotNull())
+    metrics = F.when(F.size(named) > 0, named).otherwise(F.array(F.lit("production_power_w"), F.lit("consumption_power_w")))
+    group = F.coalesce(*[F.when(_any(low, ws), F.lit(g)) for g, ws in GROUP_WORDS.items()], F.lit("site"))
+    return F.when(asks, metrics), F.when(asks, group)
+
+
+def unfenced(raw: Column) -> Column:
+    """Without the code fence around it."""
+    bare = F.regexp_replace(raw, "^\\s+|\\s+$", "")
+    opened = F.when(bare.startswith("```"), F.regexp_replace(bare, "^[^\\n]*\\n", "")).otherwise(bare)
+    closed = F.when(opened.endswith("```"), F.regexp_replace(opened, "```$", "")).otherwise(opened)
+    return F.regexp_replace(closed, "^\\s+|\\s+$", "")
+
+
+def recovered_json(raw: Column) -> Column:
+    """The JSON object in a model's answer, as a variant: the whole of it, else from the first brace to the place where it
+    closes, else up to the last brace; null if none of them is JSON. The second is sought up to four levels deep."""
+    text = unfenced(raw)
+    level = "[^{}]*"
+    for _ in range(3):
+        level = f"(?:[^{{}}]|\\{{{level}\\}})*"
+    nested = F.regexp_extract(text, f"\\{{{level}\\}}", 0)
+    widest = F.regexp_extract(text, "(?s)\\{.*\\}", 0)
+    return F.coalesce(*[F.try_parse_json(F.when(x != "", x)) for x in (text, nested, widest)])
+
+
+def parsed_list(raw: Column, expected: Column, item: str) -> Column:
+    """An array of ``expected`` structs from a JSON array in a model's answer: a single object is a list of one, what is
+    missing or is no JSON is null, what is too much goes."""
+    text = F.regexp_replace(F.regexp_replace(raw, "(?m)^\\s*```.*$", ""), "^\\s+|\\s+$", "")
+    whole = F.when(text.startswith("["), text).otherwise(F.concat(F.lit("["), text, F.lit("]")))
+    found = F.from_json(F.when(F.try_parse_json(text).isNotNull(), whole), f"array<{item}>")
+    return F.transform(F.sequence(F.lit(1), expected), lambda i: F.try_element_at(found, i.cast("int")))
+
+
+def page_text(raw: Column) -> Column:
+    """Of pages: form feeds end lines, no more than three line ends in a row, no NUL."""
+    return without_nul(F.regexp_replace(F.replace(raw, F.lit("\f"), F.lit("\n")), "\n{4,}", "\n\n\n"))
+
+
+def truncated(text: Column, tokens: int, per_token: int = 4) -> Column:
+    """What surely fills a model's window: four characters for each of its tokens."""
+    return F.substring(text, 1, tokens * per_token)

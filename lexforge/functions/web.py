@@ -5,7 +5,6 @@ from __future__ import annotations
 import html
 import re
 from html.parser import HTMLParser
-from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,6 +17,8 @@ TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term
 FILE_TYPES = {".txt": "text", ".md": "text", ".pdf": "pdf", ".docx": "docx", ".doc": "doc", ".html": "html", ".htm": "html", ".mp3": "audio", ".wav": "audio", ".m4a": "audio", ".mp4": "audio"}
 URL_TYPES = {".pdf": "pdf", ".html": "html", ".htm": "html", ".txt": "text", ".md": "markdown", ".xml": "xml", ".mp3": "audio", ".wav": "audio", ".m4a": "audio", ".mp4": "video", ".webm": "video"}
 HEADER_TYPES = {"pdf": "pdf", "html": "html", "text/plain": "text", "audio": "audio", "video": "video", "xml": "xml"}
+# General types.
+GENERAL_TYPES = {"audio": "audio", "pdf": "text", "html": "html", "text": "text", "docx": "text", "doc": "text", "video": "video", "markdown": "text", "xml": "text", "unknown": "text"}
 # Elements that never hold an article's text, class or id words of page furniture, elements that begin a line.
 STRIP = frozenset("script style nav footer header aside iframe noscript form button svg figure figcaption img video audio source picture".split())
 NOISE = re.compile("sidebar|widget|advert|promo|popup|modal|cookie|consent|newsletter|social|share|comment|related|recommend|footer|nav|menu|breadcrumb|signup|subscribe|banner|sponsor", re.IGNORECASE)
@@ -26,28 +27,34 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 MIN_ARTICLE = 100
 
 
-@F.pandas_udf(StringType())
-def normalize_url(urls: pd.Series) -> pd.Series:
+# Scheme, authority, path and query of a URL.
+URL_PARTS = "^(?:([A-Za-z][A-Za-z0-9+.\\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\\?([^#]*))?"
+
+
+def normalize_url(url: Column | str) -> Column:
     """Scheme and host in lower case without www., no trailing slashes, fragment, path parameters, tracking or blank query
-    values; the rest of the query sorted by name and encoded again. What is no URL is only lower-cased."""
-
-    def one(url: str | None) -> str:
-        url = (url or "").strip()
-        try:
-            u = urlsplit(url)
-            path = u.path
-            head, slash, last = path.rpartition("/")
-            path = (head + slash + last.split(";", 1)[0]).rstrip("/")
-            by_name: dict[str, list[str]] = {}
-            for k, v in parse_qsl(u.query):
-                if k.lower() not in TRACKING:
-                    by_name.setdefault(k, []).append(v)
-            query = urlencode([(k, v) for k in sorted(by_name) for v in by_name[k]])
-            return urlunsplit((u.scheme.lower(), u.netloc.lower().removeprefix("www."), path, query, ""))
-        except ValueError:
-            return url.lower().rstrip("/")
-
-    return urls.map(one, na_action=None)
+    values; the rest of the query sorted by name and encoded again. A host of unpaired brackets makes it no URL: that is
+    only lower-cased."""
+    u = F.regexp_replace(F.coalesce(url, F.lit("")), "^\\s+|\\s+$", "")
+    scheme, host, path, query = (F.regexp_extract(u, URL_PARTS, i) for i in range(1, 5))
+    decoded = lambda x: F.coalesce(F.try_url_decode(x), x)
+    encoded = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+    def pair(p: Column, i: Column) -> Column:
+        at = F.instr(p, "=")
+        return F.struct(decoded(F.substring_index(p, "=", 1)).alias("k"), i.alias("i"), F.when(at > 0, decoded(F.substr(p, at + 1))).otherwise("").alias("v"))
+
+    pairs = F.filter(F.transform(F.split(query, "&"), pair), lambda p: (p["v"] != "") & ~F.lower(p["k"]).isin(*TRACKING))
+    kept = F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(encoded(p["k"]), F.lit("="), encoded(p["v"]))), "&")
+    bare = F.regexp_replace(F.regexp_replace(path, ";[^/]*$", ""), "/+$", "")
+    found = F.concat(
+        F.when(scheme != "", F.concat(F.lower(scheme), F.lit(":"))).otherwise(""),
+        F.when(host != "", F.concat(F.lit("//"), F.regexp_replace(F.lower(host), "^www\\.", ""))).otherwise(""),
+        bare,
+        F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""),
+    )
+    broken = F.contains(host, F.lit("[")) != F.contains(host, F.lit("]"))
+    return F.when(broken, F.regexp_replace(F.lower(u), "/+$", "")).otherwise(found)
 
 
 def file_type(path: Column) -> Column:
@@ -55,6 +62,41 @@ def file_type(path: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in FILE_TYPES.items() for x in kv]), extension), F.lit("unknown"))
 
 
+def general_type(kind: Column) -> Column:
+    """Files and contents by what is done with them; text for what is not known."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in GENERAL_TYPES.items() for x in kv]), kind), F.lit("text"))
+
+
+def is_arxiv(url: Column) -> Column:
+    return F.coalesce(F.contains(F.lower(F.try_parse_url(url, F.lit("HOST"))), F.lit("arxiv.org")), F.lit(False))
+
+
+def arxiv_pdf(url: Column) -> Column:
+    return F.replace(F.coalesce(url, F.lit("")), F.lit("/abs/"), F.lit("/pdf/"))
+
+
+def best_pdf_url(work: Column) -> Column:
+    """Of a struct of a scholarly work: its cached content, else the open, the primary or the first other location's PDF, else
+    an open link that ends like one, else empty."""
+    given = lambda x: F.when(x != "", x)
+    elsewhere = F.try_element_at(F.filter(work["locations"], lambda x: F.coalesce(x["pdf_url"], F.lit("")) != ""), F.lit(1))["pdf_url"]
+    link = work["open_access"]["oa_url"]
+    return F.coalesce(
+        F.when(F.coalesce(work["has_content"]["pdf"], F.lit(False)), given(work["content_url"])),
+        given(work["best_oa_location"]["pdf_url"]),
+        given(work["primary_location"]["pdf_url"]),
+        elsewhere,
+        F.when(F.lower(link).endswith(".pdf"), link),
+        F.lit(""),
+    )
+
+
+def best_url(work: Column) -> Column:
+    """The DOI, else the primary location's page, else the id."""
+    given = lambda x: F.when(x != "", x)
+    return F.coalesce(given(work["doi"]), given(work["primary_location"]["landing_page_url"]), work["id"], F.lit(""))
+
+
 def content_type(url: Column, header: Column) -> Column:
     """By the extension of the URL's path, else by the header."""
     path = F.lower(F.coalesce(F.try_url_decode(F.parse_url(url, F.lit("PATH"))), F.lit("")))

@@ -20,26 +20,32 @@ def pack(sentence_list: Column, max_chars: int = CHUNK_CHARS, overlap: int = OVE
     """Chunks as arrays of sentence places. A chunk is closed before a sentence that would bring its sentences over
     ``max_chars`` (blanks between them don't count); the next begins with its last ``overlap`` sentences, which do count.
 
-    The fold carries only where chunks begin and end, as a struct of (begin, end) arrays; texts are joined afterwards, once
-    for each chunk, so that long documents don't copy what they have built so far."""
-    lengths = F.transform(sentence_list, F.length)
+    One fold over the sentences' lengths. It carries where the chunk begins, its size and the lengths of its last
+    ``overlap`` sentences, so a step costs the same however long the document is; texts are joined afterwards, once for each
+    chunk."""
+    places, no_lengths = "array<struct<b:int,e:int>>", F.expr("cast(array() as array<int>)")
 
     def step(acc: Column, n: Column) -> Column:
-        i, begin, size, cuts = acc["i"], acc["begin"], acc["size"], acc["cuts"]
+        i, begin, size, tail, cuts = (acc[x] for x in ("i", "begin", "size", "tail", "cuts"))
         full = (size + n > max_chars) & (i > begin)
-        # places [begin, i) are a chunk; the next begins ``overlap`` before i, but after this one's begin
-        fresh = F.greatest(i - overlap, begin + 0) if overlap else i
-        kept = F.aggregate(F.slice(lengths, fresh + 1, i - fresh), F.lit(0), lambda s, x: s + x) if overlap else F.lit(0)
+        kept = F.aggregate(tail, F.lit(0), lambda s, x: s + x) if overlap else F.lit(0)
+        last = F.concat(tail, F.array(n))
         return F.struct(
             (i + 1).alias("i"),
-            F.when(full, fresh).otherwise(begin).cast("int").alias("begin"),
+            F.when(full, i - F.size(tail)).otherwise(begin).cast("int").alias("begin"),
             F.when(full, kept + n).otherwise(size + n).cast("int").alias("size"),
+            # of the chunk that goes on, at most ``overlap`` of its last sentences
+            (F.when(F.size(last) > overlap, F.slice(last, F.size(last) - overlap + 1, overlap)).otherwise(last) if overlap else tail).alias("tail"),
             F.when(full, F.concat(cuts, F.array(F.struct(begin.alias("b"), i.alias("e"))))).otherwise(cuts).alias("cuts"),
         )
 
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("begin"), F.lit(0).alias("size"), F.expr("cast(array() as array<struct<b:int,e:int>>)").alias("cuts"))
-    done = F.aggregate(lengths, start, step)
-    return F.when(F.size(sentence_list) > 0, F.concat(done["cuts"], F.array(F.struct(done["begin"].alias("b"), done["i"].alias("e"))))).otherwise(F.expr("cast(array() as array<struct<b:int,e:int>>)"))
+    zero = F.lit(0)
+    start = F.struct(zero.alias("i"), zero.alias("begin"), zero.alias("size"), no_lengths.alias("tail"), F.expr(f"cast(array() as {places})").alias("cuts"))
+
+    def finish(acc: Column) -> Column:
+        return F.when(acc["i"] > 0, F.concat(acc["cuts"], F.array(F.struct(acc["begin"].alias("b"), acc["i"].alias("e"))))).otherwise(F.expr(f"cast(array() as {places})"))
+
+    return F.aggregate(F.transform(sentence_list, F.length), start, step, finish)
 
 
 def chunk_texts(sentence_list: Column, places: Column) -> Column:

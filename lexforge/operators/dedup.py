@@ -69,7 +69,7 @@ def survivors(members: DataFrame) -> DataFrame:
     score = (
         F.when(F.coalesce("signal_processed", F.lit(False)), 3).otherwise(0)
         + F.when(F.coalesce("pub_date", F.lit("")) != "", 2).otherwise(0)
-        + F.when(F.coalesce(F.col("source_type").isin("pdf", "html", "web"), F.lit(False)), 1).otherwise(0)
+        + F.when(F.coalesce(F.col("source_type").isin("pdf", "html"), F.lit(False)), 1).otherwise(0)
         + F.when(F.col("size") >= F.col("median"), 1).otherwise(0)
     )
     scored = members.join(median, "cluster").where("all > 1").select("id", "cluster", score.alias("score"))
@@ -77,6 +77,28 @@ def survivors(members: DataFrame) -> DataFrame:
     return scored.join(best, "cluster").select("id", "cluster", "score", (F.col("id") == -F.col("m.minus")).alias("keep"))
 
 
+def marked_losers(content: DataFrame, judged: DataFrame, distance: int) -> DataFrame:
+    """Content rows with the losers of survivors() marked for deletion, rejected, and told what stays for them; other
+    columns, such as whether a vector is wanted, are left as they are."""
+    winner = judged.where("keep").select("cluster", F.col("id").alias("_winner"))
+    lost = judged.where("not keep").select("cluster", F.col("id").alias("_loser")).join(winner, "cluster")
+    joined = content.join(lost, F.col("id") == F.col("_loser"), "left")
+    gone = F.col("_loser").isNotNull()
+    reason = F.concat(F.lit(f"near_duplicate: simhash_dist≤{distance}, kept id="), F.col("_winner").cast("string"))
+    new = {
+        "marked_for_deletion": gone | F.coalesce(F.col("marked_for_deletion"), F.lit(False)) if "marked_for_deletion" in content.columns else gone,
+        "screening_status": F.when(gone, "dq_rejected").otherwise(F.col("screening_status")),
+        "screening_reason": F.when(gone, reason).otherwise(F.col("screening_reason")),
+    }
+    return joined.withColumns(new).drop("_loser", "_winner", "cluster")
+
+
+def not_newest(rows: DataFrame, key: str, stamp: str, id_col: str = "id") -> DataFrame:
+    """Ids of all rows of a key but its newest; rows that are marked already count, too."""
+    best = rows.groupBy(key).agg(F.max(F.struct(stamp, id_col)).alias("m"))
+    return rows.join(best, key).where(F.col(id_col) != F.col(f"m.{id_col}")).select(id_col)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two token arrays; 0 if either is empty."""
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))

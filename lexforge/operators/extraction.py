@@ -10,8 +10,20 @@ from pyspark.sql import functions as F
 # Confidence by how an extraction is aligned with its text, and what it is without alignment.
 CONFIDENCE = {"exact": 0.95, "greater": 0.75, "fuzzy": 0.60}
 UNALIGNED = 0.30
-# Words too general to be an entity, by default.
-GENERIC = ("system", "data", "the", "and", "process", "company", "product", "device")
+# Words too general to be an entity, by default.
+GENERIC = (
+    "companies", "company", "industry", "industries", "people",
+    "professors", "professor", "colleges", "college", "universities",
+    "university", "customers", "customer", "users", "user",
+    "integrators", "integrator", "vendors", "vendor", "partners",
+    "partner", "clients", "client", "others", "organizations",
+    "organization", "team", "teams", "staff", "employees", "workers",
+    "students", "student", "schools", "school", "government", "agencies",
+    "things", "stuff", "data", "information", "content", "software",
+    "hardware", "system", "systems", "solutions", "technology",
+    "technologies", "product", "products", "service", "services",
+    "platform", "platforms", "tool", "tools", "project", "projects",
+)
 
 
 def extract(docs: DataFrame, terms: Sequence[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -50,3 +62,21 @@ def valid(rows: DataFrame, kinds: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Rows that hold the rules of entity rows, and the rest."""
     ok = F.coalesce(F.length("entity").between(2, 500) & F.col("confidence").between(0, 1) & F.col("signal_type").isin(*kinds), F.lit(False))
     return rows.where(ok), rows.where(~ok)
+
+
+def described(kind: Column, text: Column, detail: Column) -> Column:
+    """``type: text``, and the detail behind a dash where there is one."""
+    return F.concat(kind, F.lit(": "), text, F.when(F.coalesce(detail, F.lit("")) != "", F.concat(F.lit(" — "), detail)).otherwise(""))
+
+
+def backfilled(rows: DataFrame, texts: DataFrame, window: Column) -> DataFrame:
+    """Rows that lack their enriched text, with it: (id, outcome, enriched_text). ``rows``: id, source_content_id, entity,
+    signal_type, industry, char_start, char_end, enriched_text; ``texts``: source_content_id, transcript. Without places,
+    transcript or surroundings a row is skipped. ``window`` is over transcript, char_start and char_end."""
+    lacking = rows.where(F.coalesce("enriched_text", F.lit("")) == "").drop("enriched_text")
+    placed = lacking.join(texts, "source_content_id", "left")
+    usable = F.col("char_start").isNotNull() & F.col("char_end").isNotNull() & (F.coalesce("transcript", F.lit("")) != "")
+    context = placed.select("id", "signal_type", "industry", "entity", F.when(usable, window).alias("context"))
+    done = F.coalesce(F.col("context"), F.lit("")) != ""
+    text = enriched(F.col("signal_type"), F.col("industry"), F.col("entity"), F.col("context"))
+    return context.select("id", F.when(done, "enriched").otherwise("skipped").alias("outcome"), F.when(done, text).alias("enriched_text"))

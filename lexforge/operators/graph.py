@@ -12,19 +12,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """(node, component) for every node of ``edges``; the component is its smallest node.
 
     Alternating large-star and small-star contraction: a node's neighbours are linked to the smallest of them, first
-    the larger ones, then the smaller ones, until nothing moves. Each round is one shuffle and a minimum over a
-    window-free self join, edges never exceed the input's number, and every round is written to the shared folder.
+    the larger ones, then the smaller ones, until nothing moves. Edges never exceed the input's number, and what a step has
+    found is written to the shared folder. Minima of a node are written before they are joined to its edges, so that both
+    sides of the join come from a shuffle and the adaptive plan can split a node of any degree over many tasks.
     Null ends are ignored; self-loops give a component of one node."""
     ends = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    loops = ends.select(F.explode(F.array("a", "b")).alias("a")).distinct()
-    now = materialize(ends.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    last = None
+    ends = materialize(ends.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now, last = ends.where("a <> b"), None
     for _ in range(max_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        large = large.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        moved = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        large = materialize(moved.unionByName(least.where("m < a").select("a", F.col("m").alias("b"))).distinct())
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         now = materialize(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -34,4 +34,5 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     else:
         raise RuntimeError("components did not settle")
     root = now.groupBy("a").agg(F.min("b").alias("component"))
-    return loops.join(root, "a", "left").select(F.col("a").alias("node"), F.coalesce("component", "a").alias("component"))
+    nodes = ends.select(F.explode(F.array("a", "b")).alias("a")).distinct()
+    return nodes.join(root, "a", "left").select(F.col("a").alias("node"), F.coalesce("component", "a").alias("component"))

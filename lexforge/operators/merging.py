@@ -39,6 +39,56 @@ def upsert(stored: DataFrame, incoming: DataFrame, key: str, hash_col: str, stam
     return acted.select(*[value(c).alias(c) for c in stored.columns], "action")
 
 
+def merge_by_key(stored: DataFrame, incoming: DataFrame, key: str, keep: Sequence[str] = ()) -> DataFrame:
+    """The merged table with an ``action``: inserted, updated or kept (stored only). A row that is there takes all incoming
+    columns but those of ``keep`` and those that do not come in; nothing is skipped. Incoming keys are distinct."""
+    rest = [c for c in incoming.columns if c != key]
+    news = incoming.select(F.col(key).alias("_k"), F.struct(*rest).alias("_n"))
+    olds = stored.select(F.col(key).alias("_s"), F.struct(*[c for c in stored.columns if c != key]).alias("_o"))
+    both = news.join(olds, F.col("_k") == F.col("_s"), "full_outer")
+    new, old = F.col("_s").isNull(), F.col("_k").isNull()
+
+    def value(c: str) -> Column:
+        if c == key:
+            return F.coalesce("_k", "_s")
+        mine = F.col(f"_n.{c}") if c in rest else F.lit(None)
+        stays = old if c in rest and c not in keep else ~new
+        return F.when(stays, F.col(f"_o.{c}")).otherwise(mine)
+
+    action = F.when(new, "inserted").when(old, "kept").otherwise("updated")
+    return both.select(*[value(c).alias(c) for c in stored.columns], action.alias("action"))
+
+
+def update_by_key(stored: DataFrame, changes: DataFrame, key: str, now: Column, fixed: Sequence[str] = ("created_at", "updated_at"), stamp: str = "updated_at") -> DataFrame:
+    """Stored rows with the changed columns of their key: null means no change, columns of ``fixed`` never change, NUL
+    characters go from texts, and rows that are changed get the time."""
+    names = [c for c in changes.columns if c != key and c not in fixed and c in stored.columns]
+    kinds = dict(stored.dtypes)
+    clean = lambda c: F.replace(c, F.lit("\u0000"), F.lit("")) if kinds[c] == "string" else F.col(c)
+    found = changes.select(F.col(key).alias("_k"), F.struct(*[clean(c).alias(c) for c in names]).alias("_n"))
+    joined = stored.join(found, F.col(key) == F.col("_k"), "left")
+    hit = F.col("_k").isNotNull()
+
+    def value(c: str) -> Column:
+        if c == stamp:
+            return F.when(hit, now).otherwise(F.col(c))
+        return F.coalesce(F.col(f"_n.{c}"), F.col(c)) if c in names else F.col(c)
+
+    return joined.select(*[value(c).alias(c) for c in stored.columns])
+
+
+def inserted(stored: DataFrame, incoming: DataFrame, key: str, id_col: str = "id", texts: Sequence[str] = ()) -> DataFrame:
+    """Incoming rows whose key is not stored, without NUL characters in ``texts``, with gapless ids after the largest stored
+    one, in the order of the key. Of several rows of a key the first of all columns' order comes in."""
+    rest = [c for c in incoming.columns if c not in (key, id_col)]
+    distinct = incoming.groupBy(key).agg(F.min(F.struct(*rest)).alias("r")).select(key, "r.*")
+    new = distinct.join(stored.select(key), key, "left_anti")
+    for c in texts:
+        new = new.withColumn(c, F.replace(c, F.lit("\u0000"), F.lit("")))
+    start = stored.agg(F.coalesce(F.max(id_col), F.lit(0))).first()[0]
+    return numbered(new, start, key).select(id_col, key, *rest)
+
+
 def last_writer(rows: DataFrame, keys: Sequence[str], stamp: Column) -> DataFrame:
     """The row of each key with the largest stamp, by partial aggregation."""
     rest = [c for c in rows.columns if c not in keys]

@@ -313,9 +313,9 @@ def e28(spark, sf):
     return health(spark, sf).withColumn("flagged", flagged)
 
 
-@query("e29_flagged_sources", with_views("attempts", then="SELECT 1").removesuffix("SELECT 1").rstrip() + HEALTH + " SELECT source_url, adapter FROM h WHERE blocked_rate >= 0.4 OR approval_rate <= CAST(0.5 AS DOUBLE)")
+@query("e29_flagged_sources", with_views("attempts", then="SELECT 1").removesuffix("SELECT 1").rstrip() + HEALTH + " SELECT source_url, adapter FROM h WHERE blocked_rate >= 0.5 OR approval_rate <= 1 - CAST(0.8 AS DOUBLE)")
 def e29(spark, sf):
-    return health(spark, sf).where((c("blocked_rate") >= 0.4) | (c("approval_rate") <= 0.5)).select("source_url", "adapter")
+    return health(spark, sf).where((c("blocked_rate") >= 0.5) | (c("approval_rate") <= 1 - 0.8)).select("source_url", "adapter")
 
 
 @query("e31_tally", with_views("attempts", then="SELECT coalesce(nullif(source_url, 'u0'), adapter) AS key, CAST(sum(approved) AS BIGINT) AS approved, CAST(sum(rejected) AS BIGINT) AS rejected FROM attempts GROUP BY 1"))

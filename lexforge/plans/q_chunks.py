@@ -108,7 +108,7 @@ def m01_positions(spark, sf):
     return M.extract(docs(spark, sf), TERMS)
 
 
-@query("m02_filters", "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN length(trim(p_name)) < 4 THEN 'short' WHEN regexp_full_match(p_name, '[\\d,.\\s%$+\\-]+[a-zA-Z]{0,2}') AND p_type <> 'performance_claim' THEN 'bare number' WHEN lower(trim(p_name)) IN ('system', 'data', 'the', 'and', 'process', 'company', 'product', 'device') THEN 'generic' ELSE 'kept' END AS reason FROM (SELECT p_name, p_type FROM part UNION ALL SELECT substring(p_name, 1, 3), p_type FROM part UNION ALL SELECT CAST(p_size AS STRING) || '000 kW', p_type FROM part)) GROUP BY 1")
+@query("m02_filters", "SELECT reason, count(*) AS n FROM (SELECT CASE WHEN length(trim(p_name)) < 4 THEN 'short' WHEN regexp_full_match(p_name, '[\\d,.\\s%$+\\-]+[a-zA-Z]{0,2}') AND p_type <> 'performance_claim' THEN 'bare number' WHEN lower(trim(p_name)) IN (" + ", ".join(f"'{g}'" for g in M.GENERIC) + ") THEN 'generic' ELSE 'kept' END AS reason FROM (SELECT p_name, p_type FROM part UNION ALL SELECT substring(p_name, 1, 3), p_type FROM part UNION ALL SELECT CAST(p_size AS STRING) || '000 kW', p_type FROM part)) GROUP BY 1")
 def m02(spark, sf):
     part = load(spark, sf, "part")
     names = part.select("p_name", "p_type").unionByName(part.select(F.substring("p_name", 1, 3).alias("p_name"), "p_type")).unionByName(part.select(F.concat(c("p_size").cast("string"), F.lit("000 kW")).alias("p_name"), "p_type"))

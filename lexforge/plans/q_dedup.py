@@ -47,13 +47,13 @@ def k04(spark, sf):
     "k05_survivors",
     CLUSTERS
     + with_views("content", then="SELECT 1").removeprefix("WITH ").removesuffix("SELECT 1").join([", ", ""])
-    + """, m AS (SELECT c.id, cl.cluster, c.signal_processed, c.pub_date, c.source_type, length(c.transcript) AS size FROM content c JOIN cl ON c.id = cl.id),
+    + """, m AS (SELECT c.id, cl.cluster, c.signal_processed, c.pub_date, c.content_type AS source_type, length(c.transcript) AS size FROM content c JOIN cl ON c.id = cl.id),
     q AS (SELECT cluster, count(*) AS n, list_sort(list(size))[count(*) // 2 + 1] AS median FROM m GROUP BY 1 HAVING count(*) > 1),
-    s AS (SELECT m.id, m.cluster, CASE WHEN coalesce(signal_processed, false) THEN 3 ELSE 0 END + CASE WHEN coalesce(pub_date, '') <> '' THEN 2 ELSE 0 END + CASE WHEN source_type IN ('pdf', 'html', 'web') THEN 1 ELSE 0 END + CASE WHEN size >= median THEN 1 ELSE 0 END AS score FROM m JOIN q USING (cluster))
+    s AS (SELECT m.id, m.cluster, CASE WHEN coalesce(signal_processed, false) THEN 3 ELSE 0 END + CASE WHEN coalesce(pub_date, '') <> '' THEN 2 ELSE 0 END + CASE WHEN source_type IN ('pdf', 'html') THEN 1 ELSE 0 END + CASE WHEN size >= median THEN 1 ELSE 0 END AS score FROM m JOIN q USING (cluster))
     SELECT id, cluster, score, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, id) = 1 AS keep FROM s""",
 )
 def k05(spark, sf):
-    members = view(spark, sf, "content").select("id", "signal_processed", "pub_date", "source_type", F.length("transcript").alias("size")).join(D.clusters(prints(spark, sf), 5), "id")
+    members = view(spark, sf, "content").select("id", "signal_processed", "pub_date", c("content_type").alias("source_type"), F.length("transcript").alias("size")).join(D.clusters(prints(spark, sf), 5), "id")
     return D.survivors(materialize(members))
 
 

@@ -10,8 +10,8 @@ from lexforge.registry import query
 from lexforge.sources.views import view, with_views
 
 DUCK_WORDS = "list_filter(string_split_regex(lower(text), '[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+'), lambda w: w <> '')"
-DUCK_LINES = "list_filter(string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]'), lambda x: regexp_replace(x, '\\s+', '', 'g') <> '')"
-FURNITURE = "lambda x: regexp_full_match(x, '[\\d\\s.\\-–—/\\\\]+') OR (length(x) < 40 AND upper(x) = x AND regexp_matches(x, '\\p{Lu}') AND NOT regexp_matches(x, '\\p{Ll}')) OR regexp_full_match(lower(trim(x)), 'page\\s+\\d+|\\d+\\s+of\\s+\\d+')"
+DUCK_LINES = "list_filter(list_transform(string_split_regex(text, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]'), lambda x: regexp_replace(x, '^[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}]+|[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}]+$', '', 'g')), lambda x: x <> '')"
+FURNITURE = "lambda x: regexp_full_match(x, '[\\d\\s.\\-–—/\\\\]+') OR (length(x) < 40 AND upper(x) = x AND regexp_matches(x, '\\p{Lu}') AND NOT regexp_matches(x, '\\p{Ll}')) OR regexp_full_match(lower(x), 'page\\s*\\d+|\\d+\\s*of\\s*\\d+')"
 DIVERSITY = f"len(list_distinct({DUCK_WORDS})) / nullif(len({DUCK_WORDS}), 0)"
 BOILERPLATE = f"len(list_filter({DUCK_LINES}, {FURNITURE})) / nullif(len({DUCK_LINES}), 0)"
 DOMAIN = "(" + " + ".join(f"CASE WHEN contains(lower(text), '{t}') THEN 1 ELSE 0 END" for t in G.DOMAIN_WORDS) + f") / {len(G.DOMAIN_WORDS)}"
@@ -68,8 +68,23 @@ def j13(spark, sf):
     return docs(spark, sf).select("doc_id", F.round(G.phrase_share(F.col("text")), 9).alias("share"))
 
 
-BARE = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
-RULES = f"CASE WHEN {BARE} = '' THEN 'empty' WHEN length({BARE}) < {G.MIN_STRIPPED} THEN 'too_short' " + " ".join(f"WHEN regexp_matches(substring(text, 1, {G.HEAD}), '{p}') THEN 'noise {i}'" for i, p in enumerate(G.NOISE)) + f" WHEN {GARBAGE} > {G.MAX_GARBAGE} THEN 'garbage' WHEN len({LATIN}) >= {G.MIN_WORDS} AND len(list_distinct({LATIN})) / len({LATIN}) < {G.MIN_WORD_DIVERSITY} THEN 'low_diversity' WHEN {PHRASE} > {G.MAX_PHRASES} THEN 'boilerplate' END"
+BARE = "regexp_replace(text, '^[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}]+|[\\s\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{202F}\\x{205F}\\x{3000}]+$', '', 'g')"
+NOISY = " ".join(f"WHEN regexp_matches(substring({{t}}, 1, {G.HEAD}), '{p}') THEN 'noise {i}'" for i, p in enumerate(G.NOISE))
+
+
+def rules(column: str) -> str:
+    """The first rule that a text column fails."""
+    t = BARE.replace("text", column)
+    inner = lambda sql: sql.replace("text", t)
+    return (
+        f"CASE WHEN {t} = '' THEN 'empty' WHEN length({t}) < {G.MIN_STRIPPED} THEN 'too_short' {NOISY.replace('{t}', t)}"
+        f" WHEN {inner(GARBAGE)} > {G.MAX_GARBAGE} THEN 'garbage'"
+        f" WHEN len({inner(LATIN)}) >= {G.MIN_WORDS} AND len(list_distinct({inner(LATIN)})) / len({inner(LATIN)}) < {G.MIN_WORD_DIVERSITY} THEN 'low_diversity'"
+        f" WHEN {inner(PHRASE)} > {G.MAX_PHRASES} THEN 'boilerplate' END"
+    )
+
+
+RULES = rules("text")
 
 
 @query("j14_rule_gate", f"SELECT doc_id, coalesce({RULES}, 'pass') AS failed_rule FROM documents")

@@ -8,6 +8,7 @@ from lexforge.operators import corpus_map as P
 from lexforge.operators import retrieval as N
 from lexforge.plans.tables import load
 from lexforge.registry import query
+from lexforge.sources.views import view, with_views
 
 c = F.col
 STOP = ("the", "and", "for", "with", "that", "this", "are", "was", "from")
@@ -63,27 +64,62 @@ def n04(spark, sf):
     return best.withColumn("score", F.round("score", 6)).withColumn("f", F.when(top >= 0.5, 0.5).otherwise(0.375)).where("score >= f").select("qid", "score")
 
 
-@query("n07_hybrid")
-def n07(spark, sf):
-    """BM25 lists of whole and of shortened queries, fused by reciprocal ranks."""
-    whole = N.bm25(docs(spark, sf), asked(spark, sf), 100)
-    short = N.bm25(docs(spark, sf), asked(spark, sf).withColumn("query", F.substring("query", 1, 60)), 100)
-    lists = whole.withColumn("source", F.lit("bm25")).unionByName(short.withColumn("source", F.lit("dense")))
-    return N.fused(lists.select("qid", c("doc_id").alias("key"), "source", "rank", "score"))
+def vector_of_query(spark, sf):
+    """A passage's vector is that of its number."""
+    return asked(spark, sf).join(vectors(spark, sf).select(c("doc_id").alias("qid"), "v"), "qid")
 
 
-FUSE = "l AS (SELECT qid, doc_id, rank, score, 'bm25' AS source FROM bm WHERE rank < 20 UNION ALL SELECT qid, doc_id, rank, score, 'dense' FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY doc_id) - 1 AS rank FROM (SELECT qid, doc_id, score FROM bm WHERE rank < 20)))"
+DENSE = """nv AS (SELECT vec_id, list_transform(e, lambda x: x / CASE WHEN sqrt(list_dot_product(e, e)) = 0 THEN 1 ELSE sqrt(list_dot_product(e, e)) END) AS v FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)),
+ds AS (SELECT b.item_id AS qid, v.vec_id AS doc_id, round(list_dot_product(q.v, v.v), 9) AS score FROM benchmark b JOIN nv q ON q.vec_id = b.item_id, nv v),
+de AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) - 1 AS rank FROM ds) WHERE score >= 0)"""
+LISTS = "l AS (SELECT qid, doc_id, rank, score, 'bm25' AS source FROM bm WHERE rank < {n} AND qid IN (SELECT vec_id FROM embeddings) UNION ALL SELECT qid, doc_id, rank, score, 'dense' FROM de WHERE rank < {n})"
 
 
-@query("n06_rrf", f"WITH {BM25}, {FUSE} SELECT qid, doc_id AS key, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS rrf FROM l GROUP BY ALL")
+@query("n06_rrf", f"WITH {BM25}, {DENSE}, {LISTS.format(n=20)} SELECT qid, doc_id AS key, round(sum(1.0::DOUBLE / (60 + rank + 1)), 9) AS rrf FROM l GROUP BY ALL")
 def n06(spark, sf):
-    """Fusion of two orders of one list: by score and by id."""
-    by_score = N.bm25(docs(spark, sf), asked(spark, sf), 20)
-    by_id = by_score.withColumn("rank", F.row_number().over(N.Window.partitionBy("qid").orderBy("doc_id")) - 1)
-    lists = by_score.withColumn("source", F.lit("bm25")).unionByName(by_id.withColumn("source", F.lit("dense")))
+    """A dense and a lexical list of each passage, fused by their documents."""
+    queries = vector_of_query(spark, sf)
+    lexical = N.bm25(docs(spark, sf), queries, 20).withColumn("source", F.lit("bm25"))
+    dense = N.cosine(vectors(spark, sf), queries.select("qid", "v"), 20, threshold=0.0).withColumn("source", F.lit("dense"))
+    lists = lexical.unionByName(dense)
     return N.fused(lists.select("qid", c("doc_id").alias("key"), "source", "rank", "score")).select("qid", "key", F.round("rrf", 9).alias("rrf"))
 
 
+def dated(spark, sf):
+    return view(spark, sf, "content").select(c("id").alias("doc_id"), c("transcript").alias("text"), F.to_date("created_at").alias("published"))
+
+
+NOW, DECAY = "2024-03-01", 0.01
+HYBRID = f"""hl AS (SELECT l.*, md5(c.transcript) AS key, CAST(c.created_at AS DATE) AS published FROM l JOIN content c ON c.id = l.doc_id),
+hf AS (SELECT qid, key, min(doc_id) AS doc_id, max(published) AS published, round(sum(1.0::DOUBLE / (60 + rank + 1)), 12) AS rrf, min(CASE WHEN source = 'dense' THEN rank ELSE 1000000 + rank END) AS first,
+coalesce(max_by(CASE WHEN source = 'dense' THEN score END, CASE WHEN source = 'dense' THEN rank END), 0) AS dense_score FROM hl GROUP BY ALL),
+hs AS (SELECT *, round(rrf * exp(-{DECAY} * greatest(date_diff('day', published, DATE '{NOW}'), 0)), 12) AS score FROM hf),
+hy AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first, doc_id) - 1 AS rank FROM hs)"""
+HYBRID_VIEW = with_views("content", then="SELECT 1").removesuffix("SELECT 1").rstrip()
+
+
+@query("n07_hybrid", f"{HYBRID_VIEW}, {BM25}, {DENSE}, {LISTS.format(n=100)}, {HYBRID} SELECT qid, doc_id, CAST(rank AS INT) AS rank, round(score, 9) AS score, round(dense_score, 6) AS dense_score FROM hy WHERE rank < 10")
+def n07(spark, sf):
+    """Dense and lexical lists of each passage, fused by text, the newer the better, ten of each."""
+    found = N.hybrid(dated(spark, sf), vectors(spark, sf), vector_of_query(spark, sf), 10, F.lit(NOW).cast("date"), DECAY)
+    return found.select("qid", "doc_id", "rank", F.round("score", 9).alias("score"), F.round("dense_score", 6).alias("dense_score"))
+
+
+GROUNDED = """g AS (SELECT qid, doc_id % 50 AS content_id, doc_id AS chunk, score, rank, dense_score FROM hy WHERE rank < 100),
+gb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, content_id ORDER BY score DESC, rank) AS r FROM g) WHERE r = 1),
+gr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) AS place FROM gb),
+gf AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY place) AS n FROM gr WHERE dense_score >= 0.3)"""
+
+
+@query("n08_grounded", f"{HYBRID_VIEW}, {BM25}, {DENSE}, {LISTS.format(n=1000)}, {HYBRID.replace('round(rrf * exp', 'round(rrf + 0 * exp')}, {GROUNDED} SELECT qid, content_id, chunk, CAST(place AS INT) AS rank, round(score, 9) AS score FROM gf WHERE n <= 5")
+def n08(spark, sf):
+    """The passage itself stands for its rewriting; a hundred chunks by hybrid search, the best of each document (here every
+    fiftieth number belongs to one), those under a dense floor dropped after ranking."""
+    found = N.hybrid(docs(spark, sf), vectors(spark, sf), vector_of_query(spark, sf), 100)
+    hits = found.select("qid", (c("doc_id") % 50).alias("content_id"), c("doc_id").alias("chunk"), c("rank").alias("pos"), "score", "dense_score")
+    return N.grounded(hits, 5, floor=0.3).select("qid", "content_id", "chunk", c("rank").cast("int").alias("rank"), F.round("score", 9).alias("score"))
+
+
 @query("f03_best_chunk", "SELECT qid, content_id, chunk, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos) AS INT) AS rank FROM (SELECT l_suppkey AS qid, l_orderkey AS content_id, l_linenumber AS chunk, l_quantity AS score, l_orderkey * 10 + l_linenumber AS pos, row_number() OVER (PARTITION BY l_suppkey, l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS r FROM lineitem) WHERE r = 1")
 def f03(spark, sf):
     line = load(spark, sf, "lineitem")
@@ -91,10 +127,10 @@ def f03(spark, sf):
     return N.best_chunks(hits)
 
 
-@query("n09_keywords", "SELECT qid, name, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, name) AS r FROM (SELECT q.qid, d.name, len(list_filter(ws, lambda w: contains(d.hay, w))) + CASE WHEN list_contains(ws, lower(d.name)) THEN 1000 ELSE 0 END AS score FROM (SELECT item_id AS qid, list_distinct(list_filter(string_split_regex(lower(text), '[^a-z0-9_]+'), lambda w: length(w) > 2 AND w NOT IN ('the','and','for','with','that','this','are','was','from'))) AS ws FROM benchmark) q, (SELECT concat('d', CAST(doc_id AS STRING)) AS name, lower(concat_ws(' ', concat('d', CAST(doc_id AS STRING)), text)) AS hay FROM documents) d) WHERE score > 0) WHERE r <= 3")
+@query("n09_keywords", "SELECT qid, name, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, name) AS r FROM (SELECT q.qid, d.name, len(list_filter(ws, lambda w: contains(d.hay, w))) + CASE WHEN list_contains(ws, lower(d.name)) THEN 1000 ELSE 0 END AS score FROM (SELECT item_id AS qid, list_distinct(list_filter(string_split_regex(lower(text), '\\s+'), lambda w: length(w) > 2 AND w NOT IN (" + ",".join(f"'{w}'" for w in N.STOPWORDS) + "))) AS ws FROM benchmark) q, (SELECT concat('d', CAST(doc_id AS STRING)) AS name, lower(concat_ws(' ', concat('d', CAST(doc_id AS STRING)), text)) AS hay FROM documents) d) WHERE score > 0) WHERE r <= 3")
 def n09(spark, sf):
     named = docs(spark, sf).select(F.concat(F.lit("d"), c("doc_id").cast("string")).alias("name"), c("text").alias("content"))
-    return N.keyword_overlap(named, asked(spark, sf), STOP, 3).select("qid", "name", c("score").cast("long").alias("score"))
+    return N.keyword_overlap(named, asked(spark, sf), N.STOPWORDS, 3).select("qid", "name", c("score").cast("long").alias("score"))
 
 
 RELEVANT = "rel AS (SELECT b.item_id AS qid, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
@@ -168,7 +204,7 @@ def e39(spark, sf):
 
 @query("p02_clusters")
 def p02(spark, sf):
-    return P.clustered(vectors(spark, sf).select(c("doc_id").alias("id"), N.normalised(c("v")).alias("v")), (6, 8, 10))
+    return P.clustered(vectors(spark, sf).select(c("doc_id").alias("id"), N.normalised(c("v")).alias("v")), range(6, 15))
 
 
 @query("p03_labels", "SELECT source AS cluster, string_agg(upper(substring(w, 1, 1)) || substring(w, 2), ' / ' ORDER BY n DESC, w) AS label FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, w) AS r FROM (SELECT source, w, count(*) AS n FROM (SELECT source, unnest(string_split_regex(lower(substring(text, 1, 60)), '[^\\p{L}]+')) AS w FROM documents) WHERE length(w) > 3 AND w NOT IN ('the','and','for','with','that','this','are','was','from') GROUP BY ALL)) WHERE r <= 2 GROUP BY 1")

@@ -17,12 +17,19 @@ def pages(spark, sf):
     return load(spark, sf, "pages")
 
 
-@query("i01_normalize_url", "SELECT page_id, rtrim(regexp_replace(regexp_replace(lower(string_split(string_split(url, '#')[1], '?')[1]), '://www[.]', '://'), '/+$', ''), '/') AS url FROM pages WHERE url NOT LIKE '%?%' OR url LIKE '%?utm_source=feed%'")
+TRACKED = ", ".join(f"'{t}'" for t in W.TRACKING)
+NORMAL_URLS = f"""parts AS (SELECT page_id, regexp_extract(url, '^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:[?]([^#]*))?', ['scheme', 'host', 'path', 'query']) AS u FROM pages),
+pairs AS (SELECT page_id, i, url_decode(replace(string_split(p, '=')[1], '+', ' ')) AS k, url_decode(replace(substring(p, instr(p, '=') + 1), '+', ' ')) AS v FROM (SELECT page_id, unnest(string_split(u.query, '&')) AS p, generate_subscripts(string_split(u.query, '&'), 1) AS i FROM parts) WHERE instr(p, '=') > 0),
+kept AS (SELECT page_id, string_agg(replace(url_encode(k), '%20', '+') || '=' || replace(url_encode(v), '%20', '+'), '&' ORDER BY k, i) AS q FROM pairs WHERE v <> '' AND lower(k) NOT IN ({TRACKED}) GROUP BY 1),
+normal AS (SELECT parts.page_id, lower(u.scheme) || '://' || regexp_replace(lower(u.host), '^www[.]', '') || regexp_replace(regexp_replace(u.path, ';[^/]*$', ''), '/+$', '') || coalesce('?' || q, '') AS url FROM parts LEFT JOIN kept ON parts.page_id = kept.page_id)"""
+
+
+@query("i01_normalize_url", f"WITH {NORMAL_URLS} SELECT page_id, url FROM normal")
 def i01(spark, sf):
-    return pages(spark, sf).where(~c("url").like("%?%") | c("url").like("%?utm_source=feed%")).select("page_id", W.normalize_url("url").alias("url"))
+    return pages(spark, sf).select("page_id", W.normalize_url("url").alias("url"))
 
 
-@query("d06_known_urls", "SELECT page_id FROM pages WHERE page_id % 2 = 1 AND rtrim(replace(lower(string_split(string_split(url, '#')[1], '?')[1]), '://www.', '://'), '/') NOT IN (SELECT rtrim(replace(lower(string_split(string_split(url, '#')[1], '?')[1]), '://www.', '://'), '/') FROM pages WHERE page_id % 2 = 0)")
+@query("d06_known_urls", f"WITH {NORMAL_URLS} SELECT page_id FROM normal WHERE page_id % 2 = 1 AND url NOT IN (SELECT url FROM normal WHERE page_id % 2 = 0)")
 def d06(spark, sf):
     """New pages whose normalised URL is not known."""
     keyed = pages(spark, sf).select("page_id", W.normalize_url("url").alias("u"))
@@ -74,24 +81,50 @@ def i14(spark, sf):
     return load(spark, sf, "events").select("event_id", F.coalesce(F.from_json(props, "k bigint")["k"], F.lit(-1)).alias("k"))
 
 
-@query("i17_router", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'analytics_agent' WHEN 1 THEN 'technical_document_agent,plc_expert' WHEN 2 THEN 'direct_reply' WHEN 3 THEN 'plc_expert' ELSE 'technical_document_agent' END AS experts FROM events")
+SAID = "CASE turn % 4 WHEN 0 THEN 'QUERY: ' || text || chr(10) || 'ROUTE: ' || role || ' and plc_expert' WHEN 1 THEN text || chr(10) || ' route: Analytics_Agent, technical_document_agent' WHEN 2 THEN text || ' direct_reply' ELSE text END"
+
+
+def said(spark, sf):
+    """Turns as a router may put them; their texts come from the table."""
+    t = load(spark, sf, "conversations")
+    routes = F.when(c("turn") % 4 == 0, F.concat(F.lit("QUERY: "), "text", F.lit("\nROUTE: "), "role", F.lit(" and plc_expert")))
+    routes = routes.when(c("turn") % 4 == 1, F.concat("text", F.lit("\n route: Analytics_Agent, technical_document_agent"))).when(c("turn") % 4 == 2, F.concat("text", F.lit(" direct_reply"))).otherwise(c("text"))
+    return t.select("conv_id", "turn", "text", routes.alias("said"))
+
+
+NAMED = ", ".join(f"CASE WHEN contains(s, '{e}') THEN '{e}' END" for e in S.EXPERTS)
+
+
+@query(
+    "i17_router",
+    f"""SELECT conv_id, turn, CASE WHEN named <> '' THEN named WHEN contains(s, '{S.SMALL_TALK}') THEN '{S.SMALL_TALK}' ELSE '{S.EXPERTS[0]}' END AS experts
+    FROM (SELECT *, concat_ws(',', {NAMED}) AS named FROM (SELECT conv_id, turn, lower(CASE WHEN regexp_matches(said, '(?im)^\\s*route:') THEN regexp_extract(said, '(?im)^\\s*route:(.*)$', 1) ELSE said END) AS s FROM (SELECT *, {SAID} AS said FROM conversations)))""",
+)
 def i17(spark, sf):
-    said = F.element_at(F.array(*map(F.lit, ("QUERY: x\nROUTE: analytics_agent", "route: PLC_expert and technical_document_agent", "Route: direct_reply", "plc_expert or direct_reply, no line", "QUERY: y"))), (c("event_id") % 5 + 1).cast("int"))
-    return load(spark, sf, "events").select("event_id", F.array_join(S.routed(said), ",").alias("experts"))
+    return said(spark, sf).select("conv_id", "turn", F.array_join(S.routed(c("said")), ",").alias("experts"))
+
+
+BARE_TEXT = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 
 
-@query("i18_used_context", "SELECT event_id, CASE event_id % 3 WHEN 2 THEN 'no marker ' || CAST(event_id AS STRING) ELSE 'answer ' || CAST(event_id AS STRING) END AS answer, event_id % 3 <> 1 AS used FROM events")
+@query(
+    "i18_used_context",
+    f"SELECT conv_id, turn, md5(CASE WHEN turn % 3 = 2 OR {BARE_TEXT} = '' THEN raw ELSE {BARE_TEXT} END) AS digest, turn % 3 <> 1 AS used FROM (SELECT *, CASE turn % 3 WHEN 0 THEN text || chr(10) || 'USED_CONTEXT: true ' || chr(10) WHEN 1 THEN text || chr(10) || 'used_context: FALSE' ELSE text END AS raw FROM conversations)",
+)
 def i18(spark, sf):
-    n = c("event_id").cast("string")
-    raw = F.when(c("event_id") % 3 == 0, F.concat(F.lit("answer "), n, F.lit("\nUSED_CONTEXT: true \n"))).when(c("event_id") % 3 == 1, F.concat(F.lit("answer "), n, F.lit("\nused_context: FALSE"))).otherwise(F.concat(F.lit("no marker "), n))
+    """Answers that end with the marker, in any case, and some without."""
+    t = load(spark, sf, "conversations")
+    raw = F.when(c("turn") % 3 == 0, F.concat("text", F.lit("\nUSED_CONTEXT: true \n"))).when(c("turn") % 3 == 1, F.concat("text", F.lit("\nused_context: FALSE"))).otherwise(c("text"))
     answer, used = S.used_context(raw)
-    return load(spark, sf, "events").select("event_id", answer.alias("answer"), used.alias("used"))
+    return t.select("conv_id", "turn", F.md5(answer.cast("binary")).alias("digest"), used.alias("used"))
 
 
-@query("i19_chart", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'bar' WHEN 1 THEN 'line' END AS chart FROM events")
+@query("i19_chart", "SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'bar' WHEN 1 THEN 'line' END AS chart FROM conversations")
 def i19(spark, sf):
-    raw = F.element_at(F.array(*map(F.lit, ("a\nCHART: yes | bar\nb", "chart: YES|line", "CHART: none", "CHART: yes | pie"))), (c("event_id") % 4 + 1).cast("int"))
-    return load(spark, sf, "events").select("event_id", S.chart_type(raw).alias("chart"))
+    """The chart line stands after, before, or in the middle of what a turn says."""
+    line = F.when(c("turn") % 4 == 0, F.concat("text", F.lit("\nCHART: yes | bar\n"), "role")).when(c("turn") % 4 == 1, F.concat(F.lit("chart: YES|line\n"), "text"))
+    raw = line.when(c("turn") % 4 == 2, F.concat("text", F.lit("\nCHART: none"))).otherwise(F.concat("text", F.lit("\nCHART: yes | pie")))
+    return load(spark, sf, "conversations").select("conv_id", "turn", S.chart_type(raw).alias("chart"))
 
 
 @query("i20_errors", with_views("attempts", then="SELECT id, CASE WHEN error_type = '403' THEN 'safety_filter' WHEN error_type = 'timeout' THEN 'timeout' ELSE 'other' END AS class FROM attempts"))
@@ -135,14 +168,14 @@ def a17(spark, sf):
     return pages(spark, sf).where(low.contains("license") | low.contains("apache")).select("page_id").orderBy("page_id").limit(20)
 
 
-@query("a20_inverted_text", "SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS text FROM (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, list_filter(string_split_regex(substring(text, 1, 200), '\\s+'), lambda w: w <> '') AS w FROM documents)) GROUP BY 1")
+@query("a20_inverted_text", "SELECT doc_id, md5(string_agg(w, ' ' ORDER BY i)) AS digest FROM (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS w FROM documents)) GROUP BY 1")
 def a20(spark, sf):
-    """From (token, places) back to a text: an index of the heads of documents is built and undone; of several tokens at a
+    """From (token, places) back to a text: an index of whole documents is built and undone; of several tokens at a
     place the first wins."""
-    words = F.filter(F.split(F.substring("text", 1, 200), "\\s+"), lambda w: w != "")
+    words = F.filter(F.split("text", "\\s+"), lambda w: w != "")
     index = load(spark, sf, "documents").select("doc_id", F.posexplode(words).alias("i", "w")).groupBy("doc_id", "w").agg(F.collect_list("i").alias("places"))
     placed = index.select("doc_id", F.explode("places").alias("i"), "w").groupBy("doc_id", "i").agg(F.min("w").alias("w"))
-    return placed.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]), " ").alias("text"))
+    return placed.groupBy("doc_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "w"))), lambda x: x["w"]), " ").cast("binary")).alias("digest"))
 
 
 @query("a23_first_keyword", "SELECT doc_id, CASE WHEN contains(lower(text), 'license') THEN substring(text, instr(lower(text), 'license'), 7) WHEN contains(lower(text), 'the') THEN substring(text, instr(lower(text), 'the'), 3) ELSE substring(text, 1, 10) END AS word FROM documents")

@@ -39,7 +39,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from lexforge.plans import q_analytics, q_chunks, q_dedup, q_discovery, q_files, q_gates, q_merge, q_retrieval, q_scalars, q_telemetry  # noqa: F401
+    from lexforge.plans import q_analytics, q_chunks, q_dedup, q_discovery, q_files, q_gates, q_merge, q_records, q_retrieval, q_scalars, q_telemetry  # noqa: F401
 
 
 _load()

@@ -75,3 +75,22 @@ def snapshot(parts: Mapping[str, DataFrame]) -> DataFrame:
 def log_rows(events: DataFrame, run_id: str, details: Column) -> DataFrame:
     """Structured log rows of a run; details as JSON."""
     return events.select("ts", "level", "source", "action", F.to_json(details).alias("details_json"), F.lit(run_id).alias("run_id"))
+
+
+def pending_files(spark: SparkSession, path: str, extensions: tuple[str, ...], sidecars: DataFrame | None = None) -> DataFrame:
+    """(path, stem, size) of files with one of the extensions (none hidden) whose sidecar says that they are downloaded and no
+    more, or that have none. Contents are not read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("size"))
+    name = F.regexp_extract("path", "([^/]+)$", 1)
+    wanted = found.where(F.exists(F.array(*map(F.lit, extensions)), lambda e: F.endswith(F.lower(name), e)) & ~name.startswith("."))
+    stems = wanted.select("path", F.regexp_extract(name, "^(.+?)(\\.[^.]*)?$", 1).alias("stem"), "size")
+    if sidecars is None:
+        return stems
+    states = sidecars.select(F.regexp_extract(F.col("path"), "([^/]+)_metadata\\.json$", 1).alias("stem"), "status")
+    return stems.join(states, "stem", "left").where(F.coalesce("status", F.lit("downloaded")) == "downloaded").drop("status")
+
+
+def code_files(spark: SparkSession, path: str, pattern: str = "*.st") -> DataFrame:
+    """(folder, name, text) of source files; bytes that are no UTF-8 become U+FFFD."""
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    return raw.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
