@@ -60,8 +60,8 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, BLANKS_AROUND, "")
 
 
-def too_short(text: Column) -> Column:
-    return F.length(text) < MIN_CHARS
+def too_short(text: Column, min_chars: int = MIN_CHARS) -> Column:
+    return F.length(text) < min_chars
 
 
 def very_long(text: Column) -> Column:
@@ -94,11 +94,11 @@ def domain_share(text: Column, terms: Sequence[str] = DOMAIN_WORDS) -> Column:
     return sum((F.when(low.contains(t), 1).otherwise(0) for t in terms), F.lit(0)) / len(terms)
 
 
-def statistical(text: Column, language: Column, terms: Sequence[str] = DOMAIN_WORDS, languages: Sequence[str] = ("en",)) -> Column:
+def statistical(text: Column, language: Column, terms: Sequence[str] = DOMAIN_WORDS, languages: Sequence[str] = ("en",), min_chars: int = MIN_CHARS) -> Column:
     """The first gate that fails, null if none does. A null text has no characters."""
     t = F.coalesce(text, F.lit(""))
     return F.coalesce(
-        F.when(too_short(t), F.lit("length")),
+        F.when(too_short(t, min_chars), F.lit("length")),
         F.when(F.coalesce(diversity(t), F.lit(0.0)) < MIN_DIVERSITY, F.lit("token_diversity")),
         F.when(F.coalesce(boilerplate(t), F.lit(1.0)) > MAX_BOILERPLATE, F.lit("boilerplate")),
         F.when(~language.isin(*languages), F.lit("language")),
@@ -135,6 +135,40 @@ def rule_based(text: Column, noise: Sequence[str] = NOISE, phrases: Sequence[str
     )
 
 
+def audited(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """(id, failed_gate) of (id, failed), null failures and the ids of ``near`` being near-duplicates: the last gate."""
+    flagged = rows.join(near.select("id").withColumn("_near", F.lit(True)), "id", "left")
+    last = F.when(F.col("_near"), "near_duplicate").otherwise("pass")
+    return flagged.select("id", F.coalesce("failed", last).alias("failed_gate"))
+
+
+def reset(content: DataFrame, passed: DataFrame) -> DataFrame:
+    """Rows that pass again wait for the next gate: no reason, no flags."""
+    hit = content.join(passed.select("id").withColumn("_hit", F.lit(True)), "id", "left")
+    again = F.coalesce("_hit", F.lit(False))
+    new = {
+        "screening_status": F.when(again, "pending").otherwise(F.col("screening_status")),
+        "screening_reason": F.when(~again, F.col("screening_reason")),
+        "do_not_vectorize": F.when(again, False).otherwise(F.col("do_not_vectorize")),
+        "marked_for_deletion": F.when(again, False).otherwise(F.col("marked_for_deletion")),
+    }
+    return hit.withColumns(new).drop("_hit")
+
+
+def regated(content: DataFrame, text: Column) -> DataFrame:
+    """Rows that fail the rules get the gate's state: rejected, told why, no vectors wanted, to be deleted; others are left."""
+    failed = rule_based(text)
+    bad = F.col("_failed").isNotNull()
+    new = {
+        "screening_status": F.when(bad, "dq_rejected").otherwise(F.col("screening_status")),
+        "screening_reason": F.when(bad, F.concat(F.lit("[quality_gate] "), "_failed")).otherwise(F.col("screening_reason")),
+        "do_not_vectorize": F.when(bad, True).otherwise(F.col("do_not_vectorize")),
+        "vectorization_status": F.when(bad, "not_applicable").otherwise(F.col("vectorization_status")),
+        "marked_for_deletion": bad,
+    }
+    return content.withColumn("_failed", failed).withColumns(new).drop("_failed")
+
+
 def decided(content: DataFrame, decision: Column, confidence: Column) -> DataFrame:
     """Apply screening decisions to the state columns; without a decision a row stays as it is."""
     yes, no = decision == "approve", decision == "reject"

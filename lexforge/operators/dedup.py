@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,21 +31,38 @@ def md5_simhash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def banded_pairs(prints: DataFrame, distance: int) -> DataFrame:
-    """(a, b, distance), a < b: distinct fingerprints at Hamming ``distance`` or less. The 64 bits are cut into one band more
-    than that, so two of them share a band; each pair is verified and reported by its first shared band only."""
-    bands = distance + 1
-    width = -(-64 // bands)
-    masks = [((1 << min(width, 64 - i * width)) - 1) << (i * width) for i in range(bands)]
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    """(a, b, distance), a < b as signed numbers: distinct fingerprints at Hamming ``distance`` or less. The 64 bits are cut
+    into ``distance // 2 + 1`` segments; two such fingerprints differ by one bit at most in one of them, so each looks up all
+    values within one bit of its own in each segment, and what it finds is verified. A segment of 21 bits or more is shared
+    by chance by few, where bands of ``distance + 1`` would be shared by a part of the corpus."""
+    parts = distance // 2 + 1
+    cuts = [64 * i // parts for i in range(parts + 1)]
     distinct = prints.select("fp").distinct()
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("band", "value"))
-    other = keyed.withColumnRenamed("fp", "fp2")
-    first = F.lit(bands)
-    for i in reversed(range(bands)):
-        first = F.when(F.col("fp").bitwiseAND(F.lit(signed[i])) == F.col("fp2").bitwiseAND(F.lit(signed[i])), i).otherwise(first)
+    bits = lambda i: f"shiftrightunsigned(fp, {cuts[i]}) & {(1 << (cuts[i + 1] - cuts[i])) - 1}L"
+    own = ", ".join(f"struct({i} as seg, {bits(i)} as value)" for i in range(parts))
+    near = ", ".join(
+        f"transform(concat(array({bits(i)}), transform(sequence(0, {cuts[i + 1] - cuts[i] - 1}), x -> ({bits(i)}) ^ shiftleft(1L, x))), v -> struct({i} as seg, v as value))"
+        for i in range(parts)
+    )
+    table = distinct.select("fp", F.inline(F.expr(f"array({own})"))).withColumnRenamed("fp", "fp2")
+    probes = distinct.select("fp", F.inline(F.expr(f"concat({near})")))
     d = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2")))
-    found = keyed.join(other, ["band", "value"]).where((F.col("fp") < F.col("fp2")) & (d <= distance) & (first == F.col("band")))
-    return found.select(F.col("fp").alias("a"), F.col("fp2").alias("b"), d.cast("int").alias("distance"))
+    found = probes.join(table, ["seg", "value"]).where((F.col("fp") < F.col("fp2")) & (d <= distance))
+    return found.select(F.col("fp").alias("a"), F.col("fp2").alias("b"), d.cast("int").alias("distance")).distinct()
+
+
+def near_earlier(known: DataFrame, distance: int) -> DataFrame:
+    """(id) of the rows of (id, fp, registers) that have an earlier row, one that registers, within ``distance``: the outcome of
+    a registry that grows in the order of the ids. Of each fingerprint only its first such row matters. Zero is no
+    fingerprint."""
+    known = known.where("fp <> 0")
+    first = materialize(known.where("registers").groupBy("fp").agg(F.min("id").alias("first")))
+    pairs = materialize(banded_pairs(known, distance))
+    a, b = F.col("a"), F.col("b")
+    both = pairs.select(a.alias("fp"), b.alias("other")).unionByName(pairs.select(b.alias("fp"), a.alias("other")))
+    both = both.unionByName(known.select("fp", F.col("fp").alias("other")).distinct())
+    earliest = materialize(both.join(first.withColumnRenamed("fp", "other"), "other").groupBy("fp").agg(F.min("first").alias("first")))
+    return known.join(earliest, "fp").where("first < id").select("id")
 
 
 def clusters(prints: DataFrame, distance: int) -> DataFrame:
@@ -119,29 +135,32 @@ def jaccard_candidates(rows: DataFrame, threshold: float, scope: Sequence[str] =
 
 def leaders(rows: DataFrame, threshold: float, scope: Sequence[str] = ()) -> DataFrame:
     """(ord, keep): greedy clustering in the order of ``ord``: a row stays unless it is similar to one that stayed before it.
-
-    The order matters, but only along similar pairs: these are found by a prefix-filtered join and verified; their connected
-    components are independent of each other, and the pairs of one component are resolved in order in one task. Rows
-    without tokens stay."""
-    rows = materialize(rows)
-    sets = rows.select("ord", F.array_distinct("tokens").alias("s"))
-    pairs = jaccard_candidates(rows, threshold, scope)
+    Rows without tokens stay.
+
+    Equal token sets of a scope are one from the beginning, as all but the first of them go. Similar pairs of distinct sets
+    come from a prefix-filtered join and are verified. Then the order is settled in rounds over these pairs: a set without an
+    earlier undecided neighbour stays, its later neighbours go, and their pairs with them."""
+    tokens = F.array_sort(F.array_distinct("tokens"))
+    rows = materialize(rows.select(*scope, "ord", tokens.alias("tokens")))
+    full = rows.where(F.size("tokens") > 0)
+    firsts = materialize(full.groupBy(*scope, "tokens").agg(F.min("ord").alias("ord")))
+    sets = firsts.select("ord", F.col("tokens").alias("s"))
+    pairs = jaccard_candidates(firsts, threshold, scope)
     verified = pairs.join(sets.select(F.col("ord").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("ord").alias("b"), F.col("s").alias("sb")), "b")
-    similar = materialize(verified.where(jaccard(F.col("sa"), F.col("sb")) >= threshold).select("a", "b"))
-    groups = connected_components(similar.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    owned = similar.join(groups, similar.a == groups.node).select("component", "a", "b")
-
-    def resolve(found: pd.DataFrame) -> pd.DataFrame:
-        before: dict[int, list[int]] = {}
-        for a, b in zip(found["a"], found["b"], strict=True):
-            before.setdefault(b, []).append(a)
-        kept: dict[int, bool] = {}
-        for o in sorted({*found["a"], *found["b"]}):
-            kept[o] = not any(kept[x] for x in before.get(o, ()))
-        return pd.DataFrame({"ord": [o for o, k in kept.items() if not k]}, dtype="int64")
-
-    dropped = owned.groupBy("component").applyInPandas(resolve, "ord long")
-    return rows.select("ord").join(dropped.withColumn("gone", F.lit(True)), "ord", "left").select("ord", F.col("gone").isNull().alias("keep"))
+    live = materialize(verified.where(jaccard(F.col("sa"), F.col("sb")) >= threshold).select("a", "b"))
+    gone = []
+    while not live.isEmpty():
+        waits = live.select(F.col("b").alias("ord")).distinct()
+        stays = live.select(F.col("a").alias("ord")).distinct().join(waits, "ord", "left_anti")
+        drop = materialize(live.join(stays, F.col("a") == F.col("ord"), "left_semi").select("b").distinct())
+        gone.append(drop.select(F.col("b").alias("ord")))
+        rest = live.join(drop, "b", "left_anti").join(drop.select(F.col("b").alias("a")), "a", "left_anti")
+        live = materialize(rest.select("a", "b"))
+    stay = firsts.select("ord")
+    for drop in gone:
+        stay = stay.join(drop, "ord", "left_anti")
+    stay = stay.unionByName(rows.where(F.size("tokens") == 0).select("ord"))
+    return rows.select("ord").join(stay.withColumn("_keep", F.lit(True)), "ord", "left").select("ord", F.col("_keep").isNotNull().alias("keep"))
 
 
 def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -157,5 +176,3 @@ def best_of(rows: DataFrame, keys: Sequence[str], score: str, order: str) -> Dat
     best = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(F.col(score), -F.col(order))).alias("r"))
     return best.select(*keys, "r.*").select(rows.columns)
 
-
-Resolve = Callable[[pd.DataFrame], pd.DataFrame]

@@ -414,9 +414,9 @@ def d08(spark, sf):
     return all_.join(links, "content_hash", "left_semi").select("id").unionByName(all_.join(titles, "t", "left_semi").select("id")).distinct()
 
 
-@query("d13_signal_context", with_views("content", "signals", then="SELECT s.id, substring(c.transcript, 1, 40) AS excerpt FROM signals s JOIN content c ON s.source_content_id = c.id WHERE s.confidence >= 1"))
+@query("d13_signal_context", with_views("content", "signals", then="SELECT s.id, md5(c.transcript) AS transcript FROM signals s JOIN content c ON s.source_content_id = c.id"))
 def d13(spark, sf):
-    return signals(spark, sf).where("confidence >= 1").select("id", c("source_content_id").alias("cid")).join(content(spark, sf).select(c("id").alias("cid"), F.substring("transcript", 1, 40).alias("excerpt")), "cid").drop("cid")
+    return signals(spark, sf).select("id", c("source_content_id").alias("cid")).join(content(spark, sf).select(c("id").alias("cid"), F.md5(c("transcript").cast("binary")).alias("transcript")), "cid").drop("cid")
 
 
 @query("f02_keep_newest", with_views("content", then="SELECT id, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY created_at DESC, id DESC) AS r FROM content) WHERE r > 1"))

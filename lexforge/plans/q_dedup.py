@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lexforge.functions import gates as G
+from lexforge.functions import web as W
 from lexforge.operators import dedup as D
+from lexforge.plans.q_gates import BOILERPLATE, DIVERSITY, STATISTICAL
 from lexforge.plans.tables import load, materialize
 from lexforge.registry import query
 from lexforge.sources.views import view, with_views
 
 c = F.col
+VIEW_OF_CONTENT = with_views("content", then="SELECT 1").removesuffix("SELECT 1").rstrip()
 BITS = " | ".join(f"(CASE WHEN sum(CASE WHEN (h >> {b}) & 1 = 1 THEN 1 ELSE -1 END) > 0 THEN {'(1::UBIGINT << 63)' if b == 63 else f'{1 << b}::UBIGINT'} ELSE 0::UBIGINT END)" for b in range(64))
 PRINTS = f"""f0 AS (SELECT doc_id AS id, ('0x' || substring(md5(w), 17, 16))::UBIGINT AS h FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM documents)),
 f AS (SELECT d.doc_id AS id, coalesce(x.fp, 0::UBIGINT) AS fp FROM documents d LEFT JOIN (SELECT id, {BITS} AS fp FROM f0 GROUP BY id) x ON d.doc_id = x.id)"""
@@ -61,13 +65,68 @@ def k05(spark, sf):
 def k02(spark, sf):
     """Rows with an earlier row, one that passed the length gate, within 2 bits. Of each fingerprint only its first such row
     matters."""
-    docs = load(spark, sf, "documents").select(c("doc_id").alias("id"), F.length("text").alias("n"))
-    known = materialize(prints(spark, sf).join(docs, "id").where("fp <> 0"))
-    first = known.where("n >= 200").groupBy("fp").agg(F.min("id").alias("first"))
-    pairs = D.banded_pairs(known, 2)
-    both = pairs.select(c("a").alias("fp"), c("b").alias("other")).unionByName(pairs.select(c("b").alias("fp"), c("a").alias("other"))).unionByName(known.select("fp", c("fp").alias("other")).distinct())
-    earliest = both.join(first.withColumnRenamed("fp", "other"), "other").groupBy("fp").agg(F.min("first").alias("first"))
-    return known.join(earliest, "fp").where("first < id").select("id")
+    lengths = load(spark, sf, "documents").select(c("doc_id").alias("id"), (F.length("text") >= 200).alias("registers"))
+    return D.near_earlier(materialize(prints(spark, sf).join(lengths, "id")), 2)
+
+
+AUDIT = f"""WITH {PRINTS}, v AS (SELECT doc_id AS id, {STATISTICAL} AS failed FROM documents), g AS (SELECT v.id, v.failed, f.fp FROM v JOIN f ON f.id = v.id),
+nd AS (SELECT DISTINCT b.id FROM g b JOIN g a ON a.id < b.id AND a.failed IS NULL AND b.failed IS NULL AND a.fp <> 0 AND b.fp <> 0 AND bit_count(xor(a.fp, b.fp)) <= 2)"""
+
+
+def audit(spark, sf, min_chars=G.MIN_CHARS, only=None):
+    """Every gate over the documents, the last one against those that reached it before."""
+    rows = load(spark, sf, "documents")
+    rows = rows if only is None else rows.join(only, rows.doc_id == only.id, "left_semi")
+    judged = rows.select(c("doc_id").alias("id"), G.statistical(c("text"), c("lang"), min_chars=min_chars).alias("failed"))
+    own = D.md5_simhash(rows, "doc_id", "text")
+    judged = materialize(judged.join(own, "id"))
+    near = D.near_earlier(judged.where("failed is null").select("id", "fp", F.lit(True).alias("registers")), 2)
+    return G.audited(judged.select("id", "failed"), near)
+
+
+@query("j07_audit", AUDIT + " SELECT g.id, coalesce(g.failed, CASE WHEN nd.id IS NOT NULL THEN 'near_duplicate' ELSE 'pass' END) AS failed_gate FROM g LEFT JOIN nd ON nd.id = g.id")
+def j07(spark, sf):
+    return audit(spark, sf)
+
+
+@query(
+    "j16_rescreen",
+    VIEW_OF_CONTENT
+    + AUDIT.replace("WITH ", ", ", 1).replace(f"length(text) < {G.MIN_CHARS}", "length(text) < 100").replace("FROM documents), g AS", "FROM documents WHERE doc_id IN (SELECT id FROM content WHERE screening_status = 'dq_rejected' AND extraction_status = 'completed')), g AS")
+    + """, p AS (SELECT g.id FROM g LEFT JOIN nd ON nd.id = g.id WHERE g.failed IS NULL AND nd.id IS NULL)
+    SELECT c.id, CASE WHEN p.id IS NULL THEN c.screening_status ELSE 'pending' END AS screening_status, CASE WHEN p.id IS NULL THEN coalesce(c.screening_reason, '') ELSE '' END AS screening_reason FROM content c LEFT JOIN p ON p.id = c.id""",
+)
+def j16(spark, sf):
+    """Rejects of the gates, all of them run again with a lower bound on the length; those that pass wait for the next gate."""
+    content = view(spark, sf, "content").select("id", "screening_status", "screening_reason", "extraction_status", "do_not_vectorize", F.lit(True).alias("marked_for_deletion"))
+    again = content.where((c("screening_status") == "dq_rejected") & (c("extraction_status") == "completed")).select("id")
+    passed = audit(spark, sf, 100, again).where("failed_gate = 'pass'")
+    return G.reset(content, passed).select("id", "screening_status", F.coalesce("screening_reason", F.lit("")).alias("screening_reason"))
+
+
+@query(
+    "j19_two_texts",
+    f"""WITH {PRINTS}, a AS (SELECT doc_id, text, lang FROM documents), b AS (SELECT doc_id, replace(text, chr(10), ' ') AS text, lang FROM documents)
+    SELECT a.doc_id, length(a.text) AS chars_a, length(b.text) AS chars_b, x.bp AS boilerplate_a, y.bp AS boilerplate_b, x.di AS diversity_a, y.di AS diversity_b, x.failed AS failed_a, y.failed AS failed_b, lpad(lower(to_hex(f.fp)), 16, '0') AS print_a, lpad(lower(to_hex(f.fp)), 16, '0') AS print_b
+    FROM a JOIN b ON a.doc_id = b.doc_id JOIN f ON f.id = a.doc_id
+    JOIN (SELECT doc_id, coalesce(round({BOILERPLATE}, 9), -1) AS bp, coalesce(round({DIVERSITY}, 9), -1) AS di, coalesce({STATISTICAL}, 'pass') AS failed FROM a) x ON x.doc_id = a.doc_id
+    JOIN (SELECT doc_id, coalesce(round({BOILERPLATE}, 9), -1) AS bp, coalesce(round({DIVERSITY}, 9), -1) AS di, coalesce({STATISTICAL}, 'pass') AS failed FROM b) y ON y.doc_id = a.doc_id""",
+)
+def j19(spark, sf):
+    """Two extractions of a document (with and without its line ends) side by side: both gates' figures, verdicts and prints."""
+    docs = load(spark, sf, "documents").select("doc_id", "text", "lang")
+
+    def side(tag, text):
+        t = docs.withColumn("text", text)
+        ratio = lambda x: F.coalesce(F.round(x, 9), F.lit(-1.0))
+        own = t.select(
+            "doc_id", F.length("text").cast("long").alias(f"chars_{tag}"), ratio(G.boilerplate(c("text"))).alias(f"boilerplate_{tag}"),
+            ratio(G.diversity(c("text"))).alias(f"diversity_{tag}"), F.coalesce(G.statistical(c("text"), c("lang")), F.lit("pass")).alias(f"failed_{tag}"),
+        )
+        fp = D.md5_simhash(t, "doc_id", "text").select(c("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias(f"print_{tag}"))
+        return own.join(fp, "doc_id")
+
+    return side("a", c("text")).join(side("b", F.replace("text", F.lit("\n"), F.lit(" "))), "doc_id")
 
 
 @query("k07_exact_new", "SELECT doc_id AS id FROM (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS r FROM documents WHERE doc_id % 2 = 1) n WHERE r = 1 AND md5(text) NOT IN (SELECT md5(text) FROM documents WHERE doc_id % 2 = 0)")
@@ -99,16 +158,22 @@ def k10(spark, sf):
 
 @query("k10_document_heads")
 def k10_heads(spark, sf):
-    """Greedy by id over the first words of documents."""
-    heads = load(spark, sf, "documents").select(c("doc_id").alias("ord"), D.tokens(F.substring("text", 1, 60)).alias("tokens"))
+    """Greedy by id over the words of whole documents."""
+    heads = load(spark, sf, "documents").select(c("doc_id").alias("ord"), D.tokens(c("text")).alias("tokens"))
     return D.leaders(heads, 0.85).where("not keep").select("ord")
 
 
-@query("k09_candidate_stages", "SELECT 'found' AS stage, count(*) AS n FROM pages UNION ALL SELECT 'url unique', count(DISTINCT lower(url)) FROM pages")
+@query("k09_candidate_stages")
 def k09(spark, sf):
-    """Counts of the first stages of candidate dedup."""
-    pages = view(spark, sf, "candidates").withColumn("u", F.lower("url"))
-    return pages.agg(F.count(F.lit(1)).alias("a"), F.countDistinct("u").alias("b")).select(F.expr("stack(2, 'found', a, 'url unique', b) as (stage, n)"))
+    """Candidates left at each stage of their dedup: all, of distinct URLs, not known (here every tenth page is), of titles
+    that are not alike."""
+    pages = view(spark, sf, "candidates").select("ord", W.normalize_url("url").alias("u"), "title")
+    known = pages.where("ord % 10 = 0").select("u")
+    first = D.first_seen(pages, "u", "ord")
+    new = materialize(first.join(known, "u", "left_anti"))
+    titles = D.leaders(new.select("ord", D.tokens(F.coalesce("title", F.lit(""))).alias("tokens")), 0.85).where("keep")
+    counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("stage"), "n") for name, df in (("found", pages), ("url unique", first), ("new", new), ("title unique", titles))]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
 
 
 NORMAL = "regexp_replace(lower(entity), '[^a-z0-9]', '', 'g')"

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from lexforge.operators import aggregates as A
+from lexforge.operators import retrieval as N
+from lexforge.plans.q_retrieval import BM25, asked, docs
 from lexforge.plans.tables import checkpoint_dir, load
 from lexforge.registry import query
 from lexforge.sources import files as S
@@ -120,12 +122,17 @@ def x19(spark, sf):
     return parts.select(F.array_join(F.transform("p", lambda x: F.concat_ws(" ", (-x["m"]).cast("string"), x["content_type"])), ", ").alias("line"))
 
 
-@query("x20_context", with_views("content", then="SELECT source_name, md5(string_agg('[' || title || ']' || chr(10) || substring(transcript, 1, 2000), chr(10) || '---' || chr(10) ORDER BY id)) AS digest FROM content WHERE id < 200 GROUP BY 1"))
+@query(
+    "x20_context",
+    f"WITH {BM25} SELECT qid, md5(string_agg('[' || source || ']' || chr(10) || substring(text, 1, 2000), chr(10) || '---' || chr(10) ORDER BY rank)) AS digest FROM bm JOIN documents d ON d.doc_id = bm.doc_id WHERE rank < 5 GROUP BY 1",
+)
 def x20(spark, sf):
-    """Titles and excerpts of each source's first documents, as one context."""
-    text = F.concat(F.lit("["), "title", F.lit("]\n"), F.substring("transcript", 1, 2000))
-    rows = view(spark, sf, "content").where("id < 200").groupBy("source_name").agg(F.array_sort(F.collect_list(F.struct("id", text.alias("t")))).alias("p"))
-    return rows.select("source_name", F.md5(F.array_join(F.transform("p", lambda x: x["t"]), "\n---\n").cast("binary")).alias("digest"))
+    """Sources and excerpts of each passage's best five documents, in their order, as one context."""
+    hits = N.bm25(docs(spark, sf), asked(spark, sf), 5)
+    text = F.concat(F.lit("["), "source", F.lit("]\n"), F.substring("text", 1, 2000)).alias("t")
+    rows = docs(spark, sf).join(N.few(hits), "doc_id").select("qid", F.struct("rank", text).alias("p"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["t"]), "\n---\n")
+    return rows.groupBy("qid").agg(F.md5(joined.cast("binary")).alias("digest"))
 
 
 @query("x21_sources_if_used", with_views("content", then="SELECT id, CASE WHEN id % 2 = 0 THEN source_name ELSE '' END AS sources FROM content"))

@@ -92,17 +92,23 @@ def j14(spark, sf):
     return docs(spark, sf).select("doc_id", F.coalesce(G.rule_based(F.col("text")), F.lit("pass")).alias("failed_rule"))
 
 
-@query("j15_retroactive_gate", with_views("content", then=f"SELECT failed_rule, count(*) AS n FROM (SELECT coalesce({RULES}, 'pass') AS failed_rule FROM (SELECT transcript AS text FROM content WHERE screening_status NOT IN ('rejected', 'dq_rejected'))) GROUP BY 1"))
-def j15(spark, sf):
-    """Rows that were not rejected, judged again."""
-    scope = view(spark, sf, "content").where(~F.col("screening_status").isin("rejected", "dq_rejected"))
-    return scope.groupBy(F.coalesce(G.rule_based(F.col("transcript")), F.lit("pass")).alias("failed_rule")).agg(F.count(F.lit(1)).alias("n"))
+SCOPES = {"unscreened": "screening_status = 'pending'", "non_rejected": "screening_status NOT IN ('rejected', 'dq_rejected')", "all": "true"}
+JUDGED = with_views("content", then=f"SELECT id, screening_status, coalesce(screening_reason, '') AS screening_reason, {rules('transcript')} AS failed FROM content")
 
 
-@query("j16_rescreen", with_views("content", then="SELECT id FROM content WHERE screening_status = 'dq_rejected' AND length(transcript) >= 100"))
-def j16(spark, sf):
-    """Rejects of the gate that pass it with a lower bound go back to pending."""
-    return view(spark, sf, "content").where((F.col("screening_status") == "dq_rejected") & (F.length("transcript") >= 100)).select("id")
+@query(
+    "j15_retroactive_gate",
+    f"WITH j AS ({JUDGED}) " + " UNION ALL ".join(f"SELECT '{name}' AS scope, id, CASE WHEN failed IS NULL THEN screening_status ELSE 'dq_rejected' END AS screening_status, CASE WHEN failed IS NULL THEN screening_reason ELSE concat('[quality_gate] ', failed) END AS screening_reason FROM j WHERE {scope}" for name, scope in SCOPES.items()),
+)
+def j15(spark, sf):
+    """Rows of each of the three scopes, judged again: what passes is left as it is, what fails is rejected and told why."""
+    content = view(spark, sf, "content")
+    out = None
+    for name, scope in SCOPES.items():
+        again = G.regated(content.where(scope), F.col("transcript"))
+        row = again.select(F.lit(name).alias("scope"), "id", "screening_status", F.coalesce("screening_reason", F.lit("")).alias("screening_reason"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("j18_decisions", with_views("content", then="SELECT c.id, CASE WHEN b.quality = 1 THEN 'approved' WHEN b.quality = 0 THEN 'rejected' ELSE c.screening_status END AS screening_status, CASE WHEN b.quality = 0 THEN 'not_applicable' ELSE c.vectorization_status END AS vectorization_status, coalesce(b.quality = 0, false) AS marked_for_deletion FROM content c LEFT JOIN labels b ON c.id = b.doc_id"))
@@ -111,10 +117,3 @@ def j18(spark, sf):
     labels = load(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "approve").otherwise("reject").alias("decision"))
     joined = view(spark, sf, "content").join(labels, "id", "left")
     return G.decided(joined, F.col("decision"), F.lit(1.0)).select("id", "screening_status", "vectorization_status", "marked_for_deletion")
-
-
-@query("j19_two_texts", "SELECT doc_id, length(text) AS chars_a, length(replace(text, chr(10), ' ')) AS chars_b, CAST(len(string_split(text, chr(10))) - len(string_split(replace(text, chr(10), ' '), chr(10))) AS DOUBLE) AS lines_lost FROM documents")
-def j19(spark, sf):
-    """Two extractions of a document side by side."""
-    b = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
-    return docs(spark, sf).select("doc_id", F.length("text").cast("long").alias("chars_a"), F.length(b).cast("long").alias("chars_b"), (F.size(F.split("text", "\n")) - F.size(F.split(b, "\n"))).cast("double").alias("lines_lost"))

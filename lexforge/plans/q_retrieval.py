@@ -207,9 +207,9 @@ def p02(spark, sf):
     return P.clustered(vectors(spark, sf).select(c("doc_id").alias("id"), N.normalised(c("v")).alias("v")), range(6, 15))
 
 
-@query("p03_labels", "SELECT source AS cluster, string_agg(upper(substring(w, 1, 1)) || substring(w, 2), ' / ' ORDER BY n DESC, w) AS label FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, w) AS r FROM (SELECT source, w, count(*) AS n FROM (SELECT source, unnest(string_split_regex(lower(substring(text, 1, 60)), '[^\\p{L}]+')) AS w FROM documents) WHERE length(w) > 3 AND w NOT IN ('the','and','for','with','that','this','are','was','from') GROUP BY ALL)) WHERE r <= 2 GROUP BY 1")
+@query("p03_labels", "SELECT source AS cluster, string_agg(upper(substring(w, 1, 1)) || substring(w, 2), ' / ' ORDER BY n DESC, w) AS label FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, w) AS r FROM (SELECT source, w, count(*) AS n FROM (SELECT source, unnest(string_split_regex(lower(text), '[^\\p{L}]+')) AS w FROM documents) WHERE length(w) > 3 AND w NOT IN ('the','and','for','with','that','this','are','was','from') GROUP BY ALL)) WHERE r <= 2 GROUP BY 1")
 def p03(spark, sf):
-    return P.labels(docs(spark, sf).select(c("source").alias("cluster"), F.substring("text", 1, 60).alias("title")), STOP)
+    return P.labels(docs(spark, sf).select(c("source").alias("cluster"), c("text").alias("title")), STOP)
 
 
 @query("p05_projection")
