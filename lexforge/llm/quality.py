@@ -5,7 +5,7 @@ repeated. A bounded sample of labelled rows gives preference pairs, a good docum
 differences of their features fits the weights. The cut is a quantile of the sample's strengths, the one that parts its
 labels best, and strengths are mapped to scores so that it lies at the threshold.
 
-Rows: null and empty texts have the features of no text; repeated rows are scored alike; without labelled rows of both
+Rows: a null id is in no fold, so never held out; null and empty texts have the features of no text; repeated rows are scored alike; without labelled rows of both
 kinds every document scores 1 (0 if all are bad); an empty table gives an empty table; other columns are no inputs.
 """
 
@@ -98,7 +98,7 @@ def fit(rows: DataFrame) -> Model:
     spread = x.std(axis=0) + 1e-3
     w = bradley_terry((x - x.mean(axis=0)) / spread, good) / spread
     strength = x @ w
-    options = np.quantile(strength, np.linspace(0.002, 0.6, 300))
+    options = np.quantile(strength, np.linspace(0.002, 0.998, 499))
     right = [(good & (strength >= c)).sum() + (~good & (strength < c)).sum() for c in options]
     best = np.flatnonzero(np.array(right) == max(right))
     cut = float(options[best[len(best) // 2]])
@@ -125,4 +125,4 @@ def classify(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0,
     """(doc_id, held_out, score, predicted) with a model that never saw the labels of the held-out fold."""
     model = train(docs, labels, fold(F.col("doc_id"), folds) != held)
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score(F.col("text"), model).alias("score"))
-    return scored.select("doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

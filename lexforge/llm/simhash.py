@@ -68,10 +68,13 @@ def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     low, high = "fp & 4294967295L", "shiftrightunsigned(fp, 32)"
     table = distinct.select("fp", F.explode(F.expr(f"array(struct(0 as seg, {low} as val), struct(1 as seg, {high} as val))")).alias("s")).select("fp", "s.seg", "s.val")
     crowded = materialize(table.groupBy("seg", "val").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("seg", "val"))
-    balls = distinct.select("fp", F.explode(F.expr(f"concat(transform({_ball(low, 32)}, v -> struct(0 as seg, v as val)), transform({_ball(high, 32)}, v -> struct(1 as seg, v as val)))")).alias("s"))
-    probes = balls.select("fp", "s.seg", "s.val")
-    sparse = table.join(crowded, ["seg", "val"], "left_anti").withColumnRenamed("fp", "other")
+    ball = f"concat(transform({_ball(low, 32)}, v -> struct(0 as seg, v as val)), transform({_ball(high, 32)}, v -> struct(1 as seg, v as val)))"
+    probes = distinct.select("fp", F.inline(F.expr(ball)))
+    crowds = not crowded.isEmpty()
+    sparse = (table.join(crowded, ["seg", "val"], "left_anti") if crowds else table).withColumnRenamed("fp", "other")
     found = probes.join(sparse, ["seg", "val"]).where("fp < other and bit_count(fp ^ other) <= 2").select(F.col("fp").alias("src"), F.col("other").alias("dst"))
+    if not crowds:
+        return found.distinct()
     near_crowd = probes.join(crowded, ["seg", "val"], "left_semi").select("fp").distinct()
     points = near_crowd.select("fp", F.explode(F.expr(_ball("fp", 64))).alias("point"))
     least = points.groupBy("point").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1")  # 65 at most
@@ -84,8 +87,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", t
     be reached over links, itself included; n_links the number of other distinct fingerprints in the component."""
     prints = materialize(fingerprints(docs, shingle, id_col, text_col))
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    groups = connected_components(links(distinct.select("fp"), hot))
-    rooted = distinct.join(groups, distinct.fp == groups.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    roots = rooted.groupBy("root").agg(F.min("first").alias("component_id"), (F.count(F.lit(1)) - 1).alias("n_links"))
-    member = rooted.join(roots, "root").select("fp", "component_id", "n_links")
+    groups = materialize(connected_components(links(distinct.select("fp"), hot)))
+    # both sides of a join on a fingerprint or a root that many share come from written tables, so that its rows can be split
+    rooted = materialize(distinct.join(groups, distinct.fp == groups.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("root")))
+    roots = materialize(rooted.groupBy("root").agg(F.min("first").alias("component_id"), (F.count(F.lit(1)) - 1).alias("n_links")))
+    member = materialize(rooted.join(roots, "root").select("fp", "component_id", "n_links"))
     return prints.join(member, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_links")

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexforge.plans.tables import ship
+
 #: The code points that part words.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -26,6 +28,7 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
             for at in range(0, batch.num_rows, rows):
                 yield pa.RecordBatch.from_pydict(each(batch.slice(at, rows)))
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

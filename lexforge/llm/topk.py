@@ -4,7 +4,8 @@ each tile, and a tree of merges of the partial lists.
 Vectors become integers, floor(scale * x). Rows that are null or hold null or non-finite components take no part;
 vectors are compared with those of their own length only. Candidates of a query's own id are left out. Ties go to the
 smaller id; repeated candidate rows each compete; queries that are equal in id and vector are one. A query without any
-candidate has no rows; an empty table gives an empty table.
+candidate has no rows; an empty table gives an empty table; other columns are ignored, whatever their names. Scores that
+might not fit into a long are an error.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +23,12 @@ from lexforge.plans.tables import materialize
 
 #: Vectors in a candidate shard, about as many in a query block, and partial lists in one merge.
 SHARD_ROWS, BLOCK_ROWS, FAN_IN = 4096, 1024, 32
+#: Groups of shards that a query block is sent to.
+GROUPS = 64
 #: Inner products whose terms stay below this are exact in doubles.
 EXACT = float(1 << 52)
+#: Beyond this an inner product may not fit into a long: that is refused, never wrapped.
+LARGEST = float(1 << 63)
 
 
 def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -41,6 +47,8 @@ def _products(queries: np.ndarray, shard: np.ndarray) -> np.ndarray:
     reach = float(np.abs(queries).max(initial=0)) * float(np.abs(shard).max(initial=0)) * max(1, shard.shape[1])
     if reach < EXACT:
         return (queries.astype(np.float64) @ shard.astype(np.float64).T).astype(np.int64)
+    if reach >= LARGEST:
+        raise OverflowError("inner products do not fit into 64 bits; take a smaller scale")
     return queries @ shard.T
 
 
@@ -76,7 +84,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: int = 256, id_col
                     part = rows[at : at + SHARD_ROWS]
                     data = values[starts[part][:, None] + np.arange(dim)].astype(np.int64).tobytes()
                     out["dim"].append(int(dim))
-                    out["shard"].append(int(ids[part[0]]) * 31 + int(ids[part[-1]]))
+                    out["shard"].append(xxhash.xxh64_intdigest(ids[part].tobytes() + data) >> 1)
                     out["ids"].append(ids[part].tobytes())
                     out["values"].append(data)
             return {"dim": pa.array(out["dim"], pa.int32()), "shard": pa.array(out["shard"], pa.int64()), "ids": pa.array(out["ids"], pa.binary()), "values": pa.array(out["values"], pa.binary())}
@@ -84,7 +92,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int, scale: int = 256, id_col
         return each
 
     shard = map_arrow(sound, shards, "dim int, shard long, ids binary, values binary")
-    tiles = shard.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(block, ["block", "dim"])
+    # a block meets the shards in groups, so that where it is not broadcast its tiles are dealt over GROUPS tasks
+    met = block.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(GROUPS - 1)))) if blocks > 1 else block.withColumn("group", F.lit(0))
+    number = F.pmod(F.col("shard"), F.lit(GROUPS)).cast("int") if blocks > 1 else F.lit(0)
+    tiles = shard.withColumn("group", number).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(met, ["block", "group", "dim"])
 
     def products() -> Callable:
         def each(batch: pa.RecordBatch) -> dict:

@@ -117,7 +117,7 @@ def test_label_model_discounts_copies():
     good = [np.where(rng.random(4000) < 0.85, y, ~y) for _ in range(3)]
     weak = np.where(rng.random(4000) < 0.6, y, ~y)
     votes = np.column_stack([*good, weak, weak, weak, weak]).astype(float)
-    q, rates = toxicity.label_model(votes, np.column_stack(good).mean(axis=1))
+    q, rates = toxicity.label_model(np.column_stack([votes, 1 - votes]), np.column_stack(good).mean(axis=1))
     assert ((q > 0.5) == y).mean() > 0.9
     assert (rates[1][:3] > rates[0][:3] + 0.4).all()
 
