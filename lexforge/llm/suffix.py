@@ -42,8 +42,8 @@ from lexforge.plans.tables import materialize
 SPAN = 200
 #: Bytes of text in a block, bytes of text for each task that sorts ranks, and positions that are hashed at a time.
 BLOCK, SORTED, STEP = 1 << 20, 8 << 20, 1 << 17
-#: Multiplier of the polynomial, and the seed of the byte values.
-BASE, SEED = 0x9E3779B97F4A7C15, 5
+#: Multipliers of the two polynomials, and the seed of their byte values.
+BASES, SEED = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), 5
 
 SHARED, ENDS, SENT = 1, 2, 4
 
@@ -55,11 +55,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @functools.cache
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Values of the bytes, and powers of the base and of its inverse."""
-    values = np.random.default_rng(SEED).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    inverse = pow(BASE, -1, 1 << 64)
-    return values, np.cumprod(np.full(n, BASE, np.uint64)), np.cumprod(np.full(n, inverse, np.uint64))
+def _tables(n: int, name: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a polynomial: values of the bytes, and powers of its base and of the inverse."""
+    values = np.random.default_rng(SEED + name).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    inverse = pow(BASES[name], -1, 1 << 64)
+    return values, np.cumprod(np.full(n, BASES[name], np.uint64)), np.cumprod(np.full(n, inverse, np.uint64))
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -86,9 +86,9 @@ class Block:
         edges = np.clip(self.bounds[first : last + 1], lo, hi)
         return np.repeat(self.bounds[first:last], np.diff(edges)), np.repeat(self.bounds[first + 1 : last + 1], np.diff(edges))
 
-    def _sums(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-        """Prefix sums of the polynomial over [lo, hi), and what brings a part of it to its own start."""
-        values, powers, inverses = _tables(STEP + 4 * self.span)
+    def _sums(self, lo: int, hi: int, name: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Prefix sums of a polynomial over [lo, hi), and what brings a part of it to its own start."""
+        values, powers, inverses = _tables(STEP + 4 * self.span, name)
         part = values[self.bytes[lo:hi]] * powers[: hi - lo]
         return np.concatenate([np.zeros(1, np.uint64), np.cumsum(part)]), inverses
 
@@ -114,23 +114,24 @@ class Block:
             left = np.maximum(at - (width - 1), begin[at] - lo)
             right = np.minimum(at + span, end[at] - lo)
             around = mix((sums[right] - sums[left]) * inverses[left]) + ((right - left) * 1024 + at - left).astype(np.uint64)
-            found.append((at + lo, left + lo, right + lo, mix(rank[at] * np.uint64(BASE)), around))  # anchors' ranks are small: spread again
+            found.append((at + lo, left + lo, right + lo, mix(rank[at] * np.uint64(BASES[0])), around))  # anchors' ranks are small: spread again
         empty = np.zeros(0, np.int64)
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64))
 
-    def ranks(self, places: np.ndarray) -> np.ndarray:
-        """At ``span``, of the given ascending positions: the pair of the ranks at half of it."""
-        out = np.zeros(len(places), np.uint64)
+    def ranks(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """At ``span``, of the given ascending positions: the pair of the ranks at half of it, by two polynomials."""
+        out = np.zeros((2, len(places)), np.uint64)
         for base in range(0, len(self.bytes), STEP):
             first, last = np.searchsorted(places, [base, base + STEP])
             if first == last:
                 continue
-            sums, inverses = self._sums(base, min(len(self.bytes), base + STEP + self.span))
             at = places[first:last] - base
-            near = mix((sums[at + self.half] - sums[at]) * inverses[at])
-            further = mix((sums[at + self.span] - sums[at + self.half]) * inverses[at + self.half])
-            out[first:last] = mix(near * np.uint64(0xD6E8FEB86659FD93) + further)
-        return out
+            for name in (0, 1):
+                sums, inverses = self._sums(base, min(len(self.bytes), base + STEP + self.span), name)
+                near = mix((sums[at + self.half] - sums[at]) * inverses[at])
+                further = mix((sums[at + self.span] - sums[at + self.half]) * inverses[at + self.half])
+                out[name, first:last] = mix(near * np.uint64(0xD6E8FEB86659FD93) + further)
+        return out[0], out[1]
 
 
 def _distinct(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -173,9 +174,9 @@ def _messages(batch: int, ranges: int, twice: np.ndarray, *columns: np.ndarray)
             yield int(part[lo]), batch, b"".join([*(c[lo:hi].tobytes() for c in columns), twice[lo:hi].tobytes()])
 
 
-def _answer(payloads: pd.DataFrame, columns: int) -> pd.DataFrame:
-    """For each rank of each block: whether it (all columns) is elsewhere, too; with two columns also whether repeats end
-    there, and whether this block goes on for it."""
+def _answer(payloads: pd.DataFrame, ends: bool, columns: int = 2) -> pd.DataFrame:
+    """For each rank of each block: whether it (both columns) is elsewhere, too; with ``ends`` also whether repeats end there,
+    as other ranks share the first column and are not all repeated, and whether this block goes on for it."""
     payloads = payloads.sort_values("batch", kind="stable")
     sizes = np.array([len(p) // (8 * columns + 1) for p in payloads["payload"]])
     ranks = [np.concatenate([np.frombuffer(p, np.uint64, n, 8 * n * i) for p, n in zip(payloads["payload"], sizes, strict=True)]) for i in range(columns)]
@@ -184,7 +185,7 @@ def _answer(payloads: pd.DataFrame, columns: int) -> pd.DataFrame:
     shared = several.copy()
     shared[number[twice]] = True
     out = shared[number].astype(np.uint8) * SHARED
-    if columns == 2:
+    if ends:
         _, group, _ = _distinct(ranks[0][first])
         kinds = np.bincount(group)
         alone = np.bincount(group, weights=~shared) > 0
@@ -196,11 +197,11 @@ def _answer(payloads: pd.DataFrame, columns: int) -> pd.DataFrame:
     return pd.DataFrame({"batch": payloads["batch"].to_numpy(), "range": payloads["range"].to_numpy(), "answer": [out[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]})
 
 
-def _asked(messages: DataFrame, columns: int, name: str) -> DataFrame:
+def _asked(messages: DataFrame, ends: bool, name: str) -> DataFrame:
     """(batch, answers in the order of the ranges) of (range, batch, payload)."""
 
     def sort(payloads: pd.DataFrame) -> pd.DataFrame:
-        return _answer(payloads, columns)
+        return _answer(payloads, ends)
 
     answered = messages.groupBy("range").applyInPandas(sort, "batch long, range int, answer binary")
     return answered.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("range", "answer"))).alias(name))
@@ -281,8 +282,8 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", te
             for row in _rows(batch):
                 block = _block(row, span)
                 ranks = block.ranks(Anchors(block).ends(block, _joined(row["pairs"])))
-                one, _, twice = _distinct(ranks)
-                found += _messages(row["batch"].as_py(), ranges, twice, ranks[one])
+                one, _, twice = _distinct(*ranks)
+                found += _messages(row["batch"].as_py(), ranges, twice, *(r[one] for r in ranks))
             return told(found)
 
         return each
@@ -296,7 +297,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", te
                 a = Anchors(block)
                 pairs = _joined(row["pairs"])
                 places = a.ends(block, pairs)
-                _, number, _ = _distinct(block.ranks(places))
+                _, number, _ = _distinct(*block.ranks(places))
                 starts = places[_joined(row["strings"])[number] & SHARED > 0]
                 edges = np.zeros(len(block.bytes) + 1, np.int32)
                 repeated = (pairs[a.number] & SHARED) > 0
@@ -327,8 +328,8 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", te
         return each
 
     data = whole.select("batch", "sizes", "data")
-    pairs = materialize(_asked(map_arrow(data, first, "range int, batch long, payload binary", rows=8), 2, "pairs"))
+    pairs = materialize(_asked(map_arrow(data, first, "range int, batch long, payload binary", rows=8), True, "pairs"))
     further = map_arrow(data.join(pairs, "batch", "left"), second, "range int, batch long, payload binary", rows=8)
-    strings = _asked(further, 1, "strings")
+    strings = _asked(further, False, "strings")
     both = whole.select("batch", "ids", "sizes", "data").join(pairs, "batch", "left").join(strings, "batch", "left")
     return map_arrow(both, last, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept binary", rows=8)
