@@ -51,20 +51,74 @@ def test_mixing_odd_rows(spark, monkeypatch):
     assert mixing.held_out_scores(empty_docs(spark)).count() == 0
 
 
-def test_mixing_is_a_distribution():
-    """Probabilities of all symbols after any text sum to one: the tree's do at every node."""
+def small_model():
     words = [b"", b"a", b"b", b"c", b"d"]
     tree = mixing.Tree.of(words, [9, 5, 4, 2, 1], 3)
-    tables = np.random.default_rng(1).normal(size=(mixing.CONTEXTS, mixing.SLOTS)).astype(np.float32)
-    model = mixing.Model(tree, np.array([9, 5, 4, 2, 1]), 24, 8, tables, np.full((4 * mixing.DEPTHS, mixing.CONTEXTS + 2), 0.3))
-    symbols = mixing.Symbols(tree)
-    start = model.log_odds(["a b"], symbols)[4][0]
-    nexts = [model.log_odds([f"a b {w}"], symbols)[4][0] for w in ("a", "b", "c", "d", "rare")]
-    # the text that ends and those that go on share the beginning; taking their last token off is not possible from totals,
-    # but each total is a log-probability
-    assert all(x < 0 for x in [start, *nexts])
-    lengths = tree.length.tolist()
-    assert sum(2.0**-n for n in lengths) == 1.0
+    rng = np.random.default_rng(1)
+    tables = rng.normal(size=(mixing.CONTEXTS, 1 << 8)).astype(np.float32)
+    weights = rng.normal(0.3, 0.1, (4 * mixing.DEPTHS, mixing.CONTEXTS + 2))
+    return mixing.Model(tree, np.array([9, 5, 4, 2, 1]), 24, 8, tables, weights)
+
+
+def test_mixing_is_a_distribution():
+    """After any tokens, the probabilities of all that may come next (the end and the escape included) sum to one."""
+    model = small_model()
+    symbols = mixing.Symbols(model.tree)
+    for before in ("", "a", "a b", "d rare c a a a", "b " * 2000):
+        total = 0.0
+        for last in ("", "a", "b", "c", "d", "rare"):
+            x, sizes = symbols.of([f"{before} {last}"])
+            at = len(before.split())
+            total += math.exp(model.token_logs(x, sizes, symbols.escape)[at])
+        assert abs(total - 1) < 1e-4
+
+
+def plain_scores(model, texts, rate):
+    """The model's logarithms, token by token and bit by bit."""
+    symbols, out = mixing.Symbols(model.tree), []
+    for text in texts:
+        x, sizes = symbols.of([text])
+        first = np.zeros(len(x), bool)
+        first[0] = True
+        hashes = mixing.context_hashes(x, first, symbols.escape)
+        total, correction = 0.0, np.zeros(mixing.CONTEXTS)
+        for t in range(len(x)):
+            if t % mixing.SEGMENT == 0:
+                correction = np.zeros(mixing.CONTEXTS)
+            steps, lengths = mixing.events(model.tree, x[t : t + 1])
+            change = np.zeros(mixing.CONTEXTS)
+            for i in range(lengths[0]):
+                node, bit = steps["node"][i : i + 1], int(steps["bit"][i])
+                own = [float(model.tables[k][mixing.slots(hashes[k][t : t + 1], np.array([1]), node, 8)[0]]) for k in range(mixing.CONTEXTS)]
+                s = [*own, float(steps["odds"][i]), 0.3]
+                gate = int(steps["depth"][i]) * 4 + (own[0] != 0) * 2 + (own[1] != 0)
+                z = sum(w * v for w, v in zip(model.weights[gate], s)) + sum(correction * own)
+                p = 1 / (1 + math.exp(-z if bit else z))
+                total += math.log10(p)
+                change += rate * (1 - p) * (1 if bit else -1) * np.array(own)
+            correction = correction + change
+        out.append(total)
+    return out
+
+
+def test_mixing_scores_are_those_of_a_plain_loop():
+    model = small_model()
+    r = random.Random(5)
+    texts = ["", "a", "rare", " ".join(r.choices(["a", "b", "c", "d", "rare"], k=2500))] + [" ".join(r.choices("abcd", k=r.randint(1, 40))) for _ in range(20)]
+    got = model.log_odds(texts, mixing.Symbols(model.tree))[4]
+    assert np.allclose(got, plain_scores(model, texts, mixing.RATE), rtol=1e-3)
+
+
+def test_mixing_learns_from_every_training_row(spark, data):
+    """Counts of the tables, of those that the weights are fitted on, too."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    counts = mixing.count_tokens(docs)
+    words = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(50).collect()]
+    tree = mixing.Tree.of([bytes(w) for w in words], list(range(50, 0, -1)), 10)
+    found = mixing.context_counts(docs.repartition(5), tree, 18)
+    wanted = np.zeros_like(found)
+    mixing.count_contexts(wanted, tree, mixing.Symbols(tree), [r["text"] for r in docs.collect()])
+    assert (found == wanted).all() and found.any()
 
 
 def auc(good, bad):
