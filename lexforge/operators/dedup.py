@@ -35,7 +35,7 @@ def banded_pairs(prints: DataFrame, distance: int) -> DataFrame:
     into ``distance // 2 + 1`` segments; two such fingerprints differ by one bit at most in one of them, so each looks up all
     values within one bit of its own in each segment, and what it finds is verified. A segment of 21 bits or more is shared
     by chance by few, where bands of ``distance + 1`` would be shared by a part of the corpus."""
-    parts = distance // 2 + 1
+    parts = max(2, distance // 2 + 1)
     cuts = [64 * i // parts for i in range(parts + 1)]
     distinct = prints.select("fp").distinct()
     bits = lambda i: f"shiftrightunsigned(fp, {cuts[i]}) & {(1 << (cuts[i + 1] - cuts[i])) - 1}L"

@@ -9,9 +9,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexforge import registry
-from lexforge.functions import gates, web
+from lexforge.functions import gates, parsing, web
 from lexforge.operators import aggregates, chunking, dedup, graph, merging, ranking, retrieval
-from lexforge.sources import views
+from lexforge.sources import files, views
 
 
 def components(nodes, edges):
@@ -143,8 +143,10 @@ def test_gates_on_odd_texts(spark):
 
 def test_pages_lose_rows_on_equal_stamps_unless_the_cursor_is_a_pair(spark):
     df = spark.createDataFrame([(i, i // 4) for i in range(12)], "id int, ts int")
-    plain = merging.page_after(df, "ts", F.lit(0), 3).collect()
-    assert [r["id"] for r in plain] == [4, 5, 6] or len(plain) == 3
+    first = {r["id"] for r in merging.page_after(df, "ts", F.lit(0), 3).collect()}
+    assert len(first) == 3 and first < {4, 5, 6, 7}
+    rest = {r["id"] for r in merging.page_after(df, "ts", F.lit(1), 12).collect()}
+    assert rest == {8, 9, 10, 11}  # one of the four is on no page
     assert [r["id"] for r in merging.page_after(df, "ts", F.lit(1), 3, "id", F.lit(5)).collect()] == [6, 7, 8]
 
 
@@ -172,3 +174,110 @@ def test_signals_of_all_documents_are_deduplicated(spark, data):
             wanted[r["id"]] += 1
     assert Counter(r["id"] for r in registry.QUERIES["k12_signal_fuzzy_dedup"](spark, data).collect()) == wanted
     assert {r["source_content_id"] % 4 for r in rows if r["id"] in wanted} == {0, 1, 2, 3}
+
+
+def test_merges_by_key(spark):
+    stored = spark.createDataFrame([(1, "a", "x"), (2, "b", "y"), (3, "c", None)], "id long, v string, mark string")
+    incoming = spark.createDataFrame([(2, "B"), (4, "D")], "id long, v string")
+    got = {r["id"]: (r["v"], r["mark"], r["action"]) for r in merging.merge_by_key(stored, incoming, "id").collect()}
+    assert got == {1: ("a", "x", "kept"), 2: ("B", "y", "updated"), 3: ("c", None, "kept"), 4: ("D", None, "inserted")}
+    kept = {r["id"]: r["v"] for r in merging.merge_by_key(stored, incoming, "id", keep=["v"]).collect()}
+    assert kept == {1: "a", 2: "b", 3: "c", 4: "D"}
+    changes = spark.createDataFrame([(1, "new\u0000", None), (3, None, "m"), (9, "no", "no")], "id long, v string, mark string")
+    updated = {r["id"]: (r["v"], r["mark"], r["at"]) for r in merging.update_by_key(stored.withColumn("at", F.lit("old")), changes, "id", F.lit("now"), stamp="at").collect()}
+    assert updated == {1: ("new", "x", "now"), 2: ("b", "y", "old"), 3: ("c", "m", "now")}
+
+
+def test_inserted_rows_get_the_next_ids(spark):
+    stored = spark.createDataFrame([(7, "p"), (3, "q")], "id long, path string")
+    incoming = spark.createDataFrame([("p", "t"), ("r", "t\u0000"), ("s", "t"), ("s", "u")], "path string, text string")
+    got = sorted((r["id"], r["path"], r["text"]) for r in merging.inserted(stored, incoming, "path", texts=["text"]).collect())
+    assert [i for i, _, _ in got] == [8, 9] and {(p, t) for _, p, t in got} == {("r", "t"), ("s", "t")}
+    assert sorted(r["id"] for r in merging.inserted(stored.limit(0), incoming, "path").collect()) == [1, 2, 3]
+
+
+def test_near_fingerprints_at_any_distance(spark):
+    r = random.Random(11)
+    base = [r.getrandbits(64) for _ in range(5)]
+    prints = sorted({b ^ sum({1 << r.randrange(64) for _ in range(r.randint(0, 7))}) for b in base for _ in range(40)})
+    signed = [p - (1 << 64) if p >= 1 << 63 else p for p in prints]
+    df = spark.createDataFrame([(p,) for p in signed], "fp long")
+    for distance in (0, 1, 2, 3, 5):
+        got = {(x["a"], x["b"], x["distance"]) for x in dedup.banded_pairs(df, distance).collect()}
+        wanted = {(min(a, b), max(a, b), d) for i, a in enumerate(signed) for b in signed[:i] if (d := ((a ^ b) & ((1 << 64) - 1)).bit_count()) <= distance}
+        assert got == wanted
+
+
+def test_registry_of_earlier_rows(spark):
+    rows = [(1, 0b1111, True), (2, 0b1110, True), (3, 0b10, False), (4, 0, True), (5, 0, True), (6, 0b111 << 40, True), (7, 0b1 << 40, True), (8, 0b10, True)]
+    got = sorted(r["id"] for r in dedup.near_earlier(spark.createDataFrame(rows, "id long, fp long, registers boolean"), 2).collect())
+    wanted = [i for i, f, _ in rows if f and any(g and reg and j < i and (f ^ g).bit_count() <= 2 for j, g, reg in rows)]
+    assert got == wanted
+
+
+def greedy(rows, threshold):
+    stay = []
+    for o, tokens in sorted(rows):
+        s = set(tokens)
+        if not s or not any(k and len(s & k) / len(s | k) >= threshold for _, k in stay):
+            stay.append((o, s))
+    return {o for o, _ in stay}
+
+
+def test_greedy_order_of_chains_and_equal_rows(spark):
+    r = random.Random(12)
+    rows = []
+    for o in range(300):
+        start = r.randrange(60)
+        rows.append((o, [f"w{i}" for i in range(start, start + 12)] if o % 7 else []))
+    got = {x["ord"] for x in dedup.leaders(spark.createDataFrame(rows, "ord long, tokens array<string>"), 0.7).where("keep").collect()}
+    assert got == greedy(rows, 0.7)
+
+
+def test_word_segments(spark):
+    from lexforge.operators import chunking
+
+    r = random.Random(13)
+    texts = [" ".join("x" * r.randint(1, 30) for _ in range(r.randint(0, 400))) for _ in range(30)] + ["", "  \n"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, t string")
+    for row in df.select("id", chunking.word_segments(F.col("t"), 100).alias("n")).collect():
+        wanted, size, n = [], 0, 0
+        for w in texts[row["id"]].split():
+            size, n = size + len(w) + 1, n + 1
+            if size >= 100:
+                wanted.append(n)
+                size = n = 0
+        assert row["n"] == wanted + ([n] if n else [])
+
+
+def test_urls_of_every_kind(spark):
+    from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
+
+    def plain(url):
+        u = urlsplit((url or "").strip())
+        head, slash, last = u.path.rpartition("/")
+        pairs = sorted(((k, v) for k, v in parse_qsl(u.query) if k.lower() not in web.TRACKING), key=lambda p: p[0])
+        return urlunsplit((u.scheme.lower(), u.netloc.lower().removeprefix("www."), (head + slash + last.split(";", 1)[0]).rstrip("/"), urlencode(pairs), ""))
+
+    urls = [
+        "HTTP://WWW.Example.com:80/a/b/?b=2&a=1&utm_source=x#top", "https://h/p;x=1/q;y=2?z=%20a+b&z=1&e=", "https://h/?q=a*b~c%2Fd&ref=1", "//h/p/", "mailto:a@b.c",
+        "no url at all", "", None, "https://h?x=%zz", "https://user:pw@WWW.h/ü?ä=ö&UTM_TERM=1", "http://h/a//", "http://h/p?flag&x=1",
+    ]
+    got = [r["u"] for r in spark.createDataFrame([(u,) for u in urls], "url string").select(web.normalize_url("url").alias("u")).collect()]
+    assert got == [plain(u) for u in urls]
+
+
+def test_recovered_json(spark):
+    raws = ['{"a": 1}', '```json\n{"a": 2}\n```', 'so {"a": 3, "b": {"c": {}}} and {x}', "none", "", None, '{"a": 5']
+    df = spark.createDataFrame([(r,) for r in raws], "r string")
+    got = [x["a"] for x in df.select(F.try_variant_get(parsing.recovered_json(F.col("r")), "$.a", "int").alias("a")).collect()]
+    assert got[:3] == [1, 2, 3] and got[3:] == [None] * 4
+
+
+def test_files_that_wait(spark, tmp_path):
+    for name in ("a.pdf", "b.PDF", ".c.pdf", "d.zip", "e.txt"):
+        (tmp_path / name).write_bytes(b"x")
+    states = spark.createDataFrame([(f"{tmp_path}/b_metadata.json", "processed"), (f"{tmp_path}/e_metadata.json", "downloaded")], "path string, status string")
+    assert sorted(r["stem"] for r in files.pending_files(spark, str(tmp_path), (".pdf", ".txt"), states).collect()) == ["a", "e"]
+    (tmp_path / "f.st").write_bytes(b"ok \xff end")
+    assert [(r["name"], r["text"]) for r in files.code_files(spark, str(tmp_path)).collect()] == [("f.st", "ok � end")]
