@@ -10,10 +10,15 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent.parent
+#: Bytes of an Arrow batch between Spark and Python: rows are whole texts, and a worker holds a batch more than once.
+ARROW_BYTES, ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for a Spark context: what ``--py-files`` would do."""
+    """Give the executors this package, once for a Spark context: what ``--py-files`` would do. A session that names no size
+    of Arrow batches gets small ones."""
+    if spark.conf.get(ARROW_BYTES, None) == ARROW_DEFAULT:
+        spark.conf.set(ARROW_BYTES, "8m")
     context = spark.sparkContext
     if getattr(context, "_has_lexforge", False):
         return
