@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.text import map_arrow, texts
+from lexforge.llm.text import map_arrow, release, texts
 from lexforge.plans.tables import materialize
 
 #: Length from which a repeated string is removed.
@@ -201,7 +201,9 @@ def _asked(messages: DataFrame, ends: bool, name: str) -> DataFrame:
     """(batch, answers in the order of the ranges) of (range, batch, payload)."""
 
     def sort(payloads: pd.DataFrame) -> pd.DataFrame:
-        return _answer(payloads, ends)
+        out = _answer(payloads, ends)
+        release()
+        return out
 
     answered = messages.groupBy("range").applyInPandas(sort, "batch long, range int, answer binary")
     return answered.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("range", "answer"))).alias(name))
@@ -238,6 +240,8 @@ def blocks(docs: DataFrame, size: int = BLOCK) -> DataFrame:
                     ids, held, room, number = [], [], 0, number + 1
         if ids:
             yield out()
+        held.clear()
+        release()
 
     return materialize(docs.mapInArrow(pack, f"batch long, ids array<{docs.schema[0].dataType.simpleString()}>, sizes binary, data binary, n_bytes long"))
 

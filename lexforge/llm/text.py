@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -19,6 +20,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def release() -> None:
+    """Give a worker's free memory back; workers stay for the tasks of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, rows: int = 512) -> DataFrame:
     """``mapInArrow`` with one table of columns for each ``rows`` rows; ``make`` runs once in a task, before its first."""
 
@@ -27,6 +36,9 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 yield pa.RecordBatch.from_pydict(each(batch.slice(at, rows)))
+            del batch
+        del each
+        release()
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
