@@ -121,3 +121,9 @@ def cooccurrence(rows: DataFrame, item: str, basket: str, limit: int) -> DataFra
     right = counted.select("b", F.col("item").alias("entity_b"), F.col("m").alias("mb"))
     pairs = left.join(right, "b").where("entity_a < entity_b").groupBy("entity_a", "entity_b").agg(F.sum(F.col("ma") * F.col("mb")).alias("n"))
     return pairs.orderBy(F.desc("n"), "entity_a", "entity_b").limit(limit)
+
+
+def tag_counts(rows: DataFrame, tags: Column, n: int) -> DataFrame:
+    """(name, n) of the ``n`` most frequent tags of a column of JSON arrays; what is no JSON has no tags."""
+    exploded = rows.select(F.explode(F.from_json(tags, "array<string>")).alias("name"))
+    return top(exploded, ["name"], n)

@@ -121,3 +121,11 @@ def page_after(rows: DataFrame, stamp: str, after: Column, size: int, tie: str |
     if tie:
         later = later | ((F.col(stamp) == after) & (F.col(tie) > tie_after))
     return rows.where(later).orderBy(stamp, *([tie] if tie else [])).limit(size)
+
+
+def job_states(jobs: DataFrame, log: DataFrame, key: Sequence[str], attempts: int = 2) -> DataFrame:
+    """(key, state) of all jobs from a log of (key, outcome): done or failed once it says so, given up after so many attempts that
+    hung, else pending. A batch that is started again runs what is pending."""
+    seen = log.groupBy(*key).agg(F.max(F.col("outcome") == "done").alias("_d"), F.max(F.col("outcome") == "failed").alias("_f"), F.count_if(F.col("outcome") == "hung").alias("_h"))
+    state = F.when(F.col("_d"), "done").when(F.col("_f"), "failed").when(F.col("_h") >= attempts, "given up").otherwise("pending")
+    return jobs.select(*key).distinct().join(seen, list(key), "left").select(*key, state.alias("state"))

@@ -43,7 +43,17 @@ def l02(spark, sf):
     return p.select("doc_id", c("p.b").alias("first_sentence"), c("p.e").alias("past_sentence"), F.md5(c("t").cast("binary")).alias("digest"))
 
 
-@query("l03_offsets")
+FOLD0 = """WITH RECURSIVE s AS (SELECT doc_id, text, s, list_transform(s, lambda x: length(x)) AS n FROM (SELECT doc_id, text, {sentences} AS s FROM documents)),
+r(doc_id, i, b, size, cb, ce) AS (SELECT doc_id, 0, 0, 0, -1, -1 FROM s UNION ALL
+SELECT r.doc_id, r.i + 1, CASE WHEN r.size + s.n[r.i + 1] > 600 AND r.i > r.b THEN r.i ELSE r.b END, CASE WHEN r.size + s.n[r.i + 1] > 600 AND r.i > r.b THEN s.n[r.i + 1] ELSE r.size + s.n[r.i + 1] END,
+CASE WHEN r.size + s.n[r.i + 1] > 600 AND r.i > r.b THEN r.b ELSE -1 END, r.i FROM r JOIN s USING (doc_id) WHERE r.i < len(s.s)),
+p AS (SELECT doc_id, cb AS b, ce AS e FROM r WHERE cb >= 0 UNION ALL SELECT r.doc_id, r.b, r.i FROM r JOIN s USING (doc_id) WHERE r.i = len(s.s) AND len(s.s) > 0)"""
+
+
+@query(
+    "l03_offsets",
+    FOLD0.format(sentences=SENTENCES) + ", t AS (SELECT doc_id, b, instr(text, s[b + 1]) - 1 AS start_char, length(array_to_string(s[b + 1:e], ' ')) AS char_count FROM p JOIN s USING (doc_id)) SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1 AS INT) AS ord, start_char, start_char + char_count AS end_char, char_count FROM t",
+)
 def l03(spark, sf):
     """Chunks without overlap, with where their first sentence first stands in the text and where they end from there."""
     p = chunked(spark, sf, 0).select("doc_id", "text", "s", F.posexplode("p").alias("ord", "p"))
@@ -52,7 +62,14 @@ def l03(spark, sf):
     return p.select("doc_id", "ord", start.alias("start_char"), (start + F.length(body)).alias("end_char"), F.length(body).alias("char_count"))
 
 
-@query("l04_rechunk_delta")
+COUNTS = "SELECT doc_id, count(*) AS k FROM (SELECT doc_id FROM r WHERE cb >= 0 UNION ALL SELECT r.doc_id FROM r JOIN s USING (doc_id) WHERE r.i = len(s.s) AND len(s.s) > 0) GROUP BY 1"
+
+
+@query(
+    "l04_rechunk_delta",
+    f"""WITH a AS ({FOLD.format(sentences=SENTENCES)} {COUNTS}), b AS ({FOLD0.format(sentences=SENTENCES)} {COUNTS}), d AS (SELECT doc_id, coalesce(a.k, 0) AS old, coalesce(b.k, 0) AS new FROM documents LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id) WHERE length(text) > 200)
+    SELECT count(*) AS documents, CAST(sum(old) AS BIGINT) AS old_chunks, CAST(sum(new) AS BIGINT) AS new_chunks, CAST(sum(new - old) AS BIGINT) AS delta FROM d""",
+)
 def l04(spark, sf):
     """Chunk counts with and without overlap of documents over 200 characters."""
     s = docs(spark, sf).where(F.length("text") > 200).select(L.sentences(c("text")).alias("s"))

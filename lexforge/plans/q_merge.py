@@ -110,3 +110,17 @@ def o06(spark, sf):
     jobs = load(spark, sf, "events").select("event_id", "value")
     done = jobs.where("event_id % 4 = 0").select("event_id")
     return B.without(jobs, done, "event_id").select("event_id", (c("value") * 2).alias("doubled"))
+
+
+@query(
+    "o06_attempts",
+    """WITH j AS (SELECT DISTINCT user_id % 50 AS job, CAST(ts AS DATE) AS day FROM events), l AS (SELECT user_id % 50 AS job, CAST(ts AS DATE) AS day, CASE WHEN event_id % 7 = 0 THEN 'done' WHEN event_id % 11 = 0 THEN 'failed' ELSE 'hung' END AS outcome FROM events WHERE event_id % 3 = 0),
+    s AS (SELECT job, day, bool_or(outcome = 'done') AS d, bool_or(outcome = 'failed') AS f, count(CASE WHEN outcome = 'hung' THEN 1 END) AS h FROM l GROUP BY ALL)
+    SELECT j.job, strftime(j.day, '%Y-%m-%d') AS day, CASE WHEN d THEN 'done' WHEN f THEN 'failed' WHEN h >= 2 THEN 'given up' ELSE 'pending' END AS state FROM j LEFT JOIN s ON j.job = s.job AND j.day = s.day""",
+)
+def o06_attempts(spark, sf):
+    """States of jobs by what a log of attempts says; a job that has hung twice is not tried again."""
+    events = load(spark, sf, "events").select((c("user_id") % 50).alias("job"), F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_id")
+    outcome = F.when(c("event_id") % 7 == 0, "done").when(c("event_id") % 11 == 0, "failed").otherwise("hung")
+    log = events.where("event_id % 3 = 0").select("job", "day", outcome.alias("outcome"))
+    return B.job_states(events, log, ["job", "day"])

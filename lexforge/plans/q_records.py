@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from lexforge.functions import parsing as S
 from lexforge.functions import web as W
+from lexforge.operators import aggregates as A
 from lexforge.operators import chunking as L
+from lexforge.operators import corpus_map as P
 from lexforge.operators import dedup as D
 from lexforge.operators import discovery as R
 from lexforge.operators import extraction as M
 from lexforge.operators import merging as B
 from lexforge.operators import retrieval as N
 from lexforge.plans.q_dedup import CLUSTERS, prints
-from lexforge.plans.q_retrieval import BM25, RELEVANT, asked, docs
+from lexforge.plans.q_retrieval import BM25, NN, RELEVANT, asked, docs, neighbours
 from lexforge.plans.tables import checkpoint_dir, load, materialize
 from lexforge.registry import query
 from lexforge.sources import files
@@ -182,7 +184,7 @@ def i16(spark, sf):
     return flat.select("user_id", (c("place") + 1).alias("place"), F.coalesce("x.k", F.lit(-1)).alias("k"))
 
 
-def _has(words):
+def _has(words: tuple[str, ...]) -> str:
     return "(" + " OR ".join(f"contains(q, '{w}')" for w in words) + ")"
 
 
@@ -432,3 +434,31 @@ def r07(spark, sf):
     )
     out = R.ingestion_records(rows, F.lit("2024-05-01"))
     return out.select(c("title").cast("long").alias("page_id"), "url", "publisher", "source_type", "feed_url", "provider", "authority", "confidence")
+
+
+@query(
+    "e27_topics",
+    with_views("content", then="SELECT 'topic' AS kind, name, n FROM (SELECT name, count(*) AS n FROM (SELECT source_name AS name FROM content WHERE id % 7 <> 0 UNION ALL SELECT language FROM content WHERE id % 7 <> 0) GROUP BY 1 ORDER BY n DESC, name LIMIT 20) UNION ALL SELECT 'total', 'all', count(*) FROM content"),
+)
+def e27_topics(spark, sf):
+    """The most frequent tags, some of which are no JSON, and the total."""
+    content = view(spark, sf, "content")
+    tags = F.when(c("id") % 7 == 0, "[broken").otherwise(F.to_json(F.array("source_name", "language")))
+    total = content.agg(F.count(F.lit(1)).alias("n")).select(F.lit("total").alias("kind"), F.lit("all").alias("name"), "n")
+    return A.tag_counts(content, tags, 20).select(F.lit("topic").alias("kind"), "name", "n").unionByName(total)
+
+
+@query(
+    "p06_export",
+    f"""WITH {NN}, cut AS (SELECT quantile_cont(similarity, 0.95) AS c FROM nn) SELECT 'document' AS kind, CAST(id AS STRING) AS name, CAST(label AS STRING) AS label, round(similarity, 6) AS value FROM nn JOIN embeddings e ON e.vec_id = nn.id
+    UNION ALL SELECT 'cluster', CAST(label AS STRING), CAST(label AS STRING), CAST(count(*) AS DOUBLE) FROM embeddings GROUP BY label UNION ALL SELECT 'threshold', 'near duplicate', '', round(c, 6) FROM cut""",
+)
+def p06(spark, sf):
+    """The map's export as rows: each document with its cluster and how near its neighbour is, clusters with their sizes, and the
+    threshold of near-duplicates."""
+    vectors = load(spark, sf, "embeddings").select(c("vec_id").alias("id"), c("label").cast("string").alias("label"))
+    near = materialize(neighbours(spark, sf))
+    documents = near.join(vectors, "id").select(F.lit("document").alias("kind"), c("id").cast("string").alias("name"), "label", F.round("similarity", 6).alias("value"))
+    clusters = vectors.groupBy("label").agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("cluster").alias("kind"), c("label").alias("name"), "label", "value")
+    cut = near.agg(F.round(F.percentile("similarity", F.lit(0.95)), 6).alias("value")).select(F.lit("threshold").alias("kind"), F.lit("near duplicate").alias("name"), F.lit("").alias("label"), "value")
+    return documents.unionByName(clusters).unionByName(cut)

@@ -190,7 +190,11 @@ def k13(spark, sf):
     return P.near_duplicates(neighbours(spark, sf)).select("id", "is_near_dup")
 
 
-@query("g07_top_pairs")
+NEIGHBOUR = """v AS (SELECT vec_id, list_transform(e, lambda x: x / CASE WHEN sqrt(list_dot_product(e, e)) = 0 THEN 1 ELSE sqrt(list_dot_product(e, e)) END) AS v FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)),
+nb AS (SELECT * FROM (SELECT a.vec_id AS id, b.vec_id AS other, round(list_dot_product(a.v, b.v), 9) AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.v, b.v), 9) DESC, b.vec_id) AS r FROM v a JOIN v b ON a.vec_id <> b.vec_id) WHERE r = 1)"""
+
+
+@query("g07_top_pairs", f"WITH {NEIGHBOUR} SELECT a, b, round(s, 6) AS similarity FROM (SELECT least(id, other) AS a, greatest(id, other) AS b, max(similarity) AS s FROM nb GROUP BY ALL ORDER BY s DESC, a, b LIMIT 25)")
 def g07(spark, sf):
     return P.top_pairs(neighbours(spark, sf)).withColumn("similarity", F.round("similarity", 6))
 
