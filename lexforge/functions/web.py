@@ -24,6 +24,9 @@ STRIP = frozenset("script style nav footer header aside iframe noscript form but
 NOISE = re.compile("sidebar|widget|advert|promo|popup|modal|cookie|consent|newsletter|social|share|comment|related|recommend|footer|nav|menu|breadcrumb|signup|subscribe|banner|sponsor", re.IGNORECASE)
 BREAKS = frozenset("p div br h1 h2 h3 h4 h5 h6 li tr blockquote pre section".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+CONTENT = re.compile(r"(article|post|entry|content|story)[-_]?(body|text|content)?", re.IGNORECASE)
+# Metadata of the date, in order, and the least length of an article.
+DATES = ("article:published_time", "datePublished", "og:article:published_time")
 MIN_ARTICLE = 100
 
 
@@ -124,22 +127,30 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(lines, "[ \\t]+", " "), " *\\n *", "\n"))
 
 
-class _Article(HTMLParser):
-    """Texts outside of furniture, each with whether it stands in an article or main element, or in the body."""
+class _Page(HTMLParser):
+    """Texts outside of furniture, each with the kinds of container that it stands in, and the head's metadata."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []
-        self.parts: list[tuple[bool, str]] = []
+        self.open: list[tuple[str, bool, str]] = []
+        self.parts: list[tuple[frozenset, str]] = []
         self.title: list[str] = []
+        self.heading: list[str] = []
+        self.meta: dict[str, str] = {}
+        self.dated = ""
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = dict(attrs)
-        noisy = tag in STRIP or bool(NOISE.search(f"{a.get('class') or ''} {a.get('id') or ''}"))
+        a = {k: v or "" for k, v in attrs}
+        named = f"{a.get('class', '')} {a.get('id', '')}"
+        kind = "article" if tag in ("article", "main") or a.get("role") == "main" else "content" if tag == "div" and CONTENT.search(named) else ""
+        if tag == "meta":
+            self.meta.setdefault(a.get("property") or a.get("name") or "", a.get("content", ""))
+        if a.get("itemprop") == "datePublished":
+            self.dated = self.dated or a.get("datetime") or a.get("content", "")
         if tag in BREAKS:
             self._add("\n")
         if tag not in VOID:
-            self.open.append((tag, noisy))
+            self.open.append((tag, tag in STRIP or bool(NOISE.search(named)), kind))
 
     def handle_endtag(self, tag: str) -> None:
         for i in range(len(self.open) - 1, -1, -1):
@@ -151,25 +162,46 @@ class _Article(HTMLParser):
         if self.open and self.open[-1][0] == "title":
             self.title.append(data)
         elif data.strip():
+            if any(tag == "h1" for tag, _, _ in self.open):
+                self.heading.append(data.strip())
             self._add(data.strip())
 
     def _add(self, part: str) -> None:
-        if not any(noisy for _, noisy in self.open) and not any(t == "head" for t, _ in self.open):
-            self.parts.append((any(t in ("article", "main") for t, _ in self.open), part))
+        if not any(noisy or tag == "head" for tag, noisy, _ in self.open):
+            self.parts.append((frozenset(kind for _, _, kind in self.open), part))
 
 
-def article(markup: str | None) -> tuple[str, str]:
-    """(title, text) of a page: what stands in its article or main element, if long enough, else in its body; empty if that
-    is too short, too."""
-    p = _Article()
+def _parsed(markup: str | None) -> _Page:
+    p = _Page()
     p.feed(markup or "")
     p.close()
-    for inside in (True, False):
-        text = " ".join(x for a, x in p.parts if a or not inside).strip()
+    return p
+
+
+def article(markup: str | None) -> tuple[str, str]:
+    """(title, text) of a page: what stands in its article or main element, if long enough, else in a div that is named like
+    content, else in its body; empty if that is too short, too."""
+    p = _parsed(markup)
+    title = html.unescape("".join(p.title)).strip()
+    for kind in ("article", "content", None):
+        text = " ".join(x for kinds, x in p.parts if kind is None or kind in kinds).strip()
         if len(text) >= MIN_ARTICLE:
-            text = re.sub(r" *\n *", "\n", re.sub(r"[ \t]+", " ", re.sub(r"\n\s*\n", "\n\n", text))).strip()
-            return html.unescape("".join(p.title)).strip(), text
-    return html.unescape("".join(p.title)).strip(), ""
+            return title, re.sub(r" *\n *", "\n", re.sub(r"[ \t]+", " ", re.sub(r"\n\s*\n", "\n\n", text))).strip()
+    return title, ""
+
+
+def metadata(markup: str | None, modified: str = "") -> tuple[str, str, str, str]:
+    """(title, author, published, description) of a page: the title as shared, else its own, else its first heading; the date of
+    its metadata, else of its microdata, else of the server. Scripts are no source, as they are dropped before."""
+    p = _parsed(markup)
+    title = p.meta.get("og:title", "".join(p.title) if p.title else "".join(p.heading[:1]))
+    date = next((p.meta[n] for n in DATES if n in p.meta), p.dated or modified)
+    return html.unescape(title).strip(), p.meta.get("author", ""), date, p.meta.get("og:description", p.meta.get("description", ""))
+
+
+@F.pandas_udf(StructType([StructField(n, StringType()) for n in ("title", "author", "published", "description")]))
+def page_metadata(pages: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([metadata(x) for x in pages], columns=["title", "author", "published", "description"])
 
 
 @F.pandas_udf(StructType([StructField("title", StringType()), StructField("text", StringType())]))

@@ -191,6 +191,18 @@ def a13(spark, sf):
     return pages(spark, sf).select("page_id", W.extract_article("html").alias("a")).select("page_id", "a.title", "a.text")
 
 
+@query("i23_page_metadata", "SELECT page_id, 'T' || CAST(page_id AS STRING) AS title, CASE WHEN page_id % 2 = 0 THEN lang ELSE '' END AS author, '2024-01-0' || CAST(page_id % 9 + 1 AS STRING) AS published FROM (SELECT page_id, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang FROM pages)")
+def i23(spark, sf):
+    """Metadata put into the heads of the given pages."""
+    n = c("page_id").cast("string")
+    lang = F.regexp_extract("html", '<html lang="([a-z]+)"', 1)
+    date = F.concat(F.lit("2024-01-0"), (c("page_id") % 9 + 1).cast("string"))
+    author = F.when(c("page_id") % 2 == 0, F.concat(F.lit('<meta name="author" content="'), lang, F.lit('">'))).otherwise("")
+    head = F.concat(F.lit('<head><meta property="og:title" content="T'), n, F.lit('">'), author, F.lit('<meta name="datePublished" content="'), date, F.lit('">'))
+    marked = F.replace(c("html"), F.lit("<head>"), head)
+    return pages(spark, sf).select("page_id", W.page_metadata(marked).alias("m")).select("page_id", "m.title", "m.author", "m.published")
+
+
 @query("a33_list_items", with_views("content", then="SELECT id, title, content_type FROM content WHERE content_type = 'html' ORDER BY id LIMIT 20"))
 def a33(spark, sf):
     """Raw SQL with parameters over a view."""

@@ -10,7 +10,8 @@ from lexforge.operators.merging import upsert
 
 def sync(spark: SparkSession, source: str, schema, target: str, checkpoint: str, key: str, hash_col: str, stamp: str, files: int = 8) -> None:
     """Merge all new files of ``source`` into the Parquet table ``target``. Each micro-batch writes a new version of the table
-    beside the last and names it in the folder ``current``; a batch that is run again finds its rows skipped."""
+    beside the last, and then appends its number to ``versions``, whose largest is the table's: there is no moment without
+    one, and a batch that is run again finds its rows skipped. A version is the whole table: let a batch take many files."""
 
     def merge(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
@@ -19,7 +20,7 @@ def sync(spark: SparkSession, source: str, schema, target: str, checkpoint: str,
         rows = batch.select(*batch.columns)
         merged = rows.withColumn("action", F.lit("inserted")) if stored is None else upsert(stored, rows, key, hash_col, stamp)
         merged.drop("action").write.mode("overwrite").parquet(f"{versions}{number}")
-        session.createDataFrame([(number,)], "version int").coalesce(1).write.mode("overwrite").parquet(f"{target}/current")
+        session.createDataFrame([(number,)], "version int").coalesce(1).write.mode("append").parquet(f"{target}/versions")
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
@@ -29,7 +30,7 @@ def _current(spark: SparkSession, target: str) -> DataFrame | None:
     from pyspark.errors import AnalysisException
 
     try:
-        number = spark.read.parquet(f"{target}/current").first()[0]
+        number = spark.read.parquet(f"{target}/versions").agg(F.max("version")).first()[0]
     except AnalysisException:
         return None
     return spark.read.parquet(f"{target}/v{number}")
