@@ -193,6 +193,32 @@ def test_similar_texts_of_a_crowded_family(spark, hot):
     assert [by[i] for i in range(len(texts))] == wanted
 
 
+def test_similar_texts_of_the_given_documents(spark, data):
+    """All links of whole documents, by brute force."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"].encode().lower().decode("utf-8", "replace")) for r in docs.collect())
+    sets = {}
+    for i, t in rows:
+        w = t.encode().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    own = {i: i for i, _ in rows}
+    for i in own:
+        for k in own:
+            if k < i and own[i] != own[k] and (sets[i] == sets[k] or 9 * len(sets[i] & sets[k]) >= 4 * (len(sets[i]) + len(sets[k])) > 0):
+                low, high = sorted((own[i], own[k]))
+                own = {n: low if c == high else c for n, c in own.items()}
+    assert {x["doc_id"]: x["component_id"] for x in similar.similar_texts(docs).collect()} == own
+
+
+def test_sketches_never_differ_in_more_than_their_sets():
+    rng = np.random.default_rng(3)
+    for n in (1, 10, 300, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.8], rng.integers(0, 1 << 63, n // 5 + 1, dtype=np.uint64)]))
+        differ = sum(int(x).bit_count() for x in similar.sketch(a) ^ similar.sketch(b))
+        assert differ <= len(np.setxor1d(a, b))
+
+
 def check_packed(got, ids, window):
     pieces, sequences = {}, {}
     for r in got:
@@ -231,6 +257,18 @@ def test_packing_odd_rows(spark, library):
     assert packing.pack(empty_docs(spark), PATH).count() == 0
 
 
+def test_rows_without_an_id(spark, library):
+    """Are rows like any other, each for itself."""
+    texts = ["one two", "one two", None, "three " * 3000]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string")
+    wanted = sorted(len(ids_of(library, t)) for t in texts)
+    for leaf in (50, 100_000):
+        found = bpe.digests(docs, PATH, leaf_chars=leaf).collect()
+        assert sorted(r["n_tokens"] for r in found) == wanted and all(r["doc_id"] is None for r in found)
+    pieces = packing.pack(docs, PATH).collect()
+    assert sum(r["length"] for r in pieces) == sum(wanted) + len(texts)
+
+
 def test_packing_plan_never_overdraws():
     rng = np.random.default_rng(1)
     histogram = np.zeros(1025, np.int64)
@@ -330,6 +368,37 @@ def test_topk(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
 
 
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_topk_of_large_ids_in_blocks(spark, monkeypatch, broadcast):
+    """Ids near the ends of the range, columns of clashing names, blocks and shards of a few rows, joins with and without
+    broadcast."""
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(topk, "SHARD_ROWS", 16)
+    rng = np.random.default_rng(4)
+    ids = [*range((1 << 62) - 40, (1 << 62) + 40), *range(-(1 << 62) - 30, -(1 << 62) + 30), -1, 0, 1]
+    vectors = {i: (rng.integers(-3, 4, 5) / 4).tolist() for i in ids}
+    df = spark.createDataFrame([(i, v, 1, 2, 3, "s", 9) for i, v in vectors.items()], "vec_id long, embedding array<float>, rank int, score int, query long, shard string, id int")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        found = topk.top_k(df, F.col("vec_id") % 3 == 0, 4).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    ints = {i: np.floor(256 * np.array(v)).astype(int) for i, v in vectors.items()}
+    got = {}
+    for r in found:
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == {i for i in ids if i % 3 == 0}
+    for q, rows in got.items():
+        wanted = sorted((-int(ints[q] @ w), i) for i, w in ints.items() if i != q)[:4]
+        assert sorted(rows) == [(n + 1, i, -s) for n, (s, i) in enumerate(wanted)]
+
+
+def test_topk_refuses_what_does_not_fit():
+    with pytest.raises(OverflowError):
+        topk._products(np.array([[1 << 40]], np.int64), np.array([[1 << 40]], np.int64))
+
+
 def test_topk_of_large_numbers():
     big = np.array([[1 << 30, 3]], np.int64)
     assert topk._products(big, np.array([[1 << 30, 1]], np.int64))[0, 0] == (1 << 60) + 3
