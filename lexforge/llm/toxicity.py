@@ -34,6 +34,9 @@ from lexforge.llm.text import map_arrow
 ENTRIES, STEM, LEAST_DOCS, LEAST_SHARE, LEAST_Z = 256, 5, 5, 0.8, 6.0
 #: Rounds of the label model; score from which a document counts as toxic.
 ROUNDS, THRESHOLD = 15, 0.7
+#: Share of the covariance over all rows that is added to that within the classes, and the correlation up to which voters count
+#: as independent.
+SHRINK, CHANCE = 0.1, 0.3
 #: Letters stay, A-Z lower-cased; ASCII punctuation parts words.
 PLAIN = bytes(32 if chr(b) in string.punctuation else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -118,15 +121,17 @@ def label_model(votes: np.ndarray, start: np.ndarray, rounds: int = ROUNDS) -> t
     votes = votes.astype(np.float32)
     q = start.astype(np.float64)
     rates = np.zeros((2, votes.shape[1]))
+    apart = votes - votes.mean(axis=0)
+    overall = apart.T @ apart / max(1, len(votes))
     for _ in range(rounds):
         prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
-        alike = np.zeros((votes.shape[1],) * 2, np.float32)
+        cov = SHRINK * overall  # voters that the classes explain wholly would look uncorrelated
         for c, weight in ((0, 1 - q), (1, q)):
             rates[c] = (weight @ votes + 0.5) / (weight.sum() + 1)
-            d = (votes - rates[c].astype(np.float32)) * np.sqrt(weight / max(1e-9, weight.sum()))[:, None].astype(np.float32)
-            cov = d.T @ d
-            sd = np.sqrt(np.diag(cov)) + 1e-3
-            alike += 0.5 * np.maximum(cov / np.outer(sd, sd), 0)
+            d = (votes - rates[c].astype(np.float32)) * np.sqrt(weight / max(1, len(votes)))[:, None].astype(np.float32)
+            cov = cov + d.T @ d
+        sd = np.sqrt(np.diag(cov)) + 1e-4
+        alike = np.clip((cov / np.outer(sd, sd) - CHANCE) / (1 - CHANCE), 0, 1)
         np.fill_diagonal(alike, 0)
         says = np.log(rates[1] / rates[0])
         z = np.log(prior / (1 - prior)) + (votes * says / (1 + votes @ alike)).sum(axis=1)
