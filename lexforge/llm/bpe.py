@@ -12,7 +12,6 @@ other than the id and the text are ignored. The text of the special token is tha
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import re
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexforge.llm.text import map_arrow, texts
+from lexforge.llm.text import AT_END, map_arrow, texts
 
 #: Code points in a leaf of the tree.
 LEAF_CHARS = 32_768
@@ -64,6 +63,10 @@ class Vocabulary:
             self.bytes_of[i] = token
         self._cache: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """The cached words; the next task fills the cache anew."""
+        self._cache = {}
+
     def _merged(self, text: str) -> bytes:
         return array("I", self._merge.encode(text, allowed_special="all")).tobytes()
 
@@ -122,10 +125,22 @@ class Vocabulary:
         return self.bytes_of[token][0] & 0xC0 == 0x80
 
 
-@functools.cache
+_LOADED: dict[str, Vocabulary] = {}
+
+
 def vocabulary(path: str) -> Vocabulary:
     """One per worker process."""
-    return Vocabulary(path)
+    if path not in _LOADED:
+        _LOADED[path] = Vocabulary(path)
+    return _LOADED[path]
+
+
+def _forget_words() -> None:
+    for found in _LOADED.values():
+        found.forget()
+
+
+AT_END.append(_forget_words)
 
 
 def _columns(batch: pa.RecordBatch, *names: str) -> list[list]:

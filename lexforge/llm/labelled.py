@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexforge.plans.tables import materialize
+
 #: Labelled rows that a classifier is fitted on: all, or if there are more, about so many, those with the smallest hashes
 #: of their ids.
 SAMPLE_ROWS = 16_000
@@ -25,13 +27,13 @@ def by_hash(value: Column, wanted: int, there: int) -> Column:
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, learns: Column, rows: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text, label) of about ``rows`` labelled rows at most for which ``learns`` (over doc_id) holds. Their ids are
-    so few that they are broadcast to the texts, which are not shuffled. Of several labels of an id the largest counts, of
+    so few that they are broadcast to the texts, which are not shuffled; what is found is written, as it is read more than once. Of several labels of an id the largest counts, of
     several texts each."""
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
     usable = marks.where(learns)
     bound = usable.where(by_hash(F.xxhash64("doc_id"), rows, usable.count()))
     found = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return found.join(F.broadcast(bound), "doc_id").select("doc_id", "text", "label")
+    return materialize(found.join(F.broadcast(bound), "doc_id").select("doc_id", "text", "label"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float, steps: int = 400, rate: float = 0.05) -> tuple[np.ndarray, float]:

@@ -20,8 +20,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+#: What a worker keeps between batches and gives up at the end of a task.
+AT_END: list[Callable[[], None]] = []
+
+
 def release() -> None:
     """Give a worker's free memory back; workers stay for the tasks of other stages."""
+    for forget in AT_END:
+        forget()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

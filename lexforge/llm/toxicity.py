@@ -33,7 +33,7 @@ from lexforge.llm.text import map_arrow
 #: ones among its documents, and least distance from chance in standard deviations.
 ENTRIES, STEM, LEAST_DOCS, LEAST_SHARE, LEAST_Z = 256, 5, 5, 0.8, 6.0
 #: Rounds of the label model; score from which a document counts as toxic.
-ROUNDS, THRESHOLD = 15, 0.7
+ROUNDS, THRESHOLD = 8, 0.7
 #: Share of the covariance over all rows that is added to that within the classes, and the correlation up to which voters count
 #: as independent.
 SHRINK, CHANCE = 0.1, 0.3
