@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexforge.operators.retrieval import few
+
 
 def topics(catalog: DataFrame, wanted: Column) -> DataFrame:
     """Topics whose name or joined keywords hold the wanted word; without any, one made of the word itself."""
@@ -18,8 +20,8 @@ def queries(patterns: DataFrame, vendors: DataFrame, topic_names: DataFrame, doc
     """(kind, query): templates filled with each vendor and topic, left out where nothing was filled; for each template every
     topic with every type of document; each standard. Catalogs are small tables, whose products are the plan."""
     filled = F.replace(F.replace(F.col("template"), F.lit("{vendor}"), F.col("vendor")), F.lit("{topic}"), F.col("topic"))
-    products = patterns.crossJoin(F.broadcast(vendors)).crossJoin(F.broadcast(topic_names)).select(F.lit("pattern").alias("kind"), filled.alias("query"), "template").where("query <> template").drop("template")
-    typed = patterns.crossJoin(F.broadcast(topic_names)).crossJoin(F.broadcast(doc_types)).select(F.lit("type").alias("kind"), F.concat_ws(" ", "topic", "doc_type").alias("query"))
+    products = patterns.crossJoin(few(vendors)).crossJoin(few(topic_names)).select(F.lit("pattern").alias("kind"), filled.alias("query"), "template").where("query <> template").drop("template")
+    typed = patterns.crossJoin(few(topic_names)).crossJoin(few(doc_types)).select(F.lit("type").alias("kind"), F.concat_ws(" ", "topic", "doc_type").alias("query"))
     return products.unionByName(typed).unionByName(standards.select(F.lit("standard").alias("kind"), F.col("standard").alias("query")))
 
 
@@ -71,9 +73,9 @@ def adapter_plan(topic_rows: DataFrame, vendors: DataFrame, standards: DataFrame
         wanted = topic_rows.select(F.explode(F.array(*hits)).alias("category")).where("category is not null").distinct()
         asked = standards.join(wanted, "category", "left_semi")
     short = word(2).where(F.size(F.split(F.trim("kw"), "\\s+")) <= 2)
-    paired = programs.crossJoin(F.broadcast(topic_rows.select("name"))).withColumn("q", F.trim(F.concat_ws(" ", "program", "name")))
+    paired = programs.crossJoin(few(topic_rows.select("name"))).withColumn("q", F.trim(F.concat_ws(" ", "program", "name")))
     once = paired.groupBy("q").agg(F.min(F.struct("institution", "program")).alias("p"))
-    scoped = sites.where(F.col("domain") != "").crossJoin(F.broadcast(topic_rows.where("ord < 3").select("name")))
+    scoped = sites.where(F.col("domain") != "").crossJoin(few(topic_rows.where("ord < 3").select("name")))
     parts = [
         _planned(word(3), "github", F.col("kw"), F.concat(F.lit("topics/"), "name"), 10),
         _planned(vendors.where(F.col("github_org") != ""), "github", F.concat(F.lit("org:"), "github_org"), F.concat(F.lit("vendors/"), "name"), 10),
