@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,15 +43,43 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Of each open scratch(), the innermost last: the tables written in it.
+_OPEN: list[list[str]] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back, so that later jobs neither
     recompute it nor depend on blocks that only one executor holds."""
     ship(df.sparkSession)
     path = f"{checkpoint_dir(df.sparkSession)}/lexforge/{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are written inside are deleted at the end, but for those written by the function that it gives. What leaves
+    the block may depend on these only."""
+    _OPEN.append([])
+    kept: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        found = materialize(df)
+        kept.append(_OPEN[-1].pop())
+        return found
+
+    try:
+        yield keep
+    finally:
+        for path in _OPEN.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if _OPEN:
+            _OPEN[-1].extend(kept)
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     ship(spark)

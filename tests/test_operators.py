@@ -1,5 +1,6 @@
 """Core operators against plain Python on small inputs."""
 
+import os
 import random
 import re
 from collections import Counter
@@ -281,3 +282,14 @@ def test_files_that_wait(spark, tmp_path):
     assert sorted(r["stem"] for r in files.pending_files(spark, str(tmp_path), (".pdf", ".txt"), states).collect()) == ["a", "e"]
     (tmp_path / "f.st").write_bytes(b"ok \xff end")
     assert [(r["name"], r["text"]) for r in files.code_files(spark, str(tmp_path)).collect()] == [("f.st", "ok � end")]
+
+
+def test_scratch_tables_go_and_results_stay(spark):
+    from lexforge.plans import tables
+
+    with tables.scratch(spark) as keep:
+        inner = tables.materialize(spark.range(5))
+        result = keep(inner.withColumn("x", F.col("id") * 2))
+        gone = inner.inputFiles()[0].removeprefix("file:")
+    assert result.agg(F.sum("x")).first()[0] == 20
+    assert not os.path.exists(gone) and not tables._OPEN
