@@ -332,8 +332,8 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, id_col: str = "doc_id", te
         return each
 
     data = whole.select("batch", "sizes", "data")
-    pairs = materialize(_asked(map_arrow(data, first, "range int, batch long, payload binary", rows=8), True, "pairs"))
-    further = map_arrow(data.join(pairs, "batch", "left"), second, "range int, batch long, payload binary", rows=8)
+    pairs = materialize(_asked(map_arrow(data, first, "range int, batch long, payload binary", rows=4), True, "pairs"))
+    further = map_arrow(data.join(pairs, "batch", "left"), second, "range int, batch long, payload binary", rows=4)
     strings = _asked(further, False, "strings")
     both = whole.select("batch", "ids", "sizes", "data").join(pairs, "batch", "left").join(strings, "batch", "left")
-    return map_arrow(both, last, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept binary", rows=8)
+    return map_arrow(both, last, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept binary", rows=4)
