@@ -55,7 +55,19 @@ def materialize(df: DataFrame) -> DataFrame:
     if _OPEN:
         _OPEN[-1].append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    found._lexforge_path = path
+    return found
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` wrote and that nothing reads any more, such as a round's once the next is written."""
+    _delete(df.sparkSession, df._lexforge_path)
 
 
 @contextmanager
@@ -74,8 +86,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         yield keep
     finally:
         for path in _OPEN.pop():
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         if _OPEN:
             _OPEN[-1].extend(kept)
 
