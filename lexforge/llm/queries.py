@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import bpe, mixing, packing, quality, rules, sharding, simhash, suffix, topk, toxicity
+from lexforge.llm import bpe, clusters, mixing, packing, quality, rules, sharding, simhash, suffix, topk, toxicity
 from lexforge.plans.tables import load
 
 #: File of the tokenizer that the packed and encoded ids belong to.
@@ -61,6 +61,10 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.clustered(load(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_topk": op8_topk,
     "op9_quality": op9_quality,
     "op10_rules": op10_rules,
+    "op11_clusters": op11_clusters,
 }
 
 ORACLE_SQL: dict[str, str] = {
