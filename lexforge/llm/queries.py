@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import bpe, clusters, mixing, packing, quality, rules, sharding, simhash, suffix, topk, toxicity
+from lexforge.llm import bpe, clusters, mixing, packing, quality, repair, rules, sharding, simhash, sketch, suffix, topk, toxicity
 from lexforge.plans.tables import load
 
 #: File of the tokenizer that the packed and encoded ids belong to.
@@ -65,6 +65,14 @@ def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.clustered(load(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64)
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(load(spark, sf_dir, "conversations"), damage=repair.damaged)
+
+
+def op13_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.edited_and_next(load(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
@@ -77,6 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_rules": op10_rules,
     "op11_clusters": op11_clusters,
+    "op12_repair": op12_repair,
+    "op13_sketch": op13_sketch,
 }
 
 ORACLE_SQL: dict[str, str] = {
