@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexforge.operators.graph import connected_components
+from lexforge.operators.graph import FEW_EDGES, connected_components
 from lexforge.plans.tables import materialize
 
 TOKEN = "[\\p{L}\\p{N}_]+"
@@ -30,24 +32,80 @@ def md5_simhash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id")).join(bits.select("id", fp.alias("fp")), "id", "left").select("id", F.coalesce("fp", F.lit(0)).cast("long").alias("fp"))
 
 
-def banded_pairs(prints: DataFrame, distance: int) -> DataFrame:
-    """(a, b, distance), a < b as signed numbers: distinct fingerprints at Hamming ``distance`` or less. The 64 bits are cut
-    into ``distance // 2 + 1`` segments; two such fingerprints differ by one bit at most in one of them, so each looks up all
-    values within one bit of its own in each segment, and what it finds is verified. A segment of 21 bits or more is shared
-    by chance by few, where bands of ``distance + 1`` would be shared by a part of the corpus."""
+#: Prints that may share a segment's value before the rest of their bits has to tell them apart, and bits that can.
+CROWDED, LEAST_BITS = 256, 12
+
+
+def _packed(places: Sequence[int]) -> str:
+    """SQL for these bits of ``fp``, one after the other."""
+    runs: list[list[int]] = []
+    for at in places:
+        if runs and runs[-1][0] + runs[-1][1] == at:
+            runs[-1][1] += 1
+        else:
+            runs.append([at, 1])
+    terms, shift = [], 0
+    for start, length in runs:
+        terms.append(f"shiftleft(shiftrightunsigned(fp, {start}) & {(1 << length) - 1}L, {shift})")
+        shift += length
+    return f"({' | '.join(terms)})"
+
+
+def segments(places: Sequence[int], distance: int) -> list[list[int]]:
+    """``distance // 2 + 1`` segments of the bits, two at least: prints within the distance differ by one bit at most in one."""
     parts = max(2, distance // 2 + 1)
-    cuts = [64 * i // parts for i in range(parts + 1)]
-    distinct = prints.select("fp").distinct()
-    bits = lambda i: f"shiftrightunsigned(fp, {cuts[i]}) & {(1 << (cuts[i + 1] - cuts[i])) - 1}L"
-    own = ", ".join(f"struct({i} as seg, {bits(i)} as value)" for i in range(parts))
-    near = ", ".join(
-        f"transform(concat(array({bits(i)}), transform(sequence(0, {cuts[i + 1] - cuts[i] - 1}), x -> ({bits(i)}) ^ shiftleft(1L, x))), v -> struct({i} as seg, v as value))"
-        for i in range(parts)
-    )
-    table = distinct.select("fp", F.inline(F.expr(f"array({own})"))).withColumnRenamed("fp", "fp2")
-    probes = distinct.select("fp", F.inline(F.expr(f"concat({near})")))
+    return [list(places[len(places) * i // parts : len(places) * (i + 1) // parts]) for i in range(parts)]
+
+
+def segment_keys(cut: Sequence[Sequence[int]], first: int, near: bool, above: str = "0L") -> Column:
+    """Of ``fp`` an array of (path, key), a key for each segment: of its own value or, with ``near``, of all values within one bit.
+    Paths are numbered from ``first``. Keys are hashes, so what shares one has to be verified."""
+    made = []
+    for i, places in enumerate(cut):
+        own = _packed(places)
+        values = f"concat(array({own}), transform(sequence(0, {len(places) - 1}), x -> ({own}) ^ shiftleft(1L, x)))" if near else f"array({own})"
+        made.append(f"transform({values}, v -> struct({first + i} AS path, xxhash64({above}, {first + i}, v) AS key))")
+    return F.expr(f"concat({', '.join(made)})")
+
+
+def candidate_pairs(prints: DataFrame, distance: int) -> DataFrame:
+    """(fp, fp2) of distinct prints: all that are within the distance, and others that share a segment's value within a bit.
+
+    Where more than CROWDED prints have one value of a segment, these are not joined there: the bits outside of the segment are
+    cut again, and what is near shares a value of such a part, too. A group goes on to a next level until no more share a value,
+    or too few bits are left to tell them apart; equal prints are one before."""
+    table = probes = prints.select("fp", F.lit(0).alias("path"), F.lit(0).cast("long").alias("key"))
+    rest: dict[int, list[int]] = {0: list(range(64))}
+    found, named = [], 1
+    while rest:
+        own, near, after = [], [], {}
+        for path, places in rest.items():
+            cut = segments(places, distance)
+            own.append(table.where(F.col("path") == path).select("fp", F.inline(segment_keys(cut, named, False, "key"))))
+            near.append(probes.where(F.col("path") == path).select("fp", F.inline(segment_keys(cut, named, True, "key"))))
+            for i, part in enumerate(cut):
+                after[named + i] = [x for x in places if x not in part]
+            named += len(cut)
+        table, probes = reduce(DataFrame.unionAll, own), reduce(DataFrame.unionAll, near)
+        going_on = [path for path, places in after.items() if len(places) >= LEAST_BITS]
+        crowd = materialize(table.where(F.col("path").isin(going_on)).groupBy("path", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED).select("path", "key"))
+        paths = [r["path"] for r in crowd.select("path").distinct().collect()]  # as many as there are segments
+        keys = ["path", "key"]
+        if paths:
+            few_probes, few_table = (x.join(crowd, keys, "left_anti") for x in (probes, table))
+            table, probes = (materialize(x.join(crowd, keys, "left_semi")) for x in (table, probes))
+        else:
+            few_probes, few_table = probes, table
+        found.append(few_probes.join(few_table.withColumnRenamed("fp", "fp2"), keys).where("fp < fp2").select("fp", "fp2"))
+        rest = {path: after[path] for path in paths}
+    return reduce(DataFrame.unionAll, found)
+
+
+def banded_pairs(prints: DataFrame, distance: int) -> DataFrame:
+    """(a, b, distance), a < b as signed numbers: distinct fingerprints at Hamming ``distance`` or less. Each looks up all values
+    within one bit of its own in each segment; what it finds is verified."""
     d = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2")))
-    found = probes.join(table, ["seg", "value"]).where((F.col("fp") < F.col("fp2")) & (d <= distance))
+    found = candidate_pairs(materialize(prints.select("fp").distinct()), distance).where(d <= distance)
     return found.select(F.col("fp").alias("a"), F.col("fp2").alias("b"), d.cast("int").alias("distance")).distinct()
 
 
@@ -68,7 +126,7 @@ def near_earlier(known: DataFrame, distance: int) -> DataFrame:
 def clusters(prints: DataFrame, distance: int) -> DataFrame:
     """(id, cluster): the smallest id that links of ``distance`` or less reach. Equal fingerprints are linked."""
     prints = materialize(prints)
-    groups = connected_components(banded_pairs(prints, distance).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    groups = connected_components(banded_pairs(prints, distance).select(F.col("a").alias("src"), F.col("b").alias("dst")), few=FEW_EDGES)
     rooted = prints.join(groups, prints.fp == groups.node, "left").select("id", F.coalesce("component", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("id").alias("cluster"))
     return rooted.join(least, "root").select("id", "cluster")
@@ -133,13 +191,61 @@ def jaccard_candidates(rows: DataFrame, threshold: float, scope: Sequence[str] =
     return left.join(right, keys).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - 1e-9)).select("a", "b").distinct()
 
 
+def _greedy(pairs: pd.DataFrame) -> list[int]:
+    """What goes of (a, b), a < b, if each node in turn stays unless an earlier neighbour of it stayed."""
+    gone: set[int] = set()
+    for a, b in sorted(zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True)):  # all pairs of earlier nodes come before
+        if a not in gone:
+            gone.add(b)
+    return sorted(gone)
+
+
+#: Rounds between two looks at the components that are left.
+ROUNDS = 3
+
+
+def settled(pairs: DataFrame) -> DataFrame | None:
+    """(ord) of the nodes of a written table (a, b), a < b, that go in the greedy order; null if there is no pair.
+
+    A few pairs are decided in one task, however long their chains are. Of more, rounds decide what can be seen at once (a node
+    without an earlier undecided neighbour stays, its later neighbours go, with their pairs); what is left after some rounds
+    falls into components, and each of these that has few pairs is decided in one task. Only larger ones need further rounds."""
+    live, gone, turn = pairs, [], 0
+
+    def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(batches)
+        if held:
+            yield pd.DataFrame({"ord": _greedy(pd.concat(held))})
+
+    while left := live.count():
+        if left <= FEW_EDGES:
+            gone.append(live.select("a", "b").coalesce(1).mapInPandas(alone, "ord long"))
+            break
+        turn += 1
+        if turn % ROUNDS == 0:
+            groups = connected_components(live, "a", "b")
+            rooted = live.join(groups, F.col("a") == F.col("node")).select("a", "b", "component")
+            sizes = rooted.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
+            rooted = materialize(rooted.join(sizes, "component"))
+            small = rooted.where(F.col("n") <= FEW_EDGES)
+            gone.append(materialize(small.groupBy("component").applyInPandas(lambda g: pd.DataFrame({"ord": _greedy(g)}), "ord long")))
+            live = materialize(rooted.where(F.col("n") > FEW_EDGES).select("a", "b"))
+            continue
+        waits = live.select(F.col("b").alias("ord")).distinct()
+        stays = live.select(F.col("a").alias("ord")).distinct().join(waits, "ord", "left_anti")
+        drop = materialize(live.join(stays, F.col("a") == F.col("ord"), "left_semi").select(F.col("b").alias("ord")).distinct())
+        gone.append(drop)
+        rest = live.join(drop.withColumnRenamed("ord", "b"), "b", "left_anti").join(drop.withColumnRenamed("ord", "a"), "a", "left_anti")
+        live = materialize(rest.select("a", "b"))
+    return reduce(DataFrame.unionAll, gone) if gone else None
+
+
 def leaders(rows: DataFrame, threshold: float, scope: Sequence[str] = ()) -> DataFrame:
     """(ord, keep): greedy clustering in the order of ``ord``: a row stays unless it is similar to one that stayed before it.
     Rows without tokens stay.
 
     Equal token sets of a scope are one from the beginning, as all but the first of them go. Similar pairs of distinct sets
-    come from a prefix-filtered join and are verified. Then the order is settled in rounds over these pairs: a set without an
-    earlier undecided neighbour stays, its later neighbours go, and their pairs with them."""
+    come from a prefix-filtered join and are verified; ``settled`` decides over these pairs."""
     tokens = F.array_sort(F.array_distinct("tokens"))
     rows = materialize(rows.select(*scope, "ord", tokens.alias("tokens")))
     full = rows.where(F.size("tokens") > 0)
@@ -148,17 +254,8 @@ def leaders(rows: DataFrame, threshold: float, scope: Sequence[str] = ()) -> Dat
     pairs = jaccard_candidates(firsts, threshold, scope)
     verified = pairs.join(sets.select(F.col("ord").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("ord").alias("b"), F.col("s").alias("sb")), "b")
     live = materialize(verified.where(jaccard(F.col("sa"), F.col("sb")) >= threshold).select("a", "b"))
-    gone = []
-    while not live.isEmpty():
-        waits = live.select(F.col("b").alias("ord")).distinct()
-        stays = live.select(F.col("a").alias("ord")).distinct().join(waits, "ord", "left_anti")
-        drop = materialize(live.join(stays, F.col("a") == F.col("ord"), "left_semi").select("b").distinct())
-        gone.append(drop.select(F.col("b").alias("ord")))
-        rest = live.join(drop, "b", "left_anti").join(drop.select(F.col("b").alias("a")), "a", "left_anti")
-        live = materialize(rest.select("a", "b"))
-    stay = firsts.select("ord")
-    for drop in gone:
-        stay = stay.join(drop, "ord", "left_anti")
+    gone = settled(live)
+    stay = firsts.select("ord").join(gone, "ord", "left_anti") if gone else firsts.select("ord")
     stay = stay.unionByName(rows.where(F.size("tokens") == 0).select("ord"))
     return rows.select("ord").join(stay.withColumn("_keep", F.lit(True)), "ord", "left").select("ord", F.col("_keep").isNotNull().alias("keep"))
 
