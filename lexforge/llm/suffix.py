@@ -102,6 +102,7 @@ class Block:
                 continue
             begin, end = self._around(lo, hi)
             sums, inverses = self._sums(lo, hi)
+            others, other_inverses = self._sums(lo, hi, 1)
             n = hi - lo
             rank = mix((sums[half:] - sums[:-half]) * inverses[: n - half + 1])
             least = _least(rank, width)  # for strings that start at each position
@@ -113,7 +114,7 @@ class Block:
             at = at[(at + lo >= base) & (at + lo < base + STEP)]
             left = np.maximum(at - (width - 1), begin[at] - lo)
             right = np.minimum(at + span, end[at] - lo)
-            around = mix((sums[right] - sums[left]) * inverses[left]) + ((right - left) * 1024 + at - left).astype(np.uint64)
+            around = mix((others[right] - others[left]) * other_inverses[left]) + ((right - left) * 1024 + at - left).astype(np.uint64)
             found.append((at + lo, left + lo, right + lo, mix(rank[at] * np.uint64(BASES[0])), around))  # anchors' ranks are small: spread again
         empty = np.zeros(0, np.int64)
         return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64))
