@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
+from lexforge.operators import dedup as D
+from lexforge.operators import jobs
 from lexforge.operators import merging as B
-from lexforge.plans.tables import checkpoint_dir, load
+from lexforge.plans.q_dedup import PRINTS
+from lexforge.plans.tables import folder, load, materialize
 from lexforge.registry import query
 from lexforge.sources.views import view, with_views
-from lexforge.streaming import incremental
+from lexforge.streaming import incremental, registry, ttl_cache
+from lexforge.streaming.merge_table import MergeTable
 
 c = F.col
 TABLES = """WITH stored AS (SELECT o_orderkey AS id, md5(CAST(o_custkey AS STRING)) AS h, 1 AS stamp, o_orderstatus AS status, 'completed' AS vectors FROM orders WHERE o_orderkey % 3 <> 0),
@@ -88,17 +92,104 @@ def g03_pair(spark, sf):
 @query("o01_streamed_sync", "SELECT count(*) AS n, count(DISTINCT doc_id) AS documents, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents")
 def o01(spark, sf):
     """The documents, pulled file by file into a merged table by a stream that has run to its end."""
-    base = f"{checkpoint_dir(spark)}/lexforge/{uuid.uuid4().hex}"
+    base = folder(spark)
     source = load(spark, sf, "documents").select("doc_id", F.md5(c("text").cast("binary")).alias("h"), F.lit(1).alias("stamp"), "n_chars")
     source.repartition(3, "doc_id").write.parquet(f"{base}/in")
-    incremental.sync(spark, f"{base}/in", source.schema, f"{base}/table", f"{base}/offsets", "doc_id", "h", "stamp", files=1)
-    return incremental.table(spark, f"{base}/table").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("documents"), F.sum("n_chars").alias("chars"))
+    table = MergeTable(f"{base}/table", "doc_id", "h", "stamp")
+    incremental.sync(spark, f"{base}/in", source.schema, table, f"{base}/offsets", files=1, compact=2)
+    return table.read(spark).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("documents"), F.sum("n_chars").alias("chars"))
+
+
+ORDERS = """WITH RECURSIVE b AS (SELECT o_orderkey AS id, n, md5(concat(CAST(o_custkey AS STRING), CASE WHEN o_orderkey % (n + 2) = 0 THEN CAST(n AS STRING) ELSE '' END)) AS h, CASE WHEN o_orderkey % 5 = n THEN 0 ELSE n END AS stamp, concat(o_orderstatus, CAST(n AS STRING)) AS status
+  FROM orders, (SELECT unnest([0, 1, 2, 3]) AS n) WHERE (o_orderkey + n) % 3 <> 0),
+s AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n) AS k FROM b),
+f AS (SELECT id, k, h, stamp, status, status AS first FROM s WHERE k = 1 UNION ALL
+  SELECT s.id, s.k, CASE WHEN f.h = s.h AND f.stamp >= s.stamp THEN f.h ELSE s.h END, CASE WHEN f.h = s.h AND f.stamp >= s.stamp THEN f.stamp ELSE s.stamp END, CASE WHEN f.h = s.h AND f.stamp >= s.stamp THEN f.status ELSE s.status END, f.first FROM f JOIN s ON s.id = f.id AND s.k = f.k + 1)"""
+
+
+@query("o01_merged_batches", ORDERS + " SELECT id, h, stamp, status, first FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k DESC) AS last FROM f) WHERE last = 1")
+def o01_batches(spark, sf):
+    """Four batches of changes to the orders, each sent twice, with a new base after the third; a column that keeps its first value."""
+    orders = load(spark, sf, "orders")
+    table = MergeTable(f"{folder(spark)}/table", "id", "h", "stamp", keep=("first",))
+    for n in range(4):
+        changed = F.when(c("o_orderkey") % (n + 2) == 0, str(n)).otherwise("")
+        h = F.md5(F.concat(c("o_custkey").cast("string"), changed).cast("binary"))
+        stamp = F.when(c("o_orderkey") % 5 == n, 0).otherwise(n)
+        status = F.concat("o_orderstatus", F.lit(str(n)))
+        rows = orders.where((c("o_orderkey") + n) % 3 != 0).select(c("o_orderkey").alias("id"), h.alias("h"), stamp.alias("stamp"), status.alias("status"), status.alias("first"))
+        for _ in range(2):
+            table.put(rows, n)
+        if n == 2:
+            table.compact(spark)
+    return table.read(spark)
+
+
+@query(
+    "o04_streamed_gate",
+    f"WITH {PRINTS} SELECT id FROM f b WHERE b.fp <> 0 AND EXISTS (SELECT 1 FROM f a JOIN documents d ON a.id = d.doc_id WHERE a.id < b.id AND a.fp <> 0 AND length(d.text) >= 200 AND bit_count(xor(a.fp, b.fp)) <= 2)",
+)
+def o04(spark, sf):
+    """The near duplicates among documents that arrive in three loads, in the order of their ids; the gate is started anew for each
+    and knows what came before."""
+    base = folder(spark)
+    docs = load(spark, sf, "documents")
+    lengths = docs.select(c("doc_id").alias("id"), (F.length("text") >= 200).alias("registers"))
+    rows = materialize(D.md5_simhash(docs, "doc_id", "text").join(lengths, "id").select("id", "fp", "registers"))
+    bounds = rows.agg(F.percentile_approx("id", [0.34, 0.67])).first()[0] or []
+    load_of = reduce(lambda n, bound: n + (c("id") > bound).cast("int"), bounds, F.lit(0))
+    for n in range(len(bounds) + 1):
+        rows.where(load_of == n).write.mode("append").parquet(f"{base}/in")
+        registry.run(spark, f"{base}/in", f"{base}/gate")
+    return registry.losers(spark, f"{base}/gate")
+
+
+ASKED = ("2024-01-05 06:00:00", "2024-01-15 00:00:00", "2024-01-25 18:30:00")
+
+
+@query(
+    "o05_ttl_cache",
+    f"""WITH p AS (SELECT concat(CAST(user_id % 500 AS STRING), ':', event_type) AS key, ts, event_id FROM events), k AS (SELECT DISTINCT key FROM p), g AS (SELECT key, CAST(t AS TIMESTAMP) AS asked FROM k, (SELECT unnest({list(ASKED)}) AS t)),
+    l AS (SELECT g.key, g.asked, p.event_id, p.ts, row_number() OVER (PARTITION BY g.key, g.asked ORDER BY p.ts DESC NULLS LAST, p.event_id DESC) AS r FROM g LEFT JOIN p ON p.key = g.key AND p.ts <= g.asked)
+    SELECT key, strftime(asked, '%Y-%m-%d %H:%M:%S') AS asked, CASE WHEN ts > asked - INTERVAL '24 hours' THEN 'hit' ELSE 'miss' END AS outcome, CASE WHEN ts > asked - INTERVAL '24 hours' THEN event_id ELSE -1 END AS event_id FROM l WHERE r = 1""",
+)
+def o05(spark, sf):
+    """Events put themselves under a user and a type; every key is asked for at three times. They arrive in two loads, the second
+    after a restart."""
+    base = folder(spark)
+    key = F.concat((c("user_id") % 500).cast("string"), F.lit(":"), c("event_type"))
+    puts = load(spark, sf, "events").select(key.alias("key"), c("ts").cast("timestamp").alias("at"), c("event_id").alias("number"), c("event_id").cast("string").alias("value"))
+    times = F.explode(F.array(*[F.lit(t).cast("timestamp") for t in ASKED]))
+    gets = puts.select("key").distinct().select("key", times.alias("at"), F.lit(0).cast("long").alias("number"), F.lit(None).cast("string").alias("value"))
+    requests = materialize(puts.unionByName(gets))
+    for later in (False, True):
+        requests.where((c("at") > F.lit(ASKED[1]).cast("timestamp")) == later).write.mode("append").parquet(f"{base}/in")
+        found = ttl_cache.run(spark, f"{base}/in", f"{base}/cache", hours=24)
+    return found.where("outcome <> 'expired'").select("key", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("asked"), "outcome", F.coalesce(c("value").cast("long"), F.lit(-1)).alias("event_id"))
+
+
+@query("o06_batch", "SELECT event_type AS job, count(*) AS n, round(sum(value), 6) AS total, CASE WHEN dense_rank() OVER (ORDER BY event_type) <= 2 THEN 1 ELSE 2 END AS start FROM events GROUP BY event_type")
+def o06_batch(spark, sf):
+    """A job for each type of event; the first start ends after two jobs, the second runs those that are left."""
+    events = load(spark, sf, "events").select("event_type", "value")
+    types = [r["event_type"] for r in events.select("event_type").distinct().collect()]  # a catalog of few
+    batch = jobs.Batch(spark, folder(spark))
+    for start, most in ((1, 2), (2, None)):
+
+        def work(session, job, start=start):
+            own = events.where(c("event_type") == job)
+            return own.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"), F.lit(start).alias("start"))
+
+        states = batch.run(types, work, deadline=600, at_once=2, most=most)
+    if set(states.values()) - {"done"}:
+        raise RuntimeError(f"jobs have failed: {states}")
+    return batch.results().select("job", "n", "total", "start")
 
 
 @query("o08_streamed_windows")
 def o08_stream(spark, sf):
     """Hourly windows of the events by a stream with a watermark: those that have closed."""
-    base = f"{checkpoint_dir(spark)}/lexforge/{uuid.uuid4().hex}"
+    base = folder(spark)
     events = load(spark, sf, "events").select(c("ts").cast("timestamp").alias("ts"), "event_type", "value")
     events.repartition(2).write.parquet(f"{base}/in")
     return incremental.run_windows(spark, f"{base}/in", events.schema, f"{base}/out", f"{base}/offsets")

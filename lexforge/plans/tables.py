@@ -60,14 +60,25 @@ def materialize(df: DataFrame) -> DataFrame:
     return found
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _files(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark keeps it."""
+    store, where = _files(spark, path)
+    store.delete(where, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    store, where = _files(spark, path)
+    return store.exists(where)
 
 
 def discard(df: DataFrame) -> None:
     """Delete a table that ``materialize`` wrote and that nothing reads any more, such as a round's once the next is written."""
-    _delete(df.sparkSession, df._lexforge_path)
+    delete(df.sparkSession, df._lexforge_path)
 
 
 @contextmanager
@@ -86,11 +97,16 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         yield keep
     finally:
         for path in _OPEN.pop():
-            _delete(spark, path)
+            delete(spark, path)
         if _OPEN:
             _OPEN[-1].extend(kept)
 
 
+def folder(spark: SparkSession) -> str:
+    """The name of a new folder among the shared ones."""
+    return f"{checkpoint_dir(spark)}/lexforge/{uuid.uuid4().hex}"
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     ship(spark)

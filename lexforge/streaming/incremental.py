@@ -5,45 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.operators.merging import upsert
+from lexforge.streaming.merge_table import MergeTable
 
+#: Deltas of a synced table before they go into a new base.
+COMPACT = 16
 
-def sync(spark: SparkSession, source: str, schema, target: str, checkpoint: str, key: str, hash_col: str, stamp: str, files: int = 8) -> None:
-    """Merge all new files of ``source`` into the Parquet table ``target``. Each micro-batch writes a new version of the table
-    beside the last, and then appends its number to ``versions``, whose largest is the table's: there is no moment without
-    one, and a batch that is run again finds its rows skipped. A version is the whole table: let a batch take many files."""
+
+def sync(spark: SparkSession, source: str, schema, target: MergeTable, checkpoint: str, files: int = 8, compact: int = COMPACT) -> None:
+    """Merge all new files of ``source`` into a table. A micro-batch writes its own rows; one that is run again is told by its
+    number."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        versions = f"{target}/v"
-        stored = _current(session, target)
-        rows = batch.select(*batch.columns)
-        merged = rows.withColumn("action", F.lit("inserted")) if stored is None else upsert(stored, rows, key, hash_col, stamp)
-        merged.drop("action").write.mode("overwrite").parquet(f"{versions}{number}")
-        session.createDataFrame([(number,)], "version int").coalesce(1).write.mode("append").parquet(f"{target}/versions")
+        if target.put(batch, number) and target.pending(batch.sparkSession) >= compact:
+            target.compact(batch.sparkSession)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def _current(spark: SparkSession, target: str) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
-
-    try:
-        number = spark.read.parquet(f"{target}/versions").agg(F.max("version")).first()[0]
-    except AnalysisException:
-        return None
-    return spark.read.parquet(f"{target}/v{number}")
-
-
-def table(spark: SparkSession, target: str) -> DataFrame:
-    """The table as of the last merged batch."""
-    found = _current(spark, target)
-    if found is None:
-        raise ValueError(f"nothing was merged into {target}")
-    return found
-
-
 def windows(events: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Counts and sums of each window and type of an event stream; rows later than ``late`` are dropped."""
     return (
