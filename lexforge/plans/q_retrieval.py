@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexforge.operators import corpus_map as P
+from lexforge.operators import inverted
 from lexforge.operators import retrieval as N
-from lexforge.plans.tables import load
+from lexforge.plans.tables import folder, load
 from lexforge.registry import query
 from lexforge.sources.views import view, with_views
 
@@ -45,6 +46,13 @@ def n05(spark, sf):
     return N.bm25(docs(spark, sf), asked(spark, sf), 10).withColumn("score", F.round("score", 6))
 
 
+@query("n05_index", f"WITH {BM25} SELECT qid, doc_id, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM bm WHERE rank < 10")
+def n05_index(spark, sf):
+    """The same from a written index."""
+    index = inverted.Index(spark, folder(spark)).build(docs(spark, sf))
+    return index.search(asked(spark, sf), 10).withColumn("score", F.round("score", 6))
+
+
 NORM = "list_transform(list_transform({x}, lambda x: x::DOUBLE), lambda x: x / CASE WHEN n = 0 THEN 1 ELSE n END)"
 COSINE = """v AS (SELECT vec_id, list_transform(e, lambda x: x / CASE WHEN sqrt(list_dot_product(e, e)) = 0 THEN 1 ELSE sqrt(list_dot_product(e, e)) END) AS v FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)),
 cs AS (SELECT q.vec_id AS qid, v.vec_id AS doc_id, round(list_dot_product(q.v, v.v), 6) AS score FROM v q, v WHERE q.vec_id % 50 = 0),
@@ -185,6 +193,13 @@ def f09(spark, sf):
     return neighbours(spark, sf).select("id", F.round("similarity", 6).alias("similarity"))
 
 
+@query("f09_pruned", f"WITH {NN} SELECT id, round(similarity, 6) AS similarity FROM nn")
+def f09_pruned(spark, sf):
+    """The same by pivots and bounds, whatever the number of vectors."""
+    rows = vectors(spark, sf).select(c("doc_id").alias("id"), N.normalised(c("v")).alias("v"))
+    return P.nearest(rows, direct=0).select("id", F.round("similarity", 6).alias("similarity"))
+
+
 @query("k13_embedding_near_dup", f"WITH {NN} SELECT id, similarity >= (SELECT quantile_cont(similarity, 0.95) FROM nn) AS is_near_dup FROM nn")
 def k13(spark, sf):
     return P.near_duplicates(neighbours(spark, sf)).select("id", "is_near_dup")
