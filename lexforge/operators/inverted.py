@@ -26,6 +26,12 @@ SCOUTS = 4
 #: What names a block.
 KEYS = ["part", "term", "level", "sub"]
 
+SCHEMAS = {
+    "blocks": "term string, level int, sub int, posts array<struct<doc_id: long, impact: double>>, top double, blocks int, part int",
+    "heads": "term string, level int, sub int, top double, blocks int, size int, part int",
+    "stats": "docs long, avgdl double, mean_idf double",
+}
+
 
 def _sub(blocks: Column) -> Column:
     """The block of its level that a document's posting lies in."""
@@ -64,11 +70,11 @@ class Index:
         heads.write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/heads")
         frequency = self._read("heads").groupBy("term").agg(F.sum("size").alias("df"))
         idf = F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-        frequency.agg(F.lit(n).alias("docs"), F.lit(length).alias("avgdl"), F.coalesce(F.avg(idf), F.lit(0.0)).alias("mean_idf")).write.mode("overwrite").parquet(f"{self.folder}/stats")
+        frequency.agg(F.lit(n).cast("long").alias("docs"), F.lit(length).alias("avgdl"), F.coalesce(F.avg(idf), F.lit(0.0)).alias("mean_idf")).write.mode("overwrite").parquet(f"{self.folder}/stats")
         return self
 
     def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}")
 
     def _asked(self, queries: DataFrame, k: int, epsilon: float) -> tuple[DataFrame, DataFrame, list[int]]:
         """Of each (qid, term): its weight, the most that it gives, the most that all terms up to it give (the weakest first), and the
@@ -79,17 +85,20 @@ class Index:
         parts = [r["part"] for r in wanted.select("part").distinct().collect()]
         heads = materialize(self._read("heads").where(F.col("part").isin(parts)).join(few(wanted.select("term").distinct(), TERMS), "term", "left_semi"))
         idf = F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
-        by_term = heads.groupBy("term").agg(F.sum("size").alias("df"), F.max("top").alias("most"), F.max("level").alias("peak"))
-        weights = by_term.select("term", "most", "peak", F.when(idf < 0, epsilon * F.lit(mean)).otherwise(idf).alias("idf"))
-        asked = wanted.join(few(weights, TERMS), "term").select("qid", "term", "peak", "most", (F.col("idf") * F.col("times")).alias("weight"))
+        by_term = heads.groupBy("term").agg(F.sum("size").alias("df"), F.max("top").alias("most"))
+        weights = by_term.select("term", "most", F.when(idf < 0, epsilon * F.lit(mean)).otherwise(idf).alias("idf"))
+        asked = wanted.join(few(weights, TERMS), "term").select("qid", "term", "most", (F.col("idf") * F.col("times")).alias("weight"))
         # a negative weight only lowers a score: at most it gives nothing
         asked = asked.withColumn("gives", F.greatest(F.lit(0.0), F.col("weight") * F.col("most")))
         weakest = Window.partitionBy("qid").orderBy("gives", "term")
         asked = asked.withColumn("upto", F.sum("gives").over(weakest)).withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("gives"), "term")))
         asked = materialize(asked.withColumn("all", F.sum("gives").over(Window.partitionBy("qid"))).withColumn("least", F.min("weight").over(Window.partitionBy("qid"))))
-        # what documents are known to have, from the best blocks of some terms; a bound only where no other term takes from it
-        scouts = asked.where(f"place <= {SCOUTS} AND least >= 0").select("qid", "term", "weight", F.col("peak").alias("level"))
-        best = heads.select(*KEYS).join(few(scouts, TERMS), ["term", "level"])
+        # what documents are known to have, from the best levels of some terms, down to k postings of each; it is a bound only
+        # where no other term takes from it
+        scouts = asked.where(f"place <= {SCOUTS} AND least >= 0").select("qid", "term", "weight")
+        above = Window.partitionBy("term").orderBy(F.desc("level")).rowsBetween(Window.unboundedPreceding, -1)
+        levels = heads.groupBy("term", "level").agg(F.sum("size").alias("n")).withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0)))
+        best = heads.join(few(materialize(levels.where(F.col("above") < k).select("term", "level")), TERMS), ["term", "level"]).select(*KEYS).join(few(scouts, TERMS), "term")
         known = ranked(self._parts_of(best, parts).where("score > 0"), k)
         bound = known.where(F.col("rank") == k - 1).select("qid", (F.col("score") - 1e-6).alias("bound"))
         return asked.join(few(materialize(bound), TERMS), "qid", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0))), heads, parts
