@@ -2,50 +2,47 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values of the chunker and of what is worth a vector.
 CHUNK_CHARS, OVERLAP, MIN_CHUNK, MAX_CHUNK, SLICE, SEGMENT = 600, 1, 50, 1500, 8000, 1000
 CONTEXT, WORD_EDGE = 250, 30
+#: What a pattern takes for white space.
+SPACES = " \t\n\x0b\f\r"
 
 
 def sentences(text: Column) -> Column:
-    """Split after . ! ? and white space; stripped, without empty ones."""
-    parts = F.transform(F.split(text, "(?<=[.!?])\\s+"), lambda s: F.regexp_replace(s, "^\\s+|\\s+$", ""))
-    return F.filter(parts, lambda s: s != "")
+    """Split after . ! ? and white space; stripped, without empty ones. Only a text's own ends can leave white space."""
+    return F.filter(F.split(F.btrim(text, F.lit(SPACES)), "(?<=[.!?])\\s+"), lambda s: s != "")
 
 
 def pack(sentence_list: Column, max_chars: int = CHUNK_CHARS, overlap: int = OVERLAP) -> Column:
     """Chunks as arrays of sentence places. A chunk is closed before a sentence that would bring its sentences over
     ``max_chars`` (blanks between them don't count); the next begins with its last ``overlap`` sentences, which do count.
 
-    One fold over the sentences' lengths. It carries where the chunk begins, its size and the lengths of its last
-    ``overlap`` sentences, so a step costs the same however long the document is; texts are joined afterwards, once for each
-    chunk."""
-    places, no_lengths = "array<struct<b:int,e:int>>", F.expr("cast(array() as array<int>)")
-
-    def step(acc: Column, n: Column) -> Column:
-        i, begin, size, tail, cuts = (acc[x] for x in ("i", "begin", "size", "tail", "cuts"))
-        full = (size + n > max_chars) & (i > begin)
-        kept = F.aggregate(tail, F.lit(0), lambda s, x: s + x) if overlap else F.lit(0)
-        last = F.concat(tail, F.array(n))
-        return F.struct(
-            (i + 1).alias("i"),
-            F.when(full, i - F.size(tail)).otherwise(begin).cast("int").alias("begin"),
-            F.when(full, kept + n).otherwise(size + n).cast("int").alias("size"),
-            # of the chunk that goes on, at most ``overlap`` of its last sentences
-            (F.when(F.size(last) > overlap, F.slice(last, F.size(last) - overlap + 1, overlap)).otherwise(last) if overlap else tail).alias("tail"),
-            F.when(full, F.concat(cuts, F.array(F.struct(begin.alias("b"), i.alias("e"))))).otherwise(cuts).alias("cuts"),
-        )
-
-    zero = F.lit(0)
-    start = F.struct(zero.alias("i"), zero.alias("begin"), zero.alias("size"), no_lengths.alias("tail"), F.expr(f"cast(array() as {places})").alias("cuts"))
-
-    def finish(acc: Column) -> Column:
-        return F.when(acc["i"] > 0, F.concat(acc["cuts"], F.array(F.struct(acc["begin"].alias("b"), acc["i"].alias("e"))))).otherwise(F.expr(f"cast(array() as {places})"))
-
-    return F.aggregate(F.transform(sentence_list, F.length), start, step, finish)
+    The lengths alone go to the fold, one step for each sentence, in Arrow batches; texts stay where they are and are joined
+    afterwards, once for each chunk."""
+
+    @F.pandas_udf("array<struct<b: int, e: int>>")
+    def fold(lists: pd.Series) -> pd.Series:
+        return pd.Series([_packed(x.tolist(), max_chars, overlap) if x is not None else None for x in lists], dtype=object)
+
+    return fold(F.transform(sentence_list, F.length))
+
+
+def _packed(lengths: list[int], max_chars: int, overlap: int) -> list[dict[str, int]]:
+    cuts, begin, size = [], 0, 0
+    for i, n in enumerate(lengths):
+        if size + n > max_chars and i > begin:
+            cuts.append({"b": begin, "e": i})
+            begin = max(begin, i - overlap)
+            size = sum(lengths[begin:i])
+        size += n
+    if lengths:
+        cuts.append({"b": begin, "e": len(lengths)})
+    return cuts
 
 
 def chunk_texts(sentence_list: Column, places: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexforge.functions import boundaries as S
 from lexforge.operators import chunking as L
 from lexforge.operators import extraction as M
 from lexforge.plans.tables import load
@@ -29,6 +30,27 @@ def l01(spark, sf):
     return s.select("doc_id", "ord", F.md5(c("sentence").cast("binary")).alias("digest"))
 
 
+@query(
+    "l01_abbreviations",
+    r"""WITH t AS (SELECT t FROM (SELECT unnest(string_split_regex(lower(text), '\s+')) AS t FROM documents) WHERE t <> ''),
+    k AS (SELECT CASE WHEN regexp_matches(t, '^\p{L}[\p{L}.]*\.$') THEN regexp_replace(t, '\.$', '') WHEN regexp_matches(t, '^\p{L}([\p{L}.]*\p{L})?[,;:]?$') THEN regexp_replace(t, '[,;:]$', '') END AS type, regexp_matches(t, '^\p{L}[\p{L}.]*\.$') AS dot FROM t),
+    c AS (SELECT type, count(*)::DOUBLE AS n, count(CASE WHEN dot THEN 1 END)::DOUBLE AS d FROM k GROUP BY 1), a AS (SELECT sum(d) / sum(n) AS p FROM c),
+    s AS (SELECT type, n, d, -2 * ((d * ln(p) + (n - d) * ln(1 - p)) - (d * ln(0.99) + (n - d) * ln(1 - 0.99))) AS ratio, (length(type) - length(replace(type, '.', '')))::DOUBLE AS inner_ FROM c, a WHERE type IS NOT NULL AND d > 0)
+    SELECT type, CAST(d AS BIGINT) AS dotted, CAST(n - d AS BIGINT) AS plain, CASE WHEN abs(score) < 1e-6 THEN 0.0::DOUBLE ELSE score END AS score FROM (SELECT type, d, n, round(ratio * exp(-(length(type) - inner_ + 1)) * (inner_ + 1) * pow(length(type) - inner_ + 1, d - n), 6) AS score FROM s)""",
+)
+def l01_abbreviations(spark, sf):
+    """How much each type before a period looks like an abbreviation."""
+    return S.scored(docs(spark, sf)).withColumn("score", F.when(F.abs(F.round("score", 6)) < 1e-6, 0.0).otherwise(F.round("score", 6)))
+
+
+@query("l01_learned")
+def l01_learned(spark, sf):
+    """Sentences that do not end behind the abbreviations of these documents."""
+    known = S.abbreviations(docs(spark, sf))
+    s = docs(spark, sf).select("doc_id", F.posexplode(S.split(c("text"), known)).alias("ord", "sentence"))
+    return s.select("doc_id", "ord", F.md5(c("sentence").cast("binary")).alias("digest"))
+
+
 FOLD = """WITH RECURSIVE s AS (SELECT doc_id, s, list_transform(s, lambda x: length(x)) AS n FROM (SELECT doc_id, {sentences} AS s FROM documents)),
 r(doc_id, i, b, size, cb, ce) AS (SELECT doc_id, 0, 0, 0, -1, -1 FROM s UNION ALL
 SELECT r.doc_id, r.i + 1, CASE WHEN r.size + s.n[r.i + 1] > 600 AND r.i > r.b THEN greatest(r.i - 1, r.b) ELSE r.b END,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexforge.functions import gates as G
+from lexforge.functions.language import learned
 from lexforge.plans.tables import load
 from lexforge.registry import query
 from lexforge.sources.views import view, with_views
@@ -52,6 +53,25 @@ def j06(spark, sf):
     return docs(spark, sf).select("doc_id", F.coalesce(G.statistical(F.col("text"), F.col("lang")), F.lit("pass")).alias("failed_gate"))
 
 
+def told(spark, sf):
+    """Profiles from four fifths of the documents, by their numbers."""
+    return learned(docs(spark, sf).where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
+
+
+@query("j04_language")
+def j04(spark, sf):
+    """The language that each document's text has, and whether it was held out of the profiles."""
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return docs(spark, sf).select("doc_id", held.alias("held_out"), "lang", told(spark, sf).of(F.col("text")).alias("found"))
+
+
+@query("j04_verdict")
+def j04_verdict(spark, sf):
+    """The gates with the language of the text itself."""
+    rows = docs(spark, sf).withColumn("own", told(spark, sf).of(F.col("text")))
+    return rows.select("doc_id", F.coalesce(G.statistical(F.col("text"), F.coalesce("own", F.lit(""))), F.lit("pass")).alias("failed_gate"))
+
+
 @query("j11_garbage", f"SELECT doc_id, round({GARBAGE}, 9) AS garbage FROM documents")
 def j11(spark, sf):
     return docs(spark, sf).select("doc_id", F.round(G.garbage(F.col("text")), 9).alias("garbage"))

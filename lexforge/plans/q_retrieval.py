@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexforge.operators import corpus_map as P
+from lexforge.operators import embedding as E
 from lexforge.operators import inverted
 from lexforge.operators import retrieval as N
 from lexforge.plans.tables import folder, load
@@ -113,6 +114,31 @@ def n07(spark, sf):
     return found.select("qid", "doc_id", "rank", F.round("score", 9).alias("score"), F.round("dense_score", 6).alias("dense_score"))
 
 
+PLACED = """{x}t AS (SELECT id, w, count(*) AS tf FROM (SELECT {id} AS id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM {table}) GROUP BY ALL),
+{x}h AS (SELECT id, tf, ('0x' || substring(md5(w), 1, 8))::UBIGINT::BIGINT AS h FROM {x}t),
+{x}c AS (SELECT id, CAST(h % 384 AS INT) AS i, sum(CASE WHEN (h // 384) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * (1 + ln(tf))) AS x FROM {x}h GROUP BY ALL),
+{x}v AS (SELECT id, i, x / CASE WHEN sum(x * x) OVER (PARTITION BY id) = 0 THEN 1 ELSE sqrt(sum(x * x) OVER (PARTITION BY id)) END AS x FROM {x}c)"""
+DOC_PLACED, ASKED_PLACED = PLACED.format(x="d", id="doc_id", table="documents"), PLACED.format(x="q", id="item_id", table="benchmark")
+
+
+@query("n01_embedded", f"WITH {DOC_PLACED} SELECT id AS doc_id, i, round(x, 6) AS x FROM dv WHERE round(x, 6) <> 0")
+def n01(spark, sf):
+    """What is not zero of each document's own vector."""
+    found = E.embedded(docs(spark, sf), "doc_id", "text").select("doc_id", F.posexplode("v").alias("i", "x"))
+    return found.withColumn("x", F.round("x", 6)).where("x <> 0")
+
+
+@query(
+    "n02_text_queries",
+    f"""WITH {DOC_PLACED}, {ASKED_PLACED}, s AS (SELECT q.id AS qid, d.id AS doc_id, round(sum(q.x * d.x), 6) AS score FROM qv q JOIN dv d USING (i) GROUP BY ALL)
+    SELECT qid, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC) AS r FROM s) WHERE r <= 10""",
+)
+def n02_text(spark, sf):
+    """Passages as texts against documents as texts: both have vectors of their own."""
+    queries = E.embedded(asked(spark, sf), "qid", "query")
+    return N.cosine(E.embedded(docs(spark, sf), "doc_id", "text"), queries, 10).select("qid", F.round("score", 6).alias("score"))
+
+
 GROUNDED = """g AS (SELECT qid, doc_id % 50 AS content_id, doc_id AS chunk, score, rank, dense_score FROM hy WHERE rank < 100),
 gb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, content_id ORDER BY score DESC, rank) AS r FROM g) WHERE r = 1),
 gr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank) AS place FROM gb),
@@ -128,6 +154,15 @@ def n08(spark, sf):
     return N.grounded(hits, 5, floor=0.3).select("qid", "content_id", "chunk", c("rank").cast("int").alias("rank"), F.round("score", 9).alias("score"))
 
 
+@query("n08_own_vectors")
+def n08_own(spark, sf):
+    """The same with vectors of the texts themselves, of passages and documents alike: nothing is borrowed by a number."""
+    queries = asked(spark, sf).join(E.embedded(asked(spark, sf), "qid", "query"), "qid")
+    found = N.hybrid(docs(spark, sf), E.embedded(docs(spark, sf), "doc_id", "text"), queries, 100)
+    hits = found.select("qid", (c("doc_id") % 50).alias("content_id"), c("doc_id").alias("chunk"), c("rank").alias("pos"), "score", "dense_score")
+    return N.grounded(hits, 5, floor=0.3).select("qid", "content_id", "chunk", c("rank").cast("int").alias("rank"), F.round("score", 9).alias("score"))
+
+
 @query("f03_best_chunk", "SELECT qid, content_id, chunk, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, pos) AS INT) AS rank FROM (SELECT l_suppkey AS qid, l_orderkey AS content_id, l_linenumber AS chunk, l_quantity AS score, l_orderkey * 10 + l_linenumber AS pos, row_number() OVER (PARTITION BY l_suppkey, l_orderkey ORDER BY l_quantity DESC, l_linenumber) AS r FROM lineitem) WHERE r = 1")
 def f03(spark, sf):
     line = load(spark, sf, "lineitem")
