@@ -70,9 +70,9 @@ def very_long(text: Column) -> Column:
 
 
 def diversity(text: Column) -> Column:
-    """Distinct share of the tokens; null without tokens."""
-    w = words(text)
-    return F.size(F.array_distinct(w)) / F.nullif(F.size(w), F.lit(0))
+    """Distinct share of the tokens; null without tokens. The tokens are bound to a name, so that they are made once."""
+    share = F.transform(F.array(words(text)), lambda w: F.size(F.array_distinct(w)) / F.nullif(F.size(w), F.lit(0)))
+    return F.get(share, F.lit(0))
 
 
 def boilerplate(text: Column) -> Column:

@@ -82,12 +82,28 @@ def routed(raw: Column, experts: Sequence[str] = EXPERTS) -> Column:
     return F.when(F.size(named) > 0, named).when(said.contains(SMALL_TALK), F.array(F.lit(SMALL_TALK))).otherwise(F.array(F.lit(experts[0])))
 
 
-def error_class(message: Column) -> Column:
-    """By words of the lower-cased message, first match."""
+def error_class(message: Column, kind: Column | None = None, status: Column | None = None) -> Column:
+    """By the error's kind, where that says it, with the status of an HTTP error; else by words of the lower-cased message, first
+    match; else the kind itself, or "other" without one."""
     m = F.lower(message)
     has = lambda *ws: [m.contains(w) for w in ws]
     rate, limit, quota, timeout, resource, exhausted, json, parse, decode, safety, blocked = has("rate", "limit", "quota", "timeout", "resource", "exhausted", "json", "parse", "decode", "safety", "blocked")
-    return F.when(rate & limit, "rate_limit").when(quota, "quota_exceeded").when(timeout, "timeout").when(resource & exhausted, "quota_exceeded").when(json | parse | decode, "parse_error").when(safety | blocked, "safety_filter").otherwise("other")
+    said = F.when(rate & limit, "rate_limit").when(quota, "quota_exceeded").when(timeout, "timeout").when(resource & exhausted, "quota_exceeded").when(json | parse | decode, "parse_error").when(safety | blocked, "safety_filter").otherwise("other" if kind is None else kind)
+    if kind is None:
+        return said
+    code = F.coalesce(status, F.lit(0)) if status is not None else F.lit(0)
+    http = F.when(code == 429, "rate_limit").when(code >= 500, "server_error").otherwise(F.concat(F.lit("http_"), code.cast("string")))
+    return F.when(kind == "Timeout", "timeout").when(kind == "ConnectionError", "connection_error").when(kind == "HTTPError", http).otherwise(said)
+
+
+def ratio_of(message: Column) -> Column:
+    """A message's percentage as a share; null without one."""
+    return F.nullif(F.regexp_extract(message, "([\\d.]+)%", 1), F.lit("")).try_cast("double") / 100
+
+
+def value_of(message: Column) -> Column:
+    """The number behind a message's first colon that has one; null without."""
+    return F.nullif(F.regexp_extract(message, ":\\s*([\\d.]+)", 1), F.lit("")).try_cast("double")
 
 
 def first_keyword(text: Column, priority: Sequence[str]) -> Column:

@@ -27,12 +27,13 @@ def pack(sentence_list: Column, max_chars: int = CHUNK_CHARS, overlap: int = OVE
 
     @F.pandas_udf("array<struct<b: int, e: int>>")
     def fold(lists: pd.Series) -> pd.Series:
-        return pd.Series([_packed(x.tolist(), max_chars, overlap) if x is not None else None for x in lists], dtype=object)
+        return pd.Series([packed(x.tolist(), max_chars, overlap) if x is not None else None for x in lists], dtype=object)
 
     return fold(F.transform(sentence_list, F.length))
 
 
-def _packed(lengths: list[int], max_chars: int, overlap: int) -> list[dict[str, int]]:
+def packed(lengths: list[int], max_chars: int = CHUNK_CHARS, overlap: int = OVERLAP) -> list[dict[str, int]]:
+    """Chunks of sentences of these lengths."""
     cuts, begin, size = [], 0, 0
     for i, n in enumerate(lengths):
         if size + n > max_chars and i > begin:

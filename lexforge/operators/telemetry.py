@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.operators.aggregates import n_where, share
+from lexforge.operators.retrieval import meet
+from lexforge.plans.tables import materialize
 
 METRICS = ("production_power_w", "consumption_power_w", "battery_power_w", "battery_soc_pct")
 KEYS = {"site": "site", "day": "date_format(ts, 'yyyy-MM-dd')", "hour": "hour(ts)", "anomaly_type": "anomaly_type"}
@@ -63,9 +65,11 @@ def series(rows: DataFrame, group_by: str, metrics: Sequence[str], agg: str = "m
 
 def mentions(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """(qid, kind, name): sites whose first word, and anomaly types whose name (underscores as blanks, too) a query holds.
-    The names are the distinct few of the dimension columns."""
+    The names are the distinct ones of the dimension columns; blocks of them meet each query."""
     sites = rows.select(F.lit("site").alias("kind"), F.col("site").alias("name")).distinct().withColumn("needle", F.lower(F.element_at(F.split("name", " "), 1)))
     types = rows.where("anomaly_type is not null").select(F.lit("anomaly").alias("kind"), F.col("anomaly_type").alias("name")).distinct().withColumn("needle", F.lower("name"))
-    names = sites.unionByName(types)
-    text = F.lower("query")
-    return queries.join(names, text.contains(F.col("needle")) | text.contains(F.replace(F.col("needle"), F.lit("_"), F.lit(" ")))).select("qid", "kind", "name")
+    names = materialize(sites.unionByName(types).withColumn("qid", F.concat_ws(":", "kind", "name")))
+    met = meet(queries.select(F.col("qid").alias("asked"), F.lower("query").alias("text")), names, ["kind", "name", "needle"])
+    said = lambda q: F.contains("text", q["needle"]) | F.contains("text", F.replace(q["needle"], F.lit("_"), F.lit(" ")))
+    found = met.select("asked", F.explode(F.filter("qs", lambda q: F.coalesce(said(q), F.lit(False)))).alias("q"))
+    return found.select(F.col("asked").alias("qid"), "q.kind", "q.name")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexforge.functions import boundaries as S
+from lexforge.functions import sql
 from lexforge.operators import chunking as L
 from lexforge.operators import extraction as M
 from lexforge.plans.tables import load
@@ -65,6 +66,13 @@ def l02(spark, sf):
     return p.select("doc_id", c("p.b").alias("first_sentence"), c("p.e").alias("past_sentence"), F.md5(c("t").cast("binary")).alias("digest"))
 
 
+@query("t01_chunks_in_sql", FOLD.format(sentences=SENTENCES) + " SELECT doc_id, b AS first_sentence, e AS past_sentence, md5(array_to_string(s[b + 1:e], ' ')) AS digest FROM (SELECT doc_id, cb AS b, ce AS e FROM r WHERE cb >= 0 UNION ALL SELECT r.doc_id, r.b, r.i FROM r JOIN s USING (doc_id) WHERE r.i = len(s.s) AND len(s.s) > 0) JOIN s USING (doc_id)")
+def t01(spark, sf):
+    """The same chunks by a table function in a SQL text."""
+    sql.register(spark)
+    return spark.sql(f"SELECT d.doc_id, c.first_sentence, c.past_sentence, md5(CAST(c.chunk AS BINARY)) AS digest FROM {{docs}} d, LATERAL {sql.CHUNKS}(d.text, 600, 1) c", docs=docs(spark, sf).select("doc_id", "text"))
+
+
 FOLD0 = """WITH RECURSIVE s AS (SELECT doc_id, text, s, list_transform(s, lambda x: length(x)) AS n FROM (SELECT doc_id, text, {sentences} AS s FROM documents)),
 r(doc_id, i, b, size, cb, ce) AS (SELECT doc_id, 0, 0, 0, -1, -1 FROM s UNION ALL
 SELECT r.doc_id, r.i + 1, CASE WHEN r.size + s.n[r.i + 1] > 600 AND r.i > r.b THEN r.i ELSE r.b END, CASE WHEN r.size + s.n[r.i + 1] > 600 AND r.i > r.b THEN s.n[r.i + 1] ELSE r.size + s.n[r.i + 1] END,

@@ -15,6 +15,7 @@ from lexforge.registry import query
 from lexforge.sources.views import view, with_views
 from lexforge.streaming import incremental, registry, ttl_cache
 from lexforge.streaming.merge_table import MergeTable
+from lexforge.streaming.queue import Queue
 
 c = F.col
 TABLES = """WITH stored AS (SELECT o_orderkey AS id, md5(CAST(o_custkey AS STRING)) AS h, 1 AS stamp, o_orderstatus AS status, 'completed' AS vectors FROM orders WHERE o_orderkey % 3 <> 0),
@@ -125,6 +126,24 @@ def o01_batches(spark, sf):
     return table.read(spark)
 
 
+@query(
+    "o02_work_queue",
+    """WITH d AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS r FROM documents)
+    SELECT id, CASE WHEN r <= 100 AND id % 2 = 0 THEN 'completed' WHEN id % 7 = 0 THEN 'failed' WHEN id % 7 = 1 THEN 'claimed' ELSE 'completed' END AS state, CASE WHEN r <= 100 AND id % 2 = 0 THEN 'a' ELSE 'b' END AS worker FROM d""",
+)
+def o02(spark, sf):
+    """One worker claims a hundred documents, completes half of them and is lost; an hour later another gets all that are left,
+    completes most, fails at some and still holds the rest."""
+    items = load(spark, sf, "documents").select(c("doc_id").alias("id"))
+    work, early, late = Queue(folder(spark)), F.lit("2024-01-01 00:00:00").cast("timestamp"), F.lit("2024-01-01 01:00:00").cast("timestamp")
+    taken = work.claim(items, "a", 100, early, seconds=600)
+    work.end(taken.where("id % 2 = 0"), "a")
+    rest = materialize(work.claim(items, "b", 1 << 30, late, seconds=600))
+    work.end(rest.where("id % 7 = 0"), "b", "failed")
+    work.end(rest.where("id % 7 > 1"), "b")
+    return work.states(spark).select("id", "state", "worker")
+
+
 @query(
     "o04_streamed_gate",
     f"WITH {PRINTS} SELECT id FROM f b WHERE b.fp <> 0 AND EXISTS (SELECT 1 FROM f a JOIN documents d ON a.id = d.doc_id WHERE a.id < b.id AND a.fp <> 0 AND length(d.text) >= 200 AND bit_count(xor(a.fp, b.fp)) <= 2)",

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexforge.operators import chunking as L
 from lexforge.operators import corpus_map as P
 from lexforge.operators import embedding as E
 from lexforge.operators import inverted
 from lexforge.operators import retrieval as N
+from lexforge.plans.q_chunks import FOLD, SENTENCES
 from lexforge.plans.tables import folder, load
 from lexforge.registry import query
 from lexforge.sources.views import view, with_views
@@ -16,6 +18,9 @@ c = F.col
 STOP = ("the", "and", "for", "with", "that", "this", "are", "was", "from")
 
 
+CHUNKED = FOLD.format(sentences=SENTENCES)
+
+
 def docs(spark, sf):
     return load(spark, sf, "documents")
 
@@ -200,6 +205,15 @@ def v09(spark, sf):
     return docs(spark, sf).agg(F.round(F.avg(starts.cast("int").cast("double")), 9).alias("starts"), F.round(F.avg(ends.cast("int").cast("double")), 9).alias("ends"))
 
 
+@query("v09_chunk_boundaries", CHUNKED + " SELECT round(avg(CASE WHEN regexp_matches(t, '^[A-ZÀ-ÖØ-Þ]') THEN 1.0::DOUBLE ELSE 0 END), 9) AS starts, round(avg(CASE WHEN regexp_matches(t, '[.?!]$') THEN 1.0::DOUBLE ELSE 0 END), 9) AS ends FROM (SELECT array_to_string(s[b + 1:e], ' ') AS t FROM (SELECT doc_id, cb AS b, ce AS e FROM r WHERE cb >= 0 UNION ALL SELECT r.doc_id, r.b, r.i FROM r JOIN s USING (doc_id) WHERE r.i = len(s.s) AND len(s.s) > 0) JOIN s USING (doc_id))")
+def v09_chunks(spark, sf):
+    """The same of the chunks that documents are cut into."""
+    s = docs(spark, sf).select(L.sentences(c("text")).alias("s"))
+    t = s.select("s", L.pack(c("s")).alias("p")).select(F.explode(L.chunk_texts(c("s"), c("p"))).alias("t"))
+    share = lambda pattern: F.round(F.avg(c("t").rlike(pattern).cast("int").cast("double")), 9)
+    return t.agg(share("^[A-ZÀ-ÖØ-Þ]").alias("starts"), share("[.?!]\\z").alias("ends"))
+
+
 @query("n14_index_stats", "SELECT count(*) AS vectors, max(len(embedding)) AS dim, count(DISTINCT label) AS labels FROM embeddings")
 def n14(spark, sf):
     return load(spark, sf, "embeddings").agg(F.count(F.lit(1)).alias("vectors"), F.max(F.size("embedding")).cast("long").alias("dim"), F.countDistinct("label").alias("labels"))

@@ -133,6 +133,23 @@ def i20(spark, sf):
     return view(spark, sf, "attempts").select("id", S.error_class(message).alias("class"))
 
 
+@query(
+    "i20_typed_errors",
+    """WITH m AS (SELECT event_id, lower(props) AS m, CASE event_id % 6 WHEN 0 THEN 'Timeout' WHEN 1 THEN 'ConnectionError' WHEN 2 THEN 'HTTPError' WHEN 3 THEN event_type END AS kind, 395 + user_id % 140 AS status, event_type FROM events),
+    x AS (SELECT *, concat(event_type, CASE user_id_ % 4 WHEN 0 THEN ' rate limit ' WHEN 1 THEN ' resource exhausted ' WHEN 2 THEN ' cannot parse ' ELSE ' ' END, m) AS msg FROM (SELECT m.*, status - 395 AS user_id_ FROM m))
+    SELECT event_id, CASE WHEN kind = 'Timeout' THEN 'timeout' WHEN kind = 'ConnectionError' THEN 'connection_error' WHEN kind = 'HTTPError' THEN CASE WHEN status = 429 THEN 'rate_limit' WHEN status >= 500 THEN 'server_error' ELSE concat('http_', CAST(status AS STRING)) END
+    WHEN contains(msg, 'rate') AND contains(msg, 'limit') THEN 'rate_limit' WHEN contains(msg, 'quota') THEN 'quota_exceeded' WHEN contains(msg, 'timeout') THEN 'timeout' WHEN contains(msg, 'resource') AND contains(msg, 'exhausted') THEN 'quota_exceeded'
+    WHEN contains(msg, 'json') OR contains(msg, 'parse') OR contains(msg, 'decode') THEN 'parse_error' WHEN contains(msg, 'safety') OR contains(msg, 'blocked') THEN 'safety_filter' ELSE kind END AS class FROM x""",
+)
+def i20_typed(spark, sf):
+    """Kinds, status codes and messages of the events; without any hint an error keeps its kind, if it has one."""
+    e = load(spark, sf, "events")
+    n, user = c("event_id") % 6, c("user_id") % 140
+    kind = F.when(n == 0, "Timeout").when(n == 1, "ConnectionError").when(n == 2, "HTTPError").when(n == 3, c("event_type"))
+    hint = F.when(user % 4 == 0, " rate limit ").when(user % 4 == 1, " resource exhausted ").when(user % 4 == 2, " cannot parse ").otherwise(" ")
+    return e.select("event_id", S.error_class(F.concat("event_type", hint, "props"), kind, user + 395).alias("class"))
+
+
 @query("i25_collapse", "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(text, '\\n\\s*\\n', chr(10) || chr(10), 'g'), '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'))) AS digest FROM documents")
 def i25(spark, sf):
     return load(spark, sf, "documents").select("doc_id", F.md5(W.collapse(c("text")).cast("binary")).alias("digest"))
@@ -144,6 +161,17 @@ def i27(spark, sf):
     return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.regexp_extract(message, "([\\d.]+)%", 1).try_cast("double").alias("ratio"))
 
 
+@query(
+    "i27_messages",
+    "SELECT l_orderkey, l_linenumber, round(round(l_discount * 100, 1) / 100, 9) AS ratio, CASE WHEN l_linenumber % 2 = 0 THEN round(l_tax, 4) END AS diversity FROM lineitem",
+)
+def i27_messages(spark, sf):
+    """Both forms in one message: a share in percent, and in every second one a number behind a colon."""
+    said = F.when(c("l_linenumber") % 2 == 0, F.format_string("diversity: %.4f", c("l_tax"))).otherwise(F.lit("diversity unknown"))
+    message = F.concat(F.format_string("boilerplate at %.1f%% of lines, ", F.round(c("l_discount") * 100, 1)), said)
+    return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.round(S.ratio_of(message), 9).alias("ratio"), S.value_of(message).alias("diversity"))
+
+
 @query("a04_file_types", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'text' WHEN 2 THEN 'audio' ELSE 'unknown' END AS type FROM events")
 def a04(spark, sf):
     ext = F.element_at(F.array(*map(F.lit, (".PDF", ".md", ".mp4", ".zip"))), (c("event_id") % 4 + 1).cast("int"))

@@ -114,6 +114,10 @@ class MergeTable:
             if folder not in live:
                 delete(spark, f"{self.target}/{folder}")
 
+    def last(self, spark: SparkSession) -> int:
+        """The number of the last batch; -1 before the first."""
+        return max((n for _, n, _ in self._commits(spark)), default=-1)
+
     def pending(self, spark: SparkSession) -> int:
         """Deltas that a reader has to apply."""
         return len(self._live(spark)[1])

@@ -164,3 +164,24 @@ def test_a_second_start_runs_what_is_pending(spark, tmp_path):
     assert {(r["job"], r["n"]) for r in batch.results().collect()} == {("a", 1), ("b", 2), ("c/d e", 4)}
     delete(spark, str(tmp_path))
     assert batch.results() is None
+
+
+def test_queue_of_rows(spark, tmp_path):
+    from lexforge.streaming.queue import Queue
+
+    def at(minutes):
+        return F.lit(f"2024-01-01 00:{minutes:02d}:00").cast("timestamp")
+
+    items, work = spark.range(10), Queue(str(tmp_path / "q"))
+    ids = lambda df: sorted(r["id"] for r in df.collect())
+    assert ids(work.claim(items, "a", 4, at(0), 300)) == [0, 1, 2, 3]
+    assert ids(work.claim(items, "b", 3, at(1), 300)) == [4, 5, 6]
+    assert work.end(items.where("id IN (0, 1, 5)"), "a") == 2  # the fifth is another's
+    assert ids(work.pending(items, at(2))) == [7, 8, 9]
+    assert ids(work.pending(items, at(5))) == [2, 3, 7, 8, 9]
+    assert ids(work.claim(items, "b", 2, at(5), 300)) == [2, 3]
+    assert work.end(items.where("id IN (2, 3)"), "a") == 0
+    assert work.end(items.where("id = 2"), "b", "failed") == 1
+    assert {(r["id"], r["state"], r["worker"]) for r in work.states(spark).collect()} == {
+        (0, "completed", "a"), (1, "completed", "a"), (2, "failed", "b"), (3, "claimed", "b"), (4, "claimed", "b"), (5, "claimed", "b"), (6, "claimed", "b"),
+    }
