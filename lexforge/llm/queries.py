@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexforge.llm import bpe, clusters, mixing, packing, quality, repair, rules, sharding, simhash, sketch, suffix, topk, toxicity
+from lexforge.llm import bpe, clusters, mixing, oracles, packing, quality, repair, rules, sharding, simhash, sketch, suffix, topk, toxicity
 from lexforge.plans.tables import load
 
 #: File of the tokenizer that the packed and encoded ids belong to.
@@ -95,4 +95,6 @@ ORACLE_SQL: dict[str, str] = {
       WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
     s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
     SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
+    "op11_clusters": oracles.clusters_sql(),
+    "op12_repair": oracles.repair_sql(),
 }
