@@ -28,8 +28,8 @@ def by_hash(value: Column, wanted: int, there: int) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, learns: Column, rows: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text, label) of about ``rows`` labelled rows at most for which ``learns`` (over doc_id) holds. Their ids are
     so few that they are broadcast to the texts, which are not shuffled; what is found is written, as it is read more than once. Of several labels of an id the largest counts, of
-    several texts each; only where an id has so many that there would be more rows than asked for, the distinct ones are
-    sampled by their texts, too."""
+    several texts each; where there are more rows than asked for, as an id has many, the distinct ones are sampled by
+    their texts, too."""
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg((F.max(label_col) > 0).cast("int").alias("label"))
     usable = marks.where(learns)
     bound = usable.where(by_hash(F.xxhash64("doc_id"), rows, usable.count()))
