@@ -8,12 +8,12 @@ from lexforge.functions import boundaries as S
 from lexforge.functions import sql
 from lexforge.operators import chunking as L
 from lexforge.operators import extraction as M
+from lexforge.plans.fragments import FOLD, SENTENCES
 from lexforge.plans.tables import load
 from lexforge.registry import query
 from lexforge.sources.views import view, with_views
 
 c = F.col
-SENTENCES = "list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> '')"
 
 
 def docs(spark, sf):
@@ -52,11 +52,6 @@ def l01_learned(spark, sf):
     return s.select("doc_id", "ord", F.md5(c("sentence").cast("binary")).alias("digest"))
 
 
-FOLD = """WITH RECURSIVE s AS (SELECT doc_id, s, list_transform(s, lambda x: length(x)) AS n FROM (SELECT doc_id, {sentences} AS s FROM documents)),
-r(doc_id, i, b, size, cb, ce) AS (SELECT doc_id, 0, 0, 0, -1, -1 FROM s UNION ALL
-SELECT r.doc_id, r.i + 1, CASE WHEN r.size + s.n[r.i + 1] > 600 AND r.i > r.b THEN greatest(r.i - 1, r.b) ELSE r.b END,
-CASE WHEN r.size + s.n[r.i + 1] > 600 AND r.i > r.b THEN s.n[r.i] + s.n[r.i + 1] ELSE r.size + s.n[r.i + 1] END,
-CASE WHEN r.size + s.n[r.i + 1] > 600 AND r.i > r.b THEN r.b ELSE -1 END, r.i FROM r JOIN s USING (doc_id) WHERE r.i < len(s.s))"""
 
 
 @query("l02_chunks", FOLD.format(sentences=SENTENCES) + " SELECT doc_id, b AS first_sentence, e AS past_sentence, md5(array_to_string(s[b + 1:e], ' ')) AS digest FROM (SELECT doc_id, cb AS b, ce AS e FROM r WHERE cb >= 0 UNION ALL SELECT r.doc_id, r.b, r.i FROM r JOIN s USING (doc_id) WHERE r.i = len(s.s) AND len(s.s) > 0) JOIN s USING (doc_id)")

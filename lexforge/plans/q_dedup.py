@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexforge.functions import gates as G
 from lexforge.functions import web as W
 from lexforge.operators import dedup as D
+from lexforge.plans.fragments import PRINTS
 from lexforge.plans.q_gates import BOILERPLATE, DIVERSITY, STATISTICAL
 from lexforge.plans.tables import load, materialize
 from lexforge.registry import query
@@ -15,9 +16,6 @@ from lexforge.sources.views import view, with_views
 
 c = F.col
 VIEW_OF_CONTENT = with_views("content", then="SELECT 1").removesuffix("SELECT 1").rstrip()
-BITS = " | ".join(f"(CASE WHEN sum(CASE WHEN (h >> {b}) & 1 = 1 THEN 1 ELSE -1 END) > 0 THEN {'(1::UBIGINT << 63)' if b == 63 else f'{1 << b}::UBIGINT'} ELSE 0::UBIGINT END)" for b in range(64))
-PRINTS = f"""f0 AS (SELECT doc_id AS id, ('0x' || substring(md5(w), 17, 16))::UBIGINT AS h FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM documents)),
-f AS (SELECT d.doc_id AS id, coalesce(x.fp, 0::UBIGINT) AS fp FROM documents d LEFT JOIN (SELECT id, {BITS} AS fp FROM f0 GROUP BY id) x ON d.doc_id = x.id)"""
 
 
 def prints(spark, sf):

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lexforge.operators import dedup as D
 from lexforge.operators import jobs
 from lexforge.operators import merging as B
-from lexforge.plans.q_dedup import PRINTS
+from lexforge.plans.fragments import PRINTS
 from lexforge.plans.tables import folder, load, materialize
 from lexforge.registry import query
 from lexforge.sources.views import view, with_views

@@ -9,7 +9,7 @@ from lexforge.operators import corpus_map as P
 from lexforge.operators import embedding as E
 from lexforge.operators import inverted
 from lexforge.operators import retrieval as N
-from lexforge.plans.q_chunks import FOLD, SENTENCES
+from lexforge.plans.fragments import FOLD, SENTENCES
 from lexforge.plans.tables import folder, load
 from lexforge.registry import query
 from lexforge.sources.views import view, with_views
