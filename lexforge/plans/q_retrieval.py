@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexforge.operators import chunking as L
 from lexforge.operators import corpus_map as P
 from lexforge.operators import embedding as E
-from lexforge.operators import inverted
+from lexforge.operators import inverted, layout
 from lexforge.operators import retrieval as N
 from lexforge.plans.fragments import FOLD, SENTENCES
 from lexforge.plans.tables import folder, load
@@ -285,6 +285,22 @@ def p05(spark, sf):
     return P.projected(vectors(spark, sf).select(c("doc_id").alias("id"), N.normalised(c("v")).alias("v")))
 
 
+UNIT = """v AS (SELECT vec_id, list_transform(e, lambda x: x / CASE WHEN sqrt(list_dot_product(e, e)) = 0 THEN 1 ELSE sqrt(list_dot_product(e, e)) END) AS v FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings))"""
+
+
+@query("p05_graph", f"WITH {UNIT} SELECT id, other, round(s, 6) AS similarity FROM (SELECT a.vec_id AS id, b.vec_id AS other, round(list_dot_product(a.v, b.v), 9) AS s, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.v, b.v), 9) DESC, b.vec_id) AS r FROM v a JOIN v b ON a.vec_id <> b.vec_id) WHERE r <= 15")
+def p05_graph(spark, sf):
+    """Fifteen nearest neighbours of each vector, which the map is laid out by. Exact up to a cell's rows."""
+    rows = vectors(spark, sf).select(c("doc_id").alias("id"), N.normalised(c("v")).alias("v"))
+    return layout.graph(rows).select("id", "other", F.round("similarity", 6).alias("similarity"))
+
+
+@query("p05_layout")
+def p05_layout(spark, sf):
+    """The map by the neighbour graph; the tests hold it against plain linear algebra."""
+    return layout.laid_out(vectors(spark, sf).select(c("doc_id").alias("id"), N.normalised(c("v")).alias("v")))
+
+
 @query("i11_recency", "SELECT o_orderkey AS id, round(o_totalprice * exp(-0.01 * greatest(date_diff('day', CAST(o_orderdate AS DATE), DATE '1998-01-01'), 0)), 6) AS score FROM orders")
 def i11(spark, sf):
     return load(spark, sf, "orders").select(c("o_orderkey").alias("id"), F.round(N.recency(c("o_totalprice"), F.to_date("o_orderdate"), F.lit("1998-01-01").cast("date"), 0.01), 6).alias("score"))
