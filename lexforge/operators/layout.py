@@ -42,12 +42,14 @@ def cells(rows: DataFrame, block: int, seed: int) -> DataFrame:
     done: list[DataFrame] = []
     left = rows.select(F.lit(0).cast("long").alias("cell"), "id", "v")
     for level in range(LEVELS):
-        sizes = materialize(left.groupBy("cell").agg(F.count(F.lit(1)).alias("n")))
-        crowded = sizes.where(F.col("n") > block)
-        done.append(left.join(sizes.where(F.col("n") <= block).select("cell"), "cell"))
-        if crowded.isEmpty():
+        if level:
+            sized = left.join(materialize(left.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))), "cell")
+        else:
+            sized = left.withColumn("n", F.lit(left.count()))
+        done.append(sized.where(F.col("n") <= block).drop("n"))
+        wide = sized.where(F.col("n") > block).withColumn("h", _draw(seed * LEVELS + level))
+        if wide.isEmpty():
             return _all(done)
-        wide = left.join(crowded, "cell").withColumn("h", _draw(seed * LEVELS + level))
         some = F.pmod(F.col("h"), F.lit(1 << 30)) < F.lit(float(1 << 30)) * 2 * PIVOTS / F.col("n")
         want = F.least(F.lit(PIVOTS), F.ceil(2 * F.col("n") / block)).cast("int")
         marks = wide.where(some).groupBy("cell", "n").agg(F.array_sort(F.collect_list(F.struct("h", "id", "v"))).alias("m"))
