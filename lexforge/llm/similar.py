@@ -1,8 +1,10 @@
 """Near-duplicates by the words themselves: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-SimHash with 64 bits and a distance of 2 (``simhash.py``) cannot tell that similarity: at 0.8 two fingerprints differ in about
-ten bits. Here MinHash keys say which texts to compare, and every link is verified on the whole sets of hashed shingles.
-Links are never lost among texts that share a key, however many share it, and no group is compared in pairs:
+First the operator's way: SimHash fingerprints that multi-index hashing finds at a distance of 2 or less (``simhash.links``); of
+one fingerprint, and of two near ones, one text each is compared with the other(s). These links alone cannot tell the similarity:
+at 0.8 two fingerprints differ in about ten bits. So MinHash keys say which further texts to compare. Every link of either is
+verified on the whole sets of hashed shingles. Links are never lost among texts that share a key, however many share it, and no
+group is compared in pairs:
 
 1. One text of a key, its leader, is compared with all others. Links go to components.
 2. A text that is neither linked to the leader nor in its component may still be linked to others of the key. Where few
@@ -35,12 +37,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexforge.llm import simhash
 from lexforge.llm.text import map_arrow, words_of
 from lexforge.operators.graph import connected_components
 from lexforge.plans.tables import materialize, scratch
 
-#: Words in a shingle. The similarity is 4 / 5, in whole numbers: 9 * common >= 4 * (sizes).
-SHINGLE = 5
+#: Words in a shingle, and in one of a fingerprint. The similarity is 4 / 5, in whole numbers: 9 * common >= 4 * (sizes).
+SHINGLE, PRINT_SHINGLE = 5, 3
 #: Keys of a text and MinHash values in a key. Two texts meet if they share a key: at a similarity of 0.8 all but 1 in 65,000
 #: pairs do (1 - 0.8 ** 5) ** 28, at 0.85 all but 2 in 10 million.
 KEYS, VALUES, SEED = 28, 5, 42
@@ -92,7 +95,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 
 
 def prints(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
-    """(row, digest, size, keys, shingles, sketch, carried) of each row; ``carried`` is a struct of the columns of ``carry``.
+    """(row, digest, fp, size, keys, shingles, sketch, carried) of each row; ``carried`` is a struct of the columns of ``carry``.
     ``row`` numbers the rows of this run: to be used from a written table only."""
     found = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.struct(*carry).alias("carried"))
     kind = found.schema["carried"].dataType.simpleString()
@@ -101,14 +104,17 @@ def prints(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFra
         number = count(TaskContext.get().partitionId() << 40)
 
         def each(batch: pa.RecordBatch) -> dict:
-            sets = [shingle_set(words_of(t)) for t in batch.column(0).to_pylist()]
+            words = [words_of(t) for t in batch.column(0).to_pylist()]
+            fps = np.fromiter((simhash.fingerprint(w, PRINT_SHINGLE) if w else 0 for w in words), np.uint64, len(words))
+            sets = [shingle_set(w) for w in words]
             own = {"row": pa.array(list(islice(number, len(sets))), pa.int64()), "digest": pa.array([xxhash.xxh3_128_digest(s.tobytes(), SEED) for s in sets], pa.binary())}
+            own |= {"fp": pa.array(fps.view(np.int64))}
             own |= {"size": pa.array([len(s) for s in sets], pa.int64()), "keys": _lists([minhash_keys(s) for s in sets]), "shingles": _lists(sets), "sketch": _lists([sketch(s) for s in sets])}
             return own | {"carried": batch.column(1)}
 
         return each
 
-    return map_arrow(found, make, f"row long, digest binary, size long, keys array<long>, shingles array<long>, sketch array<long>, carried {kind}")
+    return map_arrow(found, make, f"row long, digest binary, fp long, size long, keys array<long>, shingles array<long>, sketch array<long>, carried {kind}")
 
 
 def _few(rows: DataFrame) -> DataFrame:
@@ -138,10 +144,22 @@ def _apart(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     return with_both.where(F.coalesce("c_src", "src") != F.coalesce("c_dst", "dst")).drop("c_src", "c_dst")
 
 
+def _families(led: DataFrame) -> DataFrame:
+    """Members with their leaders, where a leader that is a member of other keys gives its own members to the first leader of these:
+    keys of similar members have one leader, and a text's differences are looked at once. All members of a key stay together; the
+    leader is a member of its family."""
+    first = F.min(F.struct("w", "n", "src"))
+    above = materialize(led.join(led.select(F.col("src").alias("fid")).distinct(), "fid", "left_semi").groupBy("fid").agg(first.alias("up")))
+    moved = led.join(_few(above.withColumnRenamed("fid", "src")), "src", "left")
+    moved = moved.withColumns({"src": F.coalesce("up.src", "src"), "n": F.coalesce("up.n", "n")}).drop("up")
+    own = moved.withColumns({"fid": F.col("src"), "size": F.col("n"), "weight": -F.col("w")}).select(moved.columns).distinct()
+    return materialize(moved.where("fid <> src").unionByName(own))
+
+
 def _told_apart(led: DataFrame, acting: DataFrame, sets: DataFrame, groups: DataFrame, family: str) -> tuple[DataFrame, DataFrame]:
     """Pairs (src, dst, n, m) to compare, and members of the next level, of crowded keys; see the module's text. ``led``: their
     members with their leader; ``acting``: those that neither it nor its component holds; ``family``: the column that says whose
-    differences are compared, the leader on the first level (as many keys have the same), else the key itself."""
+    differences are compared, the leader of ``_families`` on the first level (as many keys have the same), else the key itself."""
     known = acting.select(F.col(family).alias("family")).distinct()
     rows = led.select(F.col(family).alias("family"), "src", "n", "fid", "size", "weight").distinct().join(known, "family", "left_semi")
     own, lead = sets, sets.select(F.col("fid").alias("src"), F.col("shingles").alias("_lead"))
@@ -155,7 +173,8 @@ def _told_apart(led: DataFrame, acting: DataFrame, sets: DataFrame, groups: Data
 
     # the crowded shingles come last, the most frequent at the very end (any order is right; this one leaves few to look for)
     step = F.ceil(F.col("members") / SOME)
-    some = both.where(F.pmod(F.xxhash64("fid"), step) == 0).select("family", step.alias("step"), F.explode("apart").alias("token"))
+    many = both.where(F.col("members") >= WIDE / 2)  # fewer have no shingle in so many of their differences
+    some = many.where(F.pmod(F.xxhash64("fid"), step) == 0).select("family", step.alias("step"), F.explode("apart").alias("token"))
     usual = some.groupBy("family", "step", "token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= F.greatest(F.lit(2), WIDE / (2 * F.col("step"))))
     by_count = F.array_sort(F.collect_list(F.struct("df", "token")))
     usual = usual.groupBy("family").agg(F.slice(F.reverse(by_count), 1, USUAL).alias("most"))
@@ -190,20 +209,34 @@ def _ordered(met: DataFrame) -> DataFrame:
     return met.select(F.when(F.col("a") < F.col("b"), ab).otherwise(ba).alias("p")).select("p.*").distinct()
 
 
+def print_pairs(distinct: DataFrame) -> DataFrame:
+    """(src, dst, n, m) of (fid, size, fp): the first text of a fingerprint with the others, and with the first texts of those that
+    multi-index hashing finds near it."""
+    texts = materialize(distinct.select("fid", "size", "fp"))
+    firsts = materialize(texts.groupBy("fp").agg(F.min(F.struct("fid", "size")).alias("first")))
+    a, b = (firsts.select(F.col("fp").alias(f"_{x}"), F.col("first").alias(x)) for x in ("x", "y"))
+    same = texts.join(_few(a), F.col("fp") == F.col("_x")).select("x", F.struct("fid", "size").alias("y")).where("x.fid <> y.fid")
+    near = materialize(simhash.links(firsts.select("fp")))
+    near = near.join(a, F.col("src") == F.col("_x")).join(b, F.col("dst") == F.col("_y")).select("x", "y")
+    return _ordered(same.unionByName(near).select(F.col("x.fid").alias("a"), F.col("y.fid").alias("b"), F.col("x.size").alias("na"), F.col("y.size").alias("nb")))
+
+
 def similar_links(distinct: DataFrame, hot: int = CROWD) -> DataFrame:
-    """(src, dst) edges of (fid, size, keys, shingles, sketch), all at the similarity or more: their components are those of all such
-    pairs that share a key."""
+    """(src, dst) edges of (fid, fp, size, keys, shingles, sketch), all at the similarity or more: their components are those of all
+    such pairs that ``print_pairs`` gives or that share a key."""
     table = distinct.select("fid", "size", F.explode("keys").alias("bucket"))
     sizes = materialize(table.groupBy("bucket").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
     shared = materialize(table.join(_few(sizes), "bucket").groupBy("fid", "size").agg(F.sum("k").alias("weight"), F.collect_list("bucket").alias("buckets")))
-    sets = materialize(distinct.join(_few(shared.select("fid")), "fid", "left_semi").select("fid", "shingles", "sketch"))
+    near = materialize(print_pairs(distinct))
+    met = materialize(shared.select("fid").unionByName(near.select(F.explode(F.array("src", "dst")).alias("fid"))).distinct())
+    sets = materialize(distinct.join(_few(met), "fid", "left_semi").select("fid", "shingles", "sketch"))
     members = shared.select("fid", "size", "weight", F.explode("buckets").alias("bucket"))
-    found: list[DataFrame] = []
+    found = [_judged(near, sets)]
     family = "src"
     while not members.isEmpty():
         # the one that shares its keys with most
         lead = F.min(F.struct((-F.col("weight")).alias("w"), "size", "fid")).alias("lead")
-        leaders = materialize(members.groupBy("bucket").agg(lead, F.count(F.lit(1)).alias("k")).select("bucket", F.col("lead.fid").alias("src"), F.col("lead.size").alias("n"), "k"))
+        leaders = materialize(members.groupBy("bucket").agg(lead, F.count(F.lit(1)).alias("k")).select("bucket", F.col("lead.fid").alias("src"), F.col("lead.size").alias("n"), "k", "lead.w"))
         led = materialize(members.join(leaders, "bucket").where("fid <> src"))
         stars = materialize(led.select("src", "n", F.col("fid").alias("dst"), F.col("size").alias("m")).distinct())
         linked = _judged(stars, sets)
@@ -220,11 +253,15 @@ def similar_links(distinct: DataFrame, hot: int = CROWD) -> DataFrame:
         crowded = acting.where(F.col("k") > hot)
         members = members.limit(0)
         if not crowded.isEmpty():
-            more, members = _told_apart(led.where(F.col("k") > hot), crowded, sets, groups, family)
+            led = led.where(F.col("k") > hot)
+            if family == "src":  # on the first level
+                led = _families(led)
+                crowded = led.join(crowded.select("bucket").distinct(), "bucket", "left_semi")
+            more, members = _told_apart(led, crowded, sets, groups, family)
             met = met.unionByName(more)
         found.append(_judged(materialize(_apart(_ordered(met), groups)), sets))
         family = "bucket"
-    return reduce(DataFrame.unionByName, found) if found else distinct.select(F.col("fid").alias("src"), F.col("fid").alias("dst")).limit(0)
+    return reduce(DataFrame.unionByName, found)
 
 
 def similar_groups(docs: DataFrame, carry: list[str], text_col: str = "text", hot: int = CROWD) -> DataFrame:
@@ -233,7 +270,7 @@ def similar_groups(docs: DataFrame, carry: list[str], text_col: str = "text", ho
         rows = materialize(prints(docs, carry, text_col))
         firsts = materialize(rows.groupBy("digest").agg(F.min("row").alias("fid")))
         first = _few(firsts.select(F.col("fid").alias("row")))
-        distinct = rows.join(first, "row", "left_semi").select(F.col("row").alias("fid"), "size", "keys", "shingles", "sketch")
+        distinct = rows.join(first, "row", "left_semi").select(F.col("row").alias("fid"), "fp", "size", "keys", "shingles", "sketch")
         groups = materialize(connected_components(similar_links(distinct, hot)))
         named = keep(firsts.join(_of(groups, "fid"), "fid", "left").select("digest", F.coalesce("c_fid", "fid").alias("root")))
         carried = keep(rows.select("digest", "carried"))

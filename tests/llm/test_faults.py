@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexforge.llm import labelled, mixing, similar, stages, suffix
+from lexforge.llm import labelled, mixing, similar, simhash, stages, suffix
+from lexforge.plans.tables import materialize
 
 
 def test_a_column_of_the_stage_s_own_name_is_kept(spark):
@@ -92,3 +93,44 @@ def test_many_share_a_difference(spark, monkeypatch, wide):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     assert {x["doc_id"]: x["component_id"] for x in similar.similar_texts(df, hot=2).collect()} == {i: find(i) for i in range(len(texts))}
+
+
+def test_near_fingerprints_are_links_without_a_shared_key(spark):
+    """The operator's multi-index hashing gives pairs of its own; each is verified on the whole sets."""
+    r = random.Random(11)
+    texts = []
+    for _ in range(12):
+        words = [f"w{r.randrange(5000)}" for _ in range(600)]
+        texts += [" ".join(words), " ".join([*words, "more"])]
+    fps = [simhash.fingerprint(t.encode().split(), 3) for t in texts]
+    near = {(i, i + 1) for i in range(0, 24, 2) if (fps[i] ^ fps[i + 1]).bit_count() <= 2}
+    assert len(near) >= 6
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = materialize(similar.prints(df, ["doc_id"])).select(F.col("carried.doc_id").alias("fid"), "fp", "size", F.array(F.col("row")).alias("keys"), "shingles", "sketch")
+    assert {(x["src"], x["dst"]) for x in similar.similar_links(rows).collect()} == near
+    alike = rows.withColumn("fp", F.lit(7).cast("long"))  # one fingerprint of unlike texts: the first is compared with the others
+    assert {(x["src"], x["dst"]) for x in similar.similar_links(alike).collect()} == {(0, 1)}
+
+
+def test_a_text_s_differences_are_looked_at_once(spark, monkeypatch):
+    """Keys of members that are alike have one leader, so that a text is not told apart from each of many."""
+    r = random.Random(7)
+    words = ["".join(r.choices("abcdefghij", k=5)) for _ in range(3000)]
+    base, texts = r.choices(words, k=300), []
+    for _ in range(150):
+        t = list(base)
+        for at in r.sample(range(5, 295, 10), 5):
+            t[at] = r.choice(words)
+        texts.append(" ".join(t))
+    seen = []
+
+    def watched(df):
+        found = materialize(df)
+        if "apart" in found.columns:
+            seen.append((found.count(), found.select("family").distinct().count()))
+        return found
+
+    monkeypatch.setattr(similar, "materialize", watched)
+    similar.similar_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), hot=4).count()
+    rows, families = seen[0]
+    assert rows <= 1.3 * len(texts) and families <= 12
