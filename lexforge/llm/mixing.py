@@ -4,14 +4,15 @@ A token is coded as the path to it in a binary tree (a Huffman tree over the tra
 frequent tokens and one escape for the rest). Every node of the path is a bit that four predictors guess: one knows the node
 alone, the others the node with a hashed context (the word before; the two words before; the last very frequent word,
 which tells the language). Their log-odds are mixed by weights that a gate picks (how deep the node is, and which contexts
-have been seen). Gated weights are fitted on a bounded sample of training rows while the tables don't know them yet; then the
-tables learn these rows, too. On top of the weights, each ``SEGMENT`` tokens of a text refine a correction online, after each
+have been seen). Gated weights are fitted on every training row: each of its bits is guessed by tables that lack that one bit, and
+Spark counts how often which odds meet which bit, in ``LEVELS`` steps of each predictor; the optimum on these counts is one,
+whatever the start (a fit on a few rows). On top of the weights, each ``SEGMENT`` tokens of a text refine a correction online, after each
 token, by the gradient of its bits. Contexts reach over segments. An escaped token is one of the rest by its training count
 plus one. So every token has a probability, and these sum to one over the known tokens and one unknown. Bits per byte follow
 from the score.
 
 Spark counts all training tokens; the context tables grow with them up to a stated size, are filled by each task from all its
-training rows and summed up in ranges of slots. What the driver holds is bounded by VOCABULARY, MOST_BITS, SAMPLE_ROWS and
+training rows and summed up in ranges of slots. What the driver holds is bounded by VOCABULARY, MOST_BITS, CELLS, SAMPLE_ROWS and
 SAMPLE_CHARS. Counts of rare words never go to it: rare words of a text are joined to their counts.
 
 Rows: a null or empty text is its end token; a null id has no fold and is scored only; repeated rows count and are scored
@@ -44,13 +45,19 @@ from lexforge.plans.tables import materialize
 VOCABULARY, WORD_BYTES, FREQUENT = 1 << 17, 256, 64
 #: Training tokens to a slot of a context's table, and bounds of the number of slots, as powers of two.
 TOKENS_TO_A_SLOT, LEAST_BITS, MOST_BITS = 64, 18, 22
-#: Rows that the gated weights are fitted on, about, and characters of each at most (longer rows are learned from, but not
-#: fitted on).
+#: Rows that the gated weights' start is fitted on, about, and characters of each at most; all rows give the weights.
 SAMPLE_ROWS, SAMPLE_CHARS = 120, 200_000
 #: Tokens that share a correction, its rate, what each bit count starts from, ranges of slots that are summed apart, and
 #: tables of counts that are added up at a time.
 SEGMENT, RATE, PRIOR, RANGES, FAN_IN = 1024, 0.02, 0.4, 32, 32
 CONTEXTS, DEPTHS = 3, 4
+#: Log-odds that a predictor's are rounded to, when what the weights are fitted on is counted, and where they meet; zero is apart.
+_OVER = np.array([0.2, 0.5, 0.9, 1.5, 2.3, 3.3, 4.8, 7.0], np.float32)
+LEVELS = np.concatenate([-_OVER[::-1], np.zeros(1, np.float32), _OVER])
+_EDGES = np.concatenate([(LEVELS[:7] + LEVELS[1:8]) / 2, np.array([-1e-6, 1e-6], np.float32), (LEVELS[9:16] + LEVELS[10:]) / 2])
+ZERO, STEPS = len(_OVER), len(LEVELS)
+#: Cells of these counts by (depth, node's level, bit, contexts' levels), up to a multiple of RANGES.
+CELLS = -(-DEPTHS * STEPS * 2 * STEPS**CONTEXTS // RANGES) * RANGES
 #: Tokens that a task counts at least where there are more tasks than cores: it writes a whole table, however few it has read.
 TASK_TOKENS = 40_000_000
 #: The end of a text as a token: no word is empty.
@@ -132,11 +139,16 @@ def bits_for(tokens: int) -> int:
     return min(MOST_BITS, max(LEAST_BITS, (max(1, tokens) // TOKENS_TO_A_SLOT).bit_length()))
 
 
-def events(tree: Tree, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Steps of the paths of the tokens, one after the other, and the paths' lengths."""
+def places(tree: Tree, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the steps of the paths of the tokens are, one after the other, and the paths' lengths."""
     lengths = tree.length[x]
     ends = np.cumsum(lengths, dtype=np.int32)
-    where = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(tree.start[x] - (ends - lengths), lengths)
+    return np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(tree.start[x] - (ends - lengths), lengths), lengths
+
+
+def events(tree: Tree, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Steps of the paths of the tokens, one after the other, and the paths' lengths."""
+    where, lengths = places(tree, x)
     return tree.steps.view(np.int64)[where].view(STEP), lengths
 
 
@@ -160,6 +172,11 @@ class Symbols:
         return np.array(found, np.int64), np.array(sizes, np.int64)
 
 
+def equal_weights() -> np.ndarray:
+    """By gate and predictor."""
+    return np.tile([0.25] * (CONTEXTS + 1) + [0.0], (4 * DEPTHS, 1))
+
+
 @dataclass
 class Model:
     tree: Tree
@@ -200,6 +217,32 @@ class Model:
             moved = 0.8 * moved + rate * 0.2 * grad
             self.weights = self.weights + moved
 
+    def fit_cells(self, cells: np.ndarray, ridge: float = 1.0, rounds: int = 100) -> None:
+        """The gated weights, by Newton's steps over all training bits, counted by cell. A ridge around equal weights makes the
+        optimum one; it is what a gate without bits has."""
+        at = np.flatnonzero(cells)
+        n, rest, levels = cells[at].astype(np.float64), at, []
+        for _ in range(CONTEXTS):
+            rest, level = np.divmod(rest, STEPS)
+            levels.insert(0, level)
+        rest, y = np.divmod(rest, 2)
+        depth, node = np.divmod(rest, STEPS)
+        s = np.stack([*(LEVELS[x] for x in levels), LEVELS[node], np.full(len(at), 0.3)], axis=1).astype(np.float64)
+        gate = depth * 4 + (levels[0] != ZERO) * 2 + (levels[1] != ZERO)
+        weights = equal_weights()
+        for g in np.unique(gate):
+            own = gate == g
+            a, m, b, w, prior = s[own], n[own], y[own], self.weights[g], weights[g].copy()
+            for _ in range(rounds):
+                p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
+                slope = a.T @ (m * (b - p)) - ridge * (w - prior)
+                step = np.linalg.solve((a * (m * p * (1 - p))[:, None]).T @ a + ridge * np.eye(len(w)), slope)
+                w = w + step * min(1.0, 1 / max(1e-9, float(np.abs(step).max())))
+                if np.abs(step).max() < 1e-6:
+                    break
+            weights[g] = w
+        self.weights = weights
+
     def token_logs(self, x: np.ndarray, sizes: np.ndarray, escape: int, rate: float = RATE) -> np.ndarray:
         """The natural logarithm of each token's probability, given those before it in its text; symbols of all texts, one
         after the other, and tokens of each."""
@@ -271,13 +314,10 @@ def count_tokens(rows: DataFrame) -> DataFrame:
     return map_arrow(rows.select("text"), make, "word binary, n long", rows=4096).groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def count_contexts(counts: np.ndarray, tree: Tree, symbols: Symbols, texts: list[str], times: int = 1) -> None:
-    """Add the bits of some texts, each so many times, to counts by (context, slot and bit)."""
+def add_contexts(counts: np.ndarray, tree: Tree, x: np.ndarray, sizes: np.ndarray, times: int = 1) -> None:
+    """Add the bits of some texts' symbols, each so many times, to counts by (context, slot and bit)."""
     bits = (counts.shape[1] // 2).bit_length() - 1
-    x, sizes = symbols.of(texts)
-    first = np.zeros(len(x), bool)
-    first[np.cumsum(sizes) - sizes] = True
-    hashes = context_hashes(x, first, symbols.escape)
+    hashes = context_hashes(x, firsts(sizes), len(tree.words))
     for at in range(0, len(x), 200_000):
         steps, lengths = events(tree, x[at : at + 200_000])
         nodes, ones = np.ascontiguousarray(steps["node"]), steps["bit"].astype(np.int64)
@@ -285,54 +325,139 @@ def count_contexts(counts: np.ndarray, tree: Tree, symbols: Symbols, texts: list
             np.add.at(counts[k], slots(hashes[k][at : at + 200_000], lengths, nodes, bits) * np.int64(2) + ones, np.int32(times))
 
 
+def count_contexts(counts: np.ndarray, tree: Tree, symbols: Symbols, texts: list[str], times: int = 1) -> None:
+    """add_contexts() of texts."""
+    add_contexts(counts, tree, *symbols.of(texts), times)
+
+
+def firsts(sizes: np.ndarray) -> np.ndarray:
+    """Of texts laid end to end: whether a token is a text's first."""
+    first = np.zeros(int(sizes.sum()), bool)
+    first[np.cumsum(sizes) - sizes] = True
+    return first
+
+
+def level_of(odds: np.ndarray) -> np.ndarray:
+    return np.searchsorted(_EDGES, odds).astype(np.uint8)
+
+
+def left_out(counts: np.ndarray) -> np.ndarray:
+    """By (context, slot and bit): the level of the log-odds of all other bits in the slot."""
+    out = np.empty(counts.shape, np.uint8)
+    for k in range(CONTEXTS):
+        for at in range(0, counts.shape[1], 1 << 20):
+            zeros, ones = counts[k, at : at + (1 << 20)].reshape(-1, 2).astype(np.float32).T
+            out[k, at : at + (1 << 20) : 2] = level_of(np.log((ones + PRIOR) / (np.maximum(zeros - 1, 0) + PRIOR)))
+            out[k, at + 1 : at + (1 << 20) : 2] = level_of(np.log((np.maximum(ones - 1, 0) + PRIOR) / (zeros + PRIOR)))
+    return out
+
+
+def add_cells(cells: np.ndarray, tree: Tree, levels: np.ndarray, x: np.ndarray, sizes: np.ndarray) -> None:
+    """Add how often which levels meet which bit in some texts' symbols, each bit guessed without itself."""
+    bits = (levels.shape[1] // 2).bit_length() - 1
+    hashes = context_hashes(x, firsts(sizes), len(tree.words))
+    code = ((tree.steps["depth"].astype(np.int32) * STEPS + level_of(tree.steps["odds"].astype(np.float32))) * 2 + tree.steps["bit"]) * np.int32(STEPS**CONTEXTS)
+    for at in range(0, len(x), 100_000):
+        where, lengths = places(tree, x[at : at + 100_000])
+        steps = tree.steps.view(np.int64)[where].view(STEP)
+        nodes, ones, cell = np.ascontiguousarray(steps["node"]), steps["bit"].astype(np.uint32), code[where]
+        for k in range(CONTEXTS):
+            found = levels[k][slots(hashes[k][at : at + 100_000], lengths, nodes, bits) * np.uint32(2) + ones]
+            cell += found * np.int32(STEPS ** (CONTEXTS - 1 - k))
+        cells += np.bincount(cell, minlength=len(cells))
+
+
 def odds_of(counts: np.ndarray) -> np.ndarray:
     """Log-odds of a one by (context, slot)."""
     pairs = counts.reshape(CONTEXTS, -1, 2).astype(np.float32) + np.float32(PRIOR)
     return np.log(pairs[:, :, 1] / pairs[:, :, 0])
 
 
-def context_counts(rows: DataFrame, tree: Tree, bits: int, tokens: int = 0) -> np.ndarray:
-    """Counts by (context, slot and bit) from all rows, of about ``tokens`` tokens. Each task counts its own; ranges of slots are
-    summed apart, in a tree. Splits of the input are put together into tasks, as each shuffles a table of its own."""
-    tasks = max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-tokens // TASK_TOKENS))
-    rows = rows.select("text").coalesce(tasks)
+def coded(rows: DataFrame, tree: Tree) -> DataFrame:
+    """The texts' symbols, as bytes of ints, with the other columns."""
     shared = rows.sparkSession.sparkContext.broadcast(tree)
-    width = 2 * (1 << bits) // RANGES
+    others = [f for f in rows.schema.fields if f.name != "text"]
+
+    def make() -> Callable:
+        symbols = Symbols(shared.value)
+
+        def each(batch: pa.RecordBatch) -> dict:
+            x, sizes = symbols.of(batch.column(0).to_pylist())
+            parts = np.split(x.astype(np.int32), np.cumsum(sizes)[:-1])
+            return {"symbols": pa.array([p.tobytes() for p in parts], pa.binary())} | {f.name: batch.column(i + 1) for i, f in enumerate(others)}
+
+        return each
+
+    schema = ", ".join(["symbols binary", *(f"{f.name} {f.dataType.simpleString()}" for f in others)])
+    return map_arrow(rows.select("text", *(f.name for f in others)), make, schema)
+
+
+def _summed(rows: DataFrame, tokens: int, shape: tuple[int, int], kind: type, task: Callable[[], tuple[np.ndarray, Callable]]) -> np.ndarray:
+    """An array that is summed over all rows of symbols, of about ``tokens`` tokens. Each task fills one of its own (``task`` gives
+    it, and what adds symbols and sizes to it); ranges of columns are summed apart, in a tree. Splits of the input are put
+    together into tasks, as each shuffles an array of its own."""
+    tasks = max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-tokens // TASK_TOKENS))
+    rows = rows.select("symbols").coalesce(tasks)
+    height, width = shape[0], shape[1] // RANGES
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = shared.value
-        symbols = Symbols(tree)
-        counts = np.zeros((CONTEXTS, 2 << bits), np.int32)
+        counts, add = task()
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
-                count_contexts(counts, tree, symbols, batch.column(0)[i : i + 512].to_pylist())
+                parts = batch.column(0)[i : i + 512].to_pylist()
+                add(np.frombuffer(b"".join(parts), np.int32).astype(np.int64), np.array([len(p) // 4 for p in parts], np.int64))
         if counts.any():
             part = TaskContext.get().partitionId()
             for r in range(RANGES):
                 own = np.ascontiguousarray(counts[:, width * r : width * (r + 1)])
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "range": pa.array([r], pa.int32()), "counts": pa.array([zstandard.compress(own.tobytes(), 3)], pa.binary())})
-        del counts, symbols
+        del counts, add
         release()
 
     def add(parts: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((CONTEXTS, width), np.int64)
+        total = np.zeros((height, width), np.int64)
         for part in parts["counts"]:
-            total += np.frombuffer(zstandard.decompress(part), np.int32).reshape(total.shape)
-        summed = np.minimum(total, (1 << 31) - 1).astype(np.int32)
+            total += np.frombuffer(zstandard.decompress(part), kind).reshape(total.shape)
+        summed = np.minimum(total, np.iinfo(kind).max).astype(kind)
         return pd.DataFrame({"part": parts["part"].iloc[:1] // FAN_IN, "range": parts["range"].iloc[:1], "counts": [zstandard.compress(summed.tobytes(), 3)]})
 
     schema = "part int, range int, counts binary"
     left = rows.rdd.getNumPartitions()
-    found = rows.select("text").mapInArrow(fill, schema)
+    found = rows.mapInArrow(fill, schema)
     while left > 1:
         found = found.groupBy("range", F.expr(f"part div {FAN_IN}")).applyInPandas(add, schema)
         left = -(-left // FAN_IN)
-    counts = np.zeros((CONTEXTS, 2 << bits), np.int32)
-    for r in found.collect():  # as many numbers as the table has
-        counts[:, width * r["range"] : width * (r["range"] + 1)] += np.frombuffer(zstandard.decompress(r["counts"]), np.int32).reshape(CONTEXTS, width)
+    counts = np.zeros(shape, kind)
+    for r in found.collect():  # as many numbers as the array has
+        counts[:, width * r["range"] : width * (r["range"] + 1)] += np.frombuffer(zstandard.decompress(r["counts"]), kind).reshape(height, width)
     return counts
 
 
+def context_counts(rows: DataFrame, tree: Tree, bits: int, tokens: int = 0) -> np.ndarray:
+    """Counts by (context, slot and bit) from all rows, of texts or their symbols."""
+    shared = rows.sparkSession.sparkContext.broadcast(tree)
+
+    def task() -> tuple[np.ndarray, Callable]:
+        counts = np.zeros((CONTEXTS, 2 << bits), np.int32)
+        return counts, lambda x, sizes: add_contexts(counts, shared.value, x, sizes)
+
+    rows = rows if "symbols" in rows.columns else coded(rows.select("text"), tree)
+    return _summed(rows, tokens, (CONTEXTS, 2 << bits), np.int32, task)
+
+
+def cell_counts(rows: DataFrame, tree: Tree, counts: np.ndarray, tokens: int = 0) -> np.ndarray:
+    """What the weights are fitted on: counts by cell from all rows of symbols, with the counts of all contexts."""
+    shared = rows.sparkSession.sparkContext.broadcast((tree, left_out(counts)))
+
+    def task() -> tuple[np.ndarray, Callable]:
+        cells = np.zeros((1, CELLS), np.int64)
+        return cells, lambda x, sizes: add_cells(cells[0], *shared.value, x, sizes)
+
+    found = _summed(rows, tokens, (1, CELLS), np.int64, task)[0]
+    shared.unpersist()
+    return found
+
+
 def least_count(counts: DataFrame, words: int) -> int:
     """The lowest count that no more than so many words reach. Counts are binned (exactly below 1,024, sixteen bins to a
     doubling above), so the driver gets some two thousand numbers."""
@@ -348,7 +473,7 @@ def least_count(counts: DataFrame, words: int) -> int:
 
 
 def train(rows: DataFrame, counts: DataFrame) -> Model:
-    """From the training rows (doc_id, text) and the counts of their tokens."""
+    """From the training rows (doc_id, text) and the counts of their tokens: tables and weights learn from all of them."""
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     top = counts.where((F.col("n") >= least_count(counts, VOCABULARY - 1)) & (F.length("word") <= WORD_BYTES)).toArrow()
     words, numbers = top["word"].to_pylist(), top["n"].to_pylist()
@@ -363,8 +488,9 @@ def train(rows: DataFrame, counts: DataFrame) -> Model:
     # by the whole row, so that about so many distinct rows are collected, however often each is there
     sampled = held & by_hash(F.xxhash64("doc_id", "text"), SAMPLE_ROWS, ends)
     bits = bits_for(tokens)
-    counts = context_counts(rows.where(~sampled), tree, bits, tokens)
-    model = Model(tree, np.array(numbers, np.int64), tokens, distinct, odds_of(counts), np.tile([0.25] * (CONTEXTS + 1) + [0.0], (4 * DEPTHS, 1)))
+    known = materialize(coded(rows.select("text", sampled.alias("sampled")), tree))
+    counts = context_counts(known.where("not sampled"), tree, bits, tokens)
+    model = Model(tree, np.array(numbers, np.int64), tokens, distinct, odds_of(counts), equal_weights())
     fitted = rows.where(sampled).groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n")).orderBy("doc_id", "text").collect()
     if fitted and words:
         symbols = Symbols(tree)
@@ -372,10 +498,11 @@ def train(rows: DataFrame, counts: DataFrame) -> Model:
         first = np.zeros(len(x), bool)
         first[np.cumsum(sizes) - sizes] = True
         model.fit(x, context_hashes(x, first, len(words)))
-        for r in fitted:  # now that the weights are fitted on them, they are learned from, too; counts end where an int does
+        for r in fitted:  # now that the weights' start is fitted on them, they are learned from, too; counts end where an int does
             room = ((1 << 31) - 1 - int(counts.max())) // max(1, len(events(tree, symbols.of([r["text"]])[0])[0]))
             count_contexts(counts, tree, symbols, [r["text"]], max(1, min(r["n"], room)))
         model.tables = odds_of(counts)
+    model.fit_cells(cell_counts(known, tree, counts, tokens))
     return model
 
 

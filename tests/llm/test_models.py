@@ -122,6 +122,43 @@ def test_mixing_learns_from_every_training_row(spark, data):
     assert (found == wanted).all() and found.any()
 
 
+def test_mixing_fits_its_weights_on_every_training_row(spark, monkeypatch):
+    """Each bit of every row is counted, guessed without itself; weights do not hang on the rows that the start is fitted on."""
+    r = random.Random(4)
+    words = ["".join(r.choices("abcdefg", k=3)) for _ in range(30)]
+    texts = [" ".join(r.choices(words[i % 3 * 10 : i % 3 * 10 + 12], k=r.randint(0, 60))) for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    counts = mixing.count_tokens(docs)
+    seen = []
+    monkeypatch.setattr(mixing.Model, "fit_cells", lambda self, cells, fit=mixing.Model.fit_cells: seen.append(cells) or fit(self, cells))
+    found = []
+    for rows in (5, 200):
+        monkeypatch.setattr(mixing, "SAMPLE_ROWS", rows)
+        found.append(mixing.train(docs, counts))
+    assert (seen[0] == seen[1]).all()
+    assert np.allclose(found[0].weights, found[1].weights, atol=1e-4)
+    tree = found[0].tree
+    x, sizes = mixing.Symbols(tree).of(texts)
+    assert seen[0].sum() == len(mixing.events(tree, x)[0])
+    table = np.zeros((mixing.CONTEXTS, 2 << mixing.LEAST_BITS), np.int32)
+    mixing.add_contexts(table, tree, x, sizes)
+    wanted = np.zeros(mixing.CELLS, np.int64)
+    hashes = mixing.context_hashes(x, mixing.firsts(sizes), len(tree.words))
+    for t in range(0, len(x), 37):  # by a plain loop, some tokens
+        steps, lengths = mixing.events(tree, x[t : t + 1])
+        for i in range(lengths[0]):
+            bit, own = int(steps["bit"][i]), []
+            for k in range(mixing.CONTEXTS):
+                at = 2 * int(mixing.slots(hashes[k][t : t + 1], np.array([1]), steps["node"][i : i + 1], mixing.LEAST_BITS)[0])
+                pair = [int(table[k, at + b]) - (b == bit) for b in (0, 1)]
+                own.append(int(mixing.level_of(np.array([math.log((pair[1] + mixing.PRIOR) / (pair[0] + mixing.PRIOR))], np.float32))[0]))
+            cell = (int(steps["depth"][i]) * mixing.STEPS + int(mixing.level_of(steps["odds"][i : i + 1].astype(np.float32))[0])) * 2 + bit
+            for level in own:
+                cell = cell * mixing.STEPS + level
+            wanted[cell] += 1
+    assert (wanted <= seen[0]).all() and wanted.sum() > 100
+
+
 def auc(good, bad):
     good, bad = np.array(good), np.array(bad)
     return float(np.mean(good[:, None] > bad[None, :]) + 0.5 * np.mean(good[:, None] == bad[None, :]))
