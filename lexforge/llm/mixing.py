@@ -11,7 +11,8 @@ token, by the gradient of its bits. Contexts reach over segments. An escaped tok
 plus one. So every token has a probability, and these sum to one over the known tokens and one unknown. Bits per byte follow
 from the score.
 
-Spark counts all training tokens; the context tables grow with them up to a stated size, are filled by each task from all its
+Spark counts all training tokens, then codes every text to its symbols once; tables, weights and scores are had from these. The
+nodes of four levels of the tree lie side by side in a context's table, so that a path meets few lines of memory. The context tables grow with them up to a stated size, are filled by each task from all its
 training rows and summed up in ranges of slots. What the driver holds is bounded by VOCABULARY, MOST_BITS, CELLS, SAMPLE_ROWS and
 SAMPLE_CHARS. Counts of rare words never go to it: rare words of a text are joined to their counts.
 
@@ -50,6 +51,8 @@ SAMPLE_ROWS, SAMPLE_CHARS = 120, 200_000
 #: Tokens that share a correction, its rate, what each bit count starts from, ranges of slots that are summed apart, and
 #: tables of counts that are added up at a time.
 SEGMENT, RATE, PRIOR, RANGES, FAN_IN = 1024, 0.02, 0.4, 32, 32
+#: Tokens whose steps are worked on at a time, so that arrays of these stay in a core's cache.
+AT_A_TIME = 16384
 CONTEXTS, DEPTHS = 3, 4
 #: Log-odds that a predictor's are rounded to, when what the weights are fitted on is counted, and where they meet; zero is apart.
 _OVER = np.array([0.2, 0.5, 0.9, 1.5, 2.3, 3.3, 4.8, 7.0], np.float32)
@@ -64,8 +67,12 @@ TASK_TOKENS = 40_000_000
 END = b""
 
 
+#: Levels of the tree whose nodes share a hash but for its last GROUP bits: a context has them side by side in its table.
+GROUP = 4
 #: A step of a path: hash of its node, log-odds of a one there, bucket of its depth, and the bit that the path takes.
 STEP = np.dtype([("node", "<u4"), ("odds", "<f2"), ("depth", "i1"), ("bit", "i1")])
+#: All numbers of two bytes, as numpy is slow to widen them.
+HALVES = np.arange(1 << 16, dtype=np.uint16).view(np.float16).astype(np.float32)
 
 
 @dataclass
@@ -104,10 +111,16 @@ class Tree:
         n, length = np.frombuffer(nodes, np.int32).astype(np.int64), np.array(lengths, np.int32)
         start = np.cumsum(length, dtype=np.int32) - length
         steps = np.empty(len(n), STEP)
-        steps["node"] = n * 0x9E3779B1 & 0xFFFFFFFF
+        at = np.arange(len(n))
+        level = at - np.repeat(start, length)
         steps["odds"] = np.frombuffer(odds, np.float32)[n]
-        steps["depth"] = np.minimum((np.arange(len(n)) - np.repeat(start, length)) // 3, DEPTHS - 1)
+        steps["depth"] = np.minimum(level // 3, DEPTHS - 1)
         steps["bit"] = np.frombuffer(bits, np.int8)
+        within = level % GROUP
+        place = (1 << within) - 1  # of a node in its group: by the bits that lead to it from the group's first
+        for back in range(1, GROUP):
+            place += np.where(within >= back, steps["bit"][np.maximum(at - back, 0)].astype(np.int64) << (back - 1), 0)
+        steps["node"] = (n[at - within] * 0x9E3779B1 & 0xFFFFFFFF) >> GROUP << GROUP | place
         return Tree(words, start, length, steps)
 
 
@@ -129,9 +142,28 @@ def context_hashes(x: np.ndarray, first: np.ndarray, escape: int) -> list[np.nda
     return [spread(one, 1), spread(one * (1 << 20) + two, 2), spread(usual, 3)]
 
 
+def parted(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What the nodes of a group share, and their places in it."""
+    place = nodes & np.uint32((1 << GROUP) - 1)
+    return nodes ^ place, place
+
+
+def spots(context: np.ndarray, lengths: np.ndarray, groups: np.ndarray, places: np.ndarray, bits: int, wide: int = 0) -> np.ndarray:
+    """The slots, of 2 ** bits, of each step: a group's are within 2 ** GROUP, each elsewhere for another context. With slots of
+    2 ** wide numbers, ``places`` are those of the numbers."""
+    found = np.repeat(context, lengths)
+    found ^= groups
+    found *= np.uint32(0x85EBCA6B)
+    found >>= np.uint32(32 - bits)
+    if wide:
+        found <<= np.uint32(wide)
+    found ^= places
+    return found.astype(np.intp)
+
+
 def slots(context: np.ndarray, lengths: np.ndarray, nodes: np.ndarray, bits: int) -> np.ndarray:
-    """The slots, of 2 ** bits, of each step."""
-    return ((np.repeat(context, lengths) ^ nodes) * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)
+    """spots() of nodes."""
+    return spots(context, lengths, *parted(nodes), bits)
 
 
 def bits_for(tokens: int) -> int:
@@ -142,14 +174,16 @@ def bits_for(tokens: int) -> int:
 def places(tree: Tree, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the steps of the paths of the tokens are, one after the other, and the paths' lengths."""
     lengths = tree.length[x]
-    ends = np.cumsum(lengths, dtype=np.int32)
-    return np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) + np.repeat(tree.start[x] - (ends - lengths), lengths), lengths
+    ends = np.cumsum(lengths, dtype=np.intp)
+    where = np.repeat(tree.start[x] - (ends - lengths), lengths)
+    where += np.arange(len(where))
+    return where, lengths
 
 
 def events(tree: Tree, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Steps of the paths of the tokens, one after the other, and the paths' lengths."""
     where, lengths = places(tree, x)
-    return tree.steps.view(np.int64)[where].view(STEP), lengths
+    return np.take(tree.steps.view(np.int64), where, mode="clip").view(STEP), lengths
 
 
 class Symbols:
@@ -161,15 +195,15 @@ class Symbols:
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all tokens, and tokens of each text."""
-        found: list[int] = []
-        sizes = []
-        get, escape = self.place.get, repeat(self.escape)
-        for text in texts:
-            words = words_of(text)
-            words.append(END)
-            found += map(get, words, escape)
-            sizes.append(len(words))
-        return np.array(found, np.int64), np.array(sizes, np.int64)
+        parts = [x for x, _ in map(self.each, texts)]
+        return np.concatenate([np.empty(0, np.int64), *parts]), np.array([len(x) for x in parts], np.int64)
+
+    def each(self, text: str) -> tuple[np.ndarray, dict[bytes, int]]:
+        """Symbols of a text's tokens, and how often it has which words that are none."""
+        words = words_of(text)
+        words.append(END)
+        found = np.fromiter(map(self.place.get, words, repeat(self.escape)), np.int64, len(words))
+        return found, Counter([words[i] for i in np.flatnonzero(found == self.escape)])
 
 
 def equal_weights() -> np.ndarray:
@@ -189,21 +223,23 @@ class Model:
     def predictors(self, x: np.ndarray, hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Log-odds of all predictors (the last is a constant) for each bit, its gate and value, and the paths' lengths."""
         steps, lengths = events(self.tree, x)
-        nodes = np.ascontiguousarray(steps["node"])
+        nodes = parted(steps["node"])
         s = np.empty((CONTEXTS + 2, len(steps)), np.float32)
         bits = self.tables.shape[1].bit_length() - 1
         for k, h in enumerate(hashes):
-            np.take(self.tables[k], slots(h, lengths, nodes, bits), out=s[k], mode="clip")
-        s[CONTEXTS] = steps["odds"]
+            np.take(self.tables[k], spots(h, lengths, *nodes, bits), out=s[k], mode="clip")
+        np.take(HALVES, steps["odds"].view(np.uint16), out=s[CONTEXTS], mode="clip")
         s[-1] = 0.3
         gate = steps["depth"] * np.int8(4) + (s[0] != 0).view(np.int8) * np.int8(2) + (s[1] != 0).view(np.int8)
         return s, gate, steps["bit"].astype(np.float32), lengths
 
     def mixed(self, s: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        columns = np.ascontiguousarray(self.weights.T, np.float32)
-        out = np.take(columns[0], gate) * s[0]
-        for k in range(1, len(s)):
-            out += np.take(columns[k], gate) * s[k]
+        columns, gate = np.ascontiguousarray(self.weights.T, np.float32), gate.astype(np.intp)
+        out, part = np.zeros(len(gate), np.float32), np.empty(len(gate), np.float32)
+        for k in range(len(s)):
+            np.take(columns[k], gate, out=part, mode="clip")
+            part *= s[k]
+            out += part
         return out
 
     def fit(self, x: np.ndarray, hashes: list[np.ndarray], steps: int = 60, rate: float = 0.5) -> None:
@@ -259,14 +295,16 @@ class Model:
         active = len(span) - np.searchsorted(span[::-1], np.arange(1, SEGMENT + 1))  # lanes that have a token j
         correction = np.zeros((CONTEXTS, len(lane)), np.float32)  # of the contexts' weights
         logs = np.zeros(len(x))
-        for j0 in range(0, SEGMENT, 32):  # features of 32 tokens of each lane at a time
-            js = [j for j in range(j0, min(j0 + 32, SEGMENT)) if active[j]]
-            if not js:
-                break
+        j0 = 0
+        while j0 < SEGMENT and active[j0]:  # features of some tokens of each lane at a time
+            js = [j for j in range(j0, min(j0 + max(1, AT_A_TIME // int(active[j0])), SEGMENT)) if active[j]]
+            j0 += max(1, AT_A_TIME // int(active[j0]))
             at = np.concatenate([lane[: active[j]] + j for j in js])
             s, gate, y, lengths = self.predictors(x[at], [h[at] for h in hashes])
             z = self.mixed(s, gate)
-            sign = 2 * y - 1
+            sign = y
+            sign *= 2
+            sign -= 1
             edges = np.concatenate([[0], np.cumsum(lengths)])
             done = 0
             for j in js:
@@ -275,22 +313,36 @@ class Model:
                 a, b = edges[done], edges[done + n]
                 heads = edges[done : done + n] - a
                 part, right = s[:CONTEXTS, a:b], sign[a:b]
-                own_z = z[a:b]
+                p = z[a:b]
                 for k in range(CONTEXTS):
-                    own_z += np.repeat(correction[k, :n], own) * part[k]
-                p = np.clip(1 / (1 + np.exp(-own_z * right)), 1e-6, 1 - 1e-6)  # of the bit that is there
+                    moved = np.repeat(correction[k, :n], own)
+                    moved *= part[k]
+                    p += moved
+                p *= right
+                np.negative(p, out=p)
+                np.exp(p, out=p)
+                p += 1
+                np.reciprocal(p, out=p)
+                np.maximum(p, np.float32(1e-6), out=p)
+                np.minimum(p, np.float32(1 - 1e-6), out=p)  # of the bit that is there
                 logs[lane[:n] + j] = np.add.reduceat(np.log(p), heads)
-                error = (1 - p) * right * np.float32(rate)
+                error = np.subtract(1, p, out=p)
+                error *= right
+                error *= np.float32(rate)
                 for k in range(CONTEXTS):
-                    correction[k, :n] += np.add.reduceat(part[k] * error, heads)
+                    np.multiply(part[k], error, out=part[k])
+                    correction[k, :n] += np.add.reduceat(part[k], heads)
                 done += n
         return logs
 
     def log_odds(self, texts: list[str], symbols: Symbols) -> tuple[np.ndarray, ...]:
-        """Of each text: tokens, known frequent tokens, rare tokens, log10 of the base's and the model's probability of all
-        but the choice among rare words."""
-        x, sizes = symbols.of(texts)
-        logs = self.token_logs(x, sizes, symbols.escape)
+        """log_odds_of() of texts."""
+        return self.log_odds_of(*symbols.of(texts))
+
+    def log_odds_of(self, x: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of each text, by its symbols: tokens, known frequent tokens, rare tokens, log10 of the base's and the model's
+        probability of all but the choice among rare words."""
+        logs = self.token_logs(x, sizes, len(self.tree.words))
         counted = np.append(self.counts, -1)[x]
         base = np.where(counted >= 0, np.log10(np.maximum(counted, 0) + 1.0) - math.log10(self.tokens + self.distinct + 1), 0)
         number = np.repeat(np.arange(len(sizes)), sizes)
@@ -318,11 +370,20 @@ def add_contexts(counts: np.ndarray, tree: Tree, x: np.ndarray, sizes: np.ndarra
     """Add the bits of some texts' symbols, each so many times, to counts by (context, slot and bit)."""
     bits = (counts.shape[1] // 2).bit_length() - 1
     hashes = context_hashes(x, firsts(sizes), len(tree.words))
-    for at in range(0, len(x), 200_000):
-        steps, lengths = events(tree, x[at : at + 200_000])
-        nodes, ones = np.ascontiguousarray(steps["node"]), steps["bit"].astype(np.int64)
+    for at in range(0, len(x), AT_A_TIME):
+        steps, lengths = events(tree, x[at : at + AT_A_TIME])
+        groups, numbers = paired(steps)
+        added = np.full(len(steps), times, np.int32)  # faster than a number
         for k in range(CONTEXTS):
-            np.add.at(counts[k], slots(hashes[k][at : at + 200_000], lengths, nodes, bits) * np.int64(2) + ones, np.int32(times))
+            np.add.at(counts[k], spots(hashes[k][at : at + AT_A_TIME], lengths, groups, numbers, bits, 1), added)
+
+
+def paired(steps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """parted() where a slot has a number for each bit."""
+    groups, numbers = parted(steps["node"])
+    numbers <<= np.uint32(1)
+    numbers |= steps["bit"].view(np.uint8)
+    return groups, numbers
 
 
 def count_contexts(counts: np.ndarray, tree: Tree, symbols: Symbols, texts: list[str], times: int = 1) -> None:
@@ -356,15 +417,19 @@ def add_cells(cells: np.ndarray, tree: Tree, levels: np.ndarray, x: np.ndarray,
     """Add how often which levels meet which bit in some texts' symbols, each bit guessed without itself."""
     bits = (levels.shape[1] // 2).bit_length() - 1
     hashes = context_hashes(x, firsts(sizes), len(tree.words))
-    code = ((tree.steps["depth"].astype(np.int32) * STEPS + level_of(tree.steps["odds"].astype(np.float32))) * 2 + tree.steps["bit"]) * np.int32(STEPS**CONTEXTS)
-    for at in range(0, len(x), 100_000):
-        where, lengths = places(tree, x[at : at + 100_000])
-        steps = tree.steps.view(np.int64)[where].view(STEP)
-        nodes, ones, cell = np.ascontiguousarray(steps["node"]), steps["bit"].astype(np.uint32), code[where]
+    code = (tree.steps["depth"].astype(np.int32) * STEPS + level_of(tree.steps["odds"].astype(np.float32))) * 2 + tree.steps["bit"]
+    found = []
+    for at in range(0, len(x), AT_A_TIME):
+        where, lengths = places(tree, x[at : at + AT_A_TIME])
+        groups, numbers = paired(np.take(tree.steps.view(np.int64), where, mode="clip").view(STEP))
+        cell = np.take(code, where, mode="clip")
         for k in range(CONTEXTS):
-            found = levels[k][slots(hashes[k][at : at + 100_000], lengths, nodes, bits) * np.uint32(2) + ones]
-            cell += found * np.int32(STEPS ** (CONTEXTS - 1 - k))
-        cells += np.bincount(cell, minlength=len(cells))
+            cell *= np.int32(STEPS)
+            cell += np.take(levels[k], spots(hashes[k][at : at + AT_A_TIME], lengths, groups, numbers, bits, 1), mode="clip")
+        found.append(cell)
+        if len(found) == 8 or at + AT_A_TIME >= len(x):
+            cells += np.bincount(np.concatenate(found), minlength=len(cells))
+            found.clear()
 
 
 def odds_of(counts: np.ndarray) -> np.ndarray:
@@ -374,22 +439,32 @@ def odds_of(counts: np.ndarray) -> np.ndarray:
 
 
 def coded(rows: DataFrame, tree: Tree) -> DataFrame:
-    """The texts' symbols, as bytes of ints, with the other columns."""
+    """The texts' symbols, as bytes of ints, their bytes and their words that are no symbols, with the other columns."""
     shared = rows.sparkSession.sparkContext.broadcast(tree)
-    others = [f for f in rows.schema.fields if f.name != "text"]
+    kept = [f for f in rows.schema.fields if f.name != "text"]
 
     def make() -> Callable:
         symbols = Symbols(shared.value)
 
         def each(batch: pa.RecordBatch) -> dict:
-            x, sizes = symbols.of(batch.column(0).to_pylist())
-            parts = np.split(x.astype(np.int32), np.cumsum(sizes)[:-1])
-            return {"symbols": pa.array([p.tobytes() for p in parts], pa.binary())} | {f.name: batch.column(i + 1) for i, f in enumerate(others)}
+            texts = batch.column(0).to_pylist()
+            parts = [symbols.each(t) for t in texts]
+            flat = [x for _, rare in parts for x in rare.items()]
+            edges = pa.array(np.cumsum([0, *(len(rare) for _, rare in parts)]).astype(np.int32))
+            found = pa.StructArray.from_arrays([pa.array([w for w, _ in flat], pa.binary()), pa.array([n for _, n in flat], pa.int32())], ["word", "n"])
+            own = {"symbols": pa.array([x.astype(np.int32).tobytes() for x, _ in parts], pa.binary()), "n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64()), "others": pa.ListArray.from_arrays(edges, found)}
+            return own | {f.name: batch.column(i + 1) for i, f in enumerate(kept)}
 
         return each
 
-    schema = ", ".join(["symbols binary", *(f"{f.name} {f.dataType.simpleString()}" for f in others)])
-    return map_arrow(rows.select("text", *(f.name for f in others)), make, schema)
+    schema = ", ".join(["symbols binary, n_bytes long, others array<struct<word:binary,n:int>>", *(f"{f.name} {f.dataType.simpleString()}" for f in kept)])
+    return map_arrow(rows.select("text", *(f.name for f in kept)), make, schema)
+
+
+def laid_out(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of texts, from their bytes: all, one after the other, and tokens of each text."""
+    parts = column.to_pylist()
+    return np.frombuffer(b"".join(parts), np.int32).astype(np.int64), np.array([len(p) // 4 for p in parts], np.int64)
 
 
 def _summed(rows: DataFrame, tokens: int, shape: tuple[int, int], kind: type, task: Callable[[], tuple[np.ndarray, Callable]]) -> np.ndarray:
@@ -404,8 +479,7 @@ def _summed(rows: DataFrame, tokens: int, shape: tuple[int, int], kind: type, ta
         counts, add = task()
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
-                parts = batch.column(0)[i : i + 512].to_pylist()
-                add(np.frombuffer(b"".join(parts), np.int32).astype(np.int64), np.array([len(p) // 4 for p in parts], np.int64))
+                add(*laid_out(batch.column(0)[i : i + 512]))
         if counts.any():
             part = TaskContext.get().partitionId()
             for r in range(RANGES):
@@ -472,32 +546,51 @@ def least_count(counts: DataFrame, words: int) -> int:
     return least
 
 
+@dataclass
+class Vocabulary:
+    """Training tokens and distinct ones, training texts, the tree and its words' counts."""
+
+    tokens: int
+    distinct: int
+    texts: int
+    tree: Tree
+    counts: np.ndarray
+
+    @staticmethod
+    def of(counts: DataFrame) -> Vocabulary:
+        tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+        top = counts.where((F.col("n") >= least_count(counts, VOCABULARY - 1)) & (F.length("word") <= WORD_BYTES)).toArrow()
+        words, numbers = top["word"].to_pylist(), top["n"].to_pylist()
+        order = sorted(range(len(words)), key=lambda i: (-numbers[i], words[i]))
+        words, numbers = [words[i] for i in order], [numbers[i] for i in order]
+        ends = (counts.where(F.length("word") == 0).first() or {"n": 0})["n"]  # as many as texts
+        if ends and END not in words:
+            words.append(END)
+            numbers.append(ends)
+        return Vocabulary(tokens, distinct, ends, Tree.of(words, numbers, tokens - sum(numbers)), np.array(numbers, np.int64))
+
+    def sampled(self) -> Column:
+        """Whether the start of the weights is fitted on a training text: by the whole row, so that about so many distinct rows
+        are collected, however often each is there."""
+        return (F.length("text") <= SAMPLE_CHARS) & by_hash(F.xxhash64("doc_id", "text"), SAMPLE_ROWS, self.texts)
+
+
 def train(rows: DataFrame, counts: DataFrame) -> Model:
     """From the training rows (doc_id, text) and the counts of their tokens: tables and weights learn from all of them."""
-    tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.where((F.col("n") >= least_count(counts, VOCABULARY - 1)) & (F.length("word") <= WORD_BYTES)).toArrow()
-    words, numbers = top["word"].to_pylist(), top["n"].to_pylist()
-    order = sorted(range(len(words)), key=lambda i: (-numbers[i], words[i]))
-    words, numbers = [words[i] for i in order], [numbers[i] for i in order]
-    ends = (counts.where(F.length("word") == 0).first() or {"n": 0})["n"]  # as many as texts
-    if ends and END not in words:
-        words.append(END)
-        numbers.append(ends)
-    tree = Tree.of(words, numbers, tokens - sum(numbers))
-    held = F.length("text") <= SAMPLE_CHARS
-    # by the whole row, so that about so many distinct rows are collected, however often each is there
-    sampled = held & by_hash(F.xxhash64("doc_id", "text"), SAMPLE_ROWS, ends)
-    bits = bits_for(tokens)
-    known = materialize(coded(rows.select("text", sampled.alias("sampled")), tree))
-    counts = context_counts(known.where("not sampled"), tree, bits, tokens)
-    model = Model(tree, np.array(numbers, np.int64), tokens, distinct, odds_of(counts), equal_weights())
-    fitted = rows.where(sampled).groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n")).orderBy("doc_id", "text").collect()
-    if fitted and words:
+    vocabulary = Vocabulary.of(counts)
+    return learned(rows, materialize(coded(rows.select("text", vocabulary.sampled().alias("sampled")), vocabulary.tree)), vocabulary)
+
+
+def learned(rows: DataFrame, known: DataFrame, vocabulary: Vocabulary) -> Model:
+    """train(), from the training rows, (symbols, sampled) of them, and the vocabulary."""
+    tree, tokens = vocabulary.tree, vocabulary.tokens
+    counts = context_counts(known.where("not sampled"), tree, bits_for(tokens), tokens)
+    model = Model(tree, vocabulary.counts, tokens, vocabulary.distinct, odds_of(counts), equal_weights())
+    fitted = rows.where(vocabulary.sampled()).groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n")).orderBy("doc_id", "text").collect()
+    if fitted and tree.words:
         symbols = Symbols(tree)
         x, sizes = symbols.of([r["text"] for r in fitted])
-        first = np.zeros(len(x), bool)
-        first[np.cumsum(sizes) - sizes] = True
-        model.fit(x, context_hashes(x, first, len(words)))
+        model.fit(x, context_hashes(x, firsts(sizes), len(tree.words)))
         for r in fitted:  # now that the weights' start is fitted on them, they are learned from, too; counts end where an int does
             room = ((1 << 31) - 1 - int(counts.max())) // max(1, len(events(tree, symbols.of([r["text"]])[0])[0]))
             count_contexts(counts, tree, symbols, [r["text"]], max(1, min(r["n"], room)))
@@ -508,37 +601,33 @@ def train(rows: DataFrame, counts: DataFrame) -> Model:
 
 def scores(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte); ``learns``, over doc_id, tells the
-    training rows."""
+    training rows. Texts are coded to symbols once; tables, weights and scores are had from these."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    keyed = rows.withColumn("row", F.xxhash64("doc_id", "text"))
     training = rows.where(learns)
     counts = materialize(count_tokens(training))
-    model = train(training, counts)
+    vocabulary = Vocabulary.of(counts)
+    keyed = rows.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"), F.coalesce(learns, F.lit(False)).alias("learns"), vocabulary.sampled().alias("sampled"))
+    known = materialize(coded(keyed, vocabulary.tree))
+    model = learned(training, known.where("learns"), vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def judge() -> Callable:
         model = shared.value
-        symbols = Symbols(model.tree)
-        place = symbols.place
 
         def each(batch: pa.RecordBatch) -> dict:
-            texts = batch.column(1).to_pylist()
-            sizes, known, rare, base, own = model.log_odds(texts, symbols)
-            others = [list(Counter(w for w in words_of(t) if w not in place).items()) if n else [] for t, n in zip(texts, rare, strict=True)]
-            flat = [x for found in others for x in found]
-            edges = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in others])]).astype(np.int32))
-            found = pa.StructArray.from_arrays([pa.array([w for w, _ in flat], pa.binary()), pa.array([c for _, c in flat], pa.int32())], ["word", "n"])
-            return {"doc_id": batch.column(0), "row": batch.column(2), "n_tokens": pa.array(sizes), "known": pa.array(known.astype(np.int64)), "rare": pa.array(rare.astype(np.int64)), "base": pa.array(base), "own": pa.array(own), "n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64()), "others": pa.ListArray.from_arrays(edges, found)}
+            sizes, frequent, rare, base, own = model.log_odds_of(*laid_out(batch.column(0)))
+            found = {"n_tokens": pa.array(sizes), "known": pa.array(frequent.astype(np.int64)), "rare": pa.array(rare.astype(np.int64)), "base": pa.array(base), "own": pa.array(own)}
+            return found | {name: batch.column(i + 1) for i, name in enumerate(("doc_id", "row", "n_bytes"))}
 
         return each
 
     n, v = model.tokens, model.distinct
     rest_n, rest_v = n - int(model.counts.sum()), v - len(model.counts)
-    judged = materialize(map_arrow(keyed, judge, "doc_id long, row long, n_tokens long, known long, rare long, base double, own double, n_bytes long, others array<struct<word:binary,n:int>>", rows=2048))
-    rare = judged.select("row", F.inline("others"))
+    judged = materialize(map_arrow(known.select("symbols", "doc_id", "row", "n_bytes"), judge, "n_tokens long, known long, rare long, base double, own double, doc_id long, row long, n_bytes long", rows=2048))
+    rare = known.select("row", F.inline("others"))
     weighed = rare.join(counts.withColumnRenamed("n", "c"), "word", "left").select("row", "n", F.coalesce("c", F.lit(0)).alias("c"))
     by_row = weighed.groupBy("row").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("found"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("logs"))
-    joined = judged.drop("others").join(by_row, "row", "left")
+    joined = judged.join(by_row, "row", "left")
     once = F.coalesce(F.col("rare") / F.col("all"), F.lit(0.0))  # a repeated row's words were counted with each repeat
     logs, found = F.coalesce("logs", F.lit(0.0)) * once, F.coalesce("found", F.lit(0)) * once
     out = joined.select(

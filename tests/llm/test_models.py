@@ -159,6 +159,37 @@ def test_mixing_fits_its_weights_on_every_training_row(spark, monkeypatch):
     assert (wanted <= seen[0]).all() and wanted.sum() > 100
 
 
+def test_mixing_nodes_of_a_group_lie_side_by_side():
+    """Four steps of a path in a range of 16 slots; each node of the tree with a number and, for a context, a slot of its own in
+    its group's range."""
+    r = np.random.default_rng(3)
+    tree = mixing.Tree.of([b"%d" % i for i in range(3000)], sorted((int(n) for n in r.integers(1, 10**6, 3000)), reverse=True), 7)
+    nodes = {}
+    for i in range(len(tree.length)):
+        path = tree.steps[tree.start[i] : tree.start[i] + tree.length[i]]
+        for d, step in enumerate(path):
+            assert nodes.setdefault(tuple(path["bit"][:d]), int(step["node"])) == step["node"]
+    assert len(nodes) == len(set(nodes.values())) == 3000
+    steps, lengths = mixing.events(tree, np.arange(3001))
+    for context in r.integers(0, 1 << 32, 20, dtype=np.uint32):
+        found = mixing.slots(np.full(3001, context), lengths, np.ascontiguousarray(steps["node"]), 18)
+        level = np.arange(len(found)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        first = found[np.arange(len(found)) - level % 4]
+        assert (found >> 4 == first >> 4).all()
+        assert len({(int(n) >> 4, int(f) & 15) for n, f in zip(steps["node"], found)}) == 3000
+
+
+def test_mixing_codes_each_text_once(spark, monkeypatch):
+    """Texts are read to be counted and to be coded; tables, weights and scores come from the symbols of all rows."""
+    read = []
+    monkeypatch.setattr(mixing, "VOCABULARY", 5)
+    monkeypatch.setattr(mixing, "map_arrow", lambda df, *a, each=mixing.map_arrow, **k: read.append(df.columns) or each(df, *a, **k))
+    docs = odd_docs(spark)
+    got = mixing.held_out_scores(docs).collect()
+    assert len(read) == 3 and sum("text" in c for c in read) == 2
+    check_base(docs, got)
+
+
 def auc(good, bad):
     good, bad = np.array(good), np.array(bad)
     return float(np.mean(good[:, None] > bad[None, :]) + 0.5 * np.mean(good[:, None] == bad[None, :]))
