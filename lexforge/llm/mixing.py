@@ -282,6 +282,8 @@ class Model:
     def token_logs(self, x: np.ndarray, sizes: np.ndarray, escape: int, rate: float = RATE) -> np.ndarray:
         """The natural logarithm of each token's probability, given those before it in its text; symbols of all texts, one
         after the other, and tokens of each."""
+        if not len(self.tree.steps):  # nothing was learned from: all are the escape
+            return np.zeros(len(x))
         ends = np.cumsum(sizes)
         first = np.zeros(len(x), bool)
         first[ends - sizes] = True

@@ -190,6 +190,15 @@ def test_mixing_codes_each_text_once(spark, monkeypatch):
     check_base(docs, got)
 
 
+def test_mixing_of_one_empty_text(spark):
+    """The least trees: an end and the escape; nothing but the escape."""
+    for ids in ([0], [next(i for i in range(99) if not training(i))]):
+        docs = spark.createDataFrame([(i, "") for i in ids], "doc_id long, text string")
+        got = mixing.held_out_scores(docs).collect()
+        check_base(docs, got)
+        assert all(math.isfinite(r["score"]) for r in got)
+
+
 def auc(good, bad):
     good, bad = np.array(good), np.array(bad)
     return float(np.mean(good[:, None] > bad[None, :]) + 0.5 * np.mean(good[:, None] == bad[None, :]))
