@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexforge.operators.graph import FEW_EDGES, connected_components
+from lexforge.operators.retrieval import few
 from lexforge.plans.tables import materialize
 
 TOKEN = "[\\p{L}\\p{N}_]+"
@@ -178,17 +181,101 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
-def jaccard_candidates(rows: DataFrame, threshold: float, scope: Sequence[str] = ()) -> DataFrame:
-    """(a, b) pairs of ``ord`` whose distinct ``tokens`` may reach the threshold, within the scope columns. Prefix filter: with
-    tokens in one order (rarest first), similar sets share a token among the first n - ceil(threshold * n) + 1."""
-    exploded = rows.select(*scope, "ord", F.explode(F.array_distinct("tokens")).alias("t"))
-    common = exploded.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    ordered = exploded.join(common, "t").groupBy(*scope, "ord").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("ts"))
-    n = F.size("ts")
-    prefix = ordered.select(*scope, "ord", n.alias("n"), F.explode(F.slice("ts", F.lit(1), (n - F.ceil(n * F.lit(threshold) - 1e-9) + 1).cast("int"))).alias("x")).select(*scope, "ord", "n", "x.t")
-    left, right = prefix.withColumnsRenamed({"ord": "a", "n": "na"}), prefix.withColumnsRenamed({"ord": "b", "n": "nb"})
-    keys = [*scope, "t"]
-    return left.join(right, keys).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * F.lit(threshold) - 1e-9)).select("a", "b").distinct()
+#: Counters of the tokens' frequencies, longs of a set's parities, and rows of copies that are broadcast.
+COUNTERS, PARITIES, COPIES = 1 << 22, 4, 500_000
+#: Pairs of a row that are one part, and pairs of a cell or so, in which pairs are verified.
+CELL_PAIRS, CELL_SETS = 20_000, 2_000
+
+
+def _tokens_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch (ord, s): the sets' sizes, the number of its row for each token, and the tokens."""
+    column = batch.column(1)
+    sizes = np.diff(column.offsets.to_numpy())
+    return sizes, np.repeat(np.arange(len(sizes)), sizes), column.flatten().to_numpy()
+
+
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """Of (ord, s), sets of 64-bit tokens: rows that hold a token of a counter, for COUNTERS counters. A task counts in one array."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            np.add.at(found, _tokens_of(batch)[2] & (COUNTERS - 1), 1)
+        at = np.flatnonzero(found)
+        for i in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000].astype(np.int32)), pa.array(found[at[i : i + 100_000]])], names=["at", "n"])
+
+    table = sets.mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    every = np.zeros(COUNTERS, np.int32)
+    every[table.column("at").to_numpy()] = np.minimum(table.column("n").to_numpy(), np.iinfo(np.int32).max)
+    return every
+
+
+def jaccard_candidates(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) pairs of ``ord``, a < b, of those of (ord, s) that may reach the threshold; ``s`` are distinct 64-bit tokens.
+
+    Prefix filter: with tokens in one order (rarest first, as far as COUNTERS counters tell), the smaller of two similar sets has a
+    token of its first n - ceil(2 t / (1 + t) n) + 1 among the first n - ceil(t n) + 1 of the larger one. Tokens that no other
+    set has stay at home. Places in the order bound the overlap, and so do parities of the tokens' counts in buckets, which differ
+    in as many places at most as the sets have tokens apart. A task orders the tokens that it reads: no token is shuffled but
+    those of prefixes."""
+    held = sets.sparkSession.sparkContext.broadcast(frequencies(sets))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = held.value
+        for batch in batches:
+            sizes, row, s = _tokens_of(batch)
+            n = count[s & (COUNTERS - 1)]
+            order = np.lexsort((s, n, row))
+            place = np.arange(len(s)) - np.repeat(np.cumsum(sizes) - sizes, sizes)  # row is sorted already
+            size = sizes[row]
+            probe = size - np.ceil(size * threshold - 1e-9).astype(np.int64) + 1
+            index = size - np.ceil(size * (2 * threshold / (1 + threshold)) - 1e-9).astype(np.int64) + 1
+            take = np.flatnonzero((place < probe) & (n[order] > 1))
+            odd = np.bincount(row * (64 * PARITIES) + ((s >> 24) & (64 * PARITIES - 1)), minlength=len(sizes) * 64 * PARITIES) & 1
+            words = np.packbits(odd.astype(np.uint8).reshape(len(sizes), -1), axis=1).view(np.int64).reshape(len(sizes), PARITIES)
+            ords = batch.column(0).take(pa.array(row[take]))
+            columns = [pa.array(s[order[take]]), ords, pa.array(size[take].astype(np.int32)), pa.array(place[take].astype(np.int32)), pa.array((place < index)[take]), *(pa.array(words[row[take], i]) for i in range(PARITIES))]
+            yield pa.RecordBatch.from_arrays(columns, names=["t", "ord", "n", "at", "index", *odds])
+
+    odds = [f"p{i}" for i in range(PARITIES)]
+    prefix = sets.mapInArrow(prefixes, "t long, ord long, n int, at int, index boolean, " + ", ".join(f"{x} long" for x in odds))
+    side = lambda rows, x: rows.select("t", F.col("ord").alias(x), F.col("n").alias(f"n{x}"), F.col("at").alias(f"at_{x}"), *(F.col(o).alias(f"{o}{x}") for o in odds))
+    larger = (F.col("na") > F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") > F.col("b")))
+    most = F.least("at_a", "at_b") + 1 + F.least(F.col("na") - F.col("at_a") - 1, F.col("nb") - F.col("at_b") - 1)
+    needed = (F.col("na") + F.col("nb")) * F.lit(threshold / (1 + threshold)) - 1e-6
+    apart = sum(F.bit_count(F.col(f"{o}a").bitwiseXOR(F.col(f"{o}b"))) for o in odds)
+    may = larger & (F.col("nb") >= F.col("na") * F.lit(threshold) - 1e-9) & (most >= needed) & ((F.col("na") + F.col("nb") - apart) / 2 >= needed)
+    met = side(prefix, "a").join(side(prefix.where("index"), "b"), "t").where(may)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Those of a written table (a, b), a < b, whose sets of (ord, s) reach the threshold. What is alike meets in few cells: a pair's
+    cell is that of the smallest row that its first one is paired with, so a set is sent to few of them, not once for each pair."""
+    lower = pairs.groupBy(F.col("b").alias("ord")).agg(F.min("a").alias("low"))
+    rooted = pairs.join(lower, F.col("a") == F.col("ord"), "left").select("a", "b", F.coalesce("low", "a").alias("root"))
+    split = rooted.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / CELL_PAIRS).alias("parts"))
+    cells = max(1, -(-pairs.count() // CELL_SETS))
+    cell = F.pmod(F.xxhash64("root", F.pmod(F.xxhash64("a"), F.col("parts"))), F.lit(cells)).cast("int")
+    placed = materialize(rooted.join(split, "root").select(cell.alias("cell"), "a", "b"))
+    ends = materialize(placed.select("cell", F.explode(F.array("a", "b")).alias("ord")).distinct())
+    members = sets.join(few(ends, COPIES), "ord").select("cell", "ord", "s")
+
+    def check(these: pa.Table, those: pa.Table) -> pa.Table:
+        s = those.column("s").combine_chunks()
+        offsets, values = s.offsets.to_numpy(), s.flatten().to_numpy()
+        offsets = offsets - (offsets[0] if len(offsets) else 0)
+        at = {o: i for i, o in enumerate(those.column("ord").to_pylist())}
+        kept = []
+        for r, (a, b) in enumerate(zip(these.column("a").to_pylist(), these.column("b").to_pylist(), strict=True)):
+            x, y = (values[offsets[at[o]] : offsets[at[o] + 1]] for o in (a, b))
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            if common / (len(x) + len(y) - common) >= threshold:
+                kept.append(r)
+        return these.select(["a", "b"]).take(pa.array(kept, pa.int64()))
+
+    return placed.groupBy("cell").cogroup(members.groupBy("cell")).applyInArrow(check, "a long, b long")
 
 
 def _greedy(pairs: pd.DataFrame) -> list[int]:
@@ -244,20 +331,33 @@ def leaders(rows: DataFrame, threshold: float, scope: Sequence[str] = ()) -> Dat
     """(ord, keep): greedy clustering in the order of ``ord``: a row stays unless it is similar to one that stayed before it.
     Rows without tokens stay.
 
-    Equal token sets of a scope are one from the beginning, as all but the first of them go. Similar pairs of distinct sets
-    come from a prefix-filtered join and are verified; ``settled`` decides over these pairs."""
-    tokens = F.array_sort(F.array_distinct("tokens"))
-    rows = materialize(rows.select(*scope, "ord", tokens.alias("tokens")))
-    full = rows.where(F.size("tokens") > 0)
-    firsts = materialize(full.groupBy(*scope, "tokens").agg(F.min("ord").alias("ord")))
-    sets = firsts.select("ord", F.col("tokens").alias("s"))
-    pairs = jaccard_candidates(firsts, threshold, scope)
-    verified = pairs.join(sets.select(F.col("ord").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("ord").alias("b"), F.col("s").alias("sb")), "b")
-    live = materialize(verified.where(jaccard(F.col("sa"), F.col("sb")) >= threshold).select("a", "b"))
-    gone = settled(live)
-    stay = firsts.select("ord").join(gone, "ord", "left_anti") if gone else firsts.select("ord")
-    stay = stay.unionByName(rows.where(F.size("tokens") == 0).select("ord"))
-    return rows.select("ord").join(stay.withColumn("_keep", F.lit(True)), "ord", "left").select("ord", F.col("_keep").isNotNull().alias("keep"))
+    A token of a scope is named by 64 bits. Equal token sets of a scope are one from the beginning, as all but the first of them go;
+    they are known by 128 bits. Pairs of distinct sets that may be similar come from a prefix-filtered join. Of many, those of a set
+    without an earlier one, which stays, are verified first, and what goes for it takes its pairs along, so of a crowd of near copies
+    each is held against few. ``settled`` decides over what is left and verified."""
+    within = [x for name in scope for x in (F.col(name).isNull(), F.col(name))]
+    tokens = F.sort_array(F.array_distinct(F.transform(F.coalesce("tokens", F.array()), lambda t: F.xxhash64(*within, t))))
+    rows = materialize(rows.select(F.col("ord").cast("long").alias("ord"), tokens.alias("s")))
+    full = rows.where(F.size("s") > 0)
+    named = full.select("ord", F.xxhash64("s").alias("x"), F.xxhash64(F.lit("second"), "s").alias("y"))
+    first = named.groupBy("x", "y").agg(F.min("ord").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    copies = materialize(named.join(first, ["x", "y"]).where("ord <> first").select("ord"))
+    sets = full.join(few(copies, COPIES), "ord", "left_anti")
+    pairs = materialize(jaccard_candidates(sets, threshold))
+    lost = [copies]
+    for _ in range(ROUNDS):
+        if pairs.count() <= FEW_EDGES:
+            break
+        waits = pairs.select(F.col("b").alias("ord")).distinct()
+        stays = materialize(pairs.select(F.col("a").alias("ord")).distinct().join(waits, "ord", "left_anti"))
+        met = materialize(pairs.join(stays, F.col("a") == F.col("ord"), "left_semi"))
+        drop = materialize(verified(full, met, threshold).select(F.col("b").alias("ord")).distinct())
+        lost.append(drop)
+        rest = pairs.join(stays.withColumnRenamed("ord", "a"), "a", "left_anti").join(drop.withColumnRenamed("ord", "b"), "b", "left_anti")
+        pairs = materialize(rest.join(drop.withColumnRenamed("ord", "a"), "a", "left_anti").select("a", "b"))
+    last = settled(materialize(verified(full, pairs, threshold)))
+    gone = reduce(DataFrame.unionAll, lost + ([last] if last else [])).distinct()
+    return rows.select("ord").join(gone.withColumn("_gone", F.lit(True)), "ord", "left").select("ord", F.col("_gone").isNull().alias("keep"))
 
 
 def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
