@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import zlib
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -181,8 +182,8 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
-#: Counters of the tokens' frequencies, longs of a set's parities, and rows of copies that are broadcast.
-COUNTERS, PARITIES, COPIES = 1 << 22, 4, 500_000
+#: Counters of the tokens' frequencies and of a row of them, longs of a set's parities in a prefix and in its outline, and rows of copies that are broadcast.
+COUNTERS, CHUNK, PARITIES, OUTLINE, COPIES = 1 << 22, 1 << 14, 4, 64, 500_000
 #: Pairs of a row that are one part, and pairs of a cell or so, in which pairs are verified.
 CELL_PAIRS, CELL_SETS = 20_000, 2_000
 
@@ -194,6 +195,12 @@ def _tokens_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return sizes, np.repeat(np.arange(len(sizes)), sizes), column.flatten().to_numpy()
 
 
+def _parities(sizes: np.ndarray, row: np.ndarray, s: np.ndarray, longs: int) -> np.ndarray:
+    """For each set ``longs`` longs: whether its tokens of each of so many times 64 buckets are odd in number."""
+    odd = np.bincount(row * (64 * longs) + ((s >> 24) & (64 * longs - 1)), minlength=len(sizes) * 64 * longs) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(sizes), -1), axis=1).view(np.int64).reshape(len(sizes), longs)
+
+
 def frequencies(sets: DataFrame) -> np.ndarray:
     """Of (ord, s), sets of 64-bit tokens: rows that hold a token of a counter, for COUNTERS counters. A task counts in one array."""
 
@@ -201,13 +208,19 @@ def frequencies(sets: DataFrame) -> np.ndarray:
         found = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             np.add.at(found, _tokens_of(batch)[2] & (COUNTERS - 1), 1)
-        at = np.flatnonzero(found)
-        for i in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000].astype(np.int32)), pa.array(found[at[i : i + 100_000]])], names=["at", "n"])
+        parts = [found[i : i + CHUNK] for i in range(0, COUNTERS, CHUNK)]
+        some = [i for i, part in enumerate(parts) if part.any()]
+        for i in range(0, len(some), 64):
+            packed = [zlib.compress(parts[x].tobytes(), 1) for x in some[i : i + 64]]
+            yield pa.RecordBatch.from_arrays([pa.array(some[i : i + 64], pa.int32()), pa.array(packed, pa.binary())], names=["part", "counts"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in group.column("counts").to_pylist())
+        return pa.table({"part": group.column("part")[:1], "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
-    table = sets.mapInArrow(count, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     every = np.zeros(COUNTERS, np.int32)
-    every[table.column("at").to_numpy()] = np.minimum(table.column("n").to_numpy(), np.iinfo(np.int32).max)
+    for row in sets.mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect():
+        every[row["part"] * CHUNK : (row["part"] + 1) * CHUNK] = np.minimum(np.frombuffer(zlib.decompress(row["counts"]), np.int64), np.iinfo(np.int32).max)
     return every
 
 
@@ -232,8 +245,7 @@ def jaccard_candidates(sets: DataFrame, threshold: float) -> DataFrame:
             probe = size - np.ceil(size * threshold - 1e-9).astype(np.int64) + 1
             index = size - np.ceil(size * (2 * threshold / (1 + threshold)) - 1e-9).astype(np.int64) + 1
             take = np.flatnonzero((place < probe) & (n[order] > 1))
-            odd = np.bincount(row * (64 * PARITIES) + ((s >> 24) & (64 * PARITIES - 1)), minlength=len(sizes) * 64 * PARITIES) & 1
-            words = np.packbits(odd.astype(np.uint8).reshape(len(sizes), -1), axis=1).view(np.int64).reshape(len(sizes), PARITIES)
+            words = _parities(sizes, row, s, PARITIES)
             ords = batch.column(0).take(pa.array(row[take]))
             columns = [pa.array(s[order[take]]), ords, pa.array(size[take].astype(np.int32)), pa.array(place[take].astype(np.int32)), pa.array((place < index)[take]), *(pa.array(words[row[take], i]) for i in range(PARITIES))]
             yield pa.RecordBatch.from_arrays(columns, names=["t", "ord", "n", "at", "index", *odds])
@@ -250,9 +262,9 @@ def jaccard_candidates(sets: DataFrame, threshold: float) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """Those of a written table (a, b), a < b, whose sets of (ord, s) reach the threshold. What is alike meets in few cells: a pair's
-    cell is that of the smallest row that its first one is paired with, so a set is sent to few of them, not once for each pair."""
+def in_cells(sets: DataFrame, pairs: DataFrame, like: Callable[[np.ndarray, np.ndarray], bool]) -> DataFrame:
+    """Those of a written table (a, b), a < b, whose arrays ``s`` of (ord, s) are ``like``. What is alike meets in few cells: a pair's
+    cell is that of the smallest row that its first one is paired with, so an array is sent to few of them, not once for each pair."""
     lower = pairs.groupBy(F.col("b").alias("ord")).agg(F.min("a").alias("low"))
     rooted = pairs.join(lower, F.col("a") == F.col("ord"), "left").select("a", "b", F.coalesce("low", "a").alias("root"))
     split = rooted.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / CELL_PAIRS).alias("parts"))
@@ -267,17 +279,42 @@ def verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
         offsets, values = s.offsets.to_numpy(), s.flatten().to_numpy()
         offsets = offsets - (offsets[0] if len(offsets) else 0)
         at = {o: i for i, o in enumerate(those.column("ord").to_pylist())}
-        kept = []
-        for r, (a, b) in enumerate(zip(these.column("a").to_pylist(), these.column("b").to_pylist(), strict=True)):
-            x, y = (values[offsets[at[o]] : offsets[at[o] + 1]] for o in (a, b))
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            if common / (len(x) + len(y) - common) >= threshold:
-                kept.append(r)
+        of = lambda o: values[offsets[at[o]] : offsets[at[o] + 1]]
+        kept = [r for r, (a, b) in enumerate(zip(these.column("a").to_pylist(), these.column("b").to_pylist(), strict=True)) if like(of(a), of(b))]
         return these.select(["a", "b"]).take(pa.array(kept, pa.int64()))
 
     return placed.groupBy("cell").cogroup(members.groupBy("cell")).applyInArrow(check, "a long, b long")
 
 
+def outlined(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Those of a written table (a, b) that may reach the threshold by an outline of each set: its size and parities of OUTLINE longs,
+    which tell long sets apart that a prefix's parities do not."""
+
+    def outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                sizes, row, s = _tokens_of(batch)
+                lines = np.concatenate([sizes[:, None].astype(np.int64), _parities(sizes, row, s, OUTLINE)], axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(len(sizes) + 1, dtype=np.int32) * (OUTLINE + 1), lines.reshape(-1))], names=["ord", "s"])
+
+    def like(x: np.ndarray, y: np.ndarray) -> bool:
+        both, apart = int(x[0] + y[0]), int(np.bitwise_count((x[1:] ^ y[1:]).view(np.uint64)).sum())
+        return (both - apart) / 2 >= both * threshold / (1 + threshold) - 1e-6
+
+    return in_cells(sets.mapInArrow(outline, "ord long, s array<long>"), pairs, like)
+
+
+def verified(sets: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """Those of a written table (a, b) whose sets reach the threshold."""
+
+    def like(x: np.ndarray, y: np.ndarray) -> bool:
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return common / (len(x) + len(y) - common) >= threshold
+
+    return in_cells(sets, pairs, like)
+
+
 def _greedy(pairs: pd.DataFrame) -> list[int]:
     """What goes of (a, b), a < b, if each node in turn stays unless an earlier neighbour of it stayed."""
     gone: set[int] = set()
@@ -344,6 +381,7 @@ def leaders(rows: DataFrame, threshold: float, scope: Sequence[str] = ()) -> Dat
     copies = materialize(named.join(first, ["x", "y"]).where("ord <> first").select("ord"))
     sets = full.join(few(copies, COPIES), "ord", "left_anti")
     pairs = materialize(jaccard_candidates(sets, threshold))
+    pairs = materialize(outlined(full, pairs, threshold))
     lost = [copies]
     for _ in range(ROUNDS):
         if pairs.count() <= FEW_EDGES:
