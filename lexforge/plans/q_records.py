@@ -457,8 +457,8 @@ def p06(spark, sf):
     """The map's export as rows: each document with its cluster and how near its neighbour is, clusters with their sizes, and the
     threshold of near-duplicates."""
     vectors = load(spark, sf, "embeddings").select(c("vec_id").alias("id"), c("label").cast("string").alias("label"))
-    near = materialize(neighbours(spark, sf))
+    near = neighbours(spark, sf)
     documents = near.join(vectors, "id").select(F.lit("document").alias("kind"), c("id").cast("string").alias("name"), "label", F.round("similarity", 6).alias("value"))
     clusters = vectors.groupBy("label").agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit("cluster").alias("kind"), c("label").alias("name"), "label", "value")
-    cut = near.agg(F.round(F.percentile("similarity", F.lit(0.95)), 6).alias("value")).select(F.lit("threshold").alias("kind"), F.lit("near duplicate").alias("name"), F.lit("").alias("label"), "value")
+    cut = spark.range(1).select(F.lit("threshold").alias("kind"), F.lit("near duplicate").alias("name"), F.lit("").alias("label"), F.round(F.lit(P.at_quantile(near, "similarity", 0.95)).cast("double"), 6).alias("value"))
     return documents.unionByName(clusters).unionByName(cut)
