@@ -97,10 +97,16 @@ def domain_share(text: Column, terms: Sequence[str] = DOMAIN_WORDS) -> Column:
 def statistical(text: Column, language: Column, terms: Sequence[str] = DOMAIN_WORDS, languages: Sequence[str] = ("en",), min_chars: int = MIN_CHARS) -> Column:
     """The first gate that fails, null if none does. A null text has no characters."""
     t = F.coalesce(text, F.lit(""))
+    return judged(t, language, diversity(t), boilerplate(t), terms, languages, min_chars)
+
+
+def judged(text: Column, language: Column, diverse: Column, furniture: Column, terms: Sequence[str] = DOMAIN_WORDS, languages: Sequence[str] = ("en",), min_chars: int = MIN_CHARS) -> Column:
+    """The same of a text whose diversity and boilerplate are known."""
+    t = F.coalesce(text, F.lit(""))
     return F.coalesce(
         F.when(too_short(t, min_chars), F.lit("length")),
-        F.when(F.coalesce(diversity(t), F.lit(0.0)) < MIN_DIVERSITY, F.lit("token_diversity")),
-        F.when(F.coalesce(boilerplate(t), F.lit(1.0)) > MAX_BOILERPLATE, F.lit("boilerplate")),
+        F.when(F.coalesce(diverse, F.lit(0.0)) < MIN_DIVERSITY, F.lit("token_diversity")),
+        F.when(F.coalesce(furniture, F.lit(1.0)) > MAX_BOILERPLATE, F.lit("boilerplate")),
         F.when(~language.isin(*languages), F.lit("language")),
         F.when(domain_share(t, terms) < MIN_DOMAIN, F.lit("domain_relevance")),
     )

@@ -11,9 +11,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexforge.operators.graph import FEW_EDGES, connected_components
-from lexforge.operators.retrieval import few
+from lexforge.operators.retrieval import few, in_passes
 from lexforge.plans.tables import materialize
 
 TOKEN = "[\\p{L}\\p{N}_]+"
@@ -26,18 +27,20 @@ def tokens(text: Column) -> Column:
 def md5_simhash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, fp): 64-bit SimHash over tokens with their multiplicity and the low half of their md5; a bit is set if its sum is
     over 0; 0 without tokens. A document's tokens are exploded and summed up in the same task, so the shuffle moves a row of
-    64 sums for each document, not its tokens; no Python runs."""
+    32 sums for each document, of two bits each, not its tokens; no Python runs."""
     exploded = docs.select(F.col(id_col).alias("id"), F.explode(tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("w"))
-    digest = exploded.select("id", F.md5(F.col("w").cast("binary")).alias("d"))
-    halves = digest.select("id", F.conv(F.substring("d", 17, 8), 16, 10).cast("long").alias("hi"), F.conv(F.substring("d", 25, 8), 16, 10).cast("long").alias("lo"))
-    sums = [F.sum(F.when(F.expr(f"({'hi' if b >= 32 else 'lo'} & {1 << (b % 32)}L) != 0"), F.lit(1)).otherwise(F.lit(-1))).alias(f"b{b}") for b in range(64)]
-    bits = halves.groupBy("id").agg(*sums)
-    fp = F.expr(" | ".join(f"if(b{b} > 0, {f'{1 << b}L' if b < 63 else '-9223372036854775808L'}, 0L)".replace("-9223372036854775808L", "shiftleft(1L, 63)") for b in range(64)))
+    low = exploded.select("id", F.conv(F.substring(F.md5(F.col("w").cast("binary")), 17, 16), 16, -10).cast("long").alias("h"))
+    ones = [F.sum(F.expr(f"shiftrightunsigned(h, {b}) & {1 << 32 | 1}L")).alias(f"b{b}") for b in range(32)]  # of bits b and b + 32
+    bits = low.groupBy("id").agg(F.count(F.lit(1)).alias("n"), *ones)
+    halves = [" | ".join(f"if(2 * ({part.format(b=b)}) > n, {1 << b}L, 0L)" for b in range(32)) for part in ("b{b} & 4294967295L", "shiftrightunsigned(b{b}, 32)")]
+    fp = F.expr(f"({halves[0]}) | shiftleft({halves[1]}, 32)")
     return docs.select(F.col(id_col).alias("id")).join(bits.select("id", fp.alias("fp")), "id", "left").select("id", F.coalesce("fp", F.lit(0)).cast("long").alias("fp"))
 
 
 #: Prints that may share a segment's value before the rest of their bits has to tell them apart, and bits that can.
 CROWDED, LEAST_BITS = 256, 12
+#: Prints that every worker holds at once, and pairs that are compared without looking up segments.
+PASS_PRINTS, DIRECT_PAIRS = 1 << 20, 1 << 16
 
 
 def _packed(places: Sequence[int]) -> str:
@@ -72,37 +75,82 @@ def segment_keys(cut: Sequence[Sequence[int]], first: int, near: bool, above: st
     return F.expr(f"concat({', '.join(made)})")
 
 
-def candidate_pairs(prints: DataFrame, distance: int) -> DataFrame:
-    """(fp, fp2) of distinct prints: all that are within the distance, and others that share a segment's value within a bit.
-
-    Where more than CROWDED prints have one value of a segment, these are not joined there: the bits outside of the segment are
-    cut again, and what is near shares a value of such a part, too. A group goes on to a next level until no more share a value,
-    or too few bits are left to tell them apart; equal prints are one before."""
-    table = probes = prints.select("fp", F.lit(0).alias("path"), F.lit(0).cast("long").alias("key"))
-    rest: dict[int, list[int]] = {0: list(range(64))}
-    found, named = [], 1
-    while rest:
-        own, near, after = [], [], {}
-        for path, places in rest.items():
-            cut = segments(places, distance)
-            own.append(table.where(F.col("path") == path).select("fp", F.inline(segment_keys(cut, named, False, "key"))))
-            near.append(probes.where(F.col("path") == path).select("fp", F.inline(segment_keys(cut, named, True, "key"))))
-            for i, part in enumerate(cut):
-                after[named + i] = [x for x in places if x not in part]
-            named += len(cut)
-        table, probes = reduce(DataFrame.unionAll, own), reduce(DataFrame.unionAll, near)
-        going_on = [path for path, places in after.items() if len(places) >= LEAST_BITS]
-        crowd = materialize(table.where(F.col("path").isin(going_on)).groupBy("path", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED).select("path", "key"))
-        paths = [r["path"] for r in crowd.select("path").distinct().collect()]  # as many as there are segments
-        keys = ["path", "key"]
-        if paths:
-            few_probes, few_table = (x.join(crowd, keys, "left_anti") for x in (probes, table))
-            table, probes = (materialize(x.join(crowd, keys, "left_semi")) for x in (table, probes))
+def _bits(prints: np.ndarray, places: Sequence[int]) -> np.ndarray:
+    """These bits of the prints, one after the other."""
+    found = np.zeros(len(prints), np.uint64)
+    for shift, at in enumerate(places):
+        found |= (prints >> np.uint64(at) & np.uint64(1)) << np.uint64(shift)
+    return found
+
+
+def near_prints(asking: np.ndarray, prints: np.ndarray, distance: int, places: Sequence[int], crowded: int, least: int, direct: int, index: dict | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of asking prints and of prints within the distance, where all bits but ``places`` are out of the question. Each looks up
+    all values within one bit of its own in each segment. Where more than ``crowded`` have one value, the bits outside of the segment
+    are cut again; up to ``direct`` pairs, or with fewer than ``least`` bits, all are compared. ``index`` keeps sorted segments."""
+
+    def compared(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = np.bitwise_count(asking[i] ^ prints[j]) <= distance
+        return i[ok], j[ok]
+
+    if len(asking) * len(prints) <= direct or len(places) < least:
+        step = max(1, (1 << 20) // max(1, len(prints)))
+        for at in range(0, len(asking), step):
+            i, j = np.nonzero(np.bitwise_count(asking[at : at + step, None] ^ prints[None, :]) <= distance)
+            yield i + at, j
+        return
+    for number, cut in enumerate(segments(places, distance)):
+        if index is None or number not in index:
+            keys = _bits(prints, cut)
+            order = np.argsort(keys, kind="stable")
+            kept = keys[order], order
+            if index is not None:
+                index[number] = kept
         else:
-            few_probes, few_table = probes, table
-        found.append(few_probes.join(few_table.withColumnRenamed("fp", "fp2"), keys).where("fp < fp2").select("fp", "fp2"))
-        rest = {path: after[path] for path in paths}
-    return reduce(DataFrame.unionAll, found)
+            kept = index[number]
+        keys, order = kept
+        own = _bits(asking, cut)
+        by = np.argsort(own, kind="stable")
+        rest = [x for x in places if x not in cut]
+        for flip in [0, *(1 << x for x in range(len(cut)))]:
+            sought = own[by] ^ np.uint64(flip)
+            first = np.searchsorted(keys, sought)
+            some = np.flatnonzero(keys[np.minimum(first, len(keys) - 1)] == sought) if len(keys) else np.zeros(0, np.int64)
+            first, sought, who = first[some], sought[some], by[some]
+            n = np.searchsorted(keys, sought, "right") - first
+            few_have = n <= crowded
+            for at in range(0, int(few_have.sum()), 1 << 14):
+                i, start, many = (x[few_have][at : at + (1 << 14)] for x in (who, first, n))
+                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start, many)
+                yield compared(np.repeat(i, many), order[place])
+            for start in np.unique(first[~few_have]):
+                them = who[~few_have & (first == start)]
+                those = order[start : start + n[first == start][0]]
+                for i, j in near_prints(asking[them], prints[those], distance, rest, crowded, least, direct):
+                    yield them[i], those[j]
+
+
+def candidate_pairs(prints: DataFrame, distance: int) -> DataFrame:
+    """(fp, fp2), fp < fp2, of distinct prints within the distance; a pair may be found more than once.
+
+    Prints are eight bytes each: blocks of them, sorted by their segments, come to the tasks in passes, so no print is shuffled,
+    however many values it looks up and however many share one."""
+    most, limits = PASS_PRINTS, (CROWDED, LEAST_BITS, DIRECT_PAIRS)
+
+    def work(block: pa.Table) -> Callable:
+        held = np.sort(block.column("qid").to_numpy()).view(np.uint64)
+        index: dict = {}
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                own = np.array(batch.column(0).to_numpy()).view(np.uint64)
+                for i, j in near_prints(own, held, distance, range(64), *limits, index):
+                    a, b = own[i].view(np.int64), held[j].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(a[a < b]), pa.array(b[a < b])], names=["fp", "fp2"])
+
+        return each
+
+    schema = T.StructType([T.StructField("fp", T.LongType()), T.StructField("fp2", T.LongType())])
+    return in_passes(prints.select("fp"), prints.select(F.col("fp").alias("qid")), most, F.lit(8), work, schema)
 
 
 def banded_pairs(prints: DataFrame, distance: int) -> DataFrame:
