@@ -41,6 +41,8 @@ def md5_simhash(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 CROWDED, LEAST_BITS = 256, 12
 #: Prints that every worker holds at once, and pairs that are compared without looking up segments.
 PASS_PRINTS, DIRECT_PAIRS = 1 << 20, 1 << 16
+#: Prints whose pairs are put together, so that each is given once.
+SLICE = 1024
 
 
 def _packed(places: Sequence[int]) -> str:
@@ -130,7 +132,7 @@ def near_prints(asking: np.ndarray, prints: np.ndarray, distance: int, places: S
 
 
 def candidate_pairs(prints: DataFrame, distance: int) -> DataFrame:
-    """(fp, fp2), fp < fp2, of distinct prints within the distance; a pair may be found more than once.
+    """(fp, fp2), fp < fp2, of distinct prints within the distance, each pair once.
 
     Prints are eight bytes each: blocks of them, sorted by their segments, come to the tasks in passes, so no print is shuffled,
     however many values it looks up and however many share one."""
@@ -143,9 +145,15 @@ def candidate_pairs(prints: DataFrame, distance: int) -> DataFrame:
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 own = np.array(batch.column(0).to_numpy()).view(np.uint64)
-                for i, j in near_prints(own, held, distance, range(64), *limits, index):
-                    a, b = own[i].view(np.int64), held[j].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(a[a < b]), pa.array(b[a < b])], names=["fp", "fp2"])
+                for at in range(0, len(own), SLICE):
+                    some, found = own[at : at + SLICE], [np.zeros(0, np.int64)]
+                    for i, j in near_prints(some, held, distance, range(64), *limits, index):
+                        later = some[i].view(np.int64) < held[j].view(np.int64)
+                        found.append(i[later] * len(held) + j[later])
+                    once = np.unique(np.concatenate(found))
+                    for start in range(0, len(once), 100_000):
+                        i, j = np.divmod(once[start : start + 100_000], len(held))
+                        yield pa.RecordBatch.from_arrays([pa.array(some[i].view(np.int64)), pa.array(held[j].view(np.int64))], names=["fp", "fp2"])
 
         return each
 
@@ -154,11 +162,10 @@ def candidate_pairs(prints: DataFrame, distance: int) -> DataFrame:
 
 
 def banded_pairs(prints: DataFrame, distance: int) -> DataFrame:
-    """(a, b, distance), a < b as signed numbers: distinct fingerprints at Hamming ``distance`` or less. Each looks up all values
-    within one bit of its own in each segment; what it finds is verified."""
+    """(a, b, distance), a < b as signed numbers: distinct fingerprints at Hamming ``distance`` or less."""
     d = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2")))
-    found = candidate_pairs(materialize(prints.select("fp").distinct()), distance).where(d <= distance)
-    return found.select(F.col("fp").alias("a"), F.col("fp2").alias("b"), d.cast("int").alias("distance")).distinct()
+    found = candidate_pairs(materialize(prints.select("fp").distinct()), distance)
+    return found.select(F.col("fp").alias("a"), F.col("fp2").alias("b"), d.cast("int").alias("distance"))
 
 
 def near_earlier(known: DataFrame, distance: int) -> DataFrame:
