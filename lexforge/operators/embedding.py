@@ -7,13 +7,22 @@ out as often as they add up, so inner products are unbiased estimates of those o
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexforge.operators.dedup import tokens
 from lexforge.operators.retrieval import normalised
 
 DIMS = 384
+#: Tokens whose places a worker remembers.
+KNOWN = 300_000
 
 
 def place(term: Column, dims: int = DIMS) -> tuple[Column, Column]:
@@ -22,30 +31,37 @@ def place(term: Column, dims: int = DIMS) -> tuple[Column, Column]:
     return (h % dims).cast("int"), F.when(F.floor(h / dims) % 2 == 0, 1.0).otherwise(-1.0)
 
 
-def components(rows: DataFrame, key: str, text: str, dims: int = DIMS) -> DataFrame:
-    """(key, i, x): what is not zero of each row's vector before it is scaled. Tokens are summed up in the task that has read them;
-    what is shuffled are a text's distinct tokens."""
-    counted = rows.select(key, F.explode(tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))).groupBy(key, F.col("col").alias("t")).agg(F.count(F.lit(1)).alias("tf"))
-    i, sign = place(F.col("t"), dims)
-    return counted.groupBy(key, i.alias("i")).agg(F.sum(sign * (1 + F.ln("tf"))).alias("x"))
-
-
 def embedded(rows: DataFrame, key: str, text: str, dims: int = DIMS) -> DataFrame:
-    """(key, v) of every row; keys are distinct and not null."""
-
-    def dense(entries: Column) -> Column:
-        """One fold over the sorted components, zeros between them."""
-        start = F.struct(F.lit(0).alias("next"), F.array().cast("array<array<double>>").alias("parts"))
-
-        def step(acc: Column, e: Column) -> Column:
-            part = F.concat(F.array_repeat(F.lit(0.0), e["i"] - acc["next"]), F.array(e["x"]))
-            return F.struct((e["i"] + 1).alias("next"), F.concat(acc["parts"], F.array(part)).alias("parts"))
-
-        return F.aggregate(entries, start, step, lambda acc: F.concat(F.flatten(acc["parts"]), F.array_repeat(F.lit(0.0), dims - acc["next"])))
-
-    parts = components(rows, key, text, dims).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("e"))
-    value = F.coalesce(dense(F.col("e")), F.array_repeat(F.lit(0.0), dims))
-    return rows.select(key).join(parts, key, "left").select(key, normalised(value).alias("v"))
+    """(key, v) of every row; keys are distinct and not null. A row's tokens become its vector in the task that has read them, and
+    nothing is shuffled."""
+    words = rows.select(key, tokens(F.coalesce(F.col(text), F.lit(""))).alias("ts"))
+    schema = T.StructType([words.schema[key], T.StructField("v", T.ArrayType(T.DoubleType()))])
+
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, float]] = {}
+
+        def placed(term: str) -> tuple[int, float]:
+            h = int(hashlib.md5(term.encode()).hexdigest()[:8], 16)
+            if len(known) >= KNOWN:
+                known.clear()
+            known[term] = found = (h % dims, 1.0 if h // dims % 2 == 0 else -1.0)
+            return found
+
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                v = np.zeros((batch.num_rows, dims))
+                for r, terms in enumerate(batch.column(1)):
+                    counts = Counter(terms.as_py())
+                    if counts:
+                        places = [known.get(t) or placed(t) for t in counts]
+                        weights = 1 + np.log(np.fromiter(counts.values(), float, len(counts)))
+                        v[r] = np.bincount([i for i, _ in places], weights * [sign for _, sign in places], minlength=dims)
+                length = np.sqrt((v * v).sum(axis=1))
+                v /= np.where(length == 0, 1.0, length)[:, None]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(np.arange(len(v) + 1, dtype=np.int32) * dims, v.reshape(-1))], names=[key, "v"])
+
+    return words.mapInArrow(embed, schema)
 
 
 def of_text(text: Column, dims: int = DIMS) -> Column:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexforge.operators import retrieval
+from lexforge.operators import embedding, retrieval
 
 
 def plan(df):
@@ -67,3 +67,15 @@ def test_nearest_of_queries_in_blocks(spark, monkeypatch, cells, size, k):
     assert "NestedLoop" not in plan(found) and "Cartesian" not in plan(found)
     key = lambda df: sorted((repr((x["qid"], x["doc_id"], None if x["score"] is None else round(x["score"], 8) + 0.0, x["rank"])) for x in df.collect()))
     assert key(found) == key(crossed(vectors, queries, k))
+
+
+def test_vectors_of_texts_shuffle_nothing(spark):
+    """Repeated words, texts without words, null; held against the expression for short texts."""
+    rows = [(i, " ".join(f"w{(i * j) % 17}" for j in range(i))) for i in range(30)] + [(50, ""), (51, None), (52, "Über ÜBER 日本語 a_b")]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3).localCheckpoint()
+    found = embedding.embedded(df, "id", "text")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {x["id"]: x["v"] for x in found.collect()}
+    want = {x["id"]: x["v"] for x in df.select("id", embedding.of_text(F.col("text")).alias("v")).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i] == pytest.approx(want[i], abs=1e-12) for i in want)
